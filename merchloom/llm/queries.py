@@ -8,15 +8,27 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, pii, quality_rules, secrets, simhash
+from . import brown, decontaminate, html_extract, mixing, pii, quality_mil, quality_rules, secrets, simhash
 from .common import read
 
 
+def op1_brown_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return brown.score_held_out(read(spark, sf_dir, "documents"))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.apply_rules(read(spark, sf_dir, "documents"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op3_attention_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_mil.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op5_tree_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(read(spark, sf_dir, "pages"))
+
+
 def op6_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = mixing.copies(read(spark, sf_dir, "documents"))
     return rows.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
@@ -39,6 +51,8 @@ def op10_pii_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.detect(read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_quality_rules, op6_systematic_mix, op7_simhash_pivots, op8_decontamination, op9_secret_scan, op10_pii_sanitisation)
-}
+_ALL = (
+    op1_brown_classes, op2_quality_rules, op3_attention_mil, op5_tree_extraction, op6_systematic_mix,
+    op7_simhash_pivots, op8_decontamination, op9_secret_scan, op10_pii_sanitisation,
+)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
