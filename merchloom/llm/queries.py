@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import brown, decontaminate, html_extract, mixing, pii, quality_mil, quality_rules, secrets, simhash
+from . import brown, decontaminate, html_extract, mixing, pii, quality_mil, quality_rules, run_index, secrets, simhash
 from .common import read
 
 
@@ -25,6 +25,10 @@ def op3_attention_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_mil.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op4_run_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_index.remove_repeats(read(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op5_tree_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(read(spark, sf_dir, "pages"))
 
@@ -52,7 +56,7 @@ def op10_pii_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _ALL = (
-    op1_brown_classes, op2_quality_rules, op3_attention_mil, op5_tree_extraction, op6_systematic_mix,
+    op1_brown_classes, op2_quality_rules, op3_attention_mil, op4_run_index, op5_tree_extraction, op6_systematic_mix,
     op7_simhash_pivots, op8_decontamination, op9_secret_scan, op10_pii_sanitisation,
 )
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
