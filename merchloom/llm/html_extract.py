@@ -2,9 +2,10 @@
 
 Every block element and every run of text between block boundaries is a node with a
 label, content or not. A node has a unary score from its features, a parent and child
-have a potential for each pair of labels, and the tree is a conditional random field:
+have a potential for each pair of labels, which depends on the child's features where
+content starts or stops, and the tree is a conditional random field:
 
-    score(y) = sum_v y_v * w.f(v) + sum_(p,c) T[y_p][y_c]
+    score(y) = sum_v y_v * w.f(v) + sum_(p,c) T[y_p][y_c](f(c))
 
 Sum-product messages, upward and then downward, give each node's content marginal; the
 text runs at 0.5 or more are the main text. The weights are trained on labelled pages by
@@ -172,71 +173,85 @@ def parse(source: str) -> Page:
     return page
 
 
-Model = tuple[dict[str, float], tuple[float, float, float, float]]
+class Model:
+    """``unary``: weight of content by feature; ``start`` and ``stop``: weights, by a child's features, of
+    content below no content and of no content below content; ``pairs``: the potential of each pair of
+    labels, parent's first."""
+
+    def __init__(self, unary: dict[str, float], start: dict[str, float], stop: dict[str, float], pairs: list[float]):
+        self.unary, self.start, self.stop, self.pairs = unary, start, stop, pairs
 
 
 def _log_sum(a: float, b: float) -> float:
     return a + log1p(exp(b - a)) if a > b else b + log1p(exp(a - b))
 
 
-def beliefs(page: Page, model: Model) -> tuple[list[float], list[float], list[float]]:
-    """Log-odds of content for every node, with the messages that a parent sends and the sums
-    below a node, which training needs. Messages are kept as differences of log values."""
-    weights, (t00, t01, t10, t11) = model
+def beliefs(page: Page, model: Model) -> tuple[list[float], list[float], list[float], list[tuple[float, float]]]:
+    """Log-odds of content for every node; with the sums below a node, its messages to its parent and
+    its two conditional potentials, which training needs. Messages are differences of log values."""
+    t00, t01, t10, t11 = model.pairs
     parent, n = page.parent, len(page.parent)
-    get = weights.get
-    below = [sum(get(f, 0.0) for f in fs) for fs in page.features]
+    get, start, stop = model.unary.get, model.start.get, model.stop.get
+    below = [sum([get(f, 0.0) for f in fs]) for fs in page.features]
+    edges = [(t01, t10) if v in page.runs else (t01 + sum([start(f, 0.0) for f in fs]), t10 + sum([stop(f, 0.0) for f in fs])) for v, fs in enumerate(page.features)]
     up = [0.0] * n
     for v in range(n - 1, 0, -1):
         s = below[v]
-        up[v] = d = _log_sum(t10, t11 + s) - _log_sum(t00, t01 + s)
+        e01, e10 = edges[v]
+        up[v] = d = _log_sum(e10, t11 + s) - _log_sum(t00, e01 + s)
         below[parent[v]] += d
-    down = [0.0] * n
+    odds = below[:]
     for v in range(1, n):
-        p = parent[v]
-        s = below[p] + down[p] - up[v]  # what the parent knows without this child
-        down[v] = _log_sum(t01, t11 + s) - _log_sum(t00, t10 + s)
-    return [b + d for b, d in zip(below, down)], below, up
+        e01, e10 = edges[v]
+        s = odds[parent[v]] - up[v]  # what the parent knows without this child
+        odds[v] += _log_sum(e01, t11 + s) - _log_sum(t00, e10 + s)
+    return odds, below, up, edges
 
 
-def train(pages: list[str] = PAGES, rounds: int = 150, rate: float = 0.3, decay: float = 0.002) -> Model:
-    """Weights and transitions by gradient ascent on the labelled pages; a bounded set by design."""
+def train(pages: list[str] = PAGES, rounds: int = 250, rate: float = 0.5, decay: float = 0.003) -> Model:
+    """The likeliest weights, by gradient ascent on the labelled pages; a bounded set by design."""
     parsed = [parse(p) for p in pages]
-    weights: dict[str, float] = {f: 0.0 for p in parsed for fs in p.features for f in fs}
-    t = [0.0, -0.5, 0.0, 0.5]
-    total = sum(len(p.parent) for p in parsed)
-    for step in range(rounds):
-        grad = dict.fromkeys(weights, 0.0)
-        pair = [0.0] * 4
+    names = {f for p in parsed for fs in p.features for f in fs}
+    on_edges = {f for f in names if f.startswith(("tag:", "hint:"))}
+    model = Model(dict.fromkeys(names, 0.0), dict.fromkeys(on_edges, 0.0), dict.fromkeys(on_edges, 0.0), [0.0, -0.5, 0.0, 0.5])
+    for _ in range(rounds):
+        grads = [{f: -decay * len(parsed) * w for f, w in d.items()} for d in (model.unary, model.start, model.stop)]
+        pairs = [0.0] * 4
         for page in parsed:
-            odds, below, up = beliefs(page, (weights, tuple(t)))
+            odds, below, up, edges = beliefs(page, model)
             for v, fs in enumerate(page.features):
                 y = page.labels[v]
                 gap = y - 1 / (1 + exp(-max(-30.0, min(30.0, odds[v]))))
                 for f in fs:
-                    grad[f] += gap
-                if v:
-                    p = page.parent[v]
-                    s = odds[p] - up[v]  # the parent without this child
-                    scores = [t[0], t[1] + below[v], t[2] + s, t[3] + s + below[v]]
-                    top = max(scores)
-                    parts = [exp(x - top) for x in scores]
-                    z = sum(parts)
-                    for k in range(4):
-                        pair[k] -= parts[k] / z
-                    pair[2 * page.labels[p] + y] += 1
-        scale = rate * 40 / total
-        for f in weights:
-            weights[f] += scale * (grad[f] - decay * total * weights[f] / 40)
+                    grads[0][f] += gap
+                if not v:
+                    continue
+                s = odds[page.parent[v]] - up[v]
+                scores = [model.pairs[0], edges[v][0] + below[v], edges[v][1] + s, model.pairs[3] + s + below[v]]
+                top = max(scores)
+                parts = [exp(x - top) for x in scores]
+                z = sum(parts)
+                gaps = [-x / z for x in parts]
+                gaps[2 * page.labels[page.parent[v]] + y] += 1
+                for k in range(4):
+                    pairs[k] += gaps[k]
+                if v not in page.runs:
+                    for f in fs:
+                        grads[1][f] += gaps[1]
+                        grads[2][f] += gaps[2]
+        scale = rate / len(parsed)
+        for d, grad in zip((model.unary, model.start, model.stop), grads):
+            for f in d:
+                d[f] += scale * grad[f]
         for k in range(4):
-            t[k] += scale * pair[k] / 8
-    return weights, tuple(t)
+            model.pairs[k] += scale * pairs[k] / 8
+    return model
 
 
 def main_text(source: str, model: Model) -> str:
     """The text runs whose content marginal is at least 0.5, in page order."""
     page = parse(source)
-    odds, _, _ = beliefs(page, model)
+    odds = beliefs(page, model)[0]
     return "\n\n".join(text for v, text in page.runs.items() if odds[v] >= 0)
 
 

@@ -26,4 +26,7 @@ PAGES = [
     f'<body><nav><ul>{_MENU}</ul></nav><article data-main="1"><h1>Tiny</h1><p>{_C}</p></article><div class="ads"><p>{_B}</p></div><footer>{_C}</footer></body>',
     f'<body><ul>{_MENU}</ul><div data-main="1"><h1>Plain</h1><p>{_A}<p>{_B}<p>{_A}<p>{_C}</div><ul>{_MENU}</ul><p class="copyright">&copy; someone</p></body>',
     f'<body><header><nav><ul>{_MENU}</ul></nav></header><article data-main="1"><h1>T</h1><section><h2>Part one</h2><p>{_A}</p><p>{_B}</p></section><section><h2>Part two</h2><p>{_B}</p></section><footer data-main="0"><p>Filed under things.</p></footer></article><section id="disqus" class="discussion"><article class="comment"><p>{_B}</p></article><article class="comment"><p>{_A}</p></article></section><div role="complementary"><p>{_A}</p></div><div class="notice"><p>{_B}</p></div></body>',
+    f'<div class="menu"><ul>{_MENU}</ul></div><article data-main="1"><p>{_C}</p><p>It is short, this one too.</p><form data-main="0"><p>Give your name, please, and send.</p><label>Name</label></form></article><section class="comments"><article class="comment"><p>{_C}</p></article></section>',
+    f'<body><nav>{_LINKS}</nav><main data-main="1"><p>Text of medium length in a plain page here.</p><p>And a line more, no heading at all.</p></main><footer><p>Text of medium length in the footer, too.</p></footer></body>',
+    f'<body><div id="nav">{_LINKS}</div><article data-main="1"><p>Some words in a row, sixty letters or so in this one.</p><h2>part</h2><p>Ok</p><form data-main="0"><p>{_A}</p><p>Send</p></form><p>{_A}</p></article><aside><p>{_C}</p><p>{_A}</p></aside><div class="cookie"><p>{_C}</p></div></body>',
 ]

@@ -50,7 +50,7 @@ PLACEHOLDERS = {"changeme", "password", "secret", "example", "placeholder", "you
 _NAME = r"[A-Za-z_][A-Za-z0-9_.\-]*"
 _QUOTED = r"""(?:"[^"\n]{0,4096}"|'[^'\n]{0,4096}')"""
 #: Starts at the separator and looks right; the name is read leftwards from it, so that prose costs nothing.
-_RIGHT = re.compile(rf"""(?::=|=>|->|=(?!=)|:(?!//)|\()[ \t]{{0,64}}(?:(?P<quoted>{_QUOTED}(?:[ \t]{{0,8}}[+.][ \t]{{0,8}}{_QUOTED})*)|(?P<bare>[A-Za-z0-9+/_.=$\-]{{4,}}))""")
+_RIGHT = re.compile(rf"""(?::=|=>|->|=(?!=)|:(?!//)|\()[ \t]{{0,64}}(?:(?P<quoted>{_QUOTED}(?:[ \t]{{0,8}}[+.][ \t]{{0,8}}{_QUOTED})*)|(?P<bare>[A-Za-z0-9+/_.=$\-]+))""")
 _LEFT_NAME = re.compile(r"""([A-Za-z0-9_.\-]+)["'\]]{0,2}[ \t]*$""")
 _PART = re.compile(_QUOTED)
 _XML = re.compile(rf"<({_NAME})>([^<>\s]{{6,4096}})</\1>")
