@@ -45,24 +45,33 @@ def category_page(categories: DataFrame, products: DataFrame, images: DataFrame,
     shown = products.where(visible(products))
     children = categories.join(F.broadcast(own), categories["parent_id"] == F.col("own_id")).drop("own_id")
     children = with_count(children, shown, "id", "category_id", "n_products").orderBy("sort_order", "name_uk")
-    cover = first_child(images, "product_id", ["sort_order", "id"], ["product_id", "url"]).withColumnRenamed("url", "cover")
-    listing = shown.join(F.broadcast(own), shown["category_id"] == F.col("own_id"), "left_semi")
-    listing = listing.join(brands.select(F.col("id").alias("of_brand"), F.col("name").alias("brand")), listing["brand_id"] == F.col("of_brand"), "left")
-    listing = listing.join(cover, listing["id"] == cover["product_id"], "left").drop("of_brand", "product_id")
-    return children, listing.orderBy("sort_order", "name_uk")
+    own_shown = shown.join(F.broadcast(own), shown["category_id"] == F.col("own_id"), "left_semi")
+    return children, listing(own_shown, images, brands).orderBy("sort_order", "name_uk")
+
+
+def listing(products: DataFrame, images: DataFrame, brands: DataFrame) -> DataFrame:
+    """``products`` with the names of their brands and their first images."""
+    cover = first_child(images, "product_id", ["sort_order", "id", "url"], ["product_id", "url"]).withColumnRenamed("url", "cover")
+    named = products.join(brands.select(F.col("id").alias("of_brand"), F.col("name").alias("brand")), products["brand_id"] == F.col("of_brand"), "left")
+    return named.join(cover, named["id"] == cover["product_id"], "left").drop("of_brand", "product_id")
+
+
+def redirects(products: DataFrame) -> DataFrame:
+    """(id, slug, name_uk, redirect_slug, title): a product merged into a published one leads to it, one hop, and
+    shows its title; titles fall back to names."""
+    t = products.select(F.col("id").alias("t_id"), F.col("slug").alias("t_slug"), F.col("published").alias("t_published"), F.col("seo_title").alias("t_seo"), F.col("name_uk").alias("t_name"))
+    p = products.join(t, products["merged_into_product_id"] == F.col("t_id"), "left")
+    title = F.when(F.col("t_published"), F.coalesce("t_seo", "t_name")).otherwise(F.coalesce("seo_title", "name_uk"))
+    return p.select("id", "slug", "name_uk", F.when(F.col("t_published"), F.col("t_slug")).alias("redirect_slug"), title.alias("title"))
 
 
 def cards(products: DataFrame, specs: DataFrame, definitions: DataFrame, images: DataFrame) -> DataFrame:
-    """Product cards with images and specs; a merged product shows the row it was merged into, one hop."""
+    """Product cards with images and specs, with the redirect of merged products."""
     d = definitions.select(F.col("id").alias("of_definition"), "label_uk", "unit", F.col("sort_order").alias("place"))
     rows = specs.join(d, specs["definition_id"] == F.col("of_definition"))
     spec_lists = ordered_children(rows, "product_id", ["place", "label_uk"], ["place", "label_uk", "unit", "value_text", "value_number"], "specs")
     image_lists = ordered_children(images, "product_id", ["sort_order"], ["sort_order", "url", "alt_uk"], "images")
-    t = products.select(F.col("id").alias("t_id"), F.col("slug").alias("t_slug"), F.col("published").alias("t_published"), F.col("seo_title").alias("t_seo"), F.col("name_uk").alias("t_name"))
-    p = products.join(t, products["merged_into_product_id"] == F.col("t_id"), "left")
-    redirect = F.when(F.col("t_published"), F.col("t_slug"))
-    title = F.when(F.col("t_published"), F.coalesce("t_seo", "t_name")).otherwise(F.coalesce("seo_title", "name_uk"))
-    p = p.select("id", "slug", "name_uk", redirect.alias("redirect_slug"), title.alias("title"))
+    p = redirects(products)
     return p.join(image_lists, p["id"] == image_lists["product_id"], "left").drop("product_id").join(spec_lists, F.col("id") == spec_lists["product_id"], "left").drop("product_id")
 
 

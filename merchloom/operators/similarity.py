@@ -40,61 +40,82 @@ def class_pairs(rows: DataFrame, least: float = WARN) -> DataFrame:
 
 def membership(rows: DataFrame) -> DataFrame:
     """(id, key, class_id): the class of each usable row, named by its smallest id."""
+    classes = key_nodes(rows).groupBy("key").agg(F.min("least").alias("class_id"))
     usable = rows.where((F.length("key") >= MIN_LENGTH) & F.col("source").isNotNull())
-    classes = usable.groupBy("key").agg(F.min("id").alias("class_id"))
     return usable.select("id", "key").join(classes, "key")
 
 
+def link_counts(rows: DataFrame) -> DataFrame:
+    """(id, class_id, n_merge, n_warn): per row of ``rows`` its class, named by the smallest id with its key, and how
+    many rows of other sources are as similar as merging asks for, or as a warning does. Rows whose
+    keys are too short, or without a source, are alone and have no links. No pair of rows is formed."""
+    nodes = key_nodes(rows)
+    pairs = class_pairs(rows).select("key_a", "key_b", "similarity")
+    both = pairs.union(pairs.where("key_a <> key_b").select("key_b", "key_a", "similarity"))
+    of = nodes.select(F.col("key").alias("key_b"), F.col("source").alias("source_b"), F.col("n").alias("n_b"))
+    mine = nodes.select(F.col("key").alias("key_a"), F.col("source").alias("source_a"))
+    near = both.join(of, "key_b").join(mine, "key_a").where("source_a <> source_b")
+    merge = F.col("similarity") >= MERGE
+    summed = near.groupBy("key_a", "source_a").agg(F.sum(F.when(merge, F.col("n_b")).otherwise(0)).alias("n_merge"), F.sum(F.when(~merge, F.col("n_b")).otherwise(0)).alias("n_warn"))
+    classes = nodes.groupBy(F.col("key").alias("of_key")).agg(F.min("least").alias("class_id"))
+    named = rows.select("id", "key", "source").join(classes, (F.col("key") == F.col("of_key")) & F.col("source").isNotNull(), "left")
+    joined = named.join(summed, (F.col("key") == F.col("key_a")) & (F.col("source") == F.col("source_a")), "left")
+    zero = F.lit(0).cast("long")
+    return joined.select("id", F.coalesce("class_id", "id").alias("class_id"), F.coalesce("n_merge", zero).alias("n_merge"), F.coalesce("n_warn", zero).alias("n_warn"))
+
+
 def merge_candidates(rows: DataFrame, least: float = MERGE) -> DataFrame:
-    """Pairs of rows (id, key, source, position) of different sources and similar keys, for the greedy choice."""
-    usable = rows.where((F.length("key") >= MIN_LENGTH) & F.col("source").isNotNull()).withColumn("block", F.substring("key", 1, PREFIX))
-    a, b = usable.alias("a"), usable.alias("b")
+    """Pairs of nodes (key, source) of different sources and similar keys, with the smallest row of each
+    as its id. Copies of a name within a source are one node, so they never multiply."""
+    nodes = key_nodes(rows)
+    a, b = nodes.alias("a"), nodes.alias("b")
     la, lb = F.length("a.key"), F.length("b.key")
-    near = (F.col("a.block") == F.col("b.block")) & (F.col("a.source") != F.col("b.source")) & (F.col("a.position") < F.col("b.position"))
+    near = (F.col("a.block") == F.col("b.block")) & (F.col("a.source") != F.col("b.source")) & (F.col("a.least") < F.col("b.least"))
     bounded = F.abs(la - lb) <= F.floor((1 - least) * F.greatest(la, lb) + 1e-9)
     sim = text.similarity(F.col("a.key"), F.col("b.key"))
-    columns = [F.col(f"{s}.{c}").alias(f"{c}_{s}") for s in "ab" for c in ("id", "source", "position")]
+    columns = [F.col(f"{s}.{c}").alias(f"{n}_{s}") for s in "ab" for c, n in (("least", "id"), ("source", "source"))]
     return a.join(b, near & bounded).select(F.col("a.block").alias("block"), *columns, sim.alias("similarity")).where(F.col("similarity") >= least)
 
 
 def greedy(pairs: pd.DataFrame, order: dict[str, int]) -> list[tuple]:
-    """(loser, canonical) in the order in which pairs merge: most similar first, then by position.
+    """(loser, canonical) in the order in which pairs merge: most similar first, then by id.
 
-    Both sides are followed to their present canonical row; rows of one source never merge; the row of
-    the source that comes first in ``order``, or else the earlier one, is the canonical of the two.
+    Both sides are followed to their present canonical; nodes of one source never merge; the node of
+    the source that comes first in ``order``, or else the one with the smaller id, is the canonical of the two.
     """
-    points: dict = {}
-    info = {}
-    for r in pairs.itertuples():
-        info[r.id_a], info[r.id_b] = (r.source_a, r.position_a), (r.source_b, r.position_b)
-
-    def top(x):
-        seen = set()
-        while x in points and points[x] not in seen:
-            seen.add(x)
-            x = points[x]
+    parent: dict = {}
+    source = dict(zip(pairs["id_a"], pairs["source_a"])) | dict(zip(pairs["id_b"], pairs["source_b"]))
+
+    def end_of(x):
+        while x in parent:
+            x = parent[x]
         return x
 
-    for r in pairs.sort_values(["similarity", "position_a", "position_b"], ascending=[False, True, True], kind="stable").itertuples():
-        a, b = top(r.id_a), top(r.id_b)
-        if a == b or info[a][0] == info[b][0]:
-            continue
-        rank = lambda x: (order.get(info[x][0], 999), info[x][1])
-        keep, lose = (a, b) if rank(a) <= rank(b) else (b, a)
-        points[lose] = keep
-    return list(points.items())
+    for a, b in pairs.sort_values(["similarity", "id_a", "id_b"], ascending=[False, True, True])[["id_a", "id_b"]].itertuples(index=False):
+        ends = {end_of(a), end_of(b)}
+        if len({source[x] for x in ends}) == 2:
+            keep, lose = sorted(ends, key=lambda x: (order.get(source[x], 999), x))
+            parent[lose] = keep
+    return list(parent.items())
 
 
 def resolve(rows: DataFrame, order: list[str], least: float = MERGE) -> DataFrame:
-    """(loser, canonical): the immediate pointers of the greedy choice. Candidates never leave their
-    block, so each block is chosen on its own; the group of a task is the candidates of one block."""
+    """(loser, canonical): the immediate pointers of the greedy choice, for rows (id, key, source).
+
+    The choice is made between nodes, all rows of a source with one name, and candidates never leave
+    their block, so each block is chosen on its own: a task's group is the similar distinct names of
+    one block, however often they occur. All rows of a node that loses point to the canonical row.
+    """
     ranks = {s: i for i, s in enumerate(order)}
     kind = dict(rows.dtypes)["id"]
 
     def chosen(pairs: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(greedy(pairs, ranks), columns=["loser", "canonical"])
+        return pd.DataFrame(greedy(pairs, ranks), columns=["node", "canonical"])
 
-    return merge_candidates(rows, least).groupBy("block").applyInPandas(chosen, f"loser {kind}, canonical {kind}")
+    nodes = key_nodes(rows).select("key", "source", F.col("least").alias("node"))
+    pointers = merge_candidates(rows, least).groupBy("block").applyInPandas(chosen, f"node {kind}, canonical {kind}")
+    losing = nodes.join(pointers, "node").select("key", "source", "canonical")
+    return rows.join(losing, ["key", "source"]).select(F.col("id").alias("loser"), "canonical")
 
 
 def reconcile_report(rows: DataFrame, order: list[str]) -> DataFrame:
@@ -102,3 +123,12 @@ def reconcile_report(rows: DataFrame, order: list[str]) -> DataFrame:
     warned = class_pairs(rows).where(F.col("similarity") < MERGE).agg(F.coalesce(F.sum("links"), F.lit(0)).alias("warned_pairs"))
     merged = resolve(rows, order).agg(F.countDistinct("canonical").alias("merge_groups"), F.count("*").alias("products_merged"))
     return warned.join(merged, F.lit(True))
+
+
+def samples(rows: DataFrame, names: DataFrame, n: int = 25) -> DataFrame:
+    """The most similar pairs below merging with their rounded similarity and names: a sample for a
+    report, so a limit by nature."""
+    pairs = class_pairs(rows).where(F.col("similarity") < MERGE).orderBy(F.col("similarity").desc(), "key_a", "key_b").limit(n)
+    shown = names.groupBy("key").agg(F.substring(F.min("name"), 1, 120).alias("name"))
+    one, two = (shown.select(F.col("key").alias(f"key_{s}"), F.col("name").alias(f"name_{s}")) for s in "ab")
+    return pairs.join(one, "key_a").join(two, "key_b").select(text.half_up(F.col("similarity"), 3).alias("similarity"), "name_a", "name_b", "links")

@@ -1 +1 @@
-
+"""Readers and writers: manifests, saved pages, URL lists, table snapshots."""
