@@ -107,101 +107,79 @@ def _slices(benchmark: DataFrame, slice_bytes: int) -> Iterator[list[tuple[objec
         yield part
 
 
-def _scanner(grams, keep_text: bool):
+def excise(text: bytes, hit: np.ndarray) -> bytes:
+    """``text`` without its hit words; each run of them leaves one space."""
+    marks = np.frombuffer(text.translate(WORD_BYTES), np.uint8) != 0x20
+    edges = np.flatnonzero(np.diff(np.concatenate([[False], marks, [False]]).astype(np.int8)))
+    starts, ends = edges[::2], edges[1::2]
+    runs = np.flatnonzero(np.diff(np.concatenate([[False], hit, [False]]).astype(np.int8)))
+    out, at = [], 0
+    for first, beyond in zip(runs[::2], runs[1::2]):
+        out += [text[at : starts[first]], b" "]
+        at = ends[beyond - 1]
+    return b"".join([*out, text[at:]])
+
+
+def _scanner(grams, text_mode: str):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = grams.value
         for batch in batches:
-            counts, bits, items = [], [], []
-            for text, old_bits, old_items in zip(as_bytes(batch.column(1)), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                own = words(text)
+            counts, n_hits, bits, items, texts = [], [], [], [], []
+            for text, old_bits, old_items in zip(batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                own = words(text or b"")
                 hit, found = table.scan(own)
                 if old_bits:
                     hit |= np.unpackbits(np.frombuffer(old_bits, np.uint8), count=len(own)).astype(bool)
+                any_hit = bool(hit.any())
                 counts.append(len(own))
-                bits.append(np.packbits(hit).tobytes() if hit.any() else b"")
+                n_hits.append(int(hit.sum()))
+                bits.append(np.packbits(hit).tobytes() if any_hit else b"")
                 items.append(sorted(found.union(old_items)))
-            text = batch.column(1) if keep_text else pa.nulls(len(counts), pa.string())
-            new = [pa.array(bits, pa.binary()), pa.array(items, pa.list_(pa.string())), *batch.columns[4:], pa.array(counts, pa.int64())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), text, *new], [*batch.schema.names, "n_words"])
+                if text_mode == "cut":
+                    texts.append(excise(text, hit) if any_hit else text)
+            text = {"keep": lambda: batch.column(1), "drop": lambda: pa.nulls(len(counts), pa.string()), "cut": lambda: pa.array(texts, pa.binary()).cast(pa.string())}[text_mode]()
+            new = [pa.array(bits, pa.binary()), pa.array(items, pa.list_(pa.string())), *batch.columns[4:], pa.array(counts, pa.int64()), pa.array(n_hits, pa.int64())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), text, *new], [*batch.schema.names, "n_words", "n_hit"])
 
     return scan
 
 
 def find_hits(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
-    window: int = WINDOW, slice_bytes: int = SLICE_BYTES, keep_text: bool = True, carry: tuple[str, ...] = (),
+    window: int = WINDOW, slice_bytes: int = SLICE_BYTES, text_mode: str = "keep", carry: tuple[str, ...] = (),
 ) -> DataFrame:
-    """Per row of ``docs``: doc_id, text (null without ``keep_text``), hits (a bit per word), items
-    (the ids hit, as sorted strings), the columns to carry as c0, c1, ... and n_words."""
+    """Per row of ``docs``: doc_id, text (kept, dropped or with the hit words cut out), hits (a bit per word), items
+    (the ids hit, as sorted strings), the columns to carry as c0, c1, ..., n_words and n_hit."""
     spark = docs.sparkSession
     others = [docs[c].alias(f"c{i}") for i, c in enumerate(carry)]
     rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"), F.lit(b"").alias("hits"), F.array().cast("array<string>").alias("items"), *others)
-    schema = ", ".join(f"{c} {kind}" for c, kind in rows.dtypes) + ", n_words long"
+    schema = ", ".join(f"{c} {kind}" for c, kind in rows.dtypes) + ", n_words long, n_hit long"
     parts = _slices(renamed(benchmark, item_id=item_col, text=item_text_col), slice_bytes)
     part = next(parts, [])
     for following in parts:
-        scanned = rows.mapInArrow(_scanner(spark.sparkContext.broadcast(Grams(part, window)), True), schema)
-        rows, part = materialize(scanned.drop("n_words"), "hits"), following
-    return rows.mapInArrow(_scanner(spark.sparkContext.broadcast(Grams(part, window)), keep_text), schema)
+        scanned = rows.mapInArrow(_scanner(spark.sparkContext.broadcast(Grams(part, window)), "keep"), schema)
+        rows, part = materialize(scanned.drop("n_words", "n_hit"), "hits"), following
+    return rows.mapInArrow(_scanner(spark.sparkContext.broadcast(Grams(part, window)), text_mode), schema)
 
 
 def report(docs: DataFrame, benchmark: DataFrame, **names) -> DataFrame:
     """Per row of ``docs``: words, words hit, items hit and their digest, and whether it is contaminated."""
-
-    @F.pandas_udf("long")
-    def ones(bits):
-        return bits.map(lambda b: int(np.unpackbits(np.frombuffer(b, np.uint8)).sum())).astype("int64")
-
-    hits = find_hits(docs, benchmark, keep_text=False, **names)
+    hits = find_hits(docs, benchmark, text_mode="drop", **names)
     return hits.select(
         "doc_id",
         "n_words",
-        ones("hits").alias("n_hit"),
+        "n_hit",
         F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
-        (F.size("items") > 0).alias("contaminated"),
+        (F.col("n_hit") > 0).alias("contaminated"),
     )
 
 
-def excise(text: str | None, bits: bytes) -> str | None:
-    """``text`` without its hit words; each run of them leaves one space."""
-    if not text or not bits:
-        return text
-    data = text.encode()
-    marks = np.frombuffer(data.translate(WORD_BYTES), np.uint8) != 0x20
-    edges = np.flatnonzero(np.diff(np.concatenate([[False], marks, [False]]).astype(np.int8)))
-    starts, ends = edges[::2], edges[1::2]
-    hit = np.unpackbits(np.frombuffer(bits, np.uint8), count=len(starts)).astype(bool)
-    out, at, i = [], 0, 0
-    while i < len(starts):
-        if hit[i]:
-            j = i
-            while j + 1 < len(starts) and hit[j + 1]:
-                j += 1
-            out += [data[at : starts[i]], b" "]
-            at, i = ends[j], j
-        i += 1
-    return b"".join([*out, data[at:]]).decode()
-
-
 def remove_spans(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_hit_share: float = 0.8, **names) -> DataFrame:
     """``docs`` with benchmark passages cut out of the text column; documents of which more than
     ``max_hit_share`` of the words is benchmark text are left out. Other columns stay as they are."""
-
-    @F.pandas_udf("string")
-    def cut(texts, bits):
-        import pandas as pd
-
-        return pd.Series([excise(x, b) for x, b in zip(texts, bits)], dtype=object)
-
-    @F.pandas_udf("double")
-    def share(bits, n):
-        import pandas as pd
-
-        return pd.Series([np.unpackbits(np.frombuffer(b, np.uint8)).sum() / max(m, 1) for b, m in zip(bits, n)], dtype=float)
-
     others = tuple(c for c in docs.columns if c not in (id_col, text_col))
-    hits = find_hits(docs, benchmark, id_col=id_col, text_col=text_col, carry=others, **names)
-    kept = hits.where((F.length("hits") == 0) | (share("hits", "n_words") <= max_hit_share))
-    back = {id_col: F.col("doc_id"), text_col: cut("text", "hits")} | {c: F.col(f"c{i}") for i, c in enumerate(others)}
+    hits = find_hits(docs, benchmark, id_col=id_col, text_col=text_col, text_mode="cut", carry=others, **names)
+    kept = hits.where(F.col("n_hit") <= max_hit_share * F.col("n_words"))
+    back = {id_col: F.col("doc_id"), text_col: F.col("text")} | {c: F.col(f"c{i}") for i, c in enumerate(others)}
     return kept.select(*[back[c].alias(c) for c in docs.columns])
