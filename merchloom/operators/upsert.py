@@ -68,11 +68,13 @@ def patch(current: DataFrame, patches: DataFrame, key: str) -> DataFrame:
     return o.join(p, F.col(f"o.{key}") == F.col(f"p.{key}"), "left").select(*out)
 
 
-def import_rows(products: DataFrame, publish: bool, category: Column) -> DataFrame:
-    """Manifest products as rows of the product table; ids are hashes of source and external id."""
+def import_rows(products: DataFrame, publish: bool, category: Column, keep: list[str] | None = None) -> DataFrame:
+    """Manifest products as rows of the product table, beside the columns to ``keep``; ids are hashes of source
+    and external id."""
     c = F.col
     return products.select(
-        F.sha2(F.concat_ws("|", "source", "externalId"), 256).alias("id"),
+        *(keep or []),
+        product_id().alias("id"),
         text.product_slug(c("source"), c("externalId")).alias("slug"),
         text.product_sku(c("sku"), c("source"), c("externalId")).alias("sku"),
         c("nameUk").alias("name_uk"),
@@ -91,14 +93,19 @@ def import_rows(products: DataFrame, publish: bool, category: Column) -> DataFra
     )
 
 
-def image_rows(products: DataFrame) -> DataFrame:
-    """(product_id, url, alt_uk, sort_order): images in their order."""
-    exploded = products.select(F.sha2(F.concat_ws("|", "source", "externalId"), 256).alias("product_id"), F.posexplode("images").alias("sort_order", "image"))
+def product_id() -> Column:
+    """The id of an imported product."""
+    return F.sha2(F.concat_ws("|", "source", "externalId"), 256)
+
+
+def image_rows(products: DataFrame, of: Column | None = None) -> DataFrame:
+    """(product_id, url, alt_uk, sort_order): images in their order. ``of``: the product's id, where it is stored."""
+    exploded = products.select((product_id() if of is None else of).alias("product_id"), F.posexplode("images").alias("sort_order", "image"))
     return exploded.select("product_id", F.col("image.url").alias("url"), F.col("image.alt").alias("alt_uk"), "sort_order")
 
 
-def _specs(products: DataFrame, order: list[str]) -> DataFrame:
-    rows = products.select(F.struct(*order).alias("at"), F.sha2(F.concat_ws("|", "source", "externalId"), 256).alias("product_id"), F.posexplode("specs").alias("pos", "spec"))
+def _specs(products: DataFrame, order: list[str], of: Column | None = None) -> DataFrame:
+    rows = products.select(F.struct(*order).alias("at"), (product_id() if of is None else of).alias("product_id"), F.posexplode("specs").alias("pos", "spec"))
     return rows.select("at", "product_id", "pos", "spec.*").withColumn("definition", text.slug(F.col("label"), 80, "spec"))
 
 
@@ -112,9 +119,9 @@ def spec_definitions(products: DataFrame, order: list[str]) -> DataFrame:
     return agg.select("slug", "label_uk", "f.*")
 
 
-def spec_rows(products: DataFrame, order: list[str]) -> DataFrame:
+def spec_rows(products: DataFrame, order: list[str], of: Column | None = None) -> DataFrame:
     """(product_id, definition, value_text, value_number): of equal definitions in a product the last wins."""
-    rows = _specs(products, order).groupBy("product_id", "definition").agg(F.max_by("value", "pos").alias("value"))
+    rows = _specs(products, order, of).groupBy("product_id", "definition").agg(F.max_by("value", "pos").alias("value"))
     return rows.select("product_id", "definition", text.js_trim(F.col("value")).alias("value_text"), text.spec_number(F.col("value")).alias("value_number"))
 
 

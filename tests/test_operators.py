@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from merchloom.functions import text
 from merchloom.operators import categories, consolidate, maintenance, pages, reports, serving, similarity, trees, upsert
-from merchloom.plans import catalogue, proxies
+from merchloom.plans import catalogue, imports, proxies
 from merchloom.sources import manifests, tables
 from pyspark.sql import functions as F
 
@@ -199,6 +199,35 @@ def test_manifests_merge_and_import(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "out")).count() == 3
 
 
+def test_rebuild(spark, tmp_path):
+    url = "https://et-market.com.ua/"
+    et = [PRODUCT | {"externalId": str(i), "slug": f"s{i}", "nameUk": f"Нагрівальний мат номер {i}", "sourceCategoryUrl": u} for i, u in enumerate((url + "teplyj-pol/nagrevatelnye-maty/", url + "avtomatika/x/", None, "https://other.com/x/"))]
+    vs = [PRODUCT | {"source": "vsesezon", "externalId": "7", "nameUk": "Нагрівальний мат номер 1", "sourceCategoryUrl": "https://vsesezon.com.ua/ua/g12-maty/"}, PRODUCT | {"source": "unknown"}]
+    paths = [
+        write_manifest(tmp_path, "et.json", et, etMarketCrawl={"perCategory": [{"categoryUrl": url + "avtomatika/x/", "title": "Щось"}]}),
+        write_manifest(tmp_path, "vs.json", vs, vsesezon={"perCategory": [{"categoryUrl": "https://vsesezon.com.ua/ua/g12-maty?x", "title": "Мати"}]}),
+    ]
+    got, rejected = imports.rebuild(spark, str(tmp_path / "db"), paths, "v1")
+    assert sorted((r["source"], r["externalId"]) for r in rejected.collect()) == [("et_market", "3"), ("unknown", "1")]
+    slug_of = {r["id"]: r["slug"] for r in got["categories"].collect()}
+    rows = {(r["external_source"], r["external_id"]): r for r in got["products"].where("external_id IS NOT NULL").collect()}
+    assert {k: slug_of[r["category_id"]] for k, r in rows.items()} == {("et_market", "0"): "nagrivalni-maty", ("et_market", "1"): "et-avtomatika", ("et_market", "2"): "tepla-pidloga", ("vsesezon", "7"): "vs-12"}
+    assert rows[("vsesezon", "7")]["merged_into_product_id"] == rows[("et_market", "1")]["id"]
+    assert {r["slug"]: (r["name_uk"], r["sort_order"]) for r in got["categories"].collect()}["vs-12"] == ("Мати", 412)
+    assert tables.violations(got).where("n > 0").count() == 0
+    again, _ = imports.import_products(imports.seeded(got), manifests.products_of(manifests.read_manifests(spark, paths)), imports.section_titles(manifests.read_manifests(spark, paths)))
+    for name, df in got.items():
+        assert sorted(map(str, again[name].select(*df.columns).collect())) == sorted(map(str, df.collect())), name
+    left, blocked = imports.pruned(got)
+    assert blocked.count() == 1 and left["categories"].count() == got["categories"].count()
+    bare = imports.reset(got)
+    assert bare["products"].count() == 2 and bare["product_specs"].count() == 6 and bare["categories"].count() == 3
+    more, bad = imports.new_sections(bare, spark.createDataFrame([("a", "Тепла pidloga", None), ("b", "X", "none")], "id string, name_uk string, parent_id string"))
+    assert more["categories"].where("id = 'a'").first()["slug"] == "tepla-pidloga-2" and bad.count() == 1
+    deep, _ = imports.import_products(bare, manifests.products_of(manifests.read_manifests(spark, paths)), imports.section_titles(manifests.read_manifests(spark, paths)), deep=True)
+    assert {"etm-teplyj-pol", "etm-teplyj-pol-nagrevatelnye-maty", "etm-avtomatika-x", "vs-12"} <= {r["slug"] for r in deep["categories"].collect()}
+
+
 def test_saved_pages_and_url_lists(spark, tmp_path):
     (tmp_path / "a.html").write_text("<title>T</title>\n<p>x")
     (tmp_path / "u.txt").write_text(" https://a \n\nhttps://a\nhttps://b\n")
