@@ -58,5 +58,6 @@ def as_texts(column: pa.Array | pa.ChunkedArray) -> list[str]:
 
 
 def renamed(df: DataFrame, **columns: str) -> DataFrame:
-    """Only the named columns of ``df``, under the given names, so that extra columns never clash."""
-    return df.select(*[df[source].alias(name) for name, source in columns.items()])
+    """Only the named columns of ``df``, under the given names, so that extra columns never clash.
+    Columns that have their name already stay as they are: an alias would hide that exchanges are equal."""
+    return df.select(*[df[source] if source == name else df[source].alias(name) for name, source in columns.items()])

@@ -20,7 +20,7 @@ smaller id is removed. The work is routed so that equal strings meet:
 
 Copies do not pile up: within a batch one witness stands for all occurrences of an
 anchor, and one segment for all equal ones (the others are marked at once, since the
-first of them is earlier). The texts are shuffled once; the three uses of that shuffle
+first of them is earlier), in a batch and again in a bucket. The texts are shuffled once; the three uses of that shuffle
 are the same exchange, which Spark reuses. Numbers of buckets follow the size of the input.
 
 Defined results: null and empty texts lose nothing; a row without id neither loses nor
@@ -35,6 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -42,9 +43,13 @@ from pyspark.sql import functions as F
 from .common import as_bytes, renamed
 
 LENGTH, GRAM = 50, 16
-#: Bytes of text for each bucket of anchors and of segments, and bytes that a task takes at once.
-BUCKET_BYTES, BATCH_BYTES = 16 << 20, 2 << 20
+#: Bytes of text for each bucket of anchors, and bytes that a task takes at once.
+BUCKET_BYTES, BATCH_BYTES, SLICE_BYTES = 16 << 20, 3 << 20, 8 << 20
+#: Buckets of segments for each bucket of anchors, and parts of a bucket that are indexed one after the
+#: other: an index takes some 120 bytes for each byte of its segments, and small ones stay in the caches.
+INDEX_BUCKETS, PARTS = 6, 16
 _POSITION_BITS = 22  # of a position in a batch that is hashed at once
+_KEY_BITS = 23
 _MULTIPLIER = 0x9E3779B97F4A7C15
 
 
@@ -83,20 +88,18 @@ def anchors(data: np.ndarray, lengths: np.ndarray, length: int = LENGTH, gram: i
     return hashes[place[first]], document[starts[first]], place[first], starts[first], starts[last]
 
 
-def _blocks(ids: list, keys: list, texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, list[bytes]]]:
-    """Rows in blocks of about BATCH_BYTES; rows without id are left out. A longer text is a block of its own."""
-    block: list[tuple[int, int, bytes]] = []
+def _blocks(ids: list, texts: list[bytes]) -> Iterator[tuple[np.ndarray, list[bytes]]]:
+    """Rows in blocks of about BATCH_BYTES, in the order of their ids. A longer text is a block of its own."""
+    block: list[tuple[int, bytes]] = []
     size = 0
-    for row in zip(ids, keys, texts):
-        if row[0] is None:
-            continue
-        if block and size + len(row[2]) > BATCH_BYTES:
-            yield np.array([r[0] for r in block]), np.array([r[1] for r in block]), [r[2] for r in block]
+    for row in sorted(zip(ids, texts), key=lambda r: r[0]):
+        if block and size + len(row[1]) > BATCH_BYTES:
+            yield np.array([r[0] for r in block], np.int64), [r[1] for r in block]
             block, size = [], 0
         block.append(row)
-        size += len(row[2])
+        size += len(row[1])
     if block:
-        yield np.array([r[0] for r in block]), np.array([r[1] for r in block]), [r[2] for r in block]
+        yield np.array([r[0] for r in block], np.int64), [r[1] for r in block]
 
 
 def _pieces(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -121,24 +124,40 @@ def _pieces(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.nda
                 yield piece, np.array([len(piece)]), np.array([i]), np.array([at])
 
 
+def _planes(x: np.ndarray) -> bytes:
+    """The bytes of some numbers, first bytes first: planes of zeros compress to nothing in the shuffle."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes() if len(x) else b""
+
+
+def _numbers(blobs: list[bytes], kind: type) -> np.ndarray:
+    """The numbers of some blobs of planes."""
+    width = np.dtype(kind).itemsize
+    return np.concatenate([np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(width, -1).T).view(kind).ravel() for b in blobs]) if blobs else np.empty(0, kind)
+
+
 def _pack(place: np.ndarray, left: np.ndarray, span: np.ndarray) -> np.ndarray:
     """Start of the first window, bytes to the anchor and further window starts, in one number."""
     return (place << 16) | (left << 8) | span
 
 
-_ANCHOR_ROWS = "bucket long, hashes binary, ids binary, keys binary, places binary"
+_ANCHOR_ROWS = "bucket long, hashes binary, ids binary, places binary"
+
+
+def _row_batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    """Rows of a number and blobs as one batch."""
+    names = [x.split()[0] for x in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(x, pa.binary() if i else pa.int64()) for i, x in enumerate(zip(*rows))], names)
 
 
 def _anchor_rows(buckets: int):
-    def emit(bucket, h, ids, keys, places):
-        return pa.RecordBatch.from_arrays(
-            [pa.array([bucket], pa.int64()), *[pa.array([np.ascontiguousarray(x).tobytes()], pa.binary()) for x in (h, ids, keys, places)]],
-            ["bucket", "hashes", "ids", "keys", "places"],
-        )
+    def row(bucket, h, ids, places):
+        # Ids ascend, so their differences are small numbers. In a bucket half a hash tells anchors apart:
+        # a chance meeting makes a segment more, and no mark.
+        return bucket, _planes((h >> np.uint64(32)).astype(np.uint32)), _planes(np.diff(ids, prepend=0)), _planes(places)
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for ids, keys, texts in _blocks(batch.column(0).to_pylist(), batch.column(1).to_pylist(), as_bytes(batch.column(2))):
+            for ids, texts in _blocks(batch.column(0).to_pylist(), as_bytes(batch.column(2))):
                 found = []
                 for data, lengths, index, offset in _pieces(texts):
                     h, doc, place, first, last = anchors(data, lengths)
@@ -147,24 +166,25 @@ def _anchor_rows(buckets: int):
                 if not found:
                     continue
                 h, doc, packed = (np.concatenate(x) for x in zip(*found))
-                order = np.lexsort((ids[doc], h))
-                h, doc, packed = h[order], doc[order], packed[order]
-                own = ids[doc]
+                order = np.lexsort((doc, h))  # texts are in the order of their ids
+                h, own, packed = h[order], ids[doc[order]], packed[order]
                 new = np.concatenate([[True], h[1:] != h[:-1]])[: len(h)]
                 start = np.flatnonzero(new)
                 if not len(start):
                     continue
+                rows = []
                 shared = (np.minimum.reduceat(own, start) < np.maximum.reduceat(own, start))[np.cumsum(new) - 1]
                 if shared.any():
                     # Known to be shared already: they pass the buckets by, with one witness left in their stead.
-                    yield emit(-1 - int(xxhash.xxh64_intdigest(packed.tobytes()) >> 2), h[:0], own[shared], keys[doc[shared]], packed[shared])
+                    order = np.argsort(own[shared], kind="stable")
+                    rows.append(row(-1 - int(xxhash.xxh64_intdigest(packed.tobytes()) >> 2), h[:0], own[shared][order], packed[shared][order]))
                 keep = ~shared | new
-                h, own, key, packed = h[keep], own[keep], keys[doc[keep]], np.where(shared[keep], -1, packed[keep])
+                h, own, packed = h[keep], own[keep], np.where(shared[keep], -1, packed[keep])
                 bucket = (h % np.uint64(buckets)).astype(np.int64)
-                order = np.argsort(bucket, kind="stable")
+                order = np.lexsort((own, bucket))
                 cuts = np.flatnonzero(np.diff(bucket[order])) + 1
-                for part in np.split(order, cuts):
-                    yield emit(int(bucket[part[0]]), h[part], own[part], key[part], packed[part])
+                rows += [row(int(bucket[part[0]]), h[part], own[part], packed[part]) for part in np.split(order, cuts)]
+                yield _row_batch(rows, _ANCHOR_ROWS)
 
     return dealt
 
@@ -185,69 +205,95 @@ def _by_bucket(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[tupl
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for bucket, blobs in _by_bucket(batches, 4):
-        h, (ids, keys, places) = np.frombuffer(b"".join(blobs[0]), np.uint64), (np.frombuffer(b"".join(x), np.int64) for x in blobs[1:])
+    for bucket, blobs in _by_bucket(batches, 3):
+        h, places = _numbers(blobs[0], np.uint32), _numbers(blobs[2], np.int64)
+        ids = np.concatenate([np.cumsum(_numbers([x], np.int64)) for x in blobs[1]])
         if bucket >= 0:
             order = np.argsort(h, kind="stable")
-            h, ids, keys, places = h[order], ids[order], keys[order], places[order]
+            h, ids, places = h[order], ids[order], places[order]
             new = np.concatenate([[True], h[1:] != h[:-1]])
             start = np.flatnonzero(new)
             keep = (np.minimum.reduceat(ids, start) < np.maximum.reduceat(ids, start))[np.cumsum(new) - 1] & (places >= 0)
-            ids, keys, places = ids[keep], keys[keep], places[keep]
+            ids, places = ids[keep], places[keep]
         if len(ids):
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids, keys, places)], ["doc_id", "key", "place"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(places)], ["doc_id", "place"])
 
 
-_SEGMENT_ROWS = "bucket long, ids binary, keys binary, starts binary, lengths binary, bytes binary"
+def _slices(batch: pa.RecordBatch, text: int) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in slices of about SLICE_BYTES of their texts."""
+    sizes = pc.binary_length(batch.column(text)).fill_null(0).to_numpy(zero_copy_only=False)
+    part = np.cumsum(sizes) // SLICE_BYTES
+    starts = np.flatnonzero(np.diff(part, prepend=-1))
+    for at, upto in zip(starts.tolist(), [*starts[1:].tolist(), len(part)]):
+        yield batch.slice(at, upto - at)
+
+
+_SEGMENT_ROWS = "bucket long, ids binary, keys binary, starts binary, lengths binary, bytes binary, parts binary, twin_starts binary, twin_of binary"
 
 
 def _segment_rows(buckets: int):
-    def emit(bucket, ids, keys, starts, lengths, data):
-        blobs = [np.array(x, np.int64).tobytes() for x in (ids, keys, starts, lengths)] + [data]
-        return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int64()), *[pa.array([x], pa.binary()) for x in blobs]], ["bucket", "ids", "keys", "starts", "lengths", "bytes"])
+    def row(bucket, segments, data, twins=()):
+        ids, keys, starts, lengths, parts = (np.array(x, np.int64) for x in zip(*segments))
+        twin_starts, twin_of = (np.array(x, np.int64) for x in zip(*twins)) if twins else (np.empty(0, np.int64),) * 2
+        numbers = np.diff(ids, prepend=0), keys, starts, lengths  # ids ascend
+        return bucket, *map(_planes, numbers), data, parts.astype(np.uint8).tobytes(), _planes(twin_starts), _planes(twin_of)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            places = batch.column(3)
-            values, offsets = places.flatten().to_numpy(zero_copy_only=False), places.value_lengths().to_numpy(zero_copy_only=False)
-            ends = np.cumsum(offsets)
-            first: dict[bytes, tuple[int, int, int]] = {}
-            repeats: list[tuple[int, int, int, int]] = []
-            lefts: dict[bytes, int] = {}
-            ids, keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist(), as_bytes(batch.column(2))
-            # In id order, so that the first of equal segments is the earliest.
-            for i in sorted(range(len(ids)), key=ids.__getitem__):
-                own = values[ends[i] - offsets[i] : ends[i]]
-                text, doc, key = texts[i], ids[i], keys[i]
-                for start, left, span in zip((own >> 16).tolist(), (own >> 8 & 255).tolist(), (own & 255).tolist()):
-                    segment = text[start : start + span + LENGTH]
-                    seen = first.setdefault(segment, (doc, key, start))
-                    if seen[0] < doc:
-                        repeats.append((doc, key, start, len(segment)))
-                    elif seen[2] == start and seen[1] == key:
-                        lefts[segment] = left
-            if repeats:
-                yield emit(-1 - int(xxhash.xxh64_intdigest(str(repeats[0])) >> 2), *zip(*repeats), b"")
-            dealt: dict[int, list[bytes]] = {}
-            digest = xxhash.xxh64_intdigest
-            for segment, left in lefts.items():
-                dealt.setdefault(digest(segment[left : left + GRAM], 11) % buckets, []).append(segment)
-            for bucket, segments in dealt.items():
-                rows = [first[s] for s in segments]
-                yield emit(bucket, *zip(*rows), [len(s) for s in segments], b"".join(segments))
+            for part in _slices(batch, 2):
+                yield from cut_slice(part)
+
+    def cut_slice(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        places = batch.column(3)
+        values, offsets = places.flatten().to_numpy(zero_copy_only=False), places.value_lengths().to_numpy(zero_copy_only=False)
+        ends = np.cumsum(offsets)
+        first: dict[bytes, tuple[int, int, int, int]] = {}  # id, key, bucket and number there
+        later: list[tuple[int, int, int, int]] = []
+        dealt: dict[int, tuple[list, list, list]] = {}  # rows, segments and twins of each bucket
+        ids, keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist(), as_bytes(batch.column(2))
+        digest = xxhash.xxh64_intdigest
+        # In id order, so that the first of equal segments is the earliest.
+        for i in sorted(range(len(ids)), key=ids.__getitem__):
+            own = values[ends[i] - offsets[i] : ends[i]]
+            text, doc, key = texts[i], ids[i], keys[i]
+            for start, left, span in zip((own >> 16).tolist(), (own >> 8 & 255).tolist(), (own & 255).tolist()):
+                segment = text[start : start + span + LENGTH]
+                if len(segment) < LENGTH:  # a place of another row with this id
+                    continue
+                seen = first.get(segment)
+                if seen and seen[0] < doc:
+                    later.append((doc, key, start, len(segment), 0))
+                elif seen and seen[1] == key:  # again in the same text: it shares the marks of the first
+                    dealt[seen[2]][2].append((start, seen[3]))
+                else:
+                    part, bucket = divmod(digest(segment[left : left + GRAM], 11), buckets)
+                    rows, segments, _ = dealt.setdefault(bucket, ([], [], []))
+                    first.setdefault(segment, (doc, key, bucket, len(rows)))
+                    rows.append((doc, key, start, len(segment), part % PARTS))
+                    segments.append(segment)
+        found = [row(bucket, rows, b"".join(segments), twins) for bucket, (rows, segments, twins) in dealt.items()]
+        if later:
+            found.append(row(-1 - int(digest(str(later[0])) >> 2), later, b""))
+        if found:
+            yield _row_batch(found, _SEGMENT_ROWS)
 
     return cut
 
 
-def _ranks(order: np.ndarray, *keys: np.ndarray) -> np.ndarray:
-    """Dense ranks, from 1, of rows sorted by ``order`` on ``keys``."""
-    new = np.zeros(len(order), bool)
-    for k in keys:
-        s = k[order]
-        new[1:] |= s[1:] != s[:-1]
-    rank = np.empty(len(order), np.int64)
-    rank[order] = np.cumsum(new) + 1
-    return rank
+def _ranked(key: np.ndarray, bound: int) -> tuple[np.ndarray, np.ndarray]:
+    """The places ordered by key, equal ones by place, and the dense rank, from 1, of each place's key."""
+    n, bits = len(key), max(1, len(key).bit_length())
+    if bound << bits < 1 << 63:  # key and place fit one number
+        both = np.sort(key << bits | np.arange(n))
+        order, held = both & ((1 << bits) - 1), both >> bits
+    else:
+        order = np.argsort(key, kind="stable" if bound <= (n + 1) ** 2 else None)
+        held = key[order]
+    new = np.empty(n, np.int64)
+    new[:1], new[1:] = 1, held[1:] != held[:-1]
+    rank = np.empty(n, np.int64)
+    rank[order] = np.cumsum(new)
+    return order, rank
 
 
 class RunIndex:
@@ -261,37 +307,42 @@ class RunIndex:
         m, n = len(lengths), len(data) + len(lengths)
         ends = np.cumsum(lengths + 1) - 1
         segment = np.repeat(np.arange(m), lengths + 1)
+        seen = np.bincount(data, minlength=256) > 0
         code = np.zeros(n, np.int64)
         inside = np.ones(n, bool)
         inside[ends] = False
-        code[inside] = data.astype(np.int64) + 1
-        rest = ends[segment] - np.arange(n)  # bytes up to the terminator
+        code[inside] = np.cumsum(seen)[data]  # 1 and up, without gaps; 0 is the terminator
+        rest = (np.repeat(ends, lengths + 1) - np.arange(n)).astype(np.int32)  # bytes up to the terminator
 
         def ahead(x: np.ndarray, by: int) -> np.ndarray:
-            out = np.zeros(n, np.int64)
-            out[: n - by] = np.where(rest[: n - by] > by, x[by:], 0)
+            """``x`` of the place ``by`` further on; 0 from the terminator on."""
+            out = np.empty_like(x)
+            out[: n - by], out[n - by :] = x[by:], 0
+            out[rest <= by] = 0
             return out
 
-        # Ranks by 7 bytes at most, then by doubling until no segment is longer; ranks end at the terminator.
-        width = min(7, length)
-        key = code
-        for i in range(1, width):
-            key = key * 257 + ahead(code, i)
-        order = np.argsort(key, kind="stable")
-        rank, half = _ranks(order, key), None
+        # Ranks by as many bytes as a number holds, then by doubling until no segment is longer; ranks end at
+        # the terminator, and equal suffixes stand in the order of their segments, as their terminators do.
+        width, base, key = 1, int(seen.sum()) + 1, code
+        while 2 * width <= length and base ** (2 * width) < 1 << 63:
+            key = key * base**width + ahead(key, width)
+            width *= 2
+        order, rank = _ranked(key, base**width)
+        half = None
         while width < int(lengths.max(initial=0)) + 1:
             if width <= length < 2 * width:
                 half = (rank, width)
-            key = rank * (n + 1) + ahead(rank, width)
-            order = np.argsort(key, kind="stable")
-            rank, width = _ranks(order, key), 2 * width
+            order, rank = _ranked(rank * (n + 1) + ahead(rank, width), (n + 1) ** 2)
+            width *= 2
         self.length, self.ends = length, ends
         # Rows with a common context of ``length`` bytes: equal ranks of its first and of its last bytes.
         a, w = half if half else (rank, width)
         b = ahead(a, length - w) if length > w else a
+        # Rows that are shorter have no context, and nothing cuts a run of theirs.
         full = rest[order] >= length
-        same = full[1:] & full[:-1] & (a[order][1:] == a[order][:-1]) & (b[order][1:] == b[order][:-1])
-        context = np.concatenate([[True], ~same])
+        a, b = a[order], b[order]
+        cut = (full[1:] | full[:-1]) & ((full[1:] != full[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1]))
+        context = np.concatenate([[True], cut])
         before = np.where(order == 0, n - 1, order - 1)
         transform = code[before]
         # Runs of one byte in one context. Samples at run ends: where the run starts and the earliest document of its context.
@@ -305,9 +356,12 @@ class RunIndex:
         self.earliest = np.where(full[self.run_starts], earliest[run_context], np.iinfo(np.int64).max)
         # LF: rows with the byte c in the transform map, in order, to the rows that begin with c.
         sizes = np.diff(np.concatenate([self.run_starts, [n]]))
-        by_head = np.argsort(self.heads, kind="stable")
-        self.lf = np.empty(len(sizes), np.int64)
-        self.lf[by_head] = np.cumsum(sizes[by_head]) - sizes[by_head]
+        by_head = np.argsort(self.heads.astype(np.uint16), kind="stable")
+        lf = np.empty(len(sizes), np.int64)
+        lf[by_head] = np.cumsum(sizes[by_head]) - sizes[by_head]
+        self.shift = lf - self.run_starts
+        # Directory: the run of each row.
+        self.run_of = (np.cumsum(head) - 1).astype(np.int32)
         # A terminator row is the segment's own number: terminators sort first, by segment.
         self.n_segments = m
 
@@ -315,14 +369,13 @@ class RunIndex:
         """(segments, places, earliest document with the ``length`` bytes from there) of all segments,
         from their ends to their beginnings, one place of every segment at a step."""
         active = np.arange(self.n_segments)
-        row = active.copy()
+        row, run = active.copy(), self.run_of[active]
         for step in range(1, int(lengths.max(initial=0)) + 1):
             keep = lengths[active] >= step
-            active, row = active[keep], row[keep]
-            run = np.searchsorted(self.run_starts, row, side="right") - 1
-            row = self.lf[run] + row - self.run_starts[run]
+            active, row, run = active[keep], row[keep], run[keep]
+            row = row + self.shift[run]
+            run = self.run_of[row]
             if step >= self.length:
-                run = np.searchsorted(self.run_starts, row, side="right") - 1
                 yield active, lengths[active] - step, self.earliest[run]
 
 
@@ -332,28 +385,57 @@ def earlier_windows(data: np.ndarray, lengths: np.ndarray, docs: np.ndarray, len
     return tuple(np.concatenate(x) for x in zip(*found)) if found else (np.empty(0, np.int64), np.empty(0, np.int64))
 
 
+def _spread(of: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(x, mark) for every mark of every segment of ``of``, where mark i belongs to segment at[i]; ``at`` ascends."""
+    a, b = (np.searchsorted(at, of, side) for side in ("left", "right"))
+    return np.repeat(np.arange(len(of)), b - a), np.repeat(a - np.cumsum(b - a) + (b - a), b - a) + np.arange((b - a).sum())
+
+
+def _bucket_marks(ids: np.ndarray, keys: np.ndarray, starts: np.ndarray, lengths: np.ndarray, text: bytes, parts: np.ndarray, twin_starts: np.ndarray, twin_of: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(id, key, begin, length) of what the segments of a bucket lose. Of equal segments the earliest stands in
+    the index: those of later documents go whole, those of its own document share its marks."""
+    upto = np.cumsum(lengths)
+    first: dict[bytes, int] = {}
+    bounds = list(zip((upto - lengths).tolist(), upto.tolist()))
+    order = np.argsort(ids, kind="stable")
+    standing = np.array([first.setdefault(text[bounds[i][0] : bounds[i][1]], i) for i in order.tolist()], np.int64)
+    later, same = order[ids[order] > ids[standing]], (ids[order] == ids[standing]) & (order != standing)
+    of = np.fromiter(first.values(), np.int64, len(first))
+    distinct, found = list(first), []
+    for part in np.unique(parts[of]):
+        own = np.flatnonzero(parts[of] == part)
+        segment, place = earlier_windows(np.frombuffer(b"".join([distinct[i] for i in own]), np.uint8), lengths[of[own]], ids[of[own]])
+        found.append((own[segment], place))
+    segment, place = (np.concatenate(x) for x in zip(*found))
+    # Adjacent windows of a segment become one mark.
+    sort = np.lexsort((place, of[segment]))
+    at, place = of[segment][sort], place[sort]
+    begin = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (place[1:] != place[:-1] + 1)])[: len(at)])
+    last = np.concatenate([begin[1:], [len(at)]])[: len(begin)] - 1
+    at, low, size = at[begin], place[begin], place[last] - place[begin] + LENGTH
+    who, mark = _spread(standing[same], at)
+    at, low, size = np.concatenate([at, order[same][who], later]), np.concatenate([low, low[mark], np.zeros(len(later), np.int64)]), np.concatenate([size, size[mark], lengths[later]])
+    sort = np.argsort(at, kind="stable")
+    at, low, size = at[sort], low[sort], size[sort]
+    who, mark = _spread(twin_of, at)
+    at, begin = np.concatenate([at, at[mark]]), np.concatenate([starts[at] + low, twin_starts[who] + low[mark]])
+    return ids[at], keys[at], begin, np.concatenate([size, size[mark]])
+
+
 def _matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for bucket, blobs in _by_bucket(batches, 5):
-        ids, keys, starts, lengths = (np.frombuffer(b"".join(x), np.int64) for x in blobs[:4])
+    for bucket, blobs in _by_bucket(batches, 8):
+        keys, starts, lengths = (_numbers(x, np.int64) for x in blobs[1:4])
+        ids = np.concatenate([np.cumsum(_numbers([x], np.int64)) for x in blobs[0]])
         if bucket < 0:
-            marks = ids, keys, starts, starts + lengths
+            doc_id, key, begin, size = ids, keys, starts, lengths
         else:
-            data = np.frombuffer(b"".join(blobs[4]), np.uint8)
-            order = np.argsort(ids, kind="stable")
-            begins = np.cumsum(lengths) - lengths
-            new = lengths[order]
-            take = np.repeat(begins[order] - (np.cumsum(new) - new), new) + np.arange(len(data))
-            segment, place = earlier_windows(data[take], new, ids[order])
-            at = order[segment]
-            # Adjacent windows of a segment become one mark.
-            sort = np.lexsort((place, at))
-            at, place = at[sort], place[sort]
-            cut = np.concatenate([[True], (at[1:] != at[:-1]) | (place[1:] != place[:-1] + 1)])[: len(at)]
-            first = np.flatnonzero(cut)
-            last = np.concatenate([first[1:], [len(at)]])[: len(first)] - 1
-            marks = ids[at[first]], keys[at[first]], starts[at[first]] + place[first], starts[at[first]] + place[last] + LENGTH
-        if len(marks[0]):
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in marks], ["doc_id", "key", "begin", "end"])
+            before = np.cumsum([0, *(len(x) // 8 for x in blobs[0])])[:-1]
+            twins = np.concatenate([_numbers([x], np.int64) + base for x, base in zip(blobs[7], before)])
+            parts = np.frombuffer(b"".join(blobs[5]), np.uint8)
+            doc_id, key, begin, size = _bucket_marks(ids, keys, starts, lengths, b"".join(blobs[4]), parts, _numbers(blobs[6], np.int64), twins)
+        if len(doc_id):
+            # A mark is one number: the text it is for, where it begins, and its length.
+            yield pa.RecordBatch.from_arrays([pa.array(doc_id), pa.array(key << 40 | begin << 8 | size)], ["doc_id", "mark"])
 
 
 def merged(begins: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -366,31 +448,39 @@ def merged(begins: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
-    """(doc_id, text, begins, ends) per row of ``docs``: the byte intervals to remove, not yet merged."""
-    texts = renamed(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), "text")
-    total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    """(doc_id, key, text, marks) per row of ``docs``: the byte intervals to remove from the rows with this id,
+    as numbers that hold a text's key, a begin and a length; not yet merged."""
+    rows = renamed(docs, doc_id=id_col, text=text_col)
+    doc_id = F.col("doc_id") if dict(rows.dtypes)["doc_id"] == "bigint" else F.col("doc_id").cast("long").alias("doc_id")
+    # The key tells rows with the same id apart.
+    rows = rows.select(doc_id, F.hash("text").bitwiseAND((1 << _KEY_BITS) - 1).alias("key"), "text")
+    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, -(-total // bucket_bytes))
-    texts = texts.repartition(F.col("doc_id"), F.col("key"))
+    # The same filter in each use, so that all uses are one exchange.
+    texts = rows.where("doc_id IS NOT NULL").repartition("doc_id")
     anchor_rows = texts.mapInArrow(_anchor_rows(buckets), _ANCHOR_ROWS).repartition(F.col("bucket")).sortWithinPartitions("bucket")
-    shared = anchor_rows.mapInArrow(_shared, "doc_id long, key long, place long")
-    places = shared.groupBy("doc_id", "key").agg(F.collect_set("place").alias("places"))
+    shared = anchor_rows.mapInArrow(_shared, "doc_id long, place long")
+    places = shared.groupBy("doc_id").agg(F.collect_set("place").alias("places"))
     segment_rows = (
-        texts.join(places, ["doc_id", "key"])
+        texts.join(places, "doc_id")
         .select("doc_id", "key", "text", "places")
-        .mapInArrow(_segment_rows(buckets), _SEGMENT_ROWS)
+        .mapInArrow(_segment_rows(INDEX_BUCKETS * buckets), _SEGMENT_ROWS)
         .repartition(F.col("bucket"))
         .sortWithinPartitions("bucket")
     )
-    marks = segment_rows.mapInArrow(_matched, "doc_id long, key long, begin long, end long")
-    spans = marks.groupBy("doc_id", "key").agg(F.collect_list(F.struct("begin", "end")).alias("marks"))
-    return texts.join(spans, ["doc_id", "key"], "left").select("doc_id", "text", "marks")
+    marks = segment_rows.mapInArrow(_matched, "doc_id long, mark long").groupBy("doc_id").agg(F.collect_list("mark").alias("marks"))
+    without_id = rows.where("doc_id IS NULL").select("doc_id", "key", "text", F.lit(None).cast("array<bigint>").alias("marks"))
+    return texts.join(marks, "doc_id", "left").select("doc_id", "key", "text", "marks").union(without_id)
 
 
 def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
-        for text, marks in zip(as_bytes(batch.column(1)), batch.column(2).to_pylist()):
-            begins, ends = merged(np.array([m["begin"] for m in marks]), np.array([m["end"] for m in marks])) if marks else ((), ())
+        for key, text, marks in zip(batch.column(1).to_pylist(), as_bytes(batch.column(2)), batch.column(3).to_pylist()):
+            marks = np.array(marks or (), np.int64)
+            marks = marks[marks >> 40 == key]
+            begins = marks >> 8 & 0xFFFFFFFF
+            begins, ends = merged(begins, begins + (marks & 255)) if len(marks) else ((), ())
             kept, at = [], 0
             for a, b in zip(begins, ends):
                 kept.append(text[at:a])

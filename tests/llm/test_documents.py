@@ -353,3 +353,19 @@ def test_null_ids(spark):
     assert by_row(brown.score_held_out(docs).where("doc_id IS NULL"), "held_out", "n_tokens") == [(False, 4)]
     assert decontaminate.report(docs, spark.createDataFrame([(1, "b c")], "item_id long, text string")).where("n_hit = 2").count() == 2
     assert secrets.scan(docs).count() == pii.detect(docs).count() == 2
+
+
+def test_run_index_repeats_within_documents(spark):
+    """Phrases that documents repeat, in batches of their own: each occurrence is judged."""
+    import random
+
+    rng = random.Random(8)
+    phrases = ["".join(rng.choice("abcdefgh ") for _ in range(rng.randrange(45, 95))) for _ in range(12)]
+    rows = [(i, "".join(rng.choice(phrases) + rng.choice(["", "x", "\n"]) for _ in range(rng.randrange(1, 9)))) for i in rng.sample(range(100), 60)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 2)
+    try:
+        for bucket_bytes in (1 << 24, 3000):
+            got = run_index.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), bucket_bytes=bucket_bytes)
+            assert by_row(got, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == run_index_brute(rows, 50)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
