@@ -60,37 +60,66 @@ SOURCES = [d.source for d in DONORS]
 GROUP_MODULUS = 8000
 
 
-def _lookup(key: Column, table: dict, default: Column) -> Column:
-    return reduce(lambda out, kv: F.when(key == kv[0], kv[1]).otherwise(out), table.items(), default)
+class _Url:
+    """The parts of a URL that the rules read, as Columns: of a URL column, or of columns that hold them already."""
+
+    def __init__(self, url: Column | None = None):
+        self.host = F.col("host") if url is None else urls.host_of(url)
+        self.parts = F.col("parts") if url is None else urls.segments(url)
+        self.path = F.col("path") if url is None else urls.path_of(url)
+
+    @staticmethod
+    def columns(url: Column) -> list[Column]:
+        return [urls.host_of(url).alias("host"), urls.segments(url).alias("parts"), urls.path_of(url).alias("path")]
+
+    def part(self, i: int) -> Column:
+        return F.try_element_at(self.parts, F.lit(i))
+
+
+def _by_source(source: Column, value) -> Column:
+    """A value for each donor."""
+    return reduce(lambda out, d: F.when(source == d.source, value(d)).otherwise(out), reversed(DONORS), F.lit(None))
 
 
 def group_id(url: Column) -> Column:
     """The digits of a last segment g123...; '0' without."""
-    digits = F.regexp_extract(F.coalesce(F.try_element_at(urls.segments(url), F.lit(-1)), F.lit("")), r"(?i)^g([0-9]+)", 1)
+    return _group_id(_Url(url))
+
+
+def _group_id(u: _Url) -> Column:
+    digits = F.regexp_extract(F.coalesce(u.part(-1), F.lit("")), r"(?i)^g([0-9]+)", 1)
     return F.when(digits == "", "0").otherwise(digits)
 
 
 def flat_segment(url: Column, donor: Donor) -> Column:
     """The first segment, or the one after the language; 'misc' without."""
-    parts = urls.segments(url)
-    first = F.coalesce(F.try_element_at(parts, F.lit(1)), F.lit("misc"))
+    return _segment(_Url(url), donor)
+
+
+def _segment(u: _Url, donor: Donor) -> Column:
+    if donor.source == "vsesezon":
+        return _group_id(u)
+    first = F.coalesce(u.part(1), F.lit("misc"))
     if donor.language_segment is None:
         return first
-    return F.when((first == donor.language_segment) & (F.size(parts) >= 2), F.try_element_at(parts, F.lit(2))).otherwise(first)
+    return F.when((first == donor.language_segment) & (F.size(u.parts) >= 2), u.part(2)).otherwise(first)
 
 
 def showcase(source: Column, url: Column) -> Column:
     """The own section that a donor URL clearly leads to; else null."""
-    path = F.lower(urls.path_of(url))
-    found = F.lit(None).cast("string")
-    for donor in DONORS:
-        section = F.lit(None).cast("string")
+    return _showcase(source, _Url(url))
+
+
+def _showcase(source: Column, u: _Url) -> Column:
+    path = F.lower(u.path)
+
+    def section(donor: Donor) -> Column:
+        found = F.lit(None).cast("string")
         for slug, parts in reversed(donor.showcase):
-            section = F.when(reduce(lambda a, b: a | b, [path.contains(p) for p in parts]), slug).otherwise(section)
-        if donor.showcase_root:
-            section = F.when(F.lower(F.try_element_at(urls.segments(url), F.lit(1))) == donor.showcase_root, section)
-        found = F.when(source == donor.source, section).otherwise(found)
-    return found
+            found = F.when(reduce(lambda a, b: a | b, [path.contains(p) for p in parts]), slug).otherwise(found)
+        return F.when(F.lower(u.part(1)) == donor.showcase_root, found) if donor.showcase_root else found
+
+    return _by_source(source, section)
 
 
 def humanized(segment: Column) -> Column:
@@ -100,14 +129,14 @@ def humanized(segment: Column) -> Column:
 def category_slug(source: Column, url: Column) -> Column:
     """The category of a product: the root without a URL, an own section, or the donor's flat category.
     Null: the source is unknown or the URL is not the donor's; such rows belong in quarantine."""
-    host = F.coalesce(urls.host_of(url), F.lit(""))
-    flat = F.lit(None).cast("string")
-    for donor in DONORS:
-        segment = group_id(url) if donor.source == "vsesezon" else flat_segment(url, donor)
-        slug = F.substring(F.concat(F.lit(donor.prefix), segment), 1, 200)
-        flat = F.when((source == donor.source) & host.contains(donor.host), slug).otherwise(flat)
-    known = source.isin(SOURCES)
-    return F.when(known & (F.coalesce(url, F.lit("")) == ""), ROOT).otherwise(F.coalesce(F.when(known & flat.isNotNull(), showcase(source, url)), flat))
+    return _category_slug(source, url, _Url(url))
+
+
+def _category_slug(source: Column, url: Column, u: _Url) -> Column:
+    own = _by_source(source, lambda d: F.coalesce(u.host, F.lit("")).contains(d.host))
+    flat = F.when(own, _by_source(source, lambda d: F.substring(F.concat(F.lit(d.prefix), _segment(u, d)), 1, 200)))
+    blank = F.coalesce(url, F.lit("")) == ""
+    return F.when(source.isin(SOURCES) & blank, ROOT).otherwise(F.coalesce(F.when(source.isin(SOURCES), _showcase(source, u)), flat))
 
 
 def longest_titles(keys: DataFrame, titles: DataFrame) -> DataFrame:
@@ -123,27 +152,34 @@ def longest_titles(keys: DataFrame, titles: DataFrame) -> DataFrame:
 def flat_categories(urls_seen: DataFrame, titles: DataFrame) -> DataFrame:
     """(slug, name_uk, parent_slug, sort_order, keep_sort) of the flat categories that ``urls_seen`` (source, url)
     needs; ``titles`` (url, title, position) are the crawled titles."""
-    seen = urls_seen.distinct().withColumn("slug", category_slug(F.col("source"), F.col("url")))
-    seen = seen.where(F.col("slug").isNotNull() & ~F.col("slug").isin(*PROTECTED))
+    # URLs are taken apart once, slugs are few: names are looked up for the distinct slugs.
+    parsed = urls_seen.distinct().select("source", "url", *_Url.columns(F.col("url")))
+    slugged = parsed.select("source", "url", _category_slug(F.col("source"), F.col("url"), _Url()).alias("slug"), _by_source(F.col("source"), lambda d: _segment(_Url(), d)).alias("segment"))
+    seen = slugged.where(F.col("slug").isNotNull() & ~F.col("slug").isin(*PROTECTED))
+    grouped = F.col("source") == "vsesezon"
     paths = titles.select(urls.path_of(F.col("url")).alias("path"), "title", "position").where("path IS NOT NULL")
+    lead = F.when(F.col("source") == "in_heat", "/ua/").otherwise("/")
+    keyed = seen.where(~grouped).select("source", "slug", "segment").distinct().withColumn("prefix", F.concat(lead, "segment"))
+    titled = keyed.join(longest_titles(keyed.select("prefix").distinct(), paths), "prefix", "left")
+    named = [d for d in DONORS if d.labels]
+    label = _by_key(named, lambda d: d.labels, F.substring(F.coalesce(F.nullif("title", F.lit("")), humanized(F.col("segment"))), 1, 240))
+    base = {d.source: d.sort_base for d in DONORS}
+    order = _by_source(F.col("source"), lambda d: F.lit(d.sort_base + d.sort_default))
+    order = _by_key(named, lambda d: {k: base[d.source] + v for k, v in d.sort_orders.items()}, order)
+    flat = titled.select("slug", label.alias("name_uk"), order.cast("int").alias("sort_order"), F.lit(False).alias("keep_sort"))
+    # Groups are named by the crawled title of their page.
     by_url = titles.groupBy(urls.canonical(F.col("url")).alias("key")).agg(F.max_by("title", "position").alias("by_url"))
-    out = None
-    for donor in DONORS:
-        own = seen.where(F.col("source") == donor.source)
-        if donor.source == "vsesezon":
-            number = group_id(F.col("url"))
-            named = own.withColumn("key", urls.canonical(F.col("url"))).join(by_url, "key", "left")
-            rows = named.select("slug", F.coalesce("by_url", F.concat(F.lit("Vsesezon · група "), number)).alias("name_uk"), (donor.sort_base + F.pmod(number.cast("long"), F.lit(GROUP_MODULUS))).cast("int").alias("sort_order"), F.lit(True).alias("keep_sort"))
-            rows = rows.groupBy("slug").agg(F.max("name_uk").alias("name_uk"), F.min("sort_order").alias("sort_order"), F.first("keep_sort").alias("keep_sort"))
-        else:
-            lead = f"/{donor.language_segment}/" if donor.language_segment else "/"
-            keyed = own.withColumn("segment", flat_segment(F.col("url"), donor)).select("slug", "segment").distinct().withColumn("prefix", F.concat(F.lit(lead), "segment"))
-            titled = keyed.join(longest_titles(keyed.select("prefix").distinct(), paths), "prefix", "left")
-            name = _lookup(F.col("segment"), donor.labels, F.substring(F.coalesce(F.nullif("title", F.lit("")), humanized(F.col("segment"))), 1, 240))
-            order = donor.sort_base + _lookup(F.col("segment"), donor.sort_orders, F.lit(donor.sort_default))
-            rows = titled.select("slug", name.alias("name_uk"), order.cast("int").alias("sort_order"), F.lit(False).alias("keep_sort"))
-        out = rows if out is None else out.unionByName(rows)
-    return out.withColumn("parent_slug", F.lit(ROOT))
+    pages = seen.where(grouped).select("slug", "segment", urls.canonical(F.col("url")).alias("key")).join(by_url, "key", "left")
+    title = F.max(F.coalesce("by_url", F.concat(F.lit("Vsesezon · група "), "segment")))
+    number = F.pmod(F.min("segment").cast("long"), F.lit(GROUP_MODULUS))
+    groups = pages.groupBy("slug").agg(title.alias("name_uk"), (base["vsesezon"] + number).cast("int").alias("sort_order"), F.lit(True).alias("keep_sort"))
+    return flat.unionByName(groups).withColumn("parent_slug", F.lit(ROOT))
+
+
+def _by_key(donors: list[Donor], table_of, default: Column) -> Column:
+    """The entry of a donor's table for the segment, or else the default: one lookup in a constant map."""
+    pairs = [x for d in donors for k, v in table_of(d).items() for x in (F.lit(f"{d.source}/{k}"), F.lit(v))]
+    return F.coalesce(F.try_element_at(F.create_map(*pairs), F.concat_ws("/", "source", "segment")), default)
 
 
 def deep_tree(urls_seen: DataFrame, titles: DataFrame) -> DataFrame:
