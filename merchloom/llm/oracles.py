@@ -39,6 +39,25 @@ SQL: dict[str, str] = {
     + """SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT base_failed AND rate <= 0.7 AND n_symbols <= (CASE WHEN rate <= 0.4 THEN 0.5 ELSE 0.1 END)::DOUBLE * n_words AS kept
 FROM b JOIN v ON b.source IS NOT DISTINCT FROM v.source""",
+    # Windows as hexadecimal text, so that bytes can be cut anywhere.
+    "op4_run_index": r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS n FROM documents
+), win AS (
+  SELECT r, doc_id, i, substr(h, 2 * i + 1, 100) AS w FROM (SELECT r, doc_id, h, unnest(range(0, n - 49)) AS i FROM d)
+), first AS (SELECT w, min(doc_id) AS m FROM win GROUP BY w HAVING count(*) > 1
+), hit AS (SELECT r, i FROM win JOIN first USING (w) WHERE m < doc_id
+), runs AS (
+  SELECT r, min(i) AS a, max(i) + 50 AS b FROM (
+    SELECT r, i, sum(new) OVER (PARTITION BY r ORDER BY i) AS k FROM (SELECT r, i, CASE WHEN i - lag(i) OVER (PARTITION BY r ORDER BY i) <= 50 THEN 0 ELSE 1 END AS new FROM hit))
+  GROUP BY r, k
+), pieces AS (
+  SELECT r, a, b, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS before FROM runs
+), kept AS (
+  SELECT r, count(*) AS n_spans, sum(b - a) AS n_removed, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) || substr(any_value(h), 2 * max(b) + 1) AS rest
+  FROM pieces JOIN d USING (r) GROUP BY r
+)
+SELECT doc_id, n::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(rest, h))) AS kept_sha256
+FROM d LEFT JOIN kept USING (r)""",
     "op6_systematic_mix": rf"""
 WITH RECURSIVE d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, {_WORD})), 0)::BIGINT AS size FROM documents
