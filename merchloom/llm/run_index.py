@@ -236,7 +236,7 @@ def _segment_rows(buckets: int):
         ids, keys, starts, lengths, parts = (np.array(x, np.int64) for x in zip(*segments))
         twin_starts, twin_of = (np.array(x, np.int64) for x in zip(*twins)) if twins else (np.empty(0, np.int64),) * 2
         numbers = np.diff(ids, prepend=0), keys, starts, lengths  # ids ascend
-        return bucket, *map(_planes, numbers), data, parts.astype(np.uint8).tobytes(), _planes(twin_starts), _planes(twin_of)
+        return bucket, *map(_planes, numbers), pa.compress(data, "zstd", asbytes=True), parts.astype(np.uint8).tobytes(), _planes(twin_starts), _planes(twin_of)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -432,7 +432,9 @@ def _matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             before = np.cumsum([0, *(len(x) // 8 for x in blobs[0])])[:-1]
             twins = np.concatenate([_numbers([x], np.int64) + base for x, base in zip(blobs[7], before)])
             parts = np.frombuffer(b"".join(blobs[5]), np.uint8)
-            doc_id, key, begin, size = _bucket_marks(ids, keys, starts, lengths, b"".join(blobs[4]), parts, _numbers(blobs[6], np.int64), twins)
+            sizes = [int(_numbers([x], np.int64).sum()) for x in blobs[3]]
+            text = b"".join(pa.decompress(x, n, "zstd", asbytes=True) for x, n in zip(blobs[4], sizes))
+            doc_id, key, begin, size = _bucket_marks(ids, keys, starts, lengths, text, parts, _numbers(blobs[6], np.int64), twins)
         if len(doc_id):
             # A mark is one number: the text it is for, where it begins, and its length.
             yield pa.RecordBatch.from_arrays([pa.array(doc_id), pa.array(key << 40 | begin << 8 | size)], ["doc_id", "mark"])
