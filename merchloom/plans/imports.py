@@ -8,6 +8,7 @@ rejected instead of stopping the import.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,6 +19,8 @@ from ..operators import categories, consolidate, maintenance, similarity, trees,
 from ..sources import manifests, seed, tables
 
 Catalogue = dict[str, DataFrame]
+#: Writes a table that several later steps read, and reads it back; or leaves it as a plan.
+Stage = Callable[[DataFrame, str], DataFrame]
 #: Blocks of a manifest that hold crawled section titles; later blocks win. Fixed values.
 TITLE_BLOCKS = ("etMarketCrawl", "inHeat", "vsesezon")
 
@@ -91,20 +94,35 @@ def _section_slug(deep: bool) -> Column:
     return F.when(F.col("source").isin("et_market", "in_heat") & flat.isNotNull() & (path != ""), F.substring(F.concat(prefix, path), 1, 200)).otherwise(flat)
 
 
-def import_products(catalogue: Catalogue, products: DataFrame, titles: DataFrame, publish: bool = True, deep: bool = False) -> tuple[Catalogue, DataFrame]:
+def as_plan(df: DataFrame, name: str) -> DataFrame:
+    return df
+
+
+def written_below(folder: str) -> Stage:
+    """A stage that writes Parquet tables below a shared folder: JSON is parsed once, every merge runs once."""
+
+    def stage(df: DataFrame, name: str) -> DataFrame:
+        df.write.mode("overwrite").parquet(f"{folder}/{name}")
+        return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/{name}")
+
+    return stage
+
+
+def import_products(catalogue: Catalogue, products: DataFrame, titles: DataFrame, publish: bool = True, deep: bool = False, stage: Stage = as_plan) -> tuple[Catalogue, DataFrame]:
     """(new catalogue, rejected products): ``products`` (file_ord, pos, ...) merged in, sections first,
     then products, images, spec definitions and specs. Importing twice is importing once."""
-    slugged = products.withColumn("section", _section_slug(deep))
+    slugged = stage(products.withColumn("section", _section_slug(deep)), "incoming")
     rejected, taken = slugged.where("section IS NULL").drop("section"), slugged.where("section IS NOT NULL")
     seen = taken.where("coalesce(sourceCategoryUrl, '') <> ''").select("source", F.col("sourceCategoryUrl").alias("url"))
     out = with_sections(catalogue, seen, titles, deep)
+    out["categories"] = stage(out["categories"], "categories")
     order = F.struct("file_ord", "pos")
     of_section = out["categories"].select(F.col("slug").alias("section"), F.col("id").alias("section_id"))
     known = taken.join(of_section, "section")
     rows = upsert.import_rows(known, publish, F.col("section_id"), keep=["file_ord", "pos"])
     incoming = reduced(rows, ["external_source", "external_id"], order, upsert.PRODUCT_POLICY).drop("file_ord", "pos")
     merged = upsert.merge(out["products"], tables.conform(incoming, "products"), ["external_source", "external_id"], upsert.PRODUCT_POLICY)
-    out["products"] = tables.conform(merged, "products")
+    out["products"] = stage(tables.conform(merged, "products"), "products")
     last = consolidate.last_wins(known, ["source", "externalId"], ["file_ord", "pos"]).drop("position")
     ids = out["products"].select(F.col("external_source").alias("source"), F.col("external_id").alias("externalId"), F.col("id").alias("own_id"))
     last = last.join(ids, ["source", "externalId"])
@@ -113,6 +131,7 @@ def import_products(catalogue: Catalogue, products: DataFrame, titles: DataFrame
     out["product_images"] = upsert.replace_children(out["product_images"], tables.conform(images, "product_images"), "product_id", touched)
     definitions = upsert.spec_definitions(known, ["file_ord", "pos"]).withColumn("id", seed.row_id("spec_definitions", "slug"))
     out["spec_definitions"] = _merged_by_slug(out["spec_definitions"], tables.conform(definitions, "spec_definitions"), "spec_definitions", {"label_uk": "overwrite"})
+    out["spec_definitions"] = stage(out["spec_definitions"], "spec_definitions")
     of_definition = out["spec_definitions"].select(F.col("slug").alias("definition"), F.col("id").alias("definition_id"))
     specs = upsert.spec_rows(last, ["source", "externalId"], F.col("own_id")).join(of_definition, "definition").withColumn("id", seed.row_id("product_specs", "product_id", "definition_id"))
     out["product_specs"] = upsert.replace_children(out["product_specs"], tables.conform(specs, "product_specs"), "product_id", touched)
@@ -165,10 +184,8 @@ def rebuild(spark: SparkSession, folder: str, paths: list[str], version: str, pu
     """Reset, seed, import the manifests, reconcile, write the snapshot and make it the current one."""
     found = manifests.read_manifests(spark, paths)
     catalogue = seeded(reset(start) if start else empty_catalogue(spark))
-    catalogue, rejected = import_products(catalogue, manifests.products_of(found), section_titles(found), publish, deep)
-    # The merged tables are written before names are compared: the plans of both steps stay short.
-    base = tables.write_snapshot(catalogue, folder, f"{version}-imported")
-    read = {name: tables.read_table(spark, base, name) for name in catalogue}
-    path = tables.write_snapshot(reconciled(read), folder, version)
+    stage = written_below(f"{folder}/{version}-work")
+    catalogue, rejected = import_products(catalogue, manifests.products_of(found), section_titles(found), publish, deep, stage)
+    path = tables.write_snapshot(reconciled(catalogue), folder, version)
     tables.publish(spark, folder, version)
     return {name: tables.read_table(spark, path, name) for name in catalogue}, rejected

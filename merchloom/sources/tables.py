@@ -62,6 +62,12 @@ def publish(spark: SparkSession, folder: str, version: str) -> None:
     spark.createDataFrame([(version,)], "version string").coalesce(1).write.mode("overwrite").parquet(f"{folder}/_current")
 
 
+def is_published(spark: SparkSession, folder: str) -> bool:
+    """Whether a snapshot was published in ``folder``, which any file system that Spark reads may hold."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/_current")
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+
+
 def current(spark: SparkSession, folder: str) -> str:
     """The folder of the published snapshot."""
     return f"{folder}/{spark.read.parquet(f'{folder}/_current').first()['version']}"

@@ -1 +1 @@
-
+"""Incremental imports."""

@@ -215,7 +215,8 @@ def test_rebuild(spark, tmp_path):
     assert rows[("vsesezon", "7")]["merged_into_product_id"] == rows[("et_market", "1")]["id"]
     assert {r["slug"]: (r["name_uk"], r["sort_order"]) for r in got["categories"].collect()}["vs-12"] == ("Мати", 412)
     assert tables.violations(got).where("n > 0").count() == 0
-    again, _ = imports.import_products(imports.seeded(got), manifests.products_of(manifests.read_manifests(spark, paths)), imports.section_titles(manifests.read_manifests(spark, paths)))
+    found = manifests.read_manifests(spark, paths)
+    again, _ = imports.import_products(imports.seeded(got), manifests.products_of(found), imports.section_titles(found), stage=imports.written_below(str(tmp_path / "again")))
     for name, df in got.items():
         assert sorted(map(str, again[name].select(*df.columns).collect())) == sorted(map(str, df.collect())), name
     left, blocked = imports.pruned(got)
@@ -224,7 +225,7 @@ def test_rebuild(spark, tmp_path):
     assert bare["products"].count() == 2 and bare["product_specs"].count() == 6 and bare["categories"].count() == 3
     more, bad = imports.new_sections(bare, spark.createDataFrame([("a", "Тепла pidloga", None), ("b", "X", "none")], "id string, name_uk string, parent_id string"))
     assert more["categories"].where("id = 'a'").first()["slug"] == "tepla-pidloga-2" and bad.count() == 1
-    deep, _ = imports.import_products(bare, manifests.products_of(manifests.read_manifests(spark, paths)), imports.section_titles(manifests.read_manifests(spark, paths)), deep=True)
+    deep, _ = imports.import_products(bare, manifests.products_of(found), imports.section_titles(found), deep=True)
     assert {"etm-teplyj-pol", "etm-teplyj-pol-nagrevatelnye-maty", "etm-avtomatika-x", "vs-12"} <= {r["slug"] for r in deep["categories"].collect()}
 
 
