@@ -100,7 +100,13 @@ def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
-    """``docs`` with every row as often as the mix takes it."""
-    taken = copies(docs, id_col, text_col, source_col, carry=tuple(docs.columns), **options).where("copies > 0")
-    repeated = taken.select("*", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
-    return repeated.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
+    """``docs`` with every row as often as the mix takes it.
+
+    Rows are numbered and written once. Only ids and sizes are ranked: a range partition of whole texts
+    in the order of their size would hold nothing but the longest ones.
+    """
+    own = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    rows = materialize(docs.select(*[docs[c].alias(n) for c, n in own.items()], F.monotonically_increasing_id().alias("row")), "mix")
+    taken = copies(rows, own[id_col], own[text_col], own[source_col], carry=("row",), **options).where("copies > 0")
+    repeated = rows.join(taken.select(F.col("c0").alias("row"), "copies"), "row").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    return repeated.select(*[F.col(n).alias(c) for c, n in own.items()])
