@@ -83,10 +83,11 @@ def offset_of(source: Column, seed: int) -> Column:
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("long") / F.lit(4294967296.0)
 
 
-def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = SEED, carry: tuple[str, ...] = (), **shares) -> DataFrame:
-    """Per row of ``docs``: doc_id, source, size, source_size, target, copies to take, and the columns to carry."""
+def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = SEED, carry: tuple[str, ...] = (), size_col: str | None = None, **shares) -> DataFrame:
+    """Per row of ``docs``: doc_id, source, size, source_size, target, copies to take, and the columns to carry.
+    ``size_col`` holds the sizes where they are known; else the texts are counted."""
     others = [docs[c].alias(f"c{i}") for i, c in enumerate(carry)]
-    rows = docs.select(docs[id_col].alias("doc_id"), docs[source_col].alias("source"), size_of(docs[text_col]).alias("size"), *others)
+    rows = docs.select(docs[id_col].alias("doc_id"), docs[source_col].alias("source"), (docs[size_col] if size_col else size_of(docs[text_col])).alias("size"), *others)
     tie = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
     placed = ranked(rows.withColumn("tie", tie), ["source"], ["size", "tie", "doc_id"], "sizes")
     shared = targets(placed.groupBy("source").agg(F.sum("size").alias("source_size")), **shares)
@@ -106,7 +107,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     in the order of their size would hold nothing but the longest ones.
     """
     own = {c: f"c{i}" for i, c in enumerate(docs.columns)}
-    rows = materialize(docs.select(*[docs[c].alias(n) for c, n in own.items()], F.monotonically_increasing_id().alias("row")), "mix")
-    taken = copies(rows, own[id_col], own[text_col], own[source_col], carry=("row",), **options).where("copies > 0")
-    repeated = rows.join(taken.select(F.col("c0").alias("row"), "copies"), "row").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    rows = materialize(docs.select(*[docs[c].alias(n) for c, n in own.items()], size_of(docs[text_col]).alias("size"), F.monotonically_increasing_id().alias("row")), "mix")
+    taken = copies(rows, own[id_col], own[text_col], own[source_col], carry=("row",), size_col="size", **options).where("copies > 0")
+    repeated = rows.drop("size").join(taken.select(F.col("c0").alias("row"), "copies"), "row").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
     return repeated.select(*[F.col(n).alias(c) for c, n in own.items()])
