@@ -19,7 +19,8 @@ not the pairs. Components are joined across buckets by large-star and small-star
 
 Defined results: null and empty texts have the fingerprint zero and are linked like any
 other; repeated rows share a fingerprint and a component; an empty table gives an empty
-one; texts are read whole; other columns are ignored. Ids must not be null.
+one; texts are read whole; other columns are ignored. Ids must not be null in ``clusters``;
+``drop_copies`` goes by the numbers of rows and takes any id.
 """
 
 from __future__ import annotations
@@ -38,6 +39,8 @@ from .components import connected_components
 
 SHINGLE, SEED, RADIUS = 3, 42, 3
 BLOCKS, PIVOTS, PART = 5, 16, 4096
+#: Holds the numbers of rows.
+ROW = "__row_number"
 #: Candidate pairs that are held in memory at once.
 CHUNK = 1 << 20
 
@@ -205,7 +208,21 @@ def hexadecimal(fp: Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with the number of each row in ``ROW``, written so that it stays."""
+    return materialize(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
+
+
+def one_of_each(rows: DataFrame, placed: DataFrame, id_col: str) -> DataFrame:
+    """Of each component of ``placed`` (row, component) the row of ``rows`` with the smallest id;
+    null ids come last, and equal ids go by the number of the row."""
+    ids = renamed(rows, row=ROW, id=id_col).join(placed, "row")
+    first = ids.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "row")).alias("first"))
+    return rows.join(first.select(F.col("first.row").alias(ROW)), ROW, "left_semi").drop(ROW)
+
+
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of their component."""
-    kept = clusters(docs, id_col, text_col).where("doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(kept, docs[id_col] == kept["__id"], "left_semi")
+    """One row of each component of ``docs``: the one with the smallest id. Ids may be null or repeated."""
+    rows = numbered(docs)
+    placed = clusters(rows, ROW, text_col).select(F.col("doc_id").alias("row"), F.col("component_id").alias("component"))
+    return one_of_each(rows, placed, id_col)
