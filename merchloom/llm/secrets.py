@@ -6,8 +6,9 @@ syntax (``name = literal``, ``name: literal``, ``"name": "literal"``,
 ``name => literal``, ``<name>literal</name>``, ``export NAME=literal``,
 ``setX("literal")``) into name-literal pairs. A literal may be several quoted
 parts joined by ``+`` or ``.``; a bare name on the right is a reference, and its
-constant value is propagated: ``K = "..."`` followed by ``password = K`` makes the
-literal of ``K`` a password. A literal is scored by how sensitive its target names
+constant value is propagated: ``K = "..."`` before or after ``password = K`` makes the
+literal of ``K`` a password. A declared type (``name: Type = literal``) is not a value,
+a literal goes on after an escaped quote, and its length has no bound. A literal is scored by how sensitive its target names
 are and by its own shape (length, entropy, mix of characters, not a placeholder);
 scores of at least ``MIN_SCORE`` add a span of kind ``literal``.
 
@@ -20,6 +21,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -48,12 +50,18 @@ SENSITIVE = {
 PLACEHOLDERS = {"changeme", "password", "secret", "example", "placeholder", "your_password", "yourpassword", "xxxxxxxx", "undefined", "required", "optional", "disabled", "enabled"}
 
 _NAME = r"[A-Za-z_][A-Za-z0-9_.\-]*"
-_QUOTED = r"""(?:"[^"\n]{0,4096}"|'[^'\n]{0,4096}')"""
+#: With escapes, or, where no quote is left to end it then, up to the next quote.
+_QUOTED = r"""(?:"(?:[^"\\\n]|\\.)*+"|'(?:[^'\\\n]|\\.)*+'|"[^"\n]*+"|'[^'\n]*+')"""
 #: Starts at the separator and looks right; the name is read leftwards from it, so that prose costs nothing.
 _RIGHT = re.compile(rf"""(?::=|=>|->|=(?!=)|:(?!//)|\()[ \t]{{0,64}}(?:(?P<quoted>{_QUOTED}(?:[ \t]{{0,8}}[+.][ \t]{{0,8}}{_QUOTED})*)|(?P<bare>[A-Za-z0-9+/_.=$\-]+))""")
 _LEFT_NAME = re.compile(r"""([A-Za-z0-9_.\-]+)["'\]]{0,2}[ \t]*$""")
+_TYPE = r"""(?:&(?:'\w+[ \t]+)?(?:mut[ \t]+)?)?[A-Za-z_][\w.]*(?:[\[<][^="'\n]{0,80}[\]>]|\[\])?\??"""
+#: ``name: Type`` left of an equals sign; a type may be several joined by a bar.
+_LEFT_TYPED = re.compile(rf"""([A-Za-z0-9_.\-]+)[ \t]*[?!]?:[ \t]*{_TYPE}(?:[ \t]*\|[ \t]*{_TYPE})*[ \t]*$""")
 _PART = re.compile(_QUOTED)
-_XML = re.compile(rf"<({_NAME})>([^<>\s]{{6,4096}})</\1>")
+#: The first and last line of a key in PEM form; their blanks are no sign of prose.
+_ARMOUR = re.compile(r"-----(?:BEGIN|END) [A-Z0-9 ]+-----")
+_XML = re.compile(rf"<({_NAME})>([^<>\s]{{6,}})</\1>")
 _LEFT_REACH = 160
 
 
@@ -74,7 +82,7 @@ def shape_weight(value: str) -> float:
     if len(value) < 6 or value.lower() in PLACEHOLDERS or len(set(value)) < 4 or value.startswith(("http://", "https://", "${", "<", "%")):
         return 0.0
     kinds = sum(bool(re.search(p, value)) for p in ("[0-9]", "[a-z]", "[A-Z]", r"[^A-Za-z0-9\s]"))
-    spaces = value.count(" ")
+    spaces = _ARMOUR.sub("", value).count(" ")
     return min(1.0, entropy(value) / 4 + 0.15 * (kinds - 1) + min(len(value), 40) / 80) * (0.4 if spaces > 2 else 1.0) * (1.0 if kinds > 1 else 0.6)
 
 
@@ -83,38 +91,60 @@ def score(names: list[str], value: str) -> float:
     return 2 * max(map(name_weight, names), default=0.0) * shape_weight(value)
 
 
-def assignments(text: str) -> Iterator[tuple[str, str, list[tuple[str, int, int]]]]:
+def assignments(text: str) -> list[tuple[str, str, list[tuple[str, int, int]]]]:
     """(name, reference or '', literal parts with their places) of each assignment in ``text``."""
+    found, colon = [], -1
     for m in _RIGHT.finditer(text):
-        left = _LEFT_NAME.search(text[max(0, m.start() - _LEFT_REACH) : m.start()])
+        reach = max(0, m.start() - _LEFT_REACH)
+        before = text[reach : m.start()]
+        typed = _LEFT_TYPED.search(before) if m[0][0] == "=" and ":" in before else None
+        left = typed or _LEFT_NAME.search(before)
         if not left:
             continue
         name = left[1]
+        if typed and colon >= reach + typed.end(1):
+            found.pop()  # the type is not a value of the name
+        colon = -1
         if m["quoted"]:
             at = m.start("quoted")
-            yield name, "", [(p[0][1:-1], at + p.start() + 1, at + p.end() - 1) for p in _PART.finditer(m["quoted"])]
+            found.append((name, "", [(p[0][1:-1], at + p.start() + 1, at + p.end() - 1) for p in _PART.finditer(m["quoted"])]))
         elif m[0][0] != "(":
             bare = m["bare"]
-            yield name, bare if re.fullmatch(_NAME, bare) else "", [(bare, m.start("bare"), m.end("bare"))]
-    for m in _XML.finditer(text) if "</" in text else ():
-        yield m[1], "", [(m[2], m.start(2), m.end(2))]
+            found.append((name, bare if re.fullmatch(_NAME, bare) else "", [(bare, m.start("bare"), m.end("bare"))]))
+            colon = m.start() if m[0][0] == ":" else -1
+    if "</" in text:
+        found += [(m[1], "", [(m[2], m.start(2), m.end(2))]) for m in _XML.finditer(text)]
+    return found
+
+
+def resolved(found: list[tuple[str, str, list[tuple[str, int, int]]]]) -> list[list[tuple[str, int, int]]]:
+    """The literal parts of each assignment, references followed: to the last value before, else to the first after."""
+    places: dict[str, list[int]] = {}
+    for i, (name, _, _) in enumerate(found):
+        places.setdefault(name, []).append(i)
+    ends: dict[int, list[tuple[str, int, int]]] = {}
+    for i in range(len(found)):
+        path, at = {}, i
+        while at not in ends:
+            path[at] = None
+            own = places.get(found[at][1], ())
+            after = own[max(0, bisect_left(own, at) - 1)] if own else at
+            if after in path:  # a constant, an unknown name, or a ring of names
+                ends[at] = found[at][2]
+                break
+            at = after
+        for k in path:
+            ends[k] = ends[at]
+    return [ends[i] for i in range(len(found))]
 
 
 def lexed(text: str) -> list[sp.Span]:
     """Spans of the literals whose score reaches ``MIN_SCORE``, after propagating constants."""
     if "=" not in text and ":" not in text and "(" not in text and "</" not in text:
         return []
-    values: dict[str, list[tuple[str, int, int]]] = {}
     targets: dict[tuple[int, int], tuple[str, list[str]]] = {}
-    for name, reference, parts in assignments(text):
-        seen = {name}
-        if reference:  # a chain of names ends at its constant; names already met end it, too
-            while reference in values and reference not in seen and len(values[reference]) == 1 and values[reference][0][0] in values:
-                seen.add(reference)
-                reference = values[reference][0][0]
-            if reference in values and reference != name:
-                parts = values[reference]
-        values[name] = parts
+    found = assignments(text)
+    for (name, _, _), parts in zip(found, resolved(found)):
         whole = "".join(p[0] for p in parts)
         for _, a, b in parts:
             targets.setdefault((a, b), (whole, []))[1].append(name)
