@@ -10,6 +10,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,22 +25,56 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The folder named in spark.checkpoint.dir. Where that is unset, the context's checkpoint folder; a local master
+    gets a temporary one, and a cluster an error: its executors could not read what the others wrote."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="merchloom-"))
-    return spark.sparkContext.getCheckpointDir()
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="merchloom-"))
+    return context.getCheckpointDir()
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, replaces: DataFrame | None = None) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: cuts the lineage
-    and survives lost executors."""
+    and survives lost executors. ``replaces``: an earlier such table that nothing reads any more; its files go."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    written = spark.read.schema(df.schema).parquet(path)
+    # Spark writes a file at least, even of an empty table.
+    if not written.inputFiles():
+        raise RuntimeError(f"no files of {name} can be seen in {path}: the folder is not shared")
+    if replaces is not None and (files := replaces.inputFiles()):
+        old = spark._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+        old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
+    return written
+
+
+#: Bits of a broadcast bitmap: 16 MiB, whatever it stands for.
+BITMAP_BITS = 1 << 27
+
+
+def bitmap(keys: DataFrame, column: str, bits: int = BITMAP_BITS) -> tuple[np.ndarray, int]:
+    """(bytes of a bitmap in which the bit pmod(key, bits) is set for every key that is not null, rows of ``keys``).
+    Bits are gathered by Spark; at most ``bits`` / 8 bytes reach the driver, however many keys there are."""
+    place = F.pmod(F.col(column), F.lit(bits)) + 1
+    group = F.coalesce(F.bitmap_bucket_number(place), F.lit(1).cast("long"))
+    rows = keys.groupBy(group.alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"), F.count("*").alias("n")).toArrow()
+    out = np.zeros(bits // 8, np.uint8)
+    for part, piece in zip(rows["part"].to_pylist(), rows["bits"].to_pylist()):
+        own = out[(part - 1) * 4096 : part * 4096]
+        own |= np.frombuffer(piece, np.uint8)[: len(own)]
+    return out, sum(rows["n"].to_pylist())
+
+
+def has_bit(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which of some signed 64-bit keys have their bit in a table of ``bitmap``."""
+    place = np.mod(keys, len(table) * 8)
+    return (table[place >> 3] >> (place & 7).astype(np.uint8) & 1).astype(bool)
 
 
 def fold(column: Column, divisor: int) -> Column:

@@ -1,43 +1,55 @@
 """Personal data, with information-theoretic sanitisation of what gives it away.
 
 Four base patterns find e-mail addresses, IPv4 addresses, card numbers and phone
-numbers. The values found are the protected entities. The words close to a mention
-are its context terms, and how strongly a term t reveals an entity e is measured
-over the whole corpus by pointwise mutual information:
+numbers. The protected entities are the values found and what they belong to: the domain
+of an address, the network of an IP address, the issuer of a card, the area of a
+phone number. How strongly a term t reveals an entity e is measured over the whole
+corpus by pointwise mutual information:
 
     PMI(e; t) = log2( n(e,t) * N / (n(e) * n(t)) )       information content IC(e) = log2( N / n(e) )
 
-with document counts n and N documents. PMI(e; t) = IC(e) means that t never occurs
-without e. A term is disclosive for e if PMI >= ALPHA * IC(e) and it was seen with e
-in at least MIN_SUPPORT documents; its occurrences in the context of e are reported
-as spans of kind ``term``, and ``sanitize`` removes them, or generalises them to the
-term's first letter, beside masking the entities themselves. Support counts distinct
-texts, so that copies of one text are one witness.
+where all counts are numbers of distinct texts that hold e, t or both anywhere, so copies of
+a text are one witness on both sides. PMI(e; t) = IC(e) means that t never occurs
+without e. A term is disclosive if for some entity with IC(e) >= MIN_INFORMATION bits
+PMI >= ALPHA * IC(e), seen together in at least MIN_SUPPORT texts. Every occurrence of a
+disclosive term in any text is reported as a span of kind ``term`` (but for words that are
+part of an entity); ``sanitize`` removes these spans, or generalises them to the
+term's first letter, beside masking the entities themselves.
+
+How it is counted, without gathering anything:
+
+* Distinct texts. Texts are counted by their 128-bit hashes. Texts that occur once are read where they
+  stand; those whose bit is set in a bitmap of the repeated hashes (16 MiB, chance hits do no harm)
+  pass a shuffle that leaves one of each.
+* Pairs. Entities that occur in the same texts have the same figures, so they are one class. As
+  n(e,t) <= n(e), only terms with n(t) <= n(e)^ALPHA * N^(1-ALPHA) can reach the threshold: the
+  terms of a text are joined with their counts first, and only the rare ones meet its entity classes.
+* Occurrences. A bitmap of the disclosive terms finds the words that may be one; an exact join decides.
 
 Defined results: a null or empty text has no spans; repeated rows give repeated
-results (and count once in the statistics); an empty table gives an empty one;
-texts are scanned whole in time linear in their length; other columns are ignored.
+results, and rows without id or with the same id are treated like any other; an empty table gives
+an empty one; texts are scanned whole in time linear in their length; other columns are ignored
+(``sanitize`` returns them as they are).
 """
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import spans as sp
-from .common import as_texts, materialize, renamed
+from .common import as_texts, bitmap, has_bit, materialize, renamed
 
 KINDS = ("email", "ip", "card", "phone", "term")
-ALPHA, MIN_SUPPORT = 0.9, 3
-#: Words to the left and to the right of a mention that are its context.
-CONTEXT = 5
-#: Distinct words that a task counts before it hands the counts on; bounds its memory, not the result.
+ALPHA, MIN_SUPPORT, MIN_INFORMATION = 0.9, 3, 4.0
+#: Distinct words that a task counts, or remembers, before it begins anew; bounds its memory, not the result.
 FLUSH = 400_000
 
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -49,7 +61,6 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _NOT_DIGIT = re.compile(r"[^0-9]")
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _TERM_EDGE = ".,;:!?\"'()[]{}<>|*#$%&"
-_REACH = 400
 
 
 def luhn(digits: str) -> bool:
@@ -92,60 +103,49 @@ def base_spans(text: str) -> list[sp.Span]:
     return found
 
 
-def entity(kind: str, value: str) -> str:
-    """The value by which mentions of one entity meet."""
-    return f"{kind}:{value.lower()}" if kind in ("email", "ip") else f"{kind}:{_NOT_DIGIT.sub('', value)}"
+def entities(kind: str, value: str) -> tuple[str, str]:
+    """The names by which mentions of one entity meet: of the value, and of what it belongs to."""
+    if kind == "email":
+        value = value.lower()
+        return f"email:{value}", f"domain:{value.rpartition('@')[2]}"
+    if kind == "ip":
+        parts = [str(int(x)) for x in value.split(".")]
+        return f"ip:{'.'.join(parts)}", f"network:{'.'.join(parts[:3])}"
+    digits = _NOT_DIGIT.sub("", value)
+    return f"{kind}:{digits}", f"issuer:{digits[:6]}" if kind == "card" else f"area:{digits[:5]}"
 
 
-def _term(word: str) -> str:
+def term_of(word: str) -> str:
     """The term of a word: lower-cased, without punctuation at its edges; '' for one without a letter."""
-    core = word.strip(_TERM_EDGE).lower()
+    core = word.lower().strip(_TERM_EDGE)
     return core if any(c.isalpha() for c in core) else ""
 
 
-def context(text: str, start: int, end: int, spans: list[sp.Span]) -> list[tuple[str, int, int]]:
-    """(term, start, end) of the words around a mention that are not themselves in a base span."""
-    a, b = max(0, start - _REACH), min(len(text), end + _REACH)
-    left = list(_WORD.finditer(text, a, start))
-    if left and left[0].start() == a and a > 0:
-        left = left[1:]  # cut off by the reach
-    right = list(_WORD.finditer(text, end, b))
-    if right and right[-1].end() == b and b < len(text):
-        right = right[:-1]
-    near = left[-CONTEXT:] + right[:CONTEXT]
-    free = [m for m in near if not any(m.start() < e and m.end() > s for _, s, e in spans)]
-    return [(t, m.start(), m.end()) for m in free if (t := _term(m[0]))]
+def occurrences(text: str, base: list[sp.Span]) -> Iterator[tuple[str, int, int]]:
+    """(term, start, end) of every word that has a term and no part in a span."""
+    ordered, k, reach = sorted((a, b) for _, a, b in base), 0, 0
+    for m in _WORD.finditer(text):
+        while k < len(ordered) and ordered[k][0] < m.end():
+            reach = max(reach, ordered[k][1])
+            k += 1
+        if m.start() >= reach and (term := term_of(m[0])):
+            yield term, m.start(), m.end()
 
 
-def _scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    mention = pa.struct([("entity", pa.string()), ("term", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
+def _witnesses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        counts, digests, spans, mentions, hashes = [], [], [], [], []
-        for text in as_texts(batch.column(1)):
-            base = base_spans(text)
-            counts.append([sum(s[0] == k for s in base) for k in KINDS[:4]])
-            digests.append(sp.digest(base, KINDS))
-            spans.append(sp.joined(base, KINDS))
-            mentions.append([{"entity": entity(k, text[a:b]), "term": t, "start": x, "end": y} for k, a, b in base for t, x, y in context(text, a, b, base) or [("", a, b)]])
-            hashes.append(hashlib.blake2b(text.encode(), digest_size=16).hexdigest() if base else None)
-        columns = [pa.array([c[i] for c in counts], pa.int64()) for i in range(4)]
-        columns += [pa.array(digests, pa.string()), pa.array(spans, pa.string()), pa.array(mentions, pa.list_(mention)), pa.array(hashes, pa.string())]
-        yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "base_spans", "mentions", "text_hash"])
-
-
-def find_mentions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Base counts, digest and spans per row, with the context terms of every mention."""
-    rows = renamed(docs, doc_id=id_col, text=text_col)
-    kind = dict(rows.dtypes)["doc_id"]
-    return rows.mapInArrow(
-        _scanned,
-        f"doc_id {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base_spans string, mentions array<struct<entity:string,term:string,start:long,end:long>>, text_hash string",
-    )
+        rows = []
+        for a, b, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), as_texts(batch.column(2))):
+            if base := base_spans(text):
+                names = {x for k, s, e in base for x in entities(k, text[s:e])}
+                rows.append((a, b, sorted(names), sorted({x[0] for x in occurrences(text, base)})))
+        types = pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.string())
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows) if rows else [[]] * 4, types)], ["a", "b", "entities", "terms"])
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Partial document counts of every term, with the number of documents under the null term."""
-    counts: Counter[bytes | None] = Counter()
+    """Partial text counts of every term."""
+    counts: Counter[bytes] = Counter()
     edge = _TERM_EDGE.encode()
 
     def flush():
@@ -157,45 +157,123 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for text in as_texts(batch.column(0)):
             counts.update({w.strip(edge) for w in text.lower().encode().split()})
-            counts[None] += 1
             if len(counts) > FLUSH:
                 yield flush()
     if counts:
         yield flush()
 
 
-def term_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(term, n): the documents that hold each term, over all of ``docs``; the null term counts the documents."""
-    return renamed(docs, text=text_col).mapInArrow(_counted, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
+def hashed(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """(a, b, text): every text with the two halves of its hash; null is the empty text."""
+    text = F.coalesce(docs[text_col], F.lit(""))
+    return docs.select(F.xxhash64(text).alias("a"), F.xxhash64(F.lit("b"), text).alias("b"), text.alias("text"))
 
 
-def disclosive_terms(mentions: DataFrame, counts: DataFrame, alpha: float = ALPHA, min_support: int = MIN_SUPPORT) -> DataFrame:
-    """(entity, term, pmi, ic) of the terms that reveal an entity.
-
-    ``mentions``: what ``find_mentions`` gives; ``counts``: what ``term_counts`` gives.
-    """
-    seen = mentions.where("text_hash IS NOT NULL").select("text_hash", F.explode("mentions").alias("m")).select("text_hash", "m.entity", "m.term").distinct()
-    # Documents are distinct texts here: a text and its copies are one witness.
-    both = seen.where("term <> ''").groupBy("entity", "term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= min_support)
-    alone = seen.groupBy("entity").agg(F.countDistinct("text_hash").alias("n_entity"))
-    total = counts.where("term IS NULL").select(F.col("n").alias("n_docs"))
-    joined = both.join(alone, "entity").join(counts.where("term IS NOT NULL"), "term").join(F.broadcast(total), F.lit(True))
-    # n(t) counts all rows, copies too, so it is never below n(e,t): the estimate errs towards keeping a term.
-    return joined.select(
-        "entity",
-        "term",
-        F.log2(F.col("n_both") * F.col("n_docs") / (F.col("n_entity") * F.greatest("n", "n_both"))).alias("pmi"),
-        F.log2(F.col("n_docs") / F.col("n_entity")).alias("ic"),
-    ).where((F.col("pmi") >= alpha * F.col("ic")) & (F.col("ic") > 0))
+def distinct_texts(texts: DataFrame) -> tuple[DataFrame, int]:
+    """One of each text of ``texts`` (what ``hashed`` gives), and how many they are."""
+    groups = texts.groupBy("a", "b").agg((F.count("*") > 1).alias("again")).select(F.when(F.col("again"), F.col("a")).alias("key"))
+    table, total = bitmap(groups, "key")
+    if not table.any():
+        return texts, total
+    shared = texts.sparkSession.sparkContext.broadcast(table)
 
+    @F.pandas_udf("boolean")
+    def maybe_again(a):
+        import pandas as pd
 
-def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", alpha: float = ALPHA, min_support: int = MIN_SUPPORT) -> DataFrame:
-    """Base counts and digest, and all spans with those of disclosive terms, per row of ``docs``."""
-    mentions = materialize(find_mentions(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "pii")
-    terms = disclosive_terms(mentions, term_counts(docs, text_col), alpha, min_support)
-    places = mentions.select("row", F.explode("mentions").alias("m")).select("row", "m.*")
+        return pd.Series(has_bit(shared.value, a.to_numpy()))
+
+    again = texts.where(maybe_again("a")).dropDuplicates(["a", "b"])
+    return texts.where(~maybe_again("a")).union(again), total
+
+
+def term_counts(texts: DataFrame) -> DataFrame:
+    """(term, n): how many of ``texts`` (text) hold each term."""
+    return texts.select("text").mapInArrow(_counted, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
+
+
+def revealing(docs: DataFrame, text_col: str = "text", alpha: float = ALPHA, min_support: int = MIN_SUPPORT, min_information: float = MIN_INFORMATION) -> tuple[DataFrame, DataFrame]:
+    """(class, term, pmi, ic) of the terms that reveal the entities of a class, and (entity, class)."""
+    texts = hashed(docs, text_col)
+    seen = materialize(texts.mapInArrow(_witnesses, "a long, b long, entities array<string>, terms array<string>").dropDuplicates(["a", "b"]), "pii-witnesses")
+    # Entities of the same texts are one class.
+    held = seen.select("a", "b", F.explode("entities").alias("entity"))
+    figures = held.groupBy("entity").agg(F.count("*").alias("n_entity"), F.bit_xor(F.xxhash64("a", "b")).alias("mark")).where(F.col("n_entity") >= min_support)
+    unique, total = distinct_texts(texts)
+    n_docs = F.lit(float(max(1, total)))
+    ic = F.log2(n_docs / F.col("n_entity"))
+    figures = figures.where((ic >= min_information) & (ic > 0)).withColumn("class", F.xxhash64("n_entity", "mark"))
+    figures = materialize(figures, "pii-entities")
+    bound = F.pow(F.col("n_entity").cast("double"), F.lit(alpha)) * F.pow(n_docs, F.lit(1 - alpha)) * (1 + 1e-9)
+    of_text = held.join(figures, "entity").select("a", "b", "class", "n_entity", bound.alias("bound")).distinct()
+    most = of_text.groupBy("a", "b").agg(F.max("bound").alias("most"))
+    terms = seen.join(most, ["a", "b"]).select("a", "b", "most", F.explode("terms").alias("term"))
+    counts = term_counts(unique).where(F.col("n") >= min_support)
+    rare = terms.join(counts, "term").where(F.col("n") <= F.col("most")).select("a", "b", "term", "n")
+    both = of_text.join(rare, ["a", "b"]).where(F.col("n") <= F.col("bound")).groupBy("class", "n_entity", "term", "n").agg(F.count("*").alias("n_both"))
+    pmi = F.log2(F.col("n_both") * n_docs / (F.col("n_entity") * F.greatest("n", "n_both")))
+    found = both.where(F.col("n_both") >= min_support).select("class", "term", pmi.alias("pmi"), ic.alias("ic")).where(F.col("pmi") >= alpha * F.col("ic") - 1e-9)
+    return found, figures.select("entity", "class")
+
+
+def disclosive_terms(docs: DataFrame, text_col: str = "text", **limits) -> DataFrame:
+    """(entity, term, pmi, ic) of the terms that reveal an entity."""
+    found, classes = revealing(docs, text_col, **limits)
+    return classes.join(found, "class").select("entity", "term", "pmi", "ic")
+
+
+def _scanned(terms):
+    place = pa.struct([("term", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = terms.value if terms else None
+        marked: dict[bytes, bool] = {}
+        edge = _TERM_EDGE.encode()
+
+        def may_reveal(term: bytes) -> bool:
+            known = marked.get(term)
+            if known is None:
+                if len(marked) >= FLUSH:
+                    marked.clear()
+                bit = xxhash.xxh64_intdigest(term, 42) % (len(table) * 8)
+                known = marked[term] = bool(table[bit >> 3] >> (bit & 7) & 1)
+            return known
+
+        for batch in batches:
+            counts, digests, spans, places = [], [], [], []
+            for text in as_texts(batch.column(1)):
+                base = base_spans(text)
+                counts.append([sum(s[0] == k for s in base) for k in KINDS[:4]])
+                digests.append(sp.digest(base, KINDS))
+                spans.append(sp.joined(base, KINDS))
+                some = table is not None and any(map(may_reveal, {w.strip(edge) for w in text.lower().encode().split()}))
+                places.append([{"term": t, "start": a, "end": b} for t, a, b in occurrences(text, base) if may_reveal(t.encode())] if some else [])
+            columns = [pa.array([c[i] for c in counts], pa.int64()) for i in range(4)]
+            columns += [pa.array(digests, pa.string()), pa.array(spans, pa.string()), pa.array(places, pa.list_(place))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], [*batch.schema.names, *_FOUND])
+
+    return scan
+
+
+_FOUND = ("n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "places")
+_FOUND_TYPES = "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, places array<struct<term:string,start:long,end:long>>"
+
+
+def _found(docs: DataFrame, id_col: str, text_col: str, carry: tuple[str, ...], **limits) -> DataFrame:
+    """Per row of ``docs``: doc_id, the columns to carry as c0, c1, ..., and what is found in the text."""
+    spark = docs.sparkSession
+    terms = materialize(revealing(docs, text_col, **limits)[0].select("term").distinct(), "pii-terms")
+    table, n_terms = bitmap(terms.select(F.xxhash64("term").alias("key")), "key")
+    others = [docs[c].alias(f"c{i}") for i, c in enumerate(carry)]
+    rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"), *others)
+    schema = ", ".join(f"{c} {kind}" for c, kind in rows.dtypes)
+    scanned = rows.mapInArrow(_scanned(spark.sparkContext.broadcast(table) if n_terms else None), f"{schema}, {_FOUND_TYPES}").drop("text")
+    if not n_terms:
+        return scanned.drop("places")
+    scanned = materialize(scanned.withColumn("row", F.monotonically_increasing_id()), "pii")
+    places = scanned.select("row", F.explode("places").alias("m")).select("row", "m.*")
     extra = (
-        places.join(terms.select("entity", "term"), ["entity", "term"], "left_semi")
+        places.join(terms, "term", "left_semi")
         .select("row", F.concat_ws(":", F.lit("term"), "start", "end").alias("span"))
         .groupBy("row")
         .agg(F.array_join(F.sort_array(F.collect_set("span")), ",").alias("term_spans"))
@@ -205,17 +283,21 @@ def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", alph
     def merged(base, more):
         import pandas as pd
 
-        return pd.Series([b if m is None else sp.joined(set(sp.parse(b)) | set(sp.parse(m)), KINDS) for b, m in zip(base, more)], dtype=object)
+        return pd.Series([sp.joined(set(sp.parse(b)) | set(sp.parse(m)), KINDS) for b, m in zip(base, more)], dtype=object)
 
-    return mentions.drop("mentions", "text_hash").join(extra, "row", "left").select(
-        "doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", F.when(F.col("term_spans").isNull(), F.col("base_spans")).otherwise(merged("base_spans", "term_spans")).alias("spans")
-    )
+    spans = F.when(F.col("term_spans").isNull(), F.col("spans")).otherwise(merged("spans", "term_spans"))
+    return scanned.drop("places").join(extra, "row", "left").withColumn("spans", spans).drop("row", "term_spans")
+
+
+def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **limits) -> DataFrame:
+    """Base counts and digest, and all spans with those of disclosive terms, per row of ``docs``."""
+    return _found(docs, id_col, text_col, (), **limits).select("doc_id", *_FOUND[:-1])
 
 
 def sanitize(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", generalise: bool = False, **limits) -> DataFrame:
     """``docs`` with every entity masked by its kind, and disclosive terms removed or, with
-    ``generalise``, cut to their first letter and a dot. Ids must be unique; null texts stay null."""
-    spans = detect(docs, id_col, text_col, **limits).select(F.col("doc_id").alias("__id"), F.col("spans").alias("__spans"))
+    ``generalise``, cut to their first letter and a dot. Null texts stay null. Texts stay beside their
+    spans all the way, so ids may be null or repeated."""
 
     @F.pandas_udf("string")
     def clean(texts, found):
@@ -226,5 +308,5 @@ def sanitize(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ge
 
         return pd.Series([x if x is None else sp.replace(x, sp.parse(s), mask) for x, s in zip(texts, found)], dtype=object)
 
-    joined = docs.join(spans, docs[id_col] == spans["__id"], "left")
-    return joined.select(*[clean(docs[c], spans["__spans"]).alias(c) if c == text_col else docs[c] for c in docs.columns])
+    rows = _found(docs, id_col, text_col, tuple(docs.columns), **limits)
+    return rows.select(*[(clean(f"c{i}", "spans") if c == text_col else F.col(f"c{i}")).alias(c) for i, c in enumerate(docs.columns)])
