@@ -1,16 +1,21 @@
 """Secret scans by assignment-aware lexing.
 
 Three base patterns find assignments to sensitive words, access key ids and long
-hexadecimal runs. Beside them a small lexer reads source code and configuration
-syntax (``name = literal``, ``name: literal``, ``"name": "literal"``,
-``name => literal``, ``<name>literal</name>``, ``export NAME=literal``,
-``setX("literal")``) into name-literal pairs. A literal may be several quoted
-parts joined by ``+`` or ``.``; a bare name on the right is a reference, and its
-constant value is propagated: ``K = "..."`` before or after ``password = K`` makes the
-literal of ``K`` a password. A declared type (``name: Type = literal``) is not a value,
-a literal goes on after an escaped quote, and its length has no bound. A literal is scored by how sensitive its target names
-are and by its own shape (length, entropy, mix of characters, not a placeholder);
-scores of at least ``MIN_SCORE`` add a span of kind ``literal``.
+hexadecimal runs. Beside them a lexer reads source code and configuration into tokens in one
+pass (strings with escapes, triple-quoted and escaped strings, names, operators, line ends), and
+the tokens into name-literal pairs:
+
+    name = literal    name: literal    "name": "literal"    name => literal    obj["name"] = "literal"
+    name: Type = "literal"    f(name="literal")    setName("literal")    put("name", "literal")
+    <name>literal</name>    <add key="name" value="literal"/>    export NAME=literal    name: | and a block of lines
+
+A literal may be several strings, adjacent or joined by ``+`` or ``.``; comments may stand between, and a call around
+it is looked through. A bare name on the right is a reference, and its constant value is propagated over
+any number of steps: ``K = "..."`` before or after ``password = K`` makes the literal of ``K`` a password.
+Environment references (``$NAME``, ``os.environ``) and names without a digit are never literals. The contents of
+strings are read in the same way, once. A literal is scored by how sensitive its target names are, as words
+(``author`` isn't ``auth``), and by its own shape (length, entropy, mix of characters, not a placeholder);
+scores of at least ``MIN_SCORE`` add a span of kind ``literal``. No length is bounded.
 
 Defined results: a null or empty text has no spans; rows are independent, so
 repeated rows give repeated results and an empty table an empty one; long texts
@@ -49,26 +54,48 @@ SENSITIVE = {
 #: Values that stand for a secret without being one. Fixed values.
 PLACEHOLDERS = {"changeme", "password", "secret", "example", "placeholder", "your_password", "yourpassword", "xxxxxxxx", "undefined", "required", "optional", "disabled", "enabled"}
 
-_NAME = r"[A-Za-z_][A-Za-z0-9_.\-]*"
-#: With escapes, or, where no quote is left to end it then, up to the next quote.
-_QUOTED = r"""(?:"(?:[^"\\\n]|\\.)*+"|'(?:[^'\\\n]|\\.)*+'|"[^"\n]*+"|'[^'\n]*+')"""
-#: Starts at the separator and looks right; the name is read leftwards from it, so that prose costs nothing.
-_RIGHT = re.compile(rf"""(?::=|=>|->|=(?!=)|:(?!//)|\()[ \t]{{0,64}}(?:(?P<quoted>{_QUOTED}(?:[ \t]{{0,8}}[+.][ \t]{{0,8}}{_QUOTED})*)|(?P<bare>[A-Za-z0-9+/_.=$\-]+))""")
-_LEFT_NAME = re.compile(r"""([A-Za-z0-9_.\-]+)["'\]]{0,2}[ \t]*$""")
-_TYPE = r"""(?:&(?:'\w+[ \t]+)?(?:mut[ \t]+)?)?[A-Za-z_][\w.]*(?:[\[<][^="'\n]{0,80}[\]>]|\[\])?\??"""
-#: ``name: Type`` left of an equals sign; a type may be several joined by a bar.
-_LEFT_TYPED = re.compile(rf"""([A-Za-z0-9_.\-]+)[ \t]*[?!]?:[ \t]*{_TYPE}(?:[ \t]*\|[ \t]*{_TYPE})*[ \t]*$""")
-_PART = re.compile(_QUOTED)
+_STRING = r"""\"(?:[^\"\\\n]++|\\.)*+\"|(?<![A-Za-z0-9])'(?:[^'\\\n]++|\\.)*+'|`(?:[^`\\\n]++|\\.)*+`"""
+#: An escape outside of strings is a token, so that a quote that is escaped never opens a string. A quote without an
+#: end fails once for each line at most, so that the pass is linear.
+_TOKEN = re.compile(
+    rf"""(?P<triple>\"\"\"(?:[^\"\\]++|\\.|\"(?!\"\"))*+\"\"\"|\'\'\'(?:[^'\\]++|\\.|'(?!''))*+\'\'\')"""
+    rf"""|(?P<string>{_STRING})"""
+    r"""|(?P<escaped>\\\"(?:[^\"\\\n]++|\\[^\"\n])*+\\\")"""
+    r"""|(?P<escape>\\.)"""
+    r"""|(?P<comment>/\*|\*/|//|--(?=\s)|<!--|-->)"""
+    r"""|(?P<op>:=|=>|->|[=!<>]=|::|[=:(),+.\[\]{}|;?&<>])"""
+    r"""|(?P<word>[$%@]?\{?[A-Za-z0-9_](?:[A-Za-z0-9_]|[.\-/+~=!@$^*#%&](?=[A-Za-z0-9_/+=]))*+)"""
+    r"""|(?P<line>\n[ \t]*)""",
+    re.S,
+)
+_IDENTIFIER = re.compile(r"[A-Za-z_][A-Za-z0-9_.\-]*\Z")
+_LEADING = re.compile(r"[A-Za-z_][A-Za-z0-9_.\-]*")
 #: The first and last line of a key in PEM form; their blanks are no sign of prose.
 _ARMOUR = re.compile(r"-----(?:BEGIN|END) [A-Z0-9 ]+-----")
-_XML = re.compile(rf"<({_NAME})>([^<>\s]{{6,}})</\1>")
-_LEFT_REACH = 160
+_XML = re.compile(r"<([A-Za-z_][A-Za-z0-9_.\-]*)>([^<>\s]{6,})</\1>")
+_BARE = re.compile(r"[^\s\"'`,;(){}\[\]<>]+")
+_SHORT = re.compile(r"[^\s\"'`,;(){}\[\]<>:=]+=*")
+_ENVIRONMENT = re.compile(r"os\.environ|process\.env|ENV\b")
+_PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
+#: A name is sensitive only with one of these in it, so that other texts need no lexing.
+_MAYBE = re.compile("pass|pwd|secret|token|key|cred|bearer|auth|connection", re.I)
+_ASSIGNS = (":=", "=>", "->", "=", ":")
+_ENDS = {"/*": "*/", "//": "//", "<!--": "-->"}
 
 
 def name_weight(name: str) -> float:
-    """How sensitive a target name is, 0 to 1."""
-    flat = re.sub(r"[^a-z]", "", name.lower())
-    return max((w for part, w in SENSITIVE.items() if part in flat), default=0.0)
+    """How sensitive a target name is, 0 to 1. Names are read as words: cut at case, digits and separators."""
+    parts = [x.lower() for x in _PARTS.findall(name)]
+    parts = [x[:-1] if len(x) > 4 and x.endswith("s") and not x.endswith("ss") else x for x in parts]
+    best = 0.0
+    for i in range(len(parts)):
+        joined = ""
+        for part in parts[i : i + 3]:
+            joined += part
+            best = max(best, SENSITIVE.get(joined, 0.0))
+        # Run-on names, such as dbpassword: long words count at the end of a part.
+        best = max(best, max((w for x, w in SENSITIVE.items() if len(x) > 4 and parts[i].endswith(x)), default=0.0))
+    return best
 
 
 def entropy(value: str) -> float:
@@ -91,27 +118,194 @@ def score(names: list[str], value: str) -> float:
     return 2 * max(map(name_weight, names), default=0.0) * shape_weight(value)
 
 
+class _Lexer:
+    """Tokens of a text or of a part of it, and the pairs they form."""
+
+    def __init__(self, text: str, start: int, end: int):
+        self.text, self.end = text, end
+        self.tokens = [(m.lastgroup, m.start(), m.end()) for m in _TOKEN.finditer(text, start, end)]
+        self.found: list[tuple[str, str, list[tuple[str, int, int]]]] = []
+        self.consumed = start  # tokens before this place belong to a block
+        self.run_end = start  # of the last bare value
+        self.closers = {mark: [i for i, (kind, a, b) in enumerate(self.tokens) if (kind == "line" if mark == "//" else text.startswith(mark, a))] for mark in ("//", "*/", "-->")}
+
+    def kind(self, i: int) -> str:
+        return self.tokens[i][0] if 0 <= i < len(self.tokens) else ""
+
+    def value(self, i: int) -> str:
+        return self.text[self.tokens[i][1] : self.tokens[i][2]] if 0 <= i < len(self.tokens) else ""
+
+    def is_string(self, i: int) -> bool:
+        return self.kind(i) in ("triple", "string", "escaped")
+
+    def inner(self, i: int) -> tuple[str, int, int]:
+        """A string without its quotes, and its place."""
+        kind, a, b = self.tokens[i]
+        cut = {"triple": 3, "string": 1, "escaped": 2}[kind]
+        return self.text[a + cut : b - cut], a + cut, b - cut
+
+    def past_comment(self, i: int) -> int:
+        """Behind the comments that begin at token i."""
+        while self.kind(i) == "comment" and self.value(i) in _ENDS:
+            own = self.closers[_ENDS[self.value(i)]]
+            k = bisect_left(own, i + 1)
+            i = own[k] + 1 if k < len(own) else len(self.tokens)
+        return i
+
+    def name_before(self, i: int) -> tuple[str, int]:
+        """The name that ends at token i, and its first token."""
+        if self.value(i) == "]":
+            i -= 1
+            if self.is_string(i):
+                return self.inner(i)[0], i
+        if self.value(i) in ("?", "!"):
+            i -= 1
+        if self.is_string(i):
+            name = self.inner(i)[0]
+            return (name if _IDENTIFIER.match(name) else ""), i
+        if self.kind(i) == "word" and _IDENTIFIER.match(name := self.value(i).lstrip("$@")):
+            return name, i
+        return "", i
+
+    def typed(self, i: int) -> int:
+        """The equals sign of ``: Type =`` after a colon at token i; -1 without a type."""
+        k, depth, words = i + 1, 0, 0
+        while k < len(self.tokens) and self.kind(k) != "line":
+            v = self.value(k)
+            if v == "=" and not depth:
+                return k if words else -1
+            if v in ("[", "<"):
+                depth += 1
+            elif v in ("]", ">"):
+                depth -= 1
+            elif self.kind(k) == "word":
+                if not _LEADING.match(v):
+                    return -1
+                words += 1
+            elif self.kind(k) == "string" and self.value(k).startswith("'"):
+                return -1
+            elif v not in ("|", "?", "&", ".", ",", "::") or (v == "," and not depth):
+                return -1
+            k += 1
+        return -1
+
+    def literal(self, i: int) -> list[tuple[str, int, int]]:
+        """The strings from token i on, adjacent or joined."""
+        parts = []
+        while True:
+            i = self.past_comment(i)
+            if not self.is_string(i):
+                return parts
+            parts.append(self.inner(i))
+            i = self.past_comment(i + 1)
+            k = i
+            while self.value(k) in ("+", ".", "\\") or self.kind(k) in ("line", "escape"):
+                k += 1
+            if any(self.value(x) in ("+", ".") or self.kind(x) == "escape" for x in range(i, k)) or k == i:
+                i = k
+            else:
+                return parts
+
+    def block(self, i: int) -> list[tuple[str, int, int]]:
+        """The lines of a block that is indented deeper than the line of token i."""
+        text, at = self.text, self.tokens[i][1]
+        line = text.rfind("\n", 0, at) + 1
+        own = len(text[line:at]) - len(text[line:at].lstrip(" -"))
+        parts, at = [], text.find("\n", self.tokens[i][2], self.end)
+        while 0 <= at < self.end:
+            nxt = text.find("\n", at + 1, self.end)
+            stop = nxt if nxt >= 0 else self.end
+            content = text[at + 1 : stop]
+            if content.strip():
+                if len(content) - len(content.lstrip(" ")) <= own:
+                    break
+                a = at + 1 + len(content) - len(content.lstrip())
+                parts.append((content.strip(), a, a + len(content.strip())))
+            at = nxt
+        self.consumed = at if at >= 0 else self.end
+        return parts
+
+    def bare(self, name: str, a: int) -> None:
+        """The pair of a name with the bare value at a: up to a blank or a bracket, or, where that run has been taken
+        by a name before, up to the next separator."""
+        found = (_BARE if a >= self.run_end else _SHORT).match(self.text, a, self.end)
+        if not found or found[0][0] in "$%@" or _ENVIRONMENT.match(found[0]):
+            return
+        self.run_end = max(self.run_end, found.end())
+        value = found[0].rstrip(".")
+        reference = value if _IDENTIFIER.match(value) else ""
+        self.found.append((name, reference, [] if reference and not any(c.isdigit() for c in value) else [(value, a, a + len(value))]))
+
+    def assign(self, name: str, i: int, first: int) -> None:
+        """The pair of a name with what follows its operator at token i; ``first``: the name's token."""
+        k = self.past_comment(i + 1)
+        if self.value(i) == ":" and (self.value(k) in ("|", ">")) and self.kind(k + 1) in ("line", "") or (self.value(k) in ("|", ">") and self.value(k + 1) == "-"):
+            if parts := self.block(first):
+                self.found.append((name, "", parts))
+            return
+        # A prefix of a string, or calls around it.
+        while self.kind(k) == "word" and (self.value(k + 1) == "(" or (self.is_string(k + 1) and self.tokens[k][2] == self.tokens[k + 1][1])):
+            if re.search("env", self.value(k), re.I):
+                return
+            k += 1 + (self.value(k + 1) == "(")
+        if self.value(k) == "new" and self.kind(k + 1) == "word" and self.value(k + 2) == "(":
+            k += 3
+        if parts := self.literal(k):
+            self.found.append((name, "", parts))
+        elif self.kind(k) == "word" and not self.text[self.tokens[k - 1][2] : self.tokens[k][1]].strip():  # no stray quote between
+            self.bare(name, self.tokens[k][1])
+
+    def pairs(self) -> list[tuple[str, str, list[tuple[str, int, int]]]]:
+        key = ""  # the key attribute of the tag that is open
+        i = 0
+        while i < len(self.tokens):
+            kind, a, b = self.tokens[i]
+            if a < self.consumed:
+                i += 1
+                continue
+            v = self.text[a:b] if kind == "op" else ""
+            if kind == "word" and "=" in self.text[a:b]:
+                # NAME=literal without a blank is one word.
+                name, _, value = self.text[a:b].partition("=")
+                if value.strip("=") and _IDENTIFIER.match(name) and self.kind(i - 1) != "op":
+                    self.bare(name, a + len(name) + 1)
+            elif v in _ASSIGNS:
+                name, first = self.name_before(i - 1)
+                if name:
+                    target = self.typed(i) if v == ":" else -1
+                    if target > 0:
+                        self.assign(name, target, first)
+                        i = target
+                    elif name == "value" and v == "=" and key:
+                        self.assign(key, i, first)
+                        key = ""
+                    else:
+                        if name in ("key", "name") and v == "=" and self.is_string(i + 1):
+                            key = self.inner(i + 1)[0]
+                        self.assign(name, i, first)
+            elif v == "(":
+                name, first = self.name_before(i - 1)
+                if name and not self.is_string(i - 1) and self.is_string(i + 1) and self.value(i + 2) != "," and re.match("set|with|put|add", name.rpartition(".")[2], re.I):
+                    self.found.append((name, "", self.literal(i + 1)))
+            elif v == "," and self.is_string(i - 1) and self.is_string(i + 1):
+                name, _ = self.name_before(i - 1)
+                if name:
+                    self.found.append((name, "", self.literal(i + 1)))
+            elif v == ">":
+                key = ""
+            i += 1
+        return self.found
+
+
 def assignments(text: str) -> list[tuple[str, str, list[tuple[str, int, int]]]]:
     """(name, reference or '', literal parts with their places) of each assignment in ``text``."""
-    found, colon = [], -1
-    for m in _RIGHT.finditer(text):
-        reach = max(0, m.start() - _LEFT_REACH)
-        before = text[reach : m.start()]
-        typed = _LEFT_TYPED.search(before) if m[0][0] == "=" and ":" in before else None
-        left = typed or _LEFT_NAME.search(before)
-        if not left:
-            continue
-        name = left[1]
-        if typed and colon >= reach + typed.end(1):
-            found.pop()  # the type is not a value of the name
-        colon = -1
-        if m["quoted"]:
-            at = m.start("quoted")
-            found.append((name, "", [(p[0][1:-1], at + p.start() + 1, at + p.end() - 1) for p in _PART.finditer(m["quoted"])]))
-        elif m[0][0] != "(":
-            bare = m["bare"]
-            found.append((name, bare if re.fullmatch(_NAME, bare) else "", [(bare, m.start("bare"), m.end("bare"))]))
-            colon = m.start() if m[0][0] == ":" else -1
+    lexer = _Lexer(text, 0, len(text))
+    found = list(lexer.pairs())
+    for i in range(len(lexer.tokens)):
+        if lexer.is_string(i):
+            inner, a, b = lexer.inner(i)
+            if ("=" in inner or ":" in inner) and _MAYBE.search(inner):
+                found += _Lexer(text, a, b).pairs()
     if "</" in text:
         found += [(m[1], "", [(m[2], m.start(2), m.end(2))]) for m in _XML.finditer(text)]
     return found
@@ -140,7 +334,7 @@ def resolved(found: list[tuple[str, str, list[tuple[str, int, int]]]]) -> list[l
 
 def lexed(text: str) -> list[sp.Span]:
     """Spans of the literals whose score reaches ``MIN_SCORE``, after propagating constants."""
-    if "=" not in text and ":" not in text and "(" not in text and "</" not in text:
+    if not _MAYBE.search(text):
         return []
     targets: dict[tuple[int, int], tuple[str, list[str]]] = {}
     found = assignments(text)

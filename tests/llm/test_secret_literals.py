@@ -29,19 +29,55 @@ CASES = [
     ("password = A\nA = B\nB = A", []),
     ('password = "C:\\a8Fkd02lP\\', []),
     ("dir: str = 'a8F$kd02lPqX'", []),
+    (f"f(password='{VALUE}')", [VALUE]),
+    ("author = 'Jonathan Swift 1726'", []),
+    ("authority: 'Berlin2023Office'", []),
+    ("PASSWORD=$SECRET_KEY_REF", []),
+    ("password = os.environ", []),
+    ("password = os.environ['DB_PASSWORD_2X']", []),
+    (f'password = os.getenv("{VALUE}")', []),
+    ("token = next_token", []),
+    ("the password: is good and so", []),
+    (f'password = /* prod */ "{VALUE}"', [VALUE]),
+    (f'password = // prod\n "{VALUE}"', [VALUE]),
+    (f"password: |\n  {VALUE}\n  more9Lines\nnext: 1", [VALUE, "more9Lines"]),
+    (f'x = """{VALUE}\nq"""\npassword = x', [f"{VALUE}\nq"]),
+    ("export API_KEY=abc9ZZk2kd83", ["abc9ZZk2kd83"]),
+    (f'<add key="DbPassword" value="{VALUE}"/>', [VALUE]),
+    (f'setPassword("{VALUE}")', [VALUE]),
+    (f'put("password", "{VALUE}")', [VALUE]),
+    (f'headers["X-Auth-Token"] = "{VALUE}"', [VALUE]),
+    ('{"config": "{\\"password\\": \\"a8Fxkd02lPqX\\"}"}', ["a8Fxkd02lPqX"]),
+    (f"don't set password = '{VALUE}' it's", [VALUE]),
+    ("password = 'ab' + 'c9Xk2Q' \\\n 'zz9'", ["ab", "c9Xk2Q", "zz9"]),
+    (f"dbpassword := `{VALUE}`", [VALUE]),
+    (f'password = Secret("{VALUE}")', [VALUE]),
+    ('let k = b"x8Kq02mZpl"; api_key = k', ["x8Kq02mZpl"]),
+    (f"{'n' * 300}_password{' ' * 200}= '{VALUE}'", [VALUE]),
 ]
 
 
+def test_names_are_read_as_words():
+    weights = {"author": 0.0, "tokenizer": 0.0, "authToken": 0.9, "API-KEY": 1.0, "DB_PASSWORDS": 1.0, "dbpassword": 1.0, "monkey": 0.0, "auth": 0.5, "keyboard": 0.0}
+    assert {n: secrets.name_weight(n) for n in weights} == weights
+
+
+def test_lexer_finds_what_the_base_patterns_do_not():
+    for text, want in CASES:
+        if want and "private" in text:
+            assert not secrets.base_spans(text)
+
+
 @pytest.mark.parametrize("text, want", CASES)
 def test_whole_literals(text, want):
     assert [text[a:b] for _, a, b in secrets.lexed(text)] == want
 
 
-@pytest.mark.parametrize("unit", ['k="', "k='\\", 'k: a = "\\"', "<a>b", "a\\\"='", "n{0} = n{1}\n"])
+@pytest.mark.parametrize("unit", ['"', '\\"', '"""', "a:b:", "key:", "x: |\n  y\n", "/*", "a = /*", 'put("a",', "a=b=c=", 'k="', "k='\\", 'k: a = "\\"', "<a>b", "a\\\"='", "n{0} = n{1}\n"])
 def test_time_is_linear(unit):
     took = []
     for n in (4000, 32000):
-        text = "".join(unit.format(i, i + 1) for i in range(n))
+        text = "password " + "".join(unit.format(i, i + 1) for i in range(n))
         began = time.process_time()
         secrets.lexed(text)
         took.append(time.process_time() - began)
