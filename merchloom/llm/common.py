@@ -96,3 +96,14 @@ def renamed(df: DataFrame, **columns: str) -> DataFrame:
     """Only the named columns of ``df``, under the given names, so that extra columns never clash.
     Columns that have their name already stay as they are: an alias would hide that exchanges are equal."""
     return df.select(*[df[source] if source == name else df[source].alias(name) for name, source in columns.items()])
+
+
+def planes(x: np.ndarray) -> bytes:
+    """The bytes of some numbers, first bytes first: planes of zeros compress to nothing in the shuffle."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes() if len(x) else b""
+
+
+def numbers(blobs: list[bytes], kind: type) -> np.ndarray:
+    """The numbers of some blobs of planes."""
+    width = np.dtype(kind).itemsize
+    return np.concatenate([np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(width, -1).T).view(kind).ravel() for b in blobs]) if blobs else np.empty(0, kind)

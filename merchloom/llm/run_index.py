@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, renamed
+from .common import as_bytes, numbers, planes, renamed
 
 LENGTH, GRAM = 50, 16
 #: Bytes of text for each bucket of anchors, and bytes that a task takes at once.
@@ -124,17 +124,6 @@ def _pieces(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.nda
                 yield piece, np.array([len(piece)]), np.array([i]), np.array([at])
 
 
-def _planes(x: np.ndarray) -> bytes:
-    """The bytes of some numbers, first bytes first: planes of zeros compress to nothing in the shuffle."""
-    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes() if len(x) else b""
-
-
-def _numbers(blobs: list[bytes], kind: type) -> np.ndarray:
-    """The numbers of some blobs of planes."""
-    width = np.dtype(kind).itemsize
-    return np.concatenate([np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(width, -1).T).view(kind).ravel() for b in blobs]) if blobs else np.empty(0, kind)
-
-
 def _pack(place: np.ndarray, left: np.ndarray, span: np.ndarray) -> np.ndarray:
     """Start of the first window, bytes to the anchor and further window starts, in one number."""
     return (place << 16) | (left << 8) | span
@@ -153,7 +142,7 @@ def _anchor_rows(buckets: int):
     def row(bucket, h, ids, places):
         # Ids ascend, so their differences are small numbers. In a bucket half a hash tells anchors apart:
         # a chance meeting makes a segment more, and no mark.
-        return bucket, _planes((h >> np.uint64(32)).astype(np.uint32)), _planes(np.diff(ids, prepend=0)), _planes(places)
+        return bucket, planes((h >> np.uint64(32)).astype(np.uint32)), planes(np.diff(ids, prepend=0)), planes(places)
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -206,8 +195,8 @@ def _by_bucket(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[tupl
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for bucket, blobs in _by_bucket(batches, 3):
-        h, places = _numbers(blobs[0], np.uint32), _numbers(blobs[2], np.int64)
-        ids = np.concatenate([np.cumsum(_numbers([x], np.int64)) for x in blobs[1]])
+        h, places = numbers(blobs[0], np.uint32), numbers(blobs[2], np.int64)
+        ids = np.concatenate([np.cumsum(numbers([x], np.int64)) for x in blobs[1]])
         if bucket >= 0:
             order = np.argsort(h, kind="stable")
             h, ids, places = h[order], ids[order], places[order]
@@ -235,8 +224,8 @@ def _segment_rows(buckets: int):
     def row(bucket, segments, data, twins=()):
         ids, keys, starts, lengths, parts = (np.array(x, np.int64) for x in zip(*segments))
         twin_starts, twin_of = (np.array(x, np.int64) for x in zip(*twins)) if twins else (np.empty(0, np.int64),) * 2
-        numbers = np.diff(ids, prepend=0), keys, starts, lengths  # ids ascend
-        return bucket, *map(_planes, numbers), pa.compress(data, "zstd", asbytes=True), parts.astype(np.uint8).tobytes(), _planes(twin_starts), _planes(twin_of)
+        described = np.diff(ids, prepend=0), keys, starts, lengths  # ids ascend
+        return bucket, *map(planes, described), pa.compress(data, "zstd", asbytes=True), parts.astype(np.uint8).tobytes(), planes(twin_starts), planes(twin_of)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -424,17 +413,17 @@ def _bucket_marks(ids: np.ndarray, keys: np.ndarray, starts: np.ndarray, lengths
 
 def _matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for bucket, blobs in _by_bucket(batches, 8):
-        keys, starts, lengths = (_numbers(x, np.int64) for x in blobs[1:4])
-        ids = np.concatenate([np.cumsum(_numbers([x], np.int64)) for x in blobs[0]])
+        keys, starts, lengths = (numbers(x, np.int64) for x in blobs[1:4])
+        ids = np.concatenate([np.cumsum(numbers([x], np.int64)) for x in blobs[0]])
         if bucket < 0:
             doc_id, key, begin, size = ids, keys, starts, lengths
         else:
             before = np.cumsum([0, *(len(x) // 8 for x in blobs[0])])[:-1]
-            twins = np.concatenate([_numbers([x], np.int64) + base for x, base in zip(blobs[7], before)])
+            twins = np.concatenate([numbers([x], np.int64) + base for x, base in zip(blobs[7], before)])
             parts = np.frombuffer(b"".join(blobs[5]), np.uint8)
-            sizes = [int(_numbers([x], np.int64).sum()) for x in blobs[3]]
+            sizes = [int(numbers([x], np.int64).sum()) for x in blobs[3]]
             text = b"".join(pa.decompress(x, n, "zstd", asbytes=True) for x, n in zip(blobs[4], sizes))
-            doc_id, key, begin, size = _bucket_marks(ids, keys, starts, lengths, text, parts, _numbers(blobs[6], np.int64), twins)
+            doc_id, key, begin, size = _bucket_marks(ids, keys, starts, lengths, text, parts, numbers(blobs[6], np.int64), twins)
         if len(doc_id):
             # A mark is one number: the text it is for, where it begins, and its length.
             yield pa.RecordBatch.from_arrays([pa.array(doc_id), pa.array(key << 40 | begin << 8 | size)], ["doc_id", "mark"])

@@ -276,29 +276,6 @@ def test_brown_base_score_and_held_out(docs, rows):
         assert math.isclose(r["base_score"], base[r["doc_id"]], rel_tol=1e-9) and math.isfinite(r["score"]) and r["score"] < 0
 
 
-def test_brown_probabilities_sum_to_one():
-    import numpy as np
-
-    rng = np.random.default_rng(0)
-    words = [b"", *[f"w{i}".encode() for i in range(40)]]
-    counts = rng.integers(1, 60, len(words))
-    stream = rng.permutation(np.repeat(np.arange(len(words)), counts))
-    n = len(words) + brown.ENDINGS
-    bigrams = np.zeros((n, n), np.int64)
-    np.add.at(bigrams, (np.concatenate([[0], stream[:-1]]), stream), 1)
-    types = np.concatenate([np.ones(len(words)), np.zeros(brown.ENDINGS)])
-    of = brown.exchange(bigrams, 0)
-    assert of[0] == 0 and (of[1 : len(words)] > 0).all()
-    model = brown.Model(bigrams, types, of, 0.5)
-    emit = np.zeros(brown.CLASSES)
-    for w, c in enumerate(counts):
-        emit[of[w]] += (c - 0.5) / 10 ** model.log_size[of[w]]
-    seen = np.isfinite(model.log_unseen)
-    emit[seen] += 10 ** (model.log_unseen[seen] - model.log_size[seen])
-    for g in set(of[: len(words)]):
-        assert math.isclose(sum(10 ** model.transitions[g, k] * emit[k] for k in range(brown.CLASSES)), 1, rel_tol=1e-9)
-
-
 def test_brown_beats_unigrams_on_structured_text(spark):
     import random
 
