@@ -154,12 +154,22 @@ class Sums:
 _BLOBS = "part long, keys binary, counts binary"
 
 
+def packed(x: np.ndarray) -> bytes:
+    """Some 64-bit numbers, compressed: what a task holds of a batch stays small."""
+    return len(x).to_bytes(8, "little") + pa.compress(planes(x.astype(np.int64)), "zstd", asbytes=True)
+
+
+def unpacked(blob: bytes) -> np.ndarray:
+    n = int.from_bytes(blob[:8], "little")
+    return numbers([pa.decompress(blob[8:], 8 * n, "zstd", asbytes=True)], np.int64)
+
+
 def _blobs(keys: np.ndarray, counts: np.ndarray, part: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Ascending keys with their counts, as one row of blobs for each part."""
     order = np.argsort(part, kind="stable")
     keys, counts, part = keys[order], counts[order], part[order]
     cuts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
-    rows = [(int(part[a]), planes(np.diff(keys[a:b], prepend=0)), planes(counts[a:b])) for a, b in zip(cuts, [*cuts[1:], len(keys)])]
+    rows = [(int(part[a]), packed(np.diff(keys[a:b], prepend=0)), packed(counts[a:b])) for a, b in zip(cuts, [*cuts[1:], len(keys)])]
     yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), *(pa.array([r[k] for r in rows], pa.binary()) for k in (1, 2))], ["part", "keys", "counts"])
 
 
@@ -167,12 +177,12 @@ def _by_part(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Sums]]:
     """The sums of each part; rows come sorted by part."""
     now, sums = None, Sums()
     for batch in batches:
-        for part, keys, counts in zip(*(c.to_pylist() for c in batch.columns)):
+        for part, keys, counts in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
             if part != now:
                 if now is not None:
                     yield now, sums
                 now, sums = part, Sums()
-            sums.add(np.cumsum(numbers([keys], np.int64)), numbers([counts], np.int64))
+            sums.add(np.cumsum(unpacked(keys.as_py())), unpacked(counts.as_py()))
     if now is not None:
         yield now, sums
 
@@ -227,11 +237,11 @@ def neighbours(texts: DataFrame, classed: list[bytes]) -> DataFrame:
             keys, counts = sums.all()
             word, other, side = keys // (2 * n), keys // 2 % n, keys & 1
             words = np.unique(word)
-            row = [words.astype(np.int32).tobytes()]
+            row = [packed(words)]
             for s in (0, 1):
                 own = side == s
                 of = np.searchsorted(words, word[own])
-                row += [np.bincount(of, minlength=len(words)).astype(np.int32).tobytes(), other[own].astype(np.int32).tobytes(), planes(counts[own])]
+                row += [packed(np.bincount(of, minlength=len(words))), packed(other[own]), packed(counts[own])]
             yield pa.RecordBatch.from_arrays([pa.array([part]), *(pa.array([x], pa.binary()) for x in row)], ["part", *_SIDES])
 
     summed = _dealt(texts.select("text"), paired, _BLOBS)
@@ -252,11 +262,10 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]
     """(words, index of the word of each right pair, right neighbour, count, and the same to the left) of each part."""
     for batch in batches:
         for i in range(batch.num_rows):
-            own = [batch.column(k)[i].as_py() for k in range(1, 8)]
-            words = np.frombuffer(own[0], np.int32)
+            words, *own = (unpacked(batch.column(k)[i].as_py()) for k in range(1, 8))
             out = [words]
-            for k in (1, 4):
-                out += [np.repeat(np.arange(len(words)), np.frombuffer(own[k], np.int32)), np.frombuffer(own[k + 1], np.int32), numbers([own[k + 2]], np.int64)]
+            for k in (0, 3):
+                out += [np.repeat(np.arange(len(words)), own[k]), own[k + 1], own[k + 2]]
             yield tuple(out)
 
 
@@ -438,25 +447,29 @@ def tail_classes(texts: DataFrame, classed: list[bytes], of: np.ndarray, tail_bi
             yield from _blobs(keys, counts, np.full(len(keys), page))
 
     def scores(page: int, blob: bytes, times: bytes) -> tuple[np.ndarray, ...]:
-        """Items of a page, their scores by class, and the (item, ending, count) of their words."""
-        keys, counts = np.cumsum(numbers([blob], np.int64)), numbers([times], np.int64)
+        """The scores of the items of a page by class, and the (item, ending, count) of their words."""
+        keys, counts = np.cumsum(unpacked(blob)), unpacked(times)
         item, code = keys // codes - page * PAGE, keys % codes
-        items, at = np.unique(item, return_inverse=True)
-        score = np.zeros((len(items), k))
         near = code < 2 * k
-        if near.any():
-            first = np.flatnonzero(np.concatenate([[True], at[near][1:] != at[near][:-1]]))
-            score[at[near][first]] = np.add.reduceat(counts[near][:, None] * weights[code[near]], first)
+        met = np.bincount(item[near] * 2 * k + code[near], weights=counts[near], minlength=PAGE * 2 * k)
+        score = met.reshape(PAGE, 2 * k) @ weights
         score[:, 0] = -np.inf
-        return items, score, at[~near], code[~near] - 2 * k, counts[~near]
+        return score, item[~near], code[~near] - 2 * k, counts[~near]
+
+    def added(total: np.ndarray, at: np.ndarray, rows: Callable) -> None:
+        """Adds rows(i) to the rows at[i], some at a time."""
+        for i in range(0, len(at), PAGE):
+            part = slice(i, i + PAGE)
+            np.add.at(total, at[part], rows(part))
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((ENDINGS, k))
         for batch in batches:
             for page, blob, times in zip(*(c.to_pylist() for c in batch.columns)):
-                _, score, at, end, _ = scores(page, blob, times)
+                score, at, end, _ = scores(page, blob, times)
                 chance = np.exp(score - score.max(axis=1, keepdims=True))
-                np.add.at(total, end, (chance / chance.sum(axis=1, keepdims=True))[at])
+                chance /= chance.sum(axis=1, keepdims=True)
+                added(total, end, lambda part: chance[at[part]])
         cells = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(total.ravel()[cells])], ["cell", "c"])
 
@@ -474,12 +487,12 @@ def tail_classes(texts: DataFrame, classed: list[bytes], of: np.ndarray, tail_bi
     def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for page, blob, times in zip(*(c.to_pylist() for c in batch.columns)):
-                items, score, at, end, counts = scores(page, blob, times)
-                share = counts / np.bincount(at, weights=counts, minlength=len(items))[at]
+                score, at, end, counts = scores(page, blob, times)
+                share = counts / np.bincount(at, weights=counts, minlength=PAGE)[at]
                 own = np.zeros_like(score)
-                np.add.at(own, at, share[:, None] * np.maximum(prior[end], -1e6))
+                added(own, at, lambda part: share[part, None] * np.maximum(prior[end[part]], -1e6))
                 classes = np.zeros(PAGE, np.uint8)
-                classes[items] = 1 + np.argmax(score[:, 1:] + PRIOR * own[:, 1:], axis=1)
+                classes[at] = 1 + np.argmax(score[at, 1:] + PRIOR * own[at, 1:], axis=1)
                 yield pa.RecordBatch.from_arrays([pa.array([page]), pa.array([classes.tobytes()], pa.binary())], ["page", "classes"])
 
     out = np.zeros(max(PAGE, 1 << tail_bits), np.uint8)
