@@ -20,7 +20,7 @@ smaller id is removed. The work is routed so that equal strings meet:
 
 Copies do not pile up: within a batch one witness stands for all occurrences of an
 anchor, and one segment for all equal ones (the others are marked at once, since the
-first of them is earlier), in a batch and again in a bucket. The texts are shuffled once; the three uses of that shuffle
+first of them is earlier), in a batch and again in a bucket. The texts are shuffled once; both uses of that shuffle
 are the same exchange, which Spark reuses. Numbers of buckets follow the size of the input.
 
 Defined results: null and empty texts lose nothing; a row without id neither loses nor
@@ -40,9 +40,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, numbers, planes, renamed
+from .common import as_bytes, bitmap, has_bit, materialize, numbers, planes, renamed
 
-LENGTH, GRAM = 50, 16
+LENGTH, GRAM = 50, 24
+#: Contexts of an anchor, counted in each batch, from which on its windows are dealt one by one.
+HOT = 4096
 #: Bytes of text for each bucket of anchors, and bytes that a task takes at once.
 BUCKET_BYTES, BATCH_BYTES, SLICE_BYTES = 16 << 20, 3 << 20, 8 << 20
 #: Buckets of segments for each bucket of anchors, and parts of a bucket that are indexed one after the
@@ -53,23 +55,37 @@ _KEY_BITS = 23
 _MULTIPLIER = 0x9E3779B97F4A7C15
 
 
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = h ^ (h >> np.uint64(29))
+    h = h * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(32))
+
+
 def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
-    """A mixed 64-bit hash of each ``gram`` bytes (a power of two), by doubling."""
-    h, width = data.astype(np.uint64) + np.uint64(1), 1
-    while width < gram:
+    """A mixed 64-bit hash of each ``gram`` bytes, from those of powers of two."""
+    h, width, done, out = data.astype(np.uint64) + np.uint64(1), 1, 0, None
+    while True:
+        if gram & width:
+            out = h if out is None else out[: len(h) - done] * np.uint64(pow(_MULTIPLIER, width, 1 << 64)) + h[done:]
+            done += width
+        if 2 * width > gram:
+            return _mixed(out)
         h = h[:-width] * np.uint64(pow(_MULTIPLIER, width, 1 << 64)) + h[width:]
         width *= 2
-    h ^= h >> np.uint64(29)
-    h *= np.uint64(0xBF58476D1CE4E5B9)
-    return h ^ (h >> np.uint64(32))
+
+
+def hashes_at(data: np.ndarray, places: np.ndarray, gram: int) -> np.ndarray:
+    """``gram_hashes`` of some places only."""
+    powers = np.array([pow(_MULTIPLIER, gram - 1 - i, 1 << 64) for i in range(gram)], np.uint64)
+    return _mixed(((data[places[:, None] + np.arange(gram)].astype(np.uint64) + np.uint64(1)) * powers).sum(axis=1))
 
 
 def anchors(data: np.ndarray, lengths: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """(hash, document, place of the anchor, first and last window start) of every anchor of some
-    documents laid end to end. Windows that cross documents have none."""
+    """(hash, document, place of the anchor, first and last window start, hash of the grams beside it) of every
+    anchor of some documents laid end to end. Windows that cross documents have none."""
     n = len(data)
     if n < length:
-        return tuple(np.empty(0, t) for t in (np.uint64, np.int64, np.int64, np.int64, np.int64))
+        return tuple(np.empty(0, t) for t in (np.uint64, np.int64, np.int64, np.int64, np.int64, np.uint64))
     hashes = gram_hashes(data, gram)
     mask = np.uint64((1 << _POSITION_BITS) - 1)
     least = (hashes & ~mask) | np.arange(len(hashes), dtype=np.uint64)
@@ -85,7 +101,9 @@ def anchors(data: np.ndarray, lengths: np.ndarray, length: int = LENGTH, gram: i
     # A place serves a run of window starts; starts of another document have other places.
     first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]])) if len(place) else np.empty(0, np.int64)
     last = np.concatenate([first[1:], [len(place)]]) - 1 if len(place) else first
-    return hashes[place[first]], document[starts[first]], place[first], starts[first], starts[last]
+    at, end = place[first], len(hashes) - 1
+    beside = hashes[np.maximum(at - gram, 0)] * np.uint64(_MULTIPLIER) + hashes[np.minimum(at + gram, end)]
+    return hashes[at], document[starts[first]], at, starts[first], starts[last], beside
 
 
 def _blocks(ids: list, texts: list[bytes]) -> Iterator[tuple[np.ndarray, list[bytes]]]:
@@ -149,26 +167,32 @@ def _anchor_rows(buckets: int):
             for ids, texts in _blocks(batch.column(0).to_pylist(), as_bytes(batch.column(2))):
                 found = []
                 for data, lengths, index, offset in _pieces(texts):
-                    h, doc, place, first, last = anchors(data, lengths)
+                    h, doc, place, first, last, beside = anchors(data, lengths)
                     begin = np.concatenate([[0], np.cumsum(lengths)[:-1]])[doc]
-                    found.append((h, index[doc], _pack(first - begin + offset[doc], place - first, last - first)))
+                    found.append((h, index[doc], _pack(first - begin + offset[doc], place - first, last - first), beside))
                 if not found:
                     continue
-                h, doc, packed = (np.concatenate(x) for x in zip(*found))
+                h, doc, packed, beside = (np.concatenate(x) for x in zip(*found))
                 order = np.lexsort((doc, h))  # texts are in the order of their ids
-                h, own, packed = h[order], ids[doc[order]], packed[order]
+                h, own, packed, beside = h[order], ids[doc[order]], packed[order], beside[order]
                 new = np.concatenate([[True], h[1:] != h[:-1]])[: len(h)]
                 start = np.flatnonzero(new)
                 if not len(start):
                     continue
                 rows = []
-                shared = (np.minimum.reduceat(own, start) < np.maximum.reduceat(own, start))[np.cumsum(new) - 1]
+                group = np.cumsum(new) - 1
+                shared = (np.minimum.reduceat(own, start) < np.maximum.reduceat(own, start))[group]
+                contexts = np.ones(len(start), np.int64)
                 if shared.any():
+                    both = np.lexsort((beside[shared], group[shared]))
+                    of, near = group[shared][both], beside[shared][both]
+                    contexts = np.bincount(of[np.concatenate([[True], (of[1:] != of[:-1]) | (near[1:] != near[:-1])])], minlength=len(start))
                     # Known to be shared already: they pass the buckets by, with one witness left in their stead.
                     order = np.argsort(own[shared], kind="stable")
                     rows.append(row(-1 - int(xxhash.xxh64_intdigest(packed.tobytes()) >> 2), h[:0], own[shared][order], packed[shared][order]))
                 keep = ~shared | new
-                h, own, packed = h[keep], own[keep], np.where(shared[keep], -1, packed[keep])
+                # The witness of a shared anchor tells in how many contexts it stands.
+                h, own, packed = h[keep], own[keep], np.where(shared[keep], -contexts[group[keep]], packed[keep])
                 bucket = (h % np.uint64(buckets)).astype(np.int64)
                 order = np.lexsort((own, bucket))
                 cuts = np.flatnonzero(np.diff(bucket[order])) + 1
@@ -193,19 +217,27 @@ def _by_bucket(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[tupl
         yield now, held
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for bucket, blobs in _by_bucket(batches, 3):
-        h, places = numbers(blobs[0], np.uint32), numbers(blobs[2], np.int64)
-        ids = np.concatenate([np.cumsum(numbers([x], np.int64)) for x in blobs[1]])
-        if bucket >= 0:
-            order = np.argsort(h, kind="stable")
-            h, ids, places = h[order], ids[order], places[order]
-            new = np.concatenate([[True], h[1:] != h[:-1]])
-            start = np.flatnonzero(new)
-            keep = (np.minimum.reduceat(ids, start) < np.maximum.reduceat(ids, start))[np.cumsum(new) - 1] & (places >= 0)
-            ids, places = ids[keep], places[keep]
-        if len(ids):
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(places)], ["doc_id", "place"])
+def _sharing(hot_contexts: int):
+    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(doc_id, place) of the anchors that are shared; without doc_id the half hash of each hot anchor."""
+        for bucket, blobs in _by_bucket(batches, 3):
+            h, places = numbers(blobs[0], np.uint32), numbers(blobs[2], np.int64)
+            ids = np.concatenate([np.cumsum(numbers([x], np.int64)) for x in blobs[1]])
+            if bucket >= 0:
+                order = np.argsort(h, kind="stable")
+                h, ids, places = h[order], ids[order], places[order]
+                new = np.concatenate([[True], h[1:] != h[:-1]])
+                start = np.flatnonzero(new)
+                hot = np.add.reduceat(np.where(places < 0, -places, 1), start) > hot_contexts
+                if hot.any():
+                    halves = h[start[hot]].astype(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.nulls(len(halves), pa.int64()), pa.array(halves)], ["doc_id", "place"])
+                keep = (np.minimum.reduceat(ids, start) < np.maximum.reduceat(ids, start))[np.cumsum(new) - 1] & (places >= 0)
+                ids, places = ids[keep], places[keep]
+            if len(ids):
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(places)], ["doc_id", "place"])
+
+    return shared
 
 
 def _slices(batch: pa.RecordBatch, text: int) -> Iterator[pa.RecordBatch]:
@@ -220,7 +252,7 @@ def _slices(batch: pa.RecordBatch, text: int) -> Iterator[pa.RecordBatch]:
 _SEGMENT_ROWS = "bucket long, ids binary, keys binary, starts binary, lengths binary, bytes binary, parts binary, twin_starts binary, twin_of binary"
 
 
-def _segment_rows(buckets: int):
+def _segment_rows(buckets: int, hot):
     def row(bucket, segments, data, twins=()):
         ids, keys, starts, lengths, parts = (np.array(x, np.int64) for x in zip(*segments))
         twin_starts, twin_of = (np.array(x, np.int64) for x in zip(*twins)) if twins else (np.empty(0, np.int64),) * 2
@@ -245,21 +277,26 @@ def _segment_rows(buckets: int):
         for i in sorted(range(len(ids)), key=ids.__getitem__):
             own = values[ends[i] - offsets[i] : ends[i]]
             text, doc, key = texts[i], ids[i], keys[i]
-            for start, left, span in zip((own >> 16).tolist(), (own >> 8 & 255).tolist(), (own & 255).tolist()):
-                segment = text[start : start + span + LENGTH]
-                if len(segment) < LENGTH:  # a place of another row with this id
-                    continue
-                seen = first.get(segment)
-                if seen and seen[0] < doc:
-                    later.append((doc, key, start, len(segment), 0))
-                elif seen and seen[1] == key:  # again in the same text: it shares the marks of the first
-                    dealt[seen[2]][2].append((start, seen[3]))
-                else:
-                    part, bucket = divmod(digest(segment[left : left + GRAM], 11), buckets)
-                    rows, segments, _ = dealt.setdefault(bucket, ([], [], []))
-                    first.setdefault(segment, (doc, key, bucket, len(rows)))
-                    rows.append((doc, key, start, len(segment), part % PARTS))
-                    segments.append(segment)
+            start, left, span = own >> 16, own >> 8 & 255, own & 255
+            inside = start + span + LENGTH <= len(text)  # others are places of another row with this id
+            start, left, span = start[inside], left[inside], span[inside]
+            alone = np.zeros(len(start), bool)
+            if hot is not None and len(start):
+                alone = has_bit(hot.value, (hashes_at(np.frombuffer(text, np.uint8), start + left, GRAM) >> np.uint64(32)).astype(np.int64))
+            for begin, to_anchor, more, by_window in zip(start.tolist(), left.tolist(), span.tolist(), alone.tolist()):
+                for at, size in zip(range(begin, begin + more + 1), [LENGTH] * (more + 1)) if by_window else ((begin, more + LENGTH),):
+                    segment = text[at : at + size]
+                    seen = first.get(segment)
+                    if seen and seen[0] < doc:
+                        later.append((doc, key, at, size, 0))
+                    elif seen and seen[1] == key:  # again in the same text: it shares the marks of the first
+                        dealt[seen[2]][2].append((at, seen[3]))
+                    else:
+                        part, bucket = divmod(digest(segment if by_window else segment[to_anchor : to_anchor + GRAM], 11), buckets)
+                        rows, segments, _ = dealt.setdefault(bucket, ([], [], []))
+                        first.setdefault(segment, (doc, key, bucket, len(rows)))
+                        rows.append((doc, key, at, size, part % PARTS))
+                        segments.append(segment)
         found = [row(bucket, rows, b"".join(segments), twins) for bucket, (rows, segments, twins) in dealt.items()]
         if later:
             found.append(row(-1 - int(digest(str(later[0])) >> 2), later, b""))
@@ -438,7 +475,7 @@ def merged(begins: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return begins[first], reach[np.concatenate([first[1:], [len(begins)]]) - 1]
 
 
-def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = BUCKET_BYTES, hot_contexts: int = HOT) -> DataFrame:
     """(doc_id, key, text, marks) per row of ``docs``: the byte intervals to remove from the rows with this id,
     as numbers that hold a text's key, a begin and a length; not yet merged."""
     rows = renamed(docs, doc_id=id_col, text=text_col)
@@ -447,18 +484,22 @@ def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows = rows.select(doc_id, F.hash("text").bitwiseAND((1 << _KEY_BITS) - 1).alias("key"), "text")
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, -(-total // bucket_bytes))
-    # The same filter in each use, so that all uses are one exchange.
-    texts = rows.where("doc_id IS NOT NULL").repartition("doc_id")
-    anchor_rows = texts.mapInArrow(_anchor_rows(buckets), _ANCHOR_ROWS).repartition(F.col("bucket")).sortWithinPartitions("bucket")
-    shared = anchor_rows.mapInArrow(_shared, "doc_id long, place long")
-    places = shared.groupBy("doc_id").agg(F.collect_set("place").alias("places"))
-    segment_rows = (
-        texts.join(places, "doc_id")
-        .select("doc_id", "key", "text", "places")
-        .mapInArrow(_segment_rows(INDEX_BUCKETS * buckets), _SEGMENT_ROWS)
-        .repartition(F.col("bucket"))
-        .sortWithinPartitions("bucket")
-    )
+    with_id = rows.where("doc_id IS NOT NULL")
+
+    def by_bucket(blobs: DataFrame, n: int) -> DataFrame:
+        """Rows of one bucket in one task; where there are more buckets than partitions, as many partitions as buckets."""
+        default = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        dealt = blobs.repartition(n, F.col("bucket")) if n > default else blobs.repartition(F.col("bucket"))
+        return dealt.sortWithinPartitions("bucket")
+
+    shared = materialize(by_bucket(with_id.mapInArrow(_anchor_rows(buckets), _ANCHOR_ROWS), buckets).mapInArrow(_sharing(hot_contexts), "doc_id long, place long"), "anchors")
+    table, n_hot = bitmap(shared.where("doc_id IS NULL"), "place")
+    hot = docs.sparkSession.sparkContext.broadcast(table) if n_hot else None
+    places = shared.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.collect_set("place").alias("places"))
+    # The same in each use, so that both uses are one exchange.
+    texts = with_id.repartition("doc_id")
+    cut = texts.join(places, "doc_id").select("doc_id", "key", "text", "places").mapInArrow(_segment_rows(INDEX_BUCKETS * buckets, hot), _SEGMENT_ROWS)
+    segment_rows = by_bucket(cut, INDEX_BUCKETS * buckets)
     marks = segment_rows.mapInArrow(_matched, "doc_id long, mark long").groupBy("doc_id").agg(F.collect_list("mark").alias("marks"))
     without_id = rows.where("doc_id IS NULL").select("doc_id", "key", "text", F.lit(None).cast("array<bigint>").alias("marks"))
     return texts.join(marks, "doc_id", "left").select("doc_id", "key", "text", "marks").union(without_id)
@@ -483,8 +524,8 @@ def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text"])
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = BUCKET_BYTES, hot_contexts: int = HOT) -> DataFrame:
     """Per row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the text that is left
     (bytes that are no longer whole characters are replaced in it, not in the digest)."""
-    spans = removed_spans(docs, id_col, text_col, bucket_bytes)
+    spans = removed_spans(docs, id_col, text_col, bucket_bytes, hot_contexts)
     return spans.mapInArrow(_cut_out, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string")

@@ -137,10 +137,32 @@ def test_run_index_long_texts_are_hashed_in_pieces(spark, monkeypatch):
     texts.append(texts[0][700:2100] + texts[1][100:900])
     import numpy as np
 
-    found = {(int(index[d]), int(first - (np.cumsum(lengths) - lengths)[d] + offset[d])) for data, lengths, index, offset in run_index._pieces(texts) for h, d, place, first, last in zip(*run_index.anchors(data, lengths)) for first in range(first, last + 1)}
+    found = {(int(index[d]), int(first - (np.cumsum(lengths) - lengths)[d] + offset[d])) for data, lengths, index, offset in run_index._pieces(texts) for h, d, place, first, last, beside in zip(*run_index.anchors(data, lengths)) for first in range(first, last + 1)}
     assert found == {(i, s) for i, t in enumerate(texts) for s in range(len(t) - 49)}
 
 
+def test_run_index_hot_anchors_are_dealt_by_window(spark):
+    """Lead-ins that other text follows each time: the same result with and without hot anchors."""
+    import random
+
+    rng = random.Random(8)
+    word = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
+    tails = [word(60) for _ in range(20)]
+    rows = [(i, word(30) + "the same lead-in of some 40 bytes in all: " + rng.choice(tails)[: rng.randint(5, 60)] + word(40)) for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    for hot in (0, 20, 4096):
+        assert by_row(run_index.remove_repeats(docs, hot_contexts=hot), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == run_index_brute(rows, 50)
+
+
+def test_run_index_gram_hashes_by_place():
+    import numpy as np
+
+    data = np.frombuffer(bytes(range(256)) * 2, np.uint8)
+    for gram in (1, 5, 16, 24):
+        every = run_index.gram_hashes(data, gram)
+        assert len(every) == len(data) - gram + 1 and (run_index.hashes_at(data, np.arange(len(every)), gram) == every).all() and len(set(every.tolist())) == 256
+
+
 def test_run_index_same_id_explains_nothing(spark):
     text = "abcdefghij" * 3 + "klmnopqrstuvwxyz" * 4
     docs = spark.createDataFrame([(1, text), (1, text + "!"), (2, text), (None, text)], "doc_id long, text string")
