@@ -70,19 +70,26 @@ def breadcrumbs(nodes: DataFrame, root: Column) -> DataFrame:
     return joined.select("id", F.concat_ws(" / ", shown, F.col("name")).alias("crumbs"))
 
 
-def unique_slugs(new: DataFrame, taken: DataFrame, limit: int = 200) -> DataFrame:
-    """``new`` (id, base) with a free slug each: the base, or the base with -2, -3 and so on, in the order
-    of the ids, skipping what ``taken`` (slug) holds."""
+def unique_slugs(new: DataFrame, taken: DataFrame, limit: int = 180) -> DataFrame:
+    """``new`` (id, base) with a free slug each: the base, cut to ``limit``, or it with -2, -3 and so on, in the order
+    of the ids, skipping what ``taken`` (slug) holds. A slug that is another new row's base is left to that row,
+    so all slugs differ: from one another and from the taken ones."""
+    new = new.withColumn("base", F.substring("base", 1, limit))
     wanted = new.groupBy("base").agg(F.count("*").alias("n_new"))
-    suffix = F.regexp_extract("slug", r"-([0-9]{1,9})$", 1)
-    as_base = taken.select(F.col("slug").alias("base"), F.lit(1).alias("i"))
-    as_copy = taken.where(suffix != "").select(F.regexp_replace("slug", r"-[0-9]{1,9}$", "").alias("base"), suffix.cast("int").alias("i")).where("i >= 2")
-    used = as_base.union(as_copy).join(wanted, "base", "left_semi").groupBy("base").agg(F.collect_set("i").alias("used"))
+    suffix = r"-([2-9]|[1-9][0-9]{1,8})$"
+
+    def numbers_in(slugs: DataFrame) -> DataFrame:
+        """(base, i) of the slugs that a base with a number would give."""
+        i = F.regexp_extract("slug", suffix, 1)
+        return slugs.where(i != "").select(F.regexp_replace("slug", suffix, "").alias("base"), i.cast("int").alias("i"))
+
+    used = taken.select(F.col("slug").alias("base"), F.lit(1).alias("i")).union(numbers_in(taken)).union(numbers_in(wanted.select(F.col("base").alias("slug"))))
+    used = used.join(wanted, "base", "left_semi").groupBy("base").agg(F.collect_set("i").alias("used"))
     free = wanted.join(used, "base", "left").withColumn("used", F.coalesce("used", F.array().cast("array<int>")))
     free = free.withColumn("free", F.array_except(F.sequence(F.lit(1), (F.col("n_new") + F.size("used")).cast("int")), F.col("used"))).select("base", "free")
     turn = F.row_number().over(Window.partitionBy("base").orderBy("id"))
     placed = new.withColumn("turn", turn).join(free, "base").withColumn("i", F.element_at("free", F.col("turn")))
-    return placed.select("id", "base", F.when(F.col("i") == 1, F.substring("base", 1, limit)).otherwise(F.substring(F.concat("base", F.lit("-"), "i"), 1, limit)).alias("slug"))
+    return placed.select("id", "base", F.when(F.col("i") == 1, F.col("base")).otherwise(F.concat("base", F.lit("-"), "i")).alias("slug"))
 
 
 def ultimate(pointers: DataFrame) -> DataFrame:

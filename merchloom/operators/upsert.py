@@ -55,17 +55,16 @@ def replace_children(current: DataFrame, incoming: DataFrame, parent: str, touch
     return current.join(touched, parent, "left_anti").unionByName(incoming)
 
 
-def patch(current: DataFrame, patches: DataFrame, key: str) -> DataFrame:
+def patch(current: DataFrame, patches: DataFrame, key: str, order: str | None = None) -> DataFrame:
     """Tri-state updates: ``patches`` has the key, new values and ``present_fields``, the names of the fields
-    that were sent; a field that was sent as null becomes null, one that was not sent stays."""
-    o, p = current.alias("o"), patches.alias("p")
-    out = [F.col(f"o.{key}")]
-    for c in current.columns:
-        if c != key and c in patches.columns:
-            out.append(F.when(F.array_contains("p.present_fields", c), F.col(f"p.{c}")).otherwise(F.col(f"o.{c}")).alias(c))
-        elif c != key:
-            out.append(F.col(f"o.{c}"))
-    return o.join(p, F.col(f"o.{key}") == F.col(f"p.{key}"), "left").select(*out)
+    that were sent; a field that was sent as null becomes null, one that was not sent stays. Of several patches of
+    one key, each field takes the last value sent, by the column ``order`` (by the patches' contents without one)."""
+    fields = [c for c in current.columns if c != key and c in patches.columns]
+    turn = F.col(order) if order else F.to_json(F.struct(*sorted(set(fields) | {"present_fields"})))
+    last = [F.max(F.when(F.array_contains("present_fields", c), F.struct(turn.alias("turn"), F.col(c).alias("value")))).alias(f"__{c}") for c in fields]
+    sent = patches.groupBy(F.col(key).alias("__key")).agg(*last) if last else patches.select(F.col(key).alias("__key")).distinct()
+    out = [F.when(F.col(f"__{c}").isNotNull(), F.col(f"__{c}.value")).otherwise(F.col(c)).alias(c) if c in fields else F.col(c) for c in current.columns]
+    return current.join(sent, F.col(key) == F.col("__key"), "left").select(*out)
 
 
 def import_rows(products: DataFrame, publish: bool, category: Column, keep: list[str] | None = None) -> DataFrame:

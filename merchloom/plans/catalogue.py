@@ -568,12 +568,26 @@ def merge_chains(spark, d):
     return trees.ultimate(pointers)
 
 
+def _slugs(spark, d):
+    """Part names as bases, every tenth with a number that collides with the copies of another."""
+    name = F.replace("p_name", F.lit(" "), F.lit("-"))
+    new = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.when(F.col("p_partkey") % 10 == 0, F.concat(name, F.lit("-2"))).otherwise(name).alias("base"))
+    taken = table(spark, d, "part").groupBy(name.alias("base")).agg(F.max("p_size").alias("n"))
+    taken = taken.select(F.concat("base", F.when(F.col("n") == 50, "").otherwise("-3")).alias("slug"))
+    return new, taken
+
+
 @query
 def unique_slug(spark, d):
-    new = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.replace("p_name", F.lit(" "), F.lit("-")).alias("base"))
-    taken = table(spark, d, "part").groupBy(F.replace("p_name", F.lit(" "), F.lit("-")).alias("base")).agg(F.max("p_size").alias("n"))
-    taken = taken.select(F.concat("base", F.when(F.col("n") == 50, "").otherwise("-3")).alias("slug"))
-    return trees.unique_slugs(new, taken).select("id", "slug")
+    return trees.unique_slugs(*_slugs(spark, d)).select("id", "slug")
+
+
+@query
+def unique_slug_check(spark, d):
+    new, taken = _slugs(spark, d)
+    slugs = trees.unique_slugs(new, taken)
+    again = slugs.join(taken, "slug", "left_semi")
+    return slugs.agg(F.count("*").alias("n"), F.countDistinct("slug").alias("n_slugs")).join(again.agg(F.count("*").alias("n_taken")), F.lit(True))
 
 
 @query

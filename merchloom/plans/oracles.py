@@ -219,10 +219,15 @@ SELECT id, new_parent, CASE WHEN new_parent IS NULL THEN 'ok' WHEN new_parent =
     "merge_chains": f"""WITH RECURSIVE p AS (SELECT id, merged_into_product_id AS c FROM ({v('products')}) WHERE merged_into_product_id IS NOT NULL),
 w AS (SELECT id, c, c AS u FROM p UNION ALL SELECT w.id, w.c, p.c FROM w JOIN p ON w.u = p.id)
 SELECT id AS loser, any_value(c) AS canonical, min(u) AS ultimate FROM w GROUP BY id""",
-    "unique_slug": """WITH n AS (SELECT p_partkey AS id, replace(p_name, ' ', '-') AS base, row_number() OVER (PARTITION BY p_name ORDER BY p_partkey) AS turn FROM part),
-t AS (SELECT replace(p_name, ' ', '-') AS base, CASE WHEN max(p_size) = 50 THEN 1 ELSE 3 END AS used FROM part GROUP BY p_name),
-f AS (SELECT id, base, CASE WHEN turn >= used THEN turn + 1 ELSE turn END AS i FROM n JOIN t USING (base))
-SELECT id, CASE WHEN i = 1 THEN base ELSE base || '-' || i END AS slug FROM f""",
+    # The k-th row of a base takes the k-th number whose slug is neither taken nor the base of another row.
+    "unique_slug": """WITH n AS (SELECT p_partkey AS id, replace(p_name, ' ', '-') || CASE WHEN p_partkey % 10 = 0 THEN '-2' ELSE '' END AS base FROM part),
+t AS (SELECT replace(p_name, ' ', '-') || CASE WHEN max(p_size) = 50 THEN '' ELSE '-3' END AS slug FROM part GROUP BY p_name),
+g AS (SELECT base, count(*) AS c FROM n GROUP BY base),
+o AS (SELECT base, i, CASE WHEN i = 1 THEN base ELSE base || '-' || i END AS slug FROM (SELECT base, unnest(range(1, c + 12)) AS i FROM g)),
+f AS (SELECT base, slug, row_number() OVER (PARTITION BY base ORDER BY i) AS turn FROM o
+  WHERE slug NOT IN (SELECT slug FROM t) AND (i = 1 OR slug NOT IN (SELECT base FROM g)))
+SELECT id, slug FROM (SELECT id, base, row_number() OVER (PARTITION BY base ORDER BY id) AS turn FROM n) JOIN f USING (base, turn)""",
+    "unique_slug_check": "SELECT count(*) AS n, count(*) AS n_slugs, 0::BIGINT AS n_taken FROM part",
     "legacy_slugs": f"""WITH moved AS ({v('moved_urls')}), {_deep('''SELECT url, CASE source WHEN 'et_market' THEN 'etm-' ELSE 'inh-' END AS prefix FROM moved''')}
 SELECT starts_with(slug, 'etm-') OR slug = 'inh-ua' OR starts_with(slug, 'inh-ua-') AS legacy, count(*) AS n FROM deep GROUP BY 1""",
     "reset_snapshot": f"SELECT id, external_source, NULL::BIGINT AS merged_into_product_id FROM ({v('products')}) WHERE external_source IS NULL",

@@ -58,19 +58,33 @@ def write_snapshot(tables: dict[str, DataFrame], folder: str, version: str) -> s
 
 
 def publish(spark: SparkSession, folder: str, version: str) -> None:
-    """Makes ``version`` the current snapshot: one small table is replaced."""
-    spark.createDataFrame([(version,)], "version string").coalesce(1).write.mode("overwrite").parquet(f"{folder}/_current")
+    """Makes ``version`` the current snapshot: a row is added to the published versions, and nothing is ever replaced, so
+    a run that dies here leaves the version before."""
+    number = 1 + (_versions(spark, folder).agg(F.max("number")).first()[0] or 0) if _has_versions(spark, folder) else 1
+    spark.createDataFrame([(number, version)], _VERSION).coalesce(1).write.mode("append").parquet(f"{folder}/_versions")
 
 
-def is_published(spark: SparkSession, folder: str) -> bool:
-    """Whether a snapshot was published in ``folder``, which any file system that Spark reads may hold."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/_current")
+_VERSION = "number long, version string"
+
+
+def _has_versions(spark: SparkSession, folder: str) -> bool:
+    """Whether ``folder``, which any file system that Spark reads may hold, has a folder of versions."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/_versions")
     return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
 
 
+def _versions(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.schema(_VERSION).parquet(f"{folder}/_versions")
+
+
+def is_published(spark: SparkSession, folder: str) -> bool:
+    """Whether a snapshot was published in ``folder``."""
+    return _has_versions(spark, folder) and not _versions(spark, folder).isEmpty()
+
+
 def current(spark: SparkSession, folder: str) -> str:
-    """The folder of the published snapshot."""
-    return f"{folder}/{spark.read.parquet(f'{folder}/_current').first()['version']}"
+    """The folder of the snapshot that was published last."""
+    return f"{folder}/{_versions(spark, folder).orderBy(F.col('number').desc(), F.col('version').desc()).first()['version']}"
 
 
 def violations(tables: dict[str, DataFrame]) -> DataFrame:

@@ -139,6 +139,32 @@ def test_tree_order_and_slugs(spark):
     assert {r["id"]: r["slug"] for r in trees.unique_slugs(new, taken).collect()} == {1: "x-2", 2: "x-4", 3: "x-5", 4: "y"}
 
 
+def test_slugs_differ_even_where_bases_collide(spark):
+    rows = [(1, "a"), (2, "a"), (3, "a-2"), (4, "a-2"), (5, "a-02"), (6, "b" * 200), (7, "b" * 199 + "c"), (8, "a-2-2")]
+    taken = {"a-3", "a-2-3"}
+    got = {r["id"]: r["slug"] for r in trees.unique_slugs(spark.createDataFrame(rows, "id long, base string"), spark.createDataFrame([(t,) for t in taken], "slug string")).collect()}
+    assert len(set(got.values())) == len(rows) and not taken & set(got.values()) and all(len(x) <= 200 for x in got.values())
+    assert got[1] == "a" and got[3] == "a-2" and got[8] == "a-2-2" and got[2] == "a-4" and got[4] == "a-2-4"
+
+
+def test_patches_of_one_key_are_one(spark):
+    now = spark.createDataFrame([(1, "a", "x"), (2, "b", "y")], "id long, name string, note string")
+    sent = [(1, "B", None, ["name"], 1), (1, "C", None, ["name"], 2), (1, "D", None, ["note"], 3), (9, "E", "z", ["name"], 4)]
+    patches = spark.createDataFrame(sent, "id long, name string, note string, present_fields array<string>, at int")
+    assert sorted(upsert.patch(now, patches, "id", "at").collect()) == [(1, "C", None), (2, "b", "y")]
+
+
+def test_publishing_never_loses_a_version(spark, tmp_path):
+    """A run that dies while it publishes leaves the version before: nothing is replaced."""
+    folder = str(tmp_path / "db")
+    assert not tables.is_published(spark, folder)
+    tables.publish(spark, folder, "one")
+    (tmp_path / "db" / "_versions" / "_temporary").mkdir()  # what a dying append leaves
+    assert tables.is_published(spark, folder) and tables.current(spark, folder).endswith("/one")
+    tables.publish(spark, folder, "two")
+    assert tables.current(spark, folder).endswith("/two")
+
+
 def test_media_status(spark):
     name = lambda u: __import__("hashlib").sha256(u.encode()).hexdigest() + ".png"
     rows = [(1, "https://h/x.png", None), (2, "/api/media/" + name("u"), "u"), (3, "/api/media/" + name("https://v"), " https://v "), (4, "/api/media/" + name("w"), "https://other"), (5, "/api/media/" + name("s"), None), (6, "/api/media/x", None)]
