@@ -8,12 +8,12 @@ the benchmark's own vocabulary, window keys are rolled over them with numpy, loo
 in the sorted key table, and every hit is verified word by word.
 
 The benchmark is split into slices of at most ``SLICE_BYTES`` bytes of text, so what
-is broadcast at once has a proven bound; each slice is one pass over the documents,
+is broadcast at once has a proven bound (some 20 bytes a window, below 100 MB for a slice in each worker); each slice is one pass over the documents,
 and its hits are carried to the next as a bit per word. Benchmarks of ordinary size
 are one slice.
 
 Defined results: null or empty texts have no words and no hits; items without words
-match nothing; items with equal windows are all counted; repeated rows are scanned one
+match nothing; items with equal windows are all counted, an item without id as one with an empty id; repeated rows are scanned one
 by one; an empty benchmark hits nothing; other columns are ignored.
 """
 
@@ -53,42 +53,53 @@ def _keys(ids: np.ndarray, n: int) -> np.ndarray:
 
 
 class Grams:
-    """The windows of some benchmark items, as lookup tables."""
+    """The windows of some benchmark items, as arrays: the words of all items end to end as numbers, and for each
+    length of window the sorted keys with the place of a window in the words and the item it stems from."""
 
-    def __init__(self, items: list[tuple[object, bytes]], window: int = WINDOW):
+    def __init__(self, items: list[tuple[str, bytes]], window: int = WINDOW):
         self.vocabulary: dict[bytes, int] = {}
-        of_window: dict[tuple[int, ...], set] = {}
-        for item, text in items:
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words(text)]
+        self.names = [name for name, _ in items]
+        streams, found, at = [np.empty(0, np.int32)], {}, 0
+        for item, (_, text) in enumerate(items):
+            own = words(text)
+            ids = np.fromiter((self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in own), np.int32, len(own))
             n = min(window, len(ids))
-            for i in range(len(ids) - n + 1 if n else 0):
-                of_window.setdefault(tuple(ids[i : i + n]), set()).add(item)
+            if n:
+                keys = _keys(ids, n)
+                found.setdefault(n, []).append((keys, at + np.arange(len(keys), dtype=np.int32), np.full(len(keys), item, np.int32)))
+            streams.append(ids)
+            at += len(ids)
+        self.stream = np.concatenate(streams)
         self.tables = []
-        for n in sorted({len(w) for w in of_window}):
-            grams = [w for w in of_window if len(w) == n]
-            keys = _keys(np.array(grams, np.int64).ravel(), n)[::n]
-            order = np.argsort(keys, kind="stable")
-            self.tables.append((n, keys[order], [grams[i] for i in order], [of_window[grams[i]] for i in order]))
+        for n in sorted(found):
+            keys, starts, owners = (np.concatenate(x) for x in zip(*found[n]))
+            order = np.lexsort((starts, owners, keys))
+            keys, starts, owners = keys[order], starts[order], owners[order]
+            # A window that an item repeats is kept once; equal keys alone don't make windows equal.
+            again = np.flatnonzero((keys[1:] == keys[:-1]) & (owners[1:] == owners[:-1])) + 1
+            same = np.ones(len(again), bool)
+            for i in range(n):
+                same &= self.stream[starts[again] + i] == self.stream[starts[again - 1] + i]
+            keep = np.ones(len(keys), bool)
+            keep[again[same]] = False
+            self.tables.append((n, keys[keep], starts[keep], owners[keep]))
 
     def scan(self, text_words: list[bytes]) -> tuple[np.ndarray, set]:
         """Which words lie in an occurrence of a window, and the items with occurrences."""
         get = self.vocabulary.get
         ids = np.fromiter((get(w, 0) for w in text_words), np.int64, len(text_words))
         hit, found = np.zeros(len(ids), bool), set()
-        for n, keys, grams, items in self.tables:
+        for n, keys, starts, owners in self.tables:
             own = _keys(ids, n)
             if not len(own):
                 continue
             first = np.searchsorted(keys, own)
-            for i in np.flatnonzero((first < len(keys)) & (keys[np.minimum(first, len(keys) - 1)] == own)):
-                gram = tuple(ids[i : i + n].tolist())
-                at = first[i]
-                while at < len(keys) and keys[at] == own[i]:
-                    if grams[at] == gram:
+            for i in np.flatnonzero((first < len(keys)) & (keys[np.minimum(first, len(keys) - 1)] == own)).tolist():
+                upto = int(np.searchsorted(keys, own[i], "right"))
+                for at in range(int(first[i]), upto):
+                    if (self.stream[starts[at] : starts[at] + n] == ids[i : i + n]).all():
                         hit[i : i + n] = True
-                        found |= items[at]
-                        break
-                    at += 1
+                        found.add(self.names[owners[at]])
         return hit, found
 
 
@@ -101,7 +112,7 @@ def _slices(benchmark: DataFrame, slice_bytes: int) -> Iterator[list[tuple[objec
         if part and size + len(text) > slice_bytes:
             yield part
             part, size = [], 0
-        part.append((str(row["item_id"]), text))
+        part.append(("" if row["item_id"] is None else str(row["item_id"]), text))
         size += len(text)
     if part:
         yield part

@@ -217,6 +217,30 @@ def test_decontamination(spark, docs, rows):
     assert decontaminate.report(docs, benchmark.limit(0)).where("contaminated").count() == 0
 
 
+def test_decontamination_tables_are_small(spark):
+    """A slice of 8 MiB takes less than 100 MB in a worker; items without id count as one with an empty id."""
+    import pickle
+    import random
+    import tracemalloc
+
+    rng = random.Random(6)
+    vocabulary = [bytes(rng.choices(b"abcdefghij", k=rng.randint(2, 9))) for _ in range(50000)]
+    items = [(str(i), b" ".join(rng.choices(vocabulary, k=400))) for i in range(3400)]
+    assert sum(len(t) for _, t in items) > 8 << 20
+    blob = pickle.dumps(decontaminate.Grams(items))
+    tracemalloc.start()
+    grams = pickle.loads(blob)
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert held < 100 << 20, held
+    hit, found = grams.scan(decontaminate.words(b"x " + items[7][1]))
+    assert hit.sum() == 400 and not hit[0] and "7" in found
+    text = "one two three four five six seven eight nine ten"
+    docs, benchmark = spark.createDataFrame([(1, text)], "doc_id long, text string"), spark.createDataFrame([(None, text), (5, text + " " + text)], "item_id long, text string")
+    got = decontaminate.report(docs, benchmark).first()
+    assert got["n_items"] == 2 and got["items_sha256"] == hashlib.sha256(b",5").hexdigest()
+
+
 def secrets_brute(text):
     found = [("assign", *m.span()) for m in re.finditer(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text, re.I | re.A) if len(m[2]) >= 6]
     found += [("access", *m.span()) for m in re.finditer(r"AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
