@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -77,6 +78,19 @@ def has_bit(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (table[place >> 3] >> (place & 7).astype(np.uint8) & 1).astype(bool)
 
 
+def marked(spark: SparkSession, table: np.ndarray) -> Callable[[Column], Column]:
+    """A test of 64-bit key columns against a table of ``bitmap``, which is broadcast."""
+    shared = spark.sparkContext.broadcast(table)
+
+    @F.pandas_udf("boolean")
+    def has(keys):
+        import pandas as pd
+
+        return pd.Series(has_bit(shared.value, keys.to_numpy()))
+
+    return has
+
+
 def fold(column: Column, divisor: int) -> Column:
     """crc32(id as text) mod ``divisor``; null ids give null."""
     return F.crc32(column.cast("string").cast("binary")) % divisor

@@ -38,14 +38,13 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import spans as sp
-from .common import as_texts, bitmap, has_bit, materialize, renamed
+from .common import as_texts, bitmap, marked, materialize, renamed
 
 KINDS = ("email", "ip", "card", "phone", "term")
 ALPHA, MIN_SUPPORT, MIN_INFORMATION = 0.9, 3, 4.0
@@ -175,16 +174,9 @@ def distinct_texts(texts: DataFrame) -> tuple[DataFrame, int]:
     table, total = bitmap(groups, "key")
     if not table.any():
         return texts, total
-    shared = texts.sparkSession.sparkContext.broadcast(table)
-
-    @F.pandas_udf("boolean")
-    def maybe_again(a):
-        import pandas as pd
-
-        return pd.Series(has_bit(shared.value, a.to_numpy()))
-
-    again = texts.where(maybe_again("a")).dropDuplicates(["a", "b"])
-    return texts.where(~maybe_again("a")).union(again), total
+    maybe_again = marked(texts.sparkSession, table)
+    again = texts.where(maybe_again(F.col("a"))).dropDuplicates(["a", "b"])
+    return texts.where(~maybe_again(F.col("a"))).union(again), total
 
 
 def term_counts(texts: DataFrame) -> DataFrame:

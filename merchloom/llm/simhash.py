@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, as_bytes, materialize, renamed
+from .common import LOWER, as_bytes, bitmap, marked, materialize, renamed
 from .components import connected_components
 
 SHINGLE, SEED, RADIUS = 3, 42, 3
@@ -218,7 +218,14 @@ def one_of_each(rows: DataFrame, placed: DataFrame, id_col: str) -> DataFrame:
     null ids come last, and equal ids go by the number of the row."""
     ids = renamed(rows, row=ROW, id=id_col).join(placed, "row")
     first = ids.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "row")).alias("first"))
-    return rows.join(first.select(F.col("first.row").alias(ROW)), ROW, "left_semi").drop(ROW)
+    kept = first.select(F.col("first.row").alias(ROW))
+    gone = materialize(placed.select(F.col("row").alias(ROW)).join(kept, ROW, "left_anti"), "gone")
+    table, n = bitmap(gone.select(F.xxhash64(ROW).alias("key")), "key")
+    if not n:
+        return rows.drop(ROW)
+    # Rows without a bit stay where they are; only those that may have to go are shuffled, and looked up exactly.
+    may_go = marked(rows.sparkSession, table)(F.xxhash64(ROW))
+    return rows.where(~may_go).union(rows.where(may_go).join(gone, ROW, "left_anti").select(*rows.columns)).drop(ROW)
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
