@@ -20,8 +20,20 @@ from pyspark.sql import functions as F
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
+#: Most bytes of an Arrow batch where the session sets no bound of its own.
+BATCH_BYTES = 4 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches by bytes: Spark's 10,000 rows of long texts are held several times over, by the JVM and by each worker."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, BATCH_BYTES)
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """The Parquet table ``table`` of the folder ``sf_dir``."""
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
@@ -43,6 +55,7 @@ def materialize(df: DataFrame, name: str, replaces: DataFrame | None = None) ->
     """Write ``df`` as a table in the shared folder and read it back: cuts the lineage
     and survives lost executors. ``replaces``: an earlier such table that nothing reads any more; its files go."""
     spark = df.sparkSession
+    bound_batches(spark)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     written = spark.read.schema(df.schema).parquet(path)

@@ -57,23 +57,39 @@ def measure(text: bytes) -> tuple[int, int, int, int, int, int]:
     return n, chars, len(text.translate(None, _DELETE_BUT_SYMBOLS)), len(lines), len(lines) - len(set(lines)), repeated
 
 
+def _columns(texts: pa.Array) -> tuple[list[pa.Array], list[str]]:
+    """The measures of some texts, by column, and their names."""
+    rows = [measure(x) for x in as_bytes(texts)]
+    names = [x.split()[0] for x in _MEASURES.split(", ")]
+    return [pa.array(x, pa.int64()) for x in (zip(*rows) if rows else [[]] * len(names))], names
+
+
 def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = [measure(x) for x in as_bytes(batch.column(0))]
-        columns = [pa.array(x, pa.int64()) for x in (zip(*rows) if rows else [[]] * 6)]
-        names = [x.split()[0] for x in _MEASURES.split(", ")]
+        columns, names = _columns(batch.column(0))
         yield pa.RecordBatch.from_arrays([*batch.columns[1:], *columns], [*batch.schema.names[1:], *names])
 
 
-def document_measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", carry: tuple[str, ...] = ()) -> DataFrame:
-    """One row per row of ``docs``: doc_id, host, the columns to carry as c0, c1, ... and the
-    measures, in one pass over the whole texts."""
-    others = [docs[c].alias(f"c{i}") for i, c in enumerate(carry)]
-    rows = docs.select(docs[text_col].alias("text"), docs[id_col].alias("doc_id"), docs[host_col].alias("host"), *others)
+def document_measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
+    """One row per row of ``docs``: doc_id, host and the measures, in one pass over the whole texts."""
+    rows = docs.select(docs[text_col].alias("text"), docs[id_col].alias("doc_id"), docs[host_col].alias("host"))
     schema = ", ".join(f"{c} {kind}" for c, kind in rows.dtypes[1:])
     return rows.mapInArrow(_measured, f"{schema}, {_MEASURES}")
 
 
+def carried_measures(docs: DataFrame, text_col: str = "text", host_col: str = "source") -> DataFrame:
+    """The columns of ``docs`` as c0, c1, ..., host and the measures. Only texts go to Python and only measures come back."""
+
+    @F.arrow_udf(_MEASURES)
+    def measures(texts: pa.Array) -> pa.Array:
+        return pa.StructArray.from_arrays(*_columns(texts))
+
+    carried = [docs[c].alias(f"c{i}") for i, c in enumerate(docs.columns)]
+    # Not deterministic as far as the plan goes: a filter moved below would measure again.
+    rows = docs.select(docs[host_col].alias("host"), measures.asNondeterministic()(docs[text_col]).alias("m"), *carried)
+    return rows.select("host", "m.*", *[f"c{i}" for i in range(len(carried))])
+
+
 def base_failed():
     return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
 
@@ -134,5 +150,4 @@ def keep_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """The rows of ``docs`` that the rules keep. Texts are measured twice, once for the hosts and
     once for the decision, which costs less than a shuffle of the texts."""
     hosts = materialize(host_verdicts(document_measures(docs, id_col, text_col, host_col), **rates), "hosts")
-    measured = document_measures(docs, id_col, text_col, host_col, carry=tuple(docs.columns))
-    return _judged(measured, hosts).where("kept").select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
+    return _judged(carried_measures(docs, text_col, host_col), hosts).where("kept").select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
