@@ -91,6 +91,7 @@ def _run_features(text: str, linked: int, tag: str) -> list[str]:
         "run:links" if share > 0.6 else "run:some_links" if share > 0.2 else "run:plain",
         f"run:punct{min(3, sum(1 for _ in _PUNCTUATION.finditer(text)))}",
         f"run:in_{tag}",
+        f"run:linked_in_{tag}" if share > 0.2 else f"run:{'long' if n > 60 else 'short'}_in_{tag}",
         "run:copyright" if "©" in text[:40] else "run:any",
     ]
 
@@ -161,9 +162,9 @@ def parse(source: str) -> Page:
         if tag in VOID:
             continue
         attrs = m["attrs"]
-        above = stack[-1][1]
+        outer, above = stack[-1]
         mark = _MARK.search(attrs) if "data-main" in attrs else None
-        features = [f"tag:{tag}"]
+        features = [f"tag:{tag}", f"tag:{tag}_in_{outer}"]
         if attrs:
             features += _hint_features(attrs)
         stack.append((tag, page.node(above, features, int(mark[1]) if mark else page.labels[above])))

@@ -10,6 +10,7 @@ _C = "Short closing line."
 _D = "name one | name two | name three | name four | and so on through the table without any mark of a sentence " * 3
 _MENU = "".join(f'<li><a href="/{x}">{x}</a></li>' for x in ("Home", "News", "About us", "Contact", "Shop"))
 _LINKS = "".join(f'<a href="/r{i}">Another story number {i} that you may like</a> ' for i in range(4))
+_LINKED = '<a href="/x">a long link text that makes most of this paragraph, as links at times do</a>'
 
 PAGES = [
     f'<body><nav><ul>{_MENU}</ul></nav><div class="ad">Buy now, it is cheap today.</div><article data-main="1"><h1>Title of it</h1><p>{_A}</p><p>{_B}</p><p>{_C}</p></article><footer>&copy; 2020 example.org. All rights reserved by the owner of this place, and so on.</footer></body>',
@@ -29,4 +30,15 @@ PAGES = [
     f'<div class="menu"><ul>{_MENU}</ul></div><article data-main="1"><p>{_C}</p><p>It is short, this one too.</p><form data-main="0"><p>Give your name, please, and send.</p><label>Name</label></form></article><section class="comments"><article class="comment"><p>{_C}</p></article></section>',
     f'<body><nav>{_LINKS}</nav><main data-main="1"><p>Text of medium length in a plain page here.</p><p>And a line more, no heading at all.</p></main><footer><p>Text of medium length in the footer, too.</p></footer></body>',
     f'<body><div id="nav">{_LINKS}</div><article data-main="1"><p>Some words in a row, sixty letters or so in this one.</p><h2>part</h2><p>Ok</p><form data-main="0"><p>{_A}</p><p>Send</p></form><p>{_A}</p></article><aside><p>{_C}</p><p>{_A}</p></aside><div class="cookie"><p>{_C}</p></div></body>',
+    f'<body><nav><ul>{_MENU}</ul></nav><div data-main="1"><h1>Head</h1><p>{_C}</p><p>A line that is not very long, with marks; as it goes.</p></div><footer><p>{_C}</p></footer></body>',
+    f'<body><header><a href="/">Site</a></header><div data-main="1"><h2>Part</h2><p>{_A}</p><p>{_C}</p><h3>Next</h3><p>{_B}</p></div><div class="footer"><p>{_C}</p></div></body>',
+    f'<body><h1 data-main="1">Bare page</h1><p data-main="1">{_A}</p><p data-main="1">{_C}</p><p data-main="1">{_B}</p><div class="footer"><p>{_C}</p></div></body>',
+    f'<p data-main="1">{_B}</p><p data-main="1">Second line here, as well.</p><p data-main="1">{_A}</p>',
+    f'<body><p data-main="1">Plain text of a page with nothing around it, in a sentence.</p><p data-main="1">One more, also short.</p></body>',
+    f'<body><nav><ul>{_MENU}</ul></nav><p data-main="1">{_A}</p><ul data-main="1"><li>A point of the text, without links.</li><li>Another point.</li></ul><p data-main="1">{_B}</p><footer><p>{_C}</p></footer></body>',
+    f'<body><main><div data-main="1"><p>{_C}</p><p>{_A}</p><p>{_B}</p></div><aside><p>{_A}</p>{_LINKS}</aside></main></body>',
+    f'<body><header><p>Site of the house</p></header><main><div data-main="1"><h2>Part</h2><p>Para of few words.</p></div><aside><p>Read this other thing, too.</p></aside></main><footer><p>{_B}</p></footer></body>',
+    f'<body><nav><ul>{_MENU}</ul></nav><article data-main="1"><p>See {_LINKED}.</p><p>{_A}</p><p>{_LINKED}</p><ul><li><a href="/s">A source of the text, which is named here</a></li><li>{_C}</li></ul></article><footer>{_LINKS}</footer></body>',
+    f'<body><div data-main="1"><p>In this one {_LINKED}, and that.</p><p>{_A}</p></div><div class="related">{_LINKS}</div><div class="menu"><ul>{_MENU}</ul></div></body>',
+    f'<body><div data-main="1"><p>{_A}</p><table><tr><th>Name</th><th>Count</th></tr><tr><td>one</td><td>12</td></tr></table><p>{_C}</p></div><ul>{_MENU}</ul></body>',
 ]

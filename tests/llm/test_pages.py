@@ -58,6 +58,23 @@ def test_cases(source):
         h.main_text(source, MODEL)
 
 
+OTHER_LAYOUTS = {
+    "<body><p>Plain page, no wrapper at all, with a sentence.</p><p>Second one here, as well.</p></body>": 2,
+    "<main><div><p>Para one is here.</p></div><aside><p>Other things, not of it.</p></aside></main>": 1,
+    '<article><p>See <a href="/q">long link text that goes on and on for quite a while here</a>.</p></article>': 1,
+    "<body><nav><ul><li><a href=/>Start</a></li><li><a href=/b>Blog</a></li></ul></nav><div><h1>On rivers</h1><p>Rivers run to the sea, most of the time.</p><p>Some end in lakes; a few dry up.</p></div><footer><p>All rights reserved.</p></footer></body>": 3,
+    '<body><div class="cookie-banner"><p>Accept our terms, please, or go away now.</p></div><p>The text itself starts at once, and is long enough to be seen as text.</p><div class="comments"><p>Nice text, thank you for it.</p></div></body>': 1,
+}
+
+
+@pytest.mark.parametrize("source", OTHER_LAYOUTS)
+def test_layouts_without_an_article(source):
+    """Pages that are not in training: all blocks of the text come out, nothing of what stands around it."""
+    blocks = [x for x in h.main_text(source, MODEL).split("\n\n") if x]
+    assert len(blocks) == OTHER_LAYOUTS[source]
+    assert not any(x in " ".join(blocks) for x in ("Other things", "All rights", "Accept our", "Nice text", "Start"))
+
+
 def test_deep_and_broken_pages_end():
     h.main_text("<div>" * 20000 + "x", MODEL)
     h.main_text('<a href="' * 3000, MODEL)
