@@ -44,7 +44,8 @@ class Element:
         return "".join(c.outer() if isinstance(c, Element) else escape(c, quote=False) for c in self.children)
 
     def outer(self) -> str:
-        attrs = "".join(f' {k}="{escape(v)}"' for k, v in self.attrs.items())
+        # Apostrophes stay as they are: patterns that read scripts in attributes look for them.
+        attrs = "".join(f' {k}="{escape(v, quote=False).replace(chr(34), "&quot;")}"' for k, v in self.attrs.items())
         return f"<{self.tag}{attrs}>" if self.tag in _VOID else f"<{self.tag}{attrs}>{self.inner()}</{self.tag}>"
 
     def all(self, selector: str) -> list[Element]:
