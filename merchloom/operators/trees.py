@@ -6,14 +6,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def held(df: DataFrame) -> DataFrame:
+    """``df`` computed once: in the checkpoint folder, or else in the cache."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.cache()
+
+
 def closure(edges: DataFrame, rounds: int = 32) -> DataFrame:
     """(id, ancestor) from (id, parent), by joining paths with paths: as many rounds as the logarithm of
     the depth. Cycles are harmless: the set of pairs is finite, and a node of a cycle is its own ancestor."""
-    pairs = edges.where("parent IS NOT NULL").select("id", F.col("parent").alias("ancestor")).distinct().cache()
+    pairs = edges.where("parent IS NOT NULL").select("id", F.col("parent").alias("ancestor")).distinct()
+    pairs = held(pairs)
     size = pairs.count()
     for _ in range(rounds):
         longer = pairs.alias("a").join(pairs.alias("b"), F.col("a.ancestor") == F.col("b.id")).select(F.col("a.id").alias("id"), F.col("b.ancestor").alias("ancestor"))
-        grown = pairs.union(longer).distinct().checkpoint() if edges.sparkSession.sparkContext.getCheckpointDir() else pairs.union(longer).distinct().cache()
+        grown = held(pairs.union(longer).distinct())
         now = grown.count()
         if now == size:
             return grown
@@ -26,24 +32,28 @@ def descendants(edges: DataFrame, root: Column) -> DataFrame:
     return closure(edges).where((F.col("ancestor") == root) & (F.col("id") != root)).select("id")
 
 
-def sorted_tree(nodes: DataFrame) -> DataFrame:
+def sorted_tree(nodes: DataFrame, rounds: int = 32) -> DataFrame:
     """``nodes`` (id, parent, sort_order, name) in tree order, with depth: siblings by sort_order and then by
-    name in Ukrainian order; a node whose parent is not among the nodes is a root."""
-    spark = nodes.sparkSession
+    name in Ukrainian order; a node whose parent is not among the nodes is a root. Nodes of cycles, and those below
+    them, are left out. As many rounds as the logarithm of the depth, which is not limited."""
     known = nodes.select(F.col("id").alias("known_id"))
     rooted = nodes.join(known, nodes["parent"] == F.col("known_id"), "left").select("id", "sort_order", "name", F.col("known_id").alias("parent"))
     place = Window.partitionBy("parent").orderBy("sort_order", F.expr("name COLLATE uk"), "id")
     # Siblings are numbered first; the path of numbers is then the sort key of the whole tree.
-    numbered = rooted.withColumn("place", F.lpad(F.row_number().over(place).cast("string"), 9, "0"))
-    numbered.createOrReplaceTempView("merchloom_tree")
-    return spark.sql("""
-        WITH RECURSIVE t (id, name, depth, path) AS (
-          SELECT id, name, 0, place FROM merchloom_tree WHERE parent IS NULL
-          UNION ALL
-          SELECT c.id, c.name, t.depth + 1, concat(t.path, '/', c.place) FROM merchloom_tree c JOIN t ON c.parent = t.id
-        )
-        SELECT id, name, depth, path FROM t
-    """)
+    numbered = rooted.withColumn("path", F.lpad(F.row_number().over(place).cast("string"), 9, "0"))
+    # A path is known up to the node ``up``; each round puts the path of that node before it, so lengths double.
+    paths = held(numbered.select("id", "name", F.col("parent").alias("up"), "path", F.when(F.col("parent").isNull(), 0).otherwise(1).alias("depth")))
+    left = paths.where("up IS NOT NULL").count()
+    for _ in range(rounds):
+        above = paths.select(F.col("id").alias("up"), F.col("up").alias("next"), F.col("path").alias("before"), F.col("depth").alias("more"))
+        longer = paths.where("up IS NOT NULL").join(above, "up").select("id", "name", F.col("next").alias("up"), F.concat_ws("/", "before", "path").alias("path"), (F.col("depth") + F.col("more")).alias("depth"))
+        paths = held(paths.where("up IS NULL").union(longer))
+        now = paths.where("up IS NOT NULL").count()
+        # A round that finishes no node has only nodes of cycles and below them left, which are in no tree.
+        if now == left:
+            return paths.where("up IS NULL").select("id", "name", "depth", "path")
+        left = now
+    raise RuntimeError("the tree is deeper than 2 ** rounds")
 
 
 def prune(nodes: DataFrame, occupied: Column, protected: Column, above: DataFrame | None = None) -> DataFrame:

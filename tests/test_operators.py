@@ -139,6 +139,13 @@ def test_tree_order_and_slugs(spark):
     assert {r["id"]: r["slug"] for r in trees.unique_slugs(new, taken).collect()} == {1: "x-2", 2: "x-4", 3: "x-5", 4: "y"}
 
 
+def test_tree_order_of_a_long_chain_and_of_cycles(spark):
+    nodes = [(i, i - 1 if i else None, 0, f"n{i}") for i in range(130)] + [(200, 201, 0, "x"), (201, 200, 0, "y"), (202, 201, 0, "z"), (203, 203, 0, "self")]
+    got = trees.sorted_tree(spark.createDataFrame(nodes, "id long, parent long, sort_order int, name string"))
+    assert [(r["id"], r["depth"]) for r in got.orderBy("path").collect()] == [(i, i) for i in range(130)]
+    assert got.columns == ["id", "name", "depth", "path"]
+
+
 def test_slugs_differ_even_where_bases_collide(spark):
     rows = [(1, "a"), (2, "a"), (3, "a-2"), (4, "a-2"), (5, "a-02"), (6, "b" * 200), (7, "b" * 199 + "c"), (8, "a-2-2")]
     taken = {"a-3", "a-2-3"}
