@@ -7,8 +7,14 @@ from pyspark.sql import functions as F
 
 
 def held(df: DataFrame) -> DataFrame:
-    """``df`` computed once: in the checkpoint folder, or else in the cache."""
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.cache()
+    """``df`` computed once: in the checkpoint folder, or in the cache where there is none. A checkpoint alone computes
+    its input twice, and fails on some optimised plans, so it is written from a cache that is given up after."""
+    cached = df.cache()
+    if not df.sparkSession.sparkContext.getCheckpointDir():
+        return cached
+    written = cached.checkpoint()
+    cached.unpersist()
+    return written
 
 
 def closure(edges: DataFrame, rounds: int = 32) -> DataFrame:

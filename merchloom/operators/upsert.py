@@ -67,6 +67,39 @@ def patch(current: DataFrame, patches: DataFrame, key: str, order: str | None =
     return current.join(sent, F.col(key) == F.col("__key"), "left").select(*out)
 
 
+#: Fields of a product that take no null, and those of which a blank text is null. Fixed values.
+NEVER_NULL = ("slug", "name_uk", "name_norm_key", "price_visible", "published", "sort_order", "category_id")
+BLANK_IS_NULL = ("sku", "external_source", "external_id", "external_url", "source_category_url")
+
+
+def product_patches(patches: DataFrame) -> DataFrame:
+    """``patches`` of products as a form sends them (``present_fields`` and text or typed columns, ``price_uah`` as text)
+    as rows for ``patch``: texts of identifiers are trimmed and blank ones null, a decimal comma is a point, a new
+    name brings its key unless a key that is not blank was sent. Nulls of fields that take none, and blank prices, count
+    as not sent; a row whose price is no number is rejected as a whole."""
+    sent = lambda c: F.array_contains("present_fields", c)
+    value = {c: F.col(c) for c in patches.columns if c != "present_fields"}
+    given = {c: sent(c) for c in value}
+    for c in (*BLANK_IS_NULL, "slug"):
+        if c in value:
+            value[c] = text.js_trim(value[c])
+            value[c] = F.nullif(value[c], F.lit("")) if c != "slug" else value[c]
+    own = F.nullif(text.js_trim(F.col("name_norm_key")), F.lit("")) if "name_norm_key" in value else F.lit(None).cast("string")
+    own = F.when(sent("name_norm_key"), own)
+    if "name_uk" in value:
+        own = F.coalesce(own, F.when(sent("name_uk"), text.name_key(F.col("name_uk"))))
+    value["name_norm_key"], given["name_norm_key"] = own, F.lit(True)
+    readable = F.lit(True)
+    if "price_uah" in value:
+        raw = text.js_trim(F.col("price_uah"))
+        value["price_uah"] = F.regexp_replace(raw, "^([^,]*),", "$1.").try_cast("decimal(12,2)")
+        given["price_uah"] = sent("price_uah") & (raw.isNull() | (raw != ""))
+        readable = ~given["price_uah"] | raw.isNull() | value["price_uah"].isNotNull()
+    given |= {c: given[c] & value[c].isNotNull() for c in NEVER_NULL if c in value}
+    present = F.array_compact(F.array(*[F.when(ok, F.lit(c)) for c, ok in given.items()]))
+    return patches.where(readable).select(*[v.alias(c) for c, v in value.items()], present.alias("present_fields"))
+
+
 def import_rows(products: DataFrame, publish: bool, category: Column, keep: list[str] | None = None) -> DataFrame:
     """Manifest products as rows of the product table, beside the columns to ``keep``; ids are hashes of source
     and external id."""

@@ -55,6 +55,12 @@ def similar_pairs(spark, d):
     return pairs.select("key_a", "key_b", text.half_up(F.col("similarity"), 3).alias("similarity"), label.alias("label"), long(F.col("links")).alias("links"))
 
 
+@query
+def warning_samples(spark, d):
+    t = titles(spark, d)
+    return similarity.samples(t, t.select("key", F.upper("key").alias("name")))
+
+
 @query
 def name_classes(spark, d):
     return similarity.membership(titles(spark, d)).select("id", "class_id")
@@ -474,6 +480,19 @@ def patch_merge(spark, d):
     return upsert.patch(view(spark, d, "stored"), patches, "id")
 
 
+@query
+def patch_product(spark, d):
+    p, k = view(spark, d, "products"), F.col("p_partkey")
+    price = F.when(k % 8 == 0, " ").when(k % 8 == 1, "12x").when(k % 8 > 2, F.concat(k.cast("string"), F.lit(",5")))
+    sent = F.when(k % 4 == 3, F.array(F.lit("name_uk"), F.lit("published"), F.lit("price_uah"))).when(k % 4 == 2, F.array(F.lit("sku"), F.lit("price_uah"))).otherwise(F.array(*[F.lit(c) for c in ("slug", "name_uk", "name_norm_key", "sku", "price_uah", "published")]))
+    forms = table(spark, d, "part").where(k % 3 != 0).select(
+        k.alias("id"), F.concat(F.lit(" new-"), k, F.lit(" ")).alias("slug"), F.concat("p_type", F.lit(" / "), "p_name").alias("name_uk"), F.when(k % 5 == 0, F.lit(" own key ")).otherwise(" ").alias("name_norm_key"),
+        F.when(k % 2 == 0, "  ").otherwise(F.concat(F.lit(" s-"), k)).alias("sku"), price.alias("price_uah"), F.when(F.col("p_size") > 25, True).alias("published"), sent.alias("present_fields"),
+    )
+    stored = p.select("id", "slug", "name_uk", text.name_key(F.col("name_uk")).alias("name_norm_key"), "sku", "price_uah", "published")
+    return upsert.patch(stored, upsert.product_patches(forms), "id")
+
+
 @query
 def owned_patches(spark, d):
     lines = table(spark, d, "lineitem")
@@ -551,6 +570,15 @@ def prune_first_round(spark, d):
     return trees.first_round(view(spark, d, "sections"), occupied, protected)
 
 
+@query
+def prune_legacy(spark, d):
+    """Nations and suppliers under former imports; those of one region have no products left."""
+    s = view(spark, d, "sections")
+    slug = F.when(F.col("id") == "r0", categories.STALE_ROOTS[0]).when(F.col("id") == "r1", categories.STALE_ROOTS[1]).when(F.col("id").startswith("n"), F.concat(F.lit("inh-ua-"), "slug")).when(F.col("id").startswith("s"), F.concat(F.lit("etm-"), "slug")).otherwise(F.col("slug"))
+    used = s.where((F.col("sort_order") > 8000) & F.col("id").startswith("s") & (F.substring("parent", 2, 9).cast("int") % 5 != 0))
+    return categories.prune_legacy(s.withColumn("slug", slug), used)
+
+
 @query
 def breadcrumbs(spark, d):
     return trees.breadcrumbs(view(spark, d, "sections"), F.lit("r0"))

@@ -119,6 +119,10 @@ SELECT id, coalesce(class_id, id) AS class_id, coalesce(n_merge, 0)::BIGINT AS n
     "similar_pairs": _NAMES
     + """SELECT key_a, key_b, floor(any_value(sim) * 1000 + 0.5::DOUBLE) / 1000 AS similarity, CASE WHEN any_value(sim) >= 0.9::DOUBLE THEN 'merge' ELSE 'warn' END AS label, sum(n_a * n_b)::BIGINT AS links
 FROM near WHERE sim >= 0.75::DOUBLE AND (key_a < key_b OR key_a = key_b AND source_a < source_b) GROUP BY key_a, key_b""",
+    "warning_samples": _NAMES
+    + """SELECT floor(sim * 1000 + 0.5::DOUBLE) / 1000 AS similarity, left(upper(key_a), 120) AS name_a, left(upper(key_b), 120) AS name_b, links FROM (
+  SELECT key_a, key_b, any_value(sim) AS sim, sum(n_a * n_b)::BIGINT AS links FROM near WHERE sim >= 0.75::DOUBLE AND sim < 0.9::DOUBLE AND (key_a < key_b OR key_a = key_b AND source_a < source_b)
+  GROUP BY key_a, key_b) ORDER BY sim DESC, key_a, key_b LIMIT 25""",
     "name_classes": f"WITH {_TITLES} SELECT id, min(id) OVER (PARTITION BY key) AS class_id FROM titles WHERE length(key) >= 15 AND source IS NOT NULL",
     "dup_groups_cross_source": f"WITH {_MD5_KEYS}, g AS ({_GROUPS}) SELECT 'name_cross_source' AS kind, key, n AS \"count\", sources FROM g WHERE named >= 2",
     "dup_groups_same_source": f"WITH {_MD5_KEYS}, g AS ({_GROUPS}) SELECT 'name_same_source' AS kind, key, n AS \"count\", sources FROM g WHERE named = 1 AND with_source = n",
@@ -196,6 +200,11 @@ SELECT sha256(k) AS product_id, slug AS definition, value AS value_text, {_NUMBE
 UNION ALL SELECT o_orderkey, 1, 0 FROM orders WHERE o_orderstatus = 'F'""",
     "patch_merge": f"""SELECT o.id, CASE WHEN n.id IS NOT NULL AND n.price IS NOT NULL THEN n.name ELSE o.name END AS name, CASE WHEN n.id IS NOT NULL AND n.price IS NULL THEN NULL ELSE o.price END AS price,
   CASE WHEN n.id IS NOT NULL AND n.price IS NOT NULL THEN n.note ELSE o.note END AS note, o.seo FROM ({v('stored')}) o LEFT JOIN ({v('incoming')}) n ON o.id = n.id""",
+    "patch_product": f"""WITH f AS (SELECT p_partkey AS id, p_partkey % 4 AS k, p_partkey % 8 AS m, p_type || ' / ' || p_name AS name, p_size FROM part WHERE p_partkey % 3 <> 0 AND p_partkey % 8 <> 1)
+SELECT o.id, CASE WHEN k < 2 THEN 'new-' || o.id ELSE slug END AS slug, CASE WHEN k <> 2 THEN name ELSE name_uk END AS name_uk,
+  CASE WHEN k < 2 AND o.id % 5 = 0 THEN 'own key' WHEN k <> 2 THEN {_key('name')} ELSE {_key('name_uk')} END AS name_norm_key,
+  CASE WHEN k IS NULL OR k = 3 THEN sku WHEN o.id % 2 = 1 THEN 's-' || o.id END AS sku, CASE WHEN m > 2 THEN (o.id + 0.5)::DECIMAL(12,2) WHEN m = 2 THEN NULL ELSE price_uah END AS price_uah,
+  CASE WHEN k <> 2 AND p_size > 25 THEN true ELSE published END AS published FROM ({v('products')}) o LEFT JOIN f ON o.id = f.id""",
     "owned_patches": """WITH p AS (SELECT l_orderkey, greatest(l_linenumber - 1, 1)::INT AS l_linenumber, l_partkey FROM lineitem)
 SELECT * FROM p WHERE EXISTS (SELECT 1 FROM lineitem l WHERE l.l_linenumber > 1 AND l.l_orderkey = p.l_orderkey AND l.l_linenumber = p.l_linenumber)""",
     "category_map": f"SELECT page_id, {_flat_slug()} AS slug FROM ({v('moved_urls')})",
@@ -212,6 +221,8 @@ t AS (SELECT id, name, 0::BIGINT AS depth, place AS path FROM p WHERE parent IS
 SELECT id, name, depth, path FROM t""",
     "prune_closure": f"WITH {_TREE}, seeds AS (SELECT id FROM sections WHERE {_OCCUPIED}) SELECT id, id IN (SELECT id FROM seeds UNION SELECT ancestor FROM up JOIN seeds USING (id)) AS kept FROM sections",
     "prune_first_round": f"WITH s AS ({v('sections')}) SELECT id FROM s WHERE NOT {_OCCUPIED} AND id NOT IN (SELECT parent FROM s WHERE parent IS NOT NULL)",
+    "prune_legacy": f"""WITH {_TREE}, used AS (SELECT id FROM sections WHERE starts_with(id, 's') AND sort_order > 8000 AND substr(parent, 2)::INT % 5 <> 0),
+k AS (SELECT id FROM used UNION SELECT ancestor FROM up JOIN used USING (id) UNION SELECT id FROM sections WHERE id IN ('r2', 'r3', 'r4')) SELECT id, id IN (SELECT id FROM k) AS kept FROM sections""",
     "breadcrumbs": f"WITH s AS ({v('sections')}) SELECT a.id, CASE WHEN b.id <> 'r0' THEN b.name || ' / ' ELSE '' END || a.name AS crumbs FROM s a LEFT JOIN s b ON a.parent = b.id",
     "may_reparent": f"""WITH {_TREE}, m AS (SELECT id, CASE WHEN starts_with(id, 'r') THEN 'n' || substr(id, 2) WHEN sort_order < 0 THEN 'gone' ELSE parent END AS new_parent FROM sections)
 SELECT id, new_parent, CASE WHEN new_parent IS NULL THEN 'ok' WHEN new_parent = id THEN 'self' WHEN EXISTS (SELECT 1 FROM up WHERE up.id = m.new_parent AND ancestor = m.id) THEN 'descendant'
