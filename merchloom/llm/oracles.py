@@ -102,4 +102,37 @@ d AS (
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(hit.n, 0)::BIGINT AS n_hit, coalesce(it.n, 0)::BIGINT AS n_items,
   sha256(coalesce(ids, '')) AS items_sha256, coalesce(hit.n, 0) > 0 AS contaminated
 FROM d LEFT JOIN hit USING (r) LEFT JOIN it USING (r)""",
+    # A run has the same 6 words one period apart, so runs are islands of equal 6-word windows at one distance.
+    "op13_periodic_runs": r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w,
+    list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT) AS digits
+  FROM documents
+), hashed AS (
+  SELECT r, doc_id, w, len(w)::BIGINT AS n, xor(4294967295::BIGINT, list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(digits, lambda c: [c, -1, -1, -1, -1, -1, -1, -1, -1]))),
+    lambda c, b: CASE WHEN b >= 0 THEN xor(c, b) WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END)) AS h
+  FROM d
+), params AS (
+  SELECT *, (h // 10) % greatest(n, 1) AS a, 3 + (h // 10) % 8 AS k FROM hashed
+), texts AS (
+  SELECT r, doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(0, n), lambda i: w[CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // k) END + 1]) ELSE w END AS w FROM params
+), six AS (
+  SELECT r, i, array_to_string(w[i + 1 : i + 6], ' ') AS gram FROM (SELECT r, w, unnest(range(0, n - 5)) AS i FROM texts WHERE n >= 12)
+), pairs AS (
+  SELECT x.r, x.i, y.i - x.i AS q FROM six x JOIN six y ON x.r = y.r AND x.gram = y.gram AND x.i < y.i
+), islands AS (
+  SELECT r, q, min(i) AS s, max(i) + 6 + q AS e FROM (SELECT *, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS part FROM pairs) GROUP BY r, q, part
+), runs AS (
+  SELECT r, s, e - s AS n, min(q) AS q FROM islands WHERE e - s >= greatest(12, 2 * q) GROUP BY r, s, e
+), found AS (
+  SELECT r, count(*) AS n_runs, arg_min({'s': s, 'n': n, 'q': q}, {'n': -n, 's': s, 'q': q}) AS best, string_agg(s || ',' || n || ',' || q || chr(10), '' ORDER BY s, q) AS listed FROM runs GROUP BY r
+), gone AS (
+  SELECT DISTINCT r, unnest(range(s + q, s + n)) AS i FROM runs
+), kept AS (
+  SELECT r, string_agg(word, ' ' ORDER BY i) AS rest
+  FROM (SELECT r, unnest(w) AS word, unnest(range(0, n)) AS i FROM texts) ANTI JOIN gone USING (r, i) GROUP BY r
+)
+SELECT doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, best.s::BIGINT AS start, best.n::BIGINT AS length, best.q::BIGINT AS period,
+  (1000 * best.n // best.q)::BIGINT AS exponent_milli, sha256(coalesce(listed, '')) AS runs_sha256, sha256(coalesce(rest, '')) AS collapsed_sha256
+FROM texts LEFT JOIN found USING (r) LEFT JOIN kept USING (r)""",
 }

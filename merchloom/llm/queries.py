@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import brown, decontaminate, html_extract, mixing, pii, quality_mil, quality_rules, run_index, secrets, simhash
+from . import brown, decontaminate, html_extract, mixing, periodic, pii, quality_mil, quality_rules, run_index, secrets, simhash
 from .common import read
 
 
@@ -55,8 +55,27 @@ def op10_pii_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.detect(read(spark, sf_dir, "documents"))
 
 
+def _made_periodic(docs: DataFrame) -> DataFrame:
+    """The texts that the contract of op13 asks for: where h = crc32(doc_id) is a multiple of 10, words repeat from one on."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10)
+    words = F.expr(r"regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+', 0)")
+    placed = docs.select("doc_id", "text", g.alias("g"), F.when((h % 10 == 0), words).alias("words")).withColumn("n", F.size("words"))
+    start = F.col("g") % F.col("n")
+    period = 1 + F.floor((F.col("n") - start) / (3 + F.col("g") % 8))
+    repeated = F.transform(
+        F.sequence(F.lit(0), F.col("n") - 1),
+        lambda i: F.element_at("words", (F.when(i < start, i).otherwise(start + (i - start) % period) + 1).cast("int")),
+    )
+    return placed.select("doc_id", F.when(F.col("n") > 0, F.array_join(repeated, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.report(_made_periodic(read(spark, sf_dir, "documents")))
+
+
 _ALL = (
     op1_brown_classes, op2_quality_rules, op3_attention_mil, op4_run_index, op5_tree_extraction, op6_systematic_mix,
-    op7_simhash_pivots, op8_decontamination, op9_secret_scan, op10_pii_sanitisation,
+    op7_simhash_pivots, op8_decontamination, op9_secret_scan, op10_pii_sanitisation, op13_periodic_runs,
 )
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
