@@ -102,6 +102,24 @@ d AS (
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(hit.n, 0)::BIGINT AS n_hit, coalesce(it.n, 0)::BIGINT AS n_items,
   sha256(coalesce(ids, '')) AS items_sha256, coalesce(hit.n, 0) > 0 AS contaminated
 FROM d LEFT JOIN hit USING (r) LEFT JOIN it USING (r)""",
+    "op12_lattice_hashing": r"""
+WITH RECURSIVE v AS (
+  SELECT row_number() OVER () AS r, vec_id, label, embedding::DOUBLE[] AS x, label IS NOT NULL AND embedding IS NOT NULL
+    AND list_bool_and(list_transform(embedding, lambda c: c IS NOT NULL AND isfinite(c))) AND list_bool_or(list_transform(embedding, lambda c: c <> 0)) AS sound
+  FROM embeddings
+), u AS (
+  SELECT r, vec_id, label, x, sqrt(list_dot_product(x, x)) AS norm FROM v WHERE sound
+), links AS (
+  SELECT a.r AS r, b.r AS other, b.vec_id AS id FROM u a JOIN u b ON a.label = b.label AND len(a.x) = len(b.x) AND a.r <> b.r
+  WHERE list_dot_product(a.x, b.x) / (a.norm * b.norm) >= 0.98::DOUBLE
+), reached AS (
+  SELECT r, r AS other, vec_id AS id FROM v
+  UNION
+  SELECT reached.r, links.other, links.id FROM reached JOIN links ON reached.other = links.r
+), c AS (SELECT r, min(id) AS component_id FROM reached GROUP BY r
+), n AS (SELECT r, count(*) AS n_links FROM links GROUP BY r)
+SELECT vec_id, coalesce(n_links, 0)::BIGINT AS n_links, component_id, vec_id IS NOT DISTINCT FROM component_id AS kept
+FROM v JOIN c USING (r) LEFT JOIN n USING (r)""",
     # A run has the same 6 words one period apart, so runs are islands of equal 6-word windows at one distance.
     "op13_periodic_runs": r"""
 WITH d AS (

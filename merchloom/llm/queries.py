@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, brown, decontaminate, html_extract, mixing, periodic, pii, quality_mil, quality_rules, run_index, secrets, simhash
+from . import alignment, brown, decontaminate, html_extract, lattice, mixing, periodic, pii, quality_mil, quality_rules, run_index, secrets, simhash
 from .common import read
 
 
@@ -59,6 +59,10 @@ def op11_group_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align(read(spark, sf_dir, "documents"))
 
 
+def op12_lattice_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.link(read(spark, sf_dir, "embeddings"))
+
+
 def _made_periodic(docs: DataFrame) -> DataFrame:
     """The texts that the contract of op13 asks for: where h = crc32(doc_id) is a multiple of 10, words repeat from one on."""
     h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
@@ -80,6 +84,6 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _ALL = (
     op1_brown_classes, op2_quality_rules, op3_attention_mil, op4_run_index, op5_tree_extraction, op6_systematic_mix,
-    op7_simhash_pivots, op8_decontamination, op9_secret_scan, op10_pii_sanitisation, op11_group_dictionary, op13_periodic_runs,
+    op7_simhash_pivots, op8_decontamination, op9_secret_scan, op10_pii_sanitisation, op11_group_dictionary, op12_lattice_hashing, op13_periodic_runs,
 )
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
