@@ -77,6 +77,14 @@ def reconcile_report(spark, d):
     return similarity.reconcile_report(titles(spark, d), categories.SOURCES)
 
 
+@query
+def merge_samples(spark, d):
+    """The 30 most similar merges; follows the greedy choice, so tests compare it with a plain version."""
+    t = titles(spark, d)
+    slugs = table(spark, d, "pages").select(F.col("page_id").alias("id"), urls.page_slug(F.col("url")).alias("slug"))
+    return similarity.merged_samples(t, similarity.resolve(t, categories.SOURCES), slugs)
+
+
 @query
 def dup_groups_cross_source(spark, d):
     docs = table(spark, d, "documents")

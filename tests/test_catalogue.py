@@ -21,7 +21,7 @@ def test_agrees_with_sql(spark, duck, name):
 
 def test_every_query_is_registered():
     assert set(oracles.SQL) <= set(catalogue.QUERIES)
-    assert set(catalogue.QUERIES) - set(oracles.SQL) == {"dup_clusters", "reconcile_report"}
+    assert set(catalogue.QUERIES) - set(oracles.SQL) == {"dup_clusters", "merge_samples", "reconcile_report"}
 
 
 def test_entry(spark):
