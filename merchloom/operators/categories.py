@@ -153,8 +153,9 @@ def longest_titles(keys: DataFrame, titles: DataFrame) -> DataFrame:
 def flat_categories(urls_seen: DataFrame, titles: DataFrame) -> DataFrame:
     """(slug, name_uk, parent_slug, sort_order, keep_sort) of the flat categories that ``urls_seen`` (source, url)
     needs; ``titles`` (url, title, position) are the crawled titles."""
-    # URLs are taken apart once, slugs are few: names are looked up for the distinct slugs.
-    parsed = urls_seen.distinct().select("source", "url", *_Url.columns(F.col("url")))
+    # URLs are taken apart once and the parts held: folded into every rule, their expressions outgrow code generation.
+    # Slugs are few: names are looked up for the distinct slugs.
+    parsed = trees.held(urls_seen.distinct().select("source", "url", *_Url.columns(F.col("url"))))
     slugged = parsed.select("source", "url", _category_slug(F.col("source"), F.col("url"), _Url()).alias("slug"), _by_source(F.col("source"), lambda d: _segment(_Url(), d)).alias("segment"))
     seen = slugged.where(F.col("slug").isNotNull() & ~F.col("slug").isin(*PROTECTED))
     grouped = F.col("source") == "vsesezon"

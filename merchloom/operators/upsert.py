@@ -76,7 +76,7 @@ def product_patches(patches: DataFrame) -> DataFrame:
     """``patches`` of products as a form sends them (``present_fields`` and text or typed columns, ``price_uah`` as text)
     as rows for ``patch``: texts of identifiers are trimmed and blank ones null, a decimal comma is a point, a new
     name brings its key unless a key that is not blank was sent. Nulls of fields that take none, and blank prices, count
-    as not sent; a row whose price is no number is rejected as a whole."""
+    as not sent; a row whose price is no number is left out as a whole, and ``rejected_patches`` returns it."""
     sent = lambda c: F.array_contains("present_fields", c)
     value = {c: F.col(c) for c in patches.columns if c != "present_fields"}
     given = {c: sent(c) for c in value}
@@ -91,15 +91,30 @@ def product_patches(patches: DataFrame) -> DataFrame:
     value["name_norm_key"], given["name_norm_key"] = own, F.lit(True)
     readable = F.lit(True)
     if "price_uah" in value:
-        raw = text.js_trim(F.col("price_uah"))
-        value["price_uah"] = F.regexp_replace(raw, "^([^,]*),", "$1.").try_cast("decimal(12,2)")
-        given["price_uah"] = sent("price_uah") & (raw.isNull() | (raw != ""))
-        readable = ~given["price_uah"] | raw.isNull() | value["price_uah"].isNotNull()
+        _, value["price_uah"], given["price_uah"] = _sent_price()
+        readable = ~_bad_price()
     given |= {c: given[c] & value[c].isNotNull() for c in NEVER_NULL if c in value}
     present = F.array_compact(F.array(*[F.when(ok, F.lit(c)) for c, ok in given.items()]))
     return patches.where(readable).select(*[v.alias(c) for c, v in value.items()], present.alias("present_fields"))
 
 
+def _sent_price() -> tuple[Column, Column, Column]:
+    """(trimmed text, number, whether a price was sent) of a patch."""
+    raw = text.js_trim(F.col("price_uah"))
+    return raw, F.regexp_replace(raw, "^([^,]*),", "$1.").try_cast("decimal(12,2)"), F.array_contains("present_fields", "price_uah") & (raw.isNull() | (raw != ""))
+
+
+def _bad_price() -> Column:
+    raw, number, given = _sent_price()
+    return F.coalesce(given & raw.isNotNull() & number.isNull(), F.lit(False))
+
+
+def rejected_patches(patches: DataFrame) -> DataFrame:
+    """The rows of ``patches`` that ``product_patches`` leaves out, as they came, with the ``reason``: every patch is in one of the two."""
+    bad = _bad_price() if "price_uah" in patches.columns else F.lit(False)
+    return patches.where(bad).withColumn("reason", F.lit("the price is no number"))
+
+
 def import_rows(products: DataFrame, publish: bool, category: Column, keep: list[str] | None = None) -> DataFrame:
     """Manifest products as rows of the product table, beside the columns to ``keep``; ids are hashes of source
     and external id."""

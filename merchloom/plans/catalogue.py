@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import media, text, urls
 from ..operators import categories, consolidate, maintenance, pages, reports, serving, similarity, trees, upsert
+from . import imports
 from .proxies import view
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -465,6 +466,52 @@ def image_rows(spark, d):
     return upsert.image_rows(manifest_products(spark, d)).select("product_id", "url", "alt_uk", "sort_order")
 
 
+#: Section addresses of imported products by source and id modulo 3; the third of in_heat belongs to another shop.
+_ADDRESSES = {
+    "et_market": ("https://et-market.com.ua/teplyj-pol/nagrevatelnye-maty/", "https://et-market.com.ua/avtomatika/x/", None),
+    "in_heat": ("https://in-heat.kiev.ua/ua/otoplenie/nagrevatelnyj-kabel/", "https://in-heat.kiev.ua/ua/tovary/", "https://other.com/x/"),
+}
+
+
+def manifest_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Two manifests: all products of the shops, then every fourth again with another name and neither code, price nor specs."""
+    k = F.col("id")
+    address = F.when(k % 3 == 0, F.concat(F.lit("https://vsesezon.com.ua/ua/g"), k % 50, F.lit("-maty/")))
+    for source, urls_ in _ADDRESSES.items():
+        own = F.lit(None).cast("string")
+        for i, u in enumerate(urls_):
+            own = F.when(k % 3 == i, F.lit(u)).otherwise(own)
+        address = F.when(F.col("source") == source, own).otherwise(address)
+    products = view(spark, d, "products").where("external_source IS NOT NULL")
+    nested = manifest_products(spark, d).select(F.col("pos").alias("id"), "specs", "images")
+    rows = products.withColumn("source", F.col("external_source")).join(nested, "id").select(
+        F.lit(0).alias("file_ord"), k.cast("int").alias("pos"), "source", F.col("external_id").alias("externalId"), F.col("external_url").alias("sourceUrl"), "slug", F.col("name_uk").alias("nameUk"),
+        F.col("short_name").alias("sku"), F.col("price_uah").cast("double").alias("priceUah"), F.col("price_visible").alias("priceVisible"), address.alias("sourceCategoryUrl"),
+        F.lit(None).cast("string").alias("shortDescription"), F.lit(None).cast("string").alias("descriptionHtml"), "images", "specs",
+    )
+    again = rows.where(F.col("pos") % 4 == 0).withColumns({
+        "file_ord": F.lit(1), "nameUk": F.concat("nameUk", F.lit(" neu")), "sku": F.lit(None).cast("string"), "priceUah": F.lit(None).cast("double"),
+        "images": F.slice("images", 1, 1), "specs": F.slice("specs", 1, 0),
+    })
+    return rows.union(again)
+
+
+@query
+def import_catalogue(spark, d):
+    """Manifests to catalogue: seeded, imported with sections, images and specs; rejected rows stand beside the imported ones."""
+    none = spark.createDataFrame([], "url string, title string, position long")
+    seeded = imports.seeded(imports.empty_catalogue(spark))
+    after, rejected = imports.import_products(seeded, manifest_rows(spark, d), none, stage=lambda df, name: trees.held(df))
+    sections = after["categories"].select(F.col("id").alias("category_id"), F.col("slug").alias("section"))
+    n_images, n_specs = (after[t].groupBy(F.col("product_id").alias("id")).agg(F.count("*").alias(n)) for t, n in (("product_images", "n_images"), ("product_specs", "n_specs")))
+    stored = after["products"].where("external_source IS NOT NULL").join(sections, "category_id").join(n_images, "id", "left").join(n_specs, "id", "left")
+    zero = F.lit(0).cast("long")
+    done = stored.select("external_source", "external_id", F.lit("imported").alias("status"), "slug", "sku", "name_uk", "seo_title", F.col("price_uah").cast("double").alias("price"), "section", F.coalesce("n_images", zero).alias("n_images"), F.coalesce("n_specs", zero).alias("n_specs"))
+    text_, number = F.lit(None).cast("string"), F.lit(None).cast("double")
+    bad = rejected.select(F.col("source").alias("external_source"), F.col("externalId").alias("external_id"), F.concat(F.lit("rejected: "), "reason").alias("status"), text_.alias("slug"), text_.alias("sku"), F.col("nameUk").alias("name_uk"), text_.alias("seo_title"), number.alias("price"), text_.alias("section"), zero.alias("n_images"), zero.alias("n_specs"))
+    return done.union(bad)
+
+
 _POLICY = {"name": "overwrite", "price": "keep_if_null", "note": "keep_if_blank", "seo": "create_only"}
 
 
@@ -501,6 +548,16 @@ def patch_product(spark, d):
     return upsert.patch(stored, upsert.product_patches(forms), "id")
 
 
+@query
+def patch_rejected(spark, d):
+    """Patches whose price is no number: those of every third part say 12x."""
+    k = F.col("p_partkey")
+    price = F.when(k % 3 == 0, "12x").when(k % 3 == 1, " 1,50 ").otherwise(" ")
+    sent = F.when(k % 2 == 0, F.array(F.lit("price_uah"))).otherwise(F.array(F.lit("sku"), F.lit("price_uah")))
+    forms = table(spark, d, "part").select(k.alias("id"), F.col("p_name").alias("sku"), price.alias("price_uah"), F.when(k % 5 > 0, sent).otherwise(F.array(F.lit("sku"))).alias("present_fields"))
+    return upsert.rejected_patches(forms).select("id", "sku", "price_uah", "reason")
+
+
 @query
 def owned_patches(spark, d):
     lines = table(spark, d, "lineitem")

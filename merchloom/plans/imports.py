@@ -2,8 +2,8 @@
 
 A catalogue is a dict of tables (see ``sources.tables``). Every step gives a new one and changes
 nothing in place; ``rebuild`` writes each as a snapshot that readers see only when it is complete.
-Products that belong nowhere (an unknown source, or a section URL of another shop) are returned as
-rejected instead of stopping the import.
+Products that belong nowhere (an unknown source, a section URL of another shop, a section that was never seeded) are returned as
+rejected, with the reason, instead of stopping the import.
 """
 
 from __future__ import annotations
@@ -23,6 +23,8 @@ Catalogue = dict[str, DataFrame]
 Stage = Callable[[DataFrame, str], DataFrame]
 #: Blocks of a manifest that hold crawled section titles; later blocks win. Fixed values.
 TITLE_BLOCKS = ("etMarketCrawl", "inHeat", "vsesezon")
+#: Why products are rejected.
+NO_KEY, NO_SECTION, NOT_SEEDED = "no source or external id", "unknown source, or a URL of another shop", "its section is not in the catalogue"
 
 
 def empty_catalogue(spark: SparkSession) -> Catalogue:
@@ -109,16 +111,22 @@ def written_below(folder: str) -> Stage:
 
 
 def import_products(catalogue: Catalogue, products: DataFrame, titles: DataFrame, publish: bool = True, deep: bool = False, stage: Stage = as_plan) -> tuple[Catalogue, DataFrame]:
-    """(new catalogue, rejected products): ``products`` (file_ord, pos, ...) merged in, sections first,
-    then products, images, spec definitions and specs. Importing twice is importing once."""
+    """(new catalogue, rejected products with a ``reason``): ``products`` (file_ord, pos, ...) merged in, sections first,
+    then products, images, spec definitions and specs. Importing twice is importing once. Every incoming row is imported
+    or rejected: for want of a key, of a known source or a URL of that source, or of its section in the catalogue (own sections come by seeding)."""
     slugged = stage(products.withColumn("section", _section_slug(deep)), "incoming")
-    rejected, taken = slugged.where("section IS NULL").drop("section"), slugged.where("section IS NOT NULL")
+    keyless = F.col("source").isNull() | F.col("externalId").isNull()
+    taken = slugged.where("section IS NOT NULL AND source IS NOT NULL AND externalId IS NOT NULL")
     seen = taken.where("coalesce(sourceCategoryUrl, '') <> ''").select("source", F.col("sourceCategoryUrl").alias("url"))
     out = with_sections(catalogue, seen, titles, deep)
     out["categories"] = stage(out["categories"], "categories")
     order = F.struct("file_ord", "pos")
     of_section = out["categories"].select(F.col("slug").alias("section"), F.col("id").alias("section_id"))
-    known = taken.join(of_section, "section")
+    # Sections are matched for all rows: those without one are rejected with the reason.
+    matched = slugged.join(of_section, "section", "left")
+    known = matched.where(F.col("section_id").isNotNull() & ~keyless)
+    reason = F.when(keyless, NO_KEY).when(F.col("section").isNull(), NO_SECTION).otherwise(NOT_SEEDED)
+    rejected = matched.where(F.col("section_id").isNull() | keyless).withColumn("reason", reason).drop("section", "section_id")
     rows = upsert.import_rows(known, publish, F.col("section_id"), keep=["file_ord", "pos"])
     incoming = reduced(rows, ["external_source", "external_id"], order, upsert.PRODUCT_POLICY).drop("file_ord", "pos")
     merged = upsert.merge(out["products"], tables.conform(incoming, "products"), ["external_source", "external_id"], upsert.PRODUCT_POLICY)
@@ -182,6 +190,7 @@ def new_sections(catalogue: Catalogue, wanted: DataFrame) -> tuple[Catalogue, Da
 
 def rebuild(spark: SparkSession, folder: str, paths: list[str], version: str, publish: bool = True, deep: bool = False, start: Catalogue | None = None) -> tuple[Catalogue, DataFrame]:
     """Reset, seed, import the manifests, reconcile, write the snapshot and make it the current one."""
+    tables.check_unpublished(spark, folder, version)
     found = manifests.read_manifests(spark, paths)
     catalogue = seeded(reset(start) if start else empty_catalogue(spark))
     stage = written_below(f"{folder}/{version}-work")

@@ -194,6 +194,15 @@ SELECT slug, arg_max(label, (product_id, i)) AS label_uk, arg_min(contains(lower
 l AS (SELECT k, slug, arg_max(value, pos) AS value FROM a GROUP BY ALL)
 SELECT sha256(k) AS product_id, slug AS definition, value AS value_text, {_NUMBER}::DOUBLE AS value_number FROM l""",
     "image_rows": f"SELECT sha256(external_source || '|' || external_id) AS product_id, '/i/' || slug AS url, short_name AS alt_uk, i::INT AS sort_order FROM ({v('products')}), (SELECT unnest([0, 1]) AS i) WHERE external_source IS NOT NULL",
+    "import_catalogue": f"""WITH p AS (SELECT *, id % 3 AS m, external_source = 'in_heat' AND id % 3 = 2 AS bad FROM ({v('products')}) WHERE external_source IS NOT NULL)
+SELECT external_source, external_id, 'imported' AS status, external_source || '-' || external_id AS slug, short_name || '__' || external_source || '__' || external_id AS sku,
+  name_uk || CASE WHEN id % 4 = 0 THEN ' neu' ELSE '' END AS name_uk, name_uk AS seo_title, price_uah::DOUBLE AS price,
+  CASE WHEN external_source = 'et_market' THEN ['nagrivalni-maty', 'et-avtomatika', 'tepla-pidloga'][m + 1] WHEN external_source = 'in_heat' THEN ['griuchi-kabeli', 'inh-tovary'][m + 1]
+    WHEN m = 0 THEN 'vs-' || id % 50 ELSE 'tepla-pidloga' END AS section,
+  CASE WHEN id % 4 = 0 THEN 1 ELSE 2 END::BIGINT AS n_images, CASE WHEN id % 4 = 0 THEN 0 WHEN sort_order > 3 THEN 3 ELSE 2 END::BIGINT AS n_specs FROM p WHERE NOT bad
+UNION ALL SELECT external_source, external_id, 'rejected: unknown source, or a URL of another shop', NULL, NULL, name_uk || again, NULL, NULL, NULL, 0, 0
+FROM p, (SELECT unnest(['', ' neu']) AS again) WHERE bad AND (again = '' OR id % 4 = 0)""",
+    "patch_rejected": "SELECT p_partkey AS id, p_name AS sku, '12x' AS price_uah, 'the price is no number' AS reason FROM part WHERE p_partkey % 3 = 0 AND p_partkey % 5 > 0",
     "upsert_policy": f"""SELECT coalesce(o.id, n.id) AS id, CASE WHEN n.id IS NOT NULL THEN n.name ELSE o.name END AS name, coalesce(n.price, o.price) AS price,
   CASE WHEN o.id IS NULL THEN n.note ELSE coalesce(nullif(n.note, ''), o.note) END AS note, CASE WHEN o.id IS NULL THEN n.seo ELSE o.seo END AS seo FROM ({v('stored')}) o FULL JOIN ({v('incoming')}) n ON o.id = n.id""",
     "replace_children": """SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators import consolidate
+
 LISTING_DDL = (
     "source string, externalId string, sourceUrl string, slug string, nameUk string, sku string, priceUah double, priceVisible boolean, "
     "imageUrl string, bitrixOfferId string, sourceCategoryUrl string"
@@ -32,8 +36,42 @@ def read_manifests(spark: SparkSession, paths: list[str]) -> DataFrame:
 
 
 def products_of(manifests: DataFrame) -> DataFrame:
-    """One row per product, with file_ord and position: later rules depend on the order."""
-    return manifests.select("file_ord", F.posexplode("products").alias("pos", "p")).select("file_ord", "pos", "p.*")
+    """One row per product, with file_ord and position: later rules depend on the order. Products of documents that hold a part
+    of a manifest have the places that stand there."""
+    if "places" not in manifests.columns:
+        return manifests.select("file_ord", F.posexplode("products").alias("pos", "p")).select("file_ord", "pos", "p.*")
+    parts = manifests.select("file_ord", "places", F.posexplode("products").alias("at", "p"))
+    return parts.select("file_ord", F.coalesce(F.try_element_at("places", F.col("at") + 1), F.col("at")).alias("pos"), "p.*")
+
+
+def merged_products(manifests: DataFrame) -> DataFrame:
+    """The products of several manifests, one per source and external id: the last one's values at the place of the first."""
+    last = consolidate.last_wins(products_of(manifests), ["source", "externalId"], ["file_ord", "pos"])
+    return last.select(F.col("position.file_ord").alias("file_ord"), F.col("position.pos").alias("pos"), *[c for c in last.columns if c not in ("position", "file_ord", "pos")])
+
+
+def write_documents(products: DataFrame, meta: DataFrame, path: str, size: int = 500) -> None:
+    """A manifest of any size as JSON documents, one in a line: ``products`` (file_ord, pos, ...) in documents of at most ``size``, each with
+    the places of its products (their order in the whole), and ``meta`` (a row of ``merged_meta``) in a document of its own.
+    ``read_documents`` reads it back whole; no task holds more than a document."""
+    place = (F.col("file_ord").cast("long") * 2**40 + F.col("pos")).alias("place")
+    fields = own_fields(products)
+    part = F.struct("file_ord", F.floor(F.col("pos") / size).alias("n"))
+    parts = products.select(part.alias("part"), place, F.struct(*fields).alias("product")).groupBy("part").agg(F.array_sort(F.collect_list(F.struct("place", "product"))).alias("held"))
+    documents = parts.select(F.col("held.place").alias("places"), F.col("held.product").alias("products"))
+    both = documents.unionByName(meta.withColumn("products", F.array().cast(documents.schema["products"].dataType)), allowMissingColumns=True)
+    both.write.mode("errorifexists").json(path)
+
+
+def own_fields(products: DataFrame) -> list[str]:
+    """The columns of ``products`` that belong to a manifest's product."""
+    return [c for c in products.columns if c not in ("file_ord", "pos", "position")]
+
+
+def read_documents(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """Manifests that ``write_documents`` wrote, in the shape of ``read_manifests`` with the ``places`` of their products."""
+    read = [spark.read.schema(f"{MANIFEST_DDL}, places array<bigint>").json(path).withColumn("file_ord", F.lit(i)) for i, path in enumerate(paths)]
+    return reduce(DataFrame.unionByName, read)
 
 
 def facets_of(manifests: DataFrame) -> DataFrame:

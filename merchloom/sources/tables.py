@@ -51,12 +51,19 @@ def read_jdbc(spark: SparkSession, url: str, name: str, key: str | None = None,
 
 def write_snapshot(tables: dict[str, DataFrame], folder: str, version: str) -> str:
     """All tables below ``folder/version``; readers see the version only once the caller publishes it
-    with ``publish``, so a run that dies half-way changes nothing."""
+    with ``publish``, so a run that dies half-way changes nothing and can be repeated. A version that was published is never written again."""
+    check_unpublished(next(iter(tables.values())).sparkSession, folder, version)
     for name, df in tables.items():
         conform(df, name).write.mode("overwrite").parquet(f"{folder}/{version}/{name}")
     return f"{folder}/{version}"
 
 
+def check_unpublished(spark: SparkSession, folder: str, version: str) -> None:
+    """An error if ``version`` was published in ``folder``: readers may use it, and it may be what the new one is made from."""
+    if _has_versions(spark, folder) and not _versions(spark, folder).where(F.col("version") == version).isEmpty():
+        raise ValueError(f"version {version} is published in {folder}; give the new snapshot another name")
+
+
 def publish(spark: SparkSession, folder: str, version: str) -> None:
     """Makes ``version`` the current snapshot: a row is added to the published versions, and nothing is ever replaced, so
     a run that dies here leaves the version before."""
@@ -87,6 +94,12 @@ def current(spark: SparkSession, folder: str) -> str:
     return f"{folder}/{_versions(spark, folder).orderBy(F.col('number').desc(), F.col('version').desc()).first()['version']}"
 
 
+def remove(spark: SparkSession, folder: str) -> None:
+    """Removes a folder of tables that nothing reads any more, in any file system that Spark reads."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def violations(tables: dict[str, DataFrame]) -> DataFrame:
     """(rule, n): broken unique keys and references of the given tables; a sound catalogue has none above 0."""
     spark = next(iter(tables.values())).sparkSession

@@ -15,12 +15,14 @@ from ..plans import imports
 from ..sources import manifests, tables
 
 
-def apply_batch(found: DataFrame, number: int, folder: str, publish: bool = True, deep: bool = False) -> None:
-    """One batch of manifests (with their ``file``) imported into the current snapshot of ``folder``. Files of a
-    batch are taken in the order of their names."""
+def apply_batch(found: DataFrame, number: int, folder: str, publish: bool = True, deep: bool = False, reconcile: bool = True) -> None:
+    """One batch of manifests (with their ``file``) imported into the current snapshot of ``folder``, and reconciled with what is there.
+    Files of a batch are taken in the order of their names; the tables it worked with go when it is published."""
     spark = found.sparkSession
-    # One row per file: the window orders manifests, not products.
-    ordered = found.withColumn("file_ord", (F.row_number().over(Window.orderBy("file")) - 1).cast("int")).drop("file")
+    # Only names are ordered, no more than a batch has files; manifests are joined to their numbers.
+    names = found.select("file").distinct()
+    numbered = names.withColumn("file_ord", (F.row_number().over(Window.orderBy("file")) - 1).cast("int"))
+    ordered = found.join(numbered, "file").drop("file")
     version = f"batch-{number:09d}"
     if tables.is_published(spark, folder):
         base = tables.current(spark, folder)
@@ -29,11 +31,12 @@ def apply_batch(found: DataFrame, number: int, folder: str, publish: bool = True
         before = {name: tables.read_table(spark, base, name) for name in tables.SCHEMAS}
     else:
         before = imports.seeded(imports.empty_catalogue(spark))
-    stage = imports.written_below(f"{folder}/work/{version}")
-    after, rejected = imports.import_products(before, manifests.products_of(ordered), imports.section_titles(ordered), publish, deep, stage)
-    tables.write_snapshot(after, folder, version)
+    work = f"{folder}/work/{version}"
+    after, rejected = imports.import_products(before, manifests.products_of(ordered), imports.section_titles(ordered), publish, deep, imports.written_below(work))
+    tables.write_snapshot(imports.reconciled(after) if reconcile else after, folder, version)
     rejected.write.mode("overwrite").json(f"{folder}/rejected/{version}")
     tables.publish(spark, folder, version)
+    tables.remove(spark, work)
 
 
 def import_arriving(spark: SparkSession, source: str, folder: str, max_files: int = 100, once: bool = True, **options) -> StreamingQuery:
