@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import urls
+from .trees import held
+
+#: Most pages of one crawl. Fixed value.
+PAGE_LIMIT = 400
 
 
 def _winner(df: DataFrame, keys: list[str], by: Column, first: Column, largest: bool) -> DataFrame:
@@ -79,6 +83,35 @@ def crawl_stats(pages: DataFrame, category: str, page: str, title: str, order: s
     return pages.groupBy(category).agg(F.countDistinct(page).alias("pages"), F.count("*").alias("rows"), F.min_by(title, order).alias("title"))
 
 
+def chains(pages: DataFrame, starts: DataFrame, limit: int = PAGE_LIMIT) -> DataFrame:
+    """(start, url, place): the pages that a crawl from each of ``starts`` (start) visits by following the ``pages``' links (url, next_url), numbered
+    from 0. It ends at a page that is not there or leads nowhere, before a page that it has seen, or after ``limit`` pages.
+
+    The steps of all crawls are ranked together: each round knows twice as many of a crawl's first pages, by links of
+    twice the length, so there are as many rounds as the logarithm of the longest crawl (or of the limit)."""
+    saved = pages.groupBy("url").agg(F.min("next_url").alias("next_url"))
+    hop = held(saved.where("next_url IS NOT NULL AND next_url <> url").join(saved.select(F.col("url").alias("next_url")), "next_url", "left_semi").select("url", "next_url"))
+    seen = held(starts.select("start").distinct().join(saved, F.col("start") == F.col("url")).select("start", "url", F.lit(0).alias("place")))
+    step, count = 1, seen.count()
+    while step < limit:
+        more = seen.join(hop, "url").select("start", F.col("next_url").alias("url"), (F.col("place") + step).alias("place"))
+        # A page seen before keeps its first place: what follows it is known too.
+        seen = held(seen.union(more).groupBy("start", "url").agg(F.min("place").alias("place")))
+        now = seen.count()
+        if now == count:
+            break
+        count, step = now, step * 2
+        above = hop.select(F.col("url").alias("next_url"), F.col("next_url").alias("further"))
+        hop = held(hop.join(above, "next_url").select("url", F.col("further").alias("next_url")))
+    return seen.where(F.col("place") < limit)
+
+
+def chain_stats(visited: DataFrame, pages: DataFrame) -> DataFrame:
+    """(start, pages, rows, title) of the crawls ``visited`` (start, url, place): how many pages, the rows on them and the first page's title, of ``pages`` (url, n_rows, title)."""
+    own = pages.groupBy("url").agg(F.max("n_rows").alias("n_rows"), F.min("title").alias("title"))
+    return visited.join(own, "url").groupBy("start").agg(F.count("*").alias("pages"), F.sum("n_rows").alias("rows"), F.min_by("title", "place").alias("title"))
+
+
 def detailed(products: DataFrame) -> Column:
     """Number of rows with a description or a spec."""
     return F.count_if(F.col("descriptionHtml").isNotNull() | (F.size("specs") > 0))

@@ -1,4 +1,8 @@
-"""Category trees and merge pointers."""
+"""Category trees and merge pointers.
+
+Questions about ancestors go through ``Jumps``, a table of ancestors at doubled distances; ``closure`` lists all pairs and is for
+shallow trees, where the pairs themselves are wanted.
+"""
 
 from __future__ import annotations
 
@@ -33,9 +37,94 @@ def closure(edges: DataFrame, rounds: int = 32) -> DataFrame:
     raise RuntimeError("the tree is deeper than 2 ** rounds")
 
 
+class Jumps:
+    """Ancestors of all nodes at distances 1, 2, 4 …: n log(depth) rows, from which questions about ancestors are answered
+    in as many rounds as the logarithm of the depth, without a row for each pair of node and ancestor."""
+
+    def __init__(self, edges: DataFrame):
+        """``edges`` (id, parent); a parent need not be a node. Nodes of cycles are ``looped``, those below them ``lost`` too."""
+        level = held(edges.where("parent IS NOT NULL").select("id", F.col("parent").alias("up")).distinct())
+        n = level.count()
+        #: (id, up) for each distance.
+        self.levels: list[DataFrame] = []
+        self.looped = level.select("id").limit(0)
+        self.lost = self.looped
+        while not level.isEmpty():
+            self.levels.append(level)
+            if 2 ** (len(self.levels) - 1) > n:  # no path is so long: only cycles are left, and every node of one is the end of such a jump
+                self.looped, self.lost = held(level.select(F.col("up").alias("id")).distinct()), level.select("id")
+                break
+            above = level.select(F.col("id").alias("up"), F.col("up").alias("next"))
+            level = held(level.join(above, "up").select("id", F.col("next").alias("up")))
+
+    def upward(self, seeds: DataFrame) -> DataFrame:
+        """``seeds`` (id) and all their ancestors."""
+        found = seeds.select("id").distinct()
+        for level in self.levels:
+            found = held(found)
+            found = found.union(level.join(found, "id").select(F.col("up").alias("id"))).distinct()
+        return found
+
+    def downward(self, seeds: DataFrame) -> DataFrame:
+        """``seeds`` (id) and all their descendants."""
+        found = seeds.select("id").distinct()
+        for level in self.levels:
+            found = held(found)
+            found = found.union(level.join(found.select(F.col("id").alias("up")), "up").select("id")).distinct()
+        return found
+
+    def summed_below(self, values: DataFrame) -> DataFrame:
+        """(id, value): the sum of ``values`` (id, value) over each node and its descendants; without cycles."""
+        sums = values
+        for level in self.levels:
+            sums = held(sums)
+            more = level.join(sums, "id").groupBy(F.col("up").alias("id")).agg(F.sum("value").alias("more"))
+            sums = sums.join(more, "id", "left").select("id", (F.col("value") + F.coalesce("more", F.lit(0))).alias("value"))
+        return held(sums)
+
+    def summed_above(self, values: DataFrame, columns: list[str]) -> DataFrame:
+        """``values`` (id, columns) summed over each node and its ancestors; without cycles."""
+        sums = values
+        for level in self.levels:
+            sums = held(sums)
+            of_up = sums.select(F.col("id").alias("up"), *[F.col(c).alias(f"{c}_up") for c in columns])
+            above = level.join(of_up, "up").drop("up")
+            sums = sums.join(above, "id", "left").select("id", *[(F.col(c) + F.coalesce(f"{c}_up", F.lit(0))).alias(c) for c in columns])
+        return held(sums)
+
+
 def descendants(edges: DataFrame, root: Column) -> DataFrame:
     """The ids below a root, without itself."""
-    return closure(edges).where((F.col("ancestor") == root) & (F.col("id") != root)).select("id")
+    start = edges.sparkSession.range(1).select(root.alias("id"))
+    return Jumps(edges).downward(start).where(F.col("id") != root)
+
+
+def intervals(nodes: DataFrame) -> DataFrame:
+    """(id, first, last, depth) of ``nodes`` (id, parent, sort_order, name): the place of each node in tree order, siblings as in ``sorted_tree``, and the
+    place of its last descendant. A node is below another if its place lies within the other's, so that is a range test and needs no
+    ancestors. A node whose parent is not among the nodes is a root; nodes of cycles and those below them are left out."""
+    known = nodes.select(F.col("id").alias("known_id"))
+    rooted = held(nodes.join(known, nodes["parent"] == F.col("known_id"), "left").select("id", "sort_order", "name", F.col("known_id").alias("parent")))
+    jumps = Jumps(rooted)
+    sound = rooted.join(jumps.lost, "id", "left_anti")
+    size = jumps.summed_below(sound.select("id", F.lit(1).cast("long").alias("value"))).withColumnRenamed("value", "size")
+    # A child comes after its parent and the whole trees of the siblings before it.
+    before = Window.partitionBy("parent").orderBy("sort_order", F.expr("name COLLATE uk"), "id").rowsBetween(Window.unboundedPreceding, -1)
+    child = F.when(F.col("parent").isNull(), 0).otherwise(1).cast("long")
+    steps = sound.join(size, "id").select("id", "size", (child + F.coalesce(F.sum("size").over(before), F.lit(0))).alias("first"), child.alias("depth"))
+    placed = jumps.summed_above(steps.select("id", "first", "depth"), ["first", "depth"])
+    return placed.join(size, "id").select("id", "first", (F.col("first") + F.col("size") - 1).alias("last"), "depth")
+
+
+def parent_choices(nodes: DataFrame, of: Column) -> DataFrame:
+    """(id, label, sort_order): the nodes that may become the parent of the node ``of``, all but itself and those below it, in their order; labels
+    name the present parent too. ``nodes`` (id, parent, sort_order, name); a node that is not there may go anywhere."""
+    placed = held(intervals(nodes).select("id", "first", "last"))
+    own = placed.where(F.col("id") == of).select(F.col("first").alias("low"), F.col("last").alias("high"))  # one row
+    inside = placed.join(F.broadcast(own), F.col("first").between(F.col("low"), F.col("high")), "left_semi").select("id")
+    p = nodes.select(F.col("id").alias("p_id"), F.col("name").alias("p_name"))
+    labelled = nodes.join(inside, "id", "left_anti").where(F.col("id") != of).join(p, F.col("parent") == F.col("p_id"), "left")
+    return labelled.select("id", F.concat_ws(" → ", "p_name", "name").alias("label"), "sort_order", "name").orderBy("sort_order", "name", "id").drop("name")
 
 
 def sorted_tree(nodes: DataFrame, rounds: int = 32) -> DataFrame:
@@ -62,13 +151,12 @@ def sorted_tree(nodes: DataFrame, rounds: int = 32) -> DataFrame:
     raise RuntimeError("the tree is deeper than 2 ** rounds")
 
 
-def prune(nodes: DataFrame, occupied: Column, protected: Column, above: DataFrame | None = None) -> DataFrame:
+def prune(nodes: DataFrame, occupied: Column, protected: Column) -> DataFrame:
     """(id, kept) of ``nodes`` (id, parent, ...): removing leaves that are neither occupied nor protected
     until none is left keeps exactly the occupied and protected nodes, the nodes of cycles and the
-    ancestors of all these."""
-    above = above if above is not None else closure(nodes.select("id", "parent"))
-    seeds = nodes.where(occupied | protected).select("id").union(above.where("id = ancestor").select("id")).distinct()
-    kept = seeds.union(above.join(seeds, "id").select(F.col("ancestor").alias("id"))).distinct().withColumn("kept", F.lit(True))
+    ancestors of all these. Flags go up in rounds of doubled distance."""
+    jumps = Jumps(nodes.select("id", "parent"))
+    kept = jumps.upward(nodes.where(occupied | protected).select("id").union(jumps.looped)).withColumn("kept", F.lit(True))
     return nodes.join(kept, "id", "left").select("id", F.coalesce("kept", F.lit(False)).alias("kept"))
 
 
@@ -109,18 +197,38 @@ def unique_slugs(new: DataFrame, taken: DataFrame, limit: int = 180) -> DataFram
 
 
 def ultimate(pointers: DataFrame) -> DataFrame:
-    """(loser, canonical, ultimate): where the chain of immediate pointers ends."""
-    above = closure(pointers.select(F.col("loser").alias("id"), F.col("canonical").alias("parent")))
-    ends = above.join(pointers.select(F.col("loser").alias("ancestor")), "ancestor", "left_anti").select(F.col("id").alias("loser"), F.col("ancestor").alias("ultimate"))
-    return pointers.join(ends, "loser", "left").select("loser", "canonical", F.coalesce("ultimate", "canonical").alias("ultimate"))
+    """(loser, canonical, ultimate): where the chain of immediate pointers ends; the pointer itself where it leads into a cycle.
+    Ends double their distance each round."""
+    ends = held(pointers.select("loser", "canonical", F.col("canonical").alias("ultimate")))
+    losers = pointers.select(F.col("loser").alias("ultimate"))
+    for _ in range(ends.count().bit_length() + 1):
+        if ends.join(losers, "ultimate", "left_semi").isEmpty():
+            return ends
+        further = ends.select(F.col("loser").alias("ultimate"), F.col("ultimate").alias("further"))
+        ends = held(ends.join(further, "ultimate", "left").select("loser", "canonical", F.coalesce("further", "ultimate").alias("ultimate")))
+    looped = losers.distinct().withColumn("looped", F.lit(True))
+    return ends.join(looped, "ultimate", "left").select("loser", "canonical", F.when(F.col("looped"), F.col("canonical")).otherwise(F.col("ultimate")).alias("ultimate"))
 
 
 def may_reparent(edges: DataFrame, moves: DataFrame) -> DataFrame:
-    """``moves`` (id, new_parent) with the verdict: ok, self, descendant or missing."""
-    above = closure(edges).select(F.col("id").alias("new_parent"), F.col("ancestor").alias("id"), F.lit(True).alias("below"))
-    known = edges.select(F.col("id").alias("new_parent"), F.lit(True).alias("known"))
+    """``moves`` (id, new_parent) with the verdict: ok, self, descendant or missing. The new parent is lifted to the depth of the moved node by
+    jumps: that node is met if the parent is below it. In and below cycles, which hold no sound node, all ancestors are looked at."""
+    jumps = Jumps(edges)
+    sound = edges.select("id").distinct().join(jumps.lost, "id", "left_anti")
+    rooted = edges.where("parent IS NOT NULL").select("id").distinct().withColumn("child", F.lit(1).cast("long"))
+    depth = jumps.summed_above(sound.join(rooted, "id", "left").select("id", F.coalesce("child", F.lit(0).cast("long")).alias("depth")), ["depth"])
+    at = depth.select(F.col("id").alias("new_parent"), F.col("depth").alias("from"))
+    lifted = moves.select("id", "new_parent").distinct().join(depth, "id").join(at, "new_parent").where("from > depth").select("id", "new_parent", (F.col("from") - F.col("depth")).alias("way"), F.col("new_parent").alias("now"))
+    for k, level in enumerate(jumps.levels):
+        up = level.select(F.col("id").alias("now"), "up")
+        lifted = lifted.join(up, "now", "left").withColumn("now", F.when(F.col("way").bitwiseAND(2**k) > 0, F.col("up")).otherwise(F.col("now"))).drop("up")
+    below = lifted.where("now = id").select("id", "new_parent")
+    if not jumps.lost.isEmpty():
+        below = below.union(closure(edges.join(jumps.lost, "id", "left_semi")).select(F.col("ancestor").alias("id"), F.col("id").alias("new_parent")))
+    below = below.withColumn("below", F.lit(True))
+    known = edges.select(F.col("id").alias("new_parent"), F.lit(True).alias("known")).distinct()
     verdict = (
         F.when(F.col("new_parent").isNull(), "ok").when(F.col("new_parent") == F.col("id"), "self")
         .when(F.col("below"), "descendant").when(F.col("known").isNull(), "missing").otherwise("ok")
     )
-    return moves.join(above, ["id", "new_parent"], "left").join(known, "new_parent", "left").select("id", "new_parent", verdict.alias("verdict"))
+    return moves.join(below, ["id", "new_parent"], "left").join(known, "new_parent", "left").select("id", "new_parent", verdict.alias("verdict"))

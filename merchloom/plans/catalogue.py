@@ -623,6 +623,16 @@ def tree_sorted(spark, d):
     return trees.sorted_tree(view(spark, d, "sections")).select("id", "name", long(F.col("depth")).alias("depth"), "path")
 
 
+@query
+def tree_intervals(spark, d):
+    return trees.intervals(view(spark, d, "sections"))
+
+
+@query
+def parent_choices(spark, d):
+    return trees.parent_choices(view(spark, d, "sections"), F.lit("r1")).select("id", "label")
+
+
 @query
 def prune_closure(spark, d):
     occupied, protected = F.col("id").startswith("s") & (F.col("sort_order") > 8000), F.col("id") == "r4"

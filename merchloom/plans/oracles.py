@@ -228,6 +228,12 @@ SELECT prefix, arg_max(title, (length(title), -page_id)) AS title FROM k LEFT JO
     "tree_sorted": f"""WITH RECURSIVE s AS ({v('sections')}), p AS (SELECT id, name, parent, lpad(row_number() OVER (PARTITION BY parent ORDER BY sort_order, name, id)::VARCHAR, 9, '0') AS place FROM s),
 t AS (SELECT id, name, 0::BIGINT AS depth, place AS path FROM p WHERE parent IS NULL UNION ALL SELECT p.id, p.name, depth + 1, path || '/' || place FROM p JOIN t ON p.parent = t.id)
 SELECT id, name, depth, path FROM t""",
+    "tree_intervals": f"""WITH {_TREE}, p AS (SELECT id, parent, lpad(row_number() OVER (PARTITION BY parent ORDER BY sort_order, name, id)::VARCHAR, 9, '0') AS place FROM sections),
+t AS (SELECT id, 0::BIGINT AS depth, place AS path FROM p WHERE parent IS NULL UNION ALL SELECT p.id, depth + 1, path || '/' || place FROM p JOIN t ON p.parent = t.id),
+o AS (SELECT id, depth, row_number() OVER (ORDER BY path) - 1 AS first FROM t), n AS (SELECT ancestor AS id, count(*) AS below FROM up GROUP BY ancestor)
+SELECT id, first, (first + coalesce(below, 0))::BIGINT AS last, depth FROM o LEFT JOIN n USING (id)""",
+    "parent_choices": f"""WITH {_TREE} SELECT s.id, CASE WHEN p.name IS NULL THEN s.name ELSE p.name || ' → ' || s.name END AS label FROM sections s LEFT JOIN sections p ON s.parent = p.id
+WHERE s.id <> 'r1' AND s.id NOT IN (SELECT id FROM up WHERE ancestor = 'r1')""",
     "prune_closure": f"WITH {_TREE}, seeds AS (SELECT id FROM sections WHERE {_OCCUPIED}) SELECT id, id IN (SELECT id FROM seeds UNION SELECT ancestor FROM up JOIN seeds USING (id)) AS kept FROM sections",
     "prune_first_round": f"WITH s AS ({v('sections')}) SELECT id FROM s WHERE NOT {_OCCUPIED} AND id NOT IN (SELECT parent FROM s WHERE parent IS NOT NULL)",
     "prune_legacy": f"""WITH {_TREE}, used AS (SELECT id FROM sections WHERE starts_with(id, 's') AND sort_order > 8000 AND substr(parent, 2)::INT % 5 <> 0),

@@ -12,7 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import pages
+from ..functions import urls
+from ..operators import consolidate, pages
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -164,6 +165,29 @@ def next_page(spark, d):
     return p.select(F.col("key").alias("page"), pages.next_page(html, filled("https://vsesezon.com.ua/ua/g{size}/", **size)).alias("next"))
 
 
+#: Sections of the chained pages, and the pages after which one of them leads back.
+GROUPS, BACK = 20, 997
+
+
+@query(f"""WITH p AS (SELECT p_partkey AS k, p_partkey % {GROUPS} AS g, p_partkey // {GROUPS} AS i, p_size % 4 AS n FROM part WHERE p_partkey % 101 > 0),
+stops AS (SELECT g, min(i) AS last FROM p WHERE i % {BACK} = {BACK - 1} OR NOT EXISTS (SELECT 1 FROM p q WHERE q.g = p.g AND q.i = p.i + 1) GROUP BY g)
+SELECT 'https://vsesezon.com.ua/ua/g' || g || '/page_0/' AS start, count(*) AS pages, sum(n)::BIGINT AS rows, 'Група ' || g || ', сторінка 0' AS title
+FROM p JOIN stops USING (g) WHERE i <= least(last, {consolidate.PAGE_LIMIT} - 1) AND g IN (SELECT g FROM p WHERE i = 0) GROUP BY g""")
+def crawl_chain(spark, d):
+    """Saved pages linked by rel=next in chains that end, lead back or break off, followed from the first page of each section."""
+    p = spark.read.parquet(f"{d}/part.parquet").where("p_partkey % 101 > 0")
+    g, i = F.col("p_partkey") % GROUPS, F.expr(f"p_partkey div {GROUPS}")
+    to = F.when(i % BACK == BACK - 1, i - 5).otherwise(i + 1)
+    html = filled(
+        '<html><head><title>Група {g}, сторінка {i}</title><link rel="next" href="/ua/g{g}/page_{to}?x=1"></head><body><ul>{items}</ul></body></html>',
+        g=g, i=i, to=to, items=F.repeat(F.lit('<li class="product"></li>'), (F.col("p_size") % 4).cast("int")),
+    )
+    saved = p.select(filled("https://vsesezon.com.ua/ua/g{g}/page_{i}/", g=g, i=i).alias("url"), html.alias("html"))
+    read = saved.select("url", urls.canonical(pages.next_page(F.col("html"), F.col("url"))).alias("next_url"), pages.title(F.col("html")).alias("title"), F.size(F.regexp_extract_all("html", F.lit('<li class="product"'), F.lit(0))).cast("long").alias("n_rows"))
+    starts = read.where(F.col("url").endswith("/page_0/")).select(F.col("url").alias("start"))
+    return consolidate.chain_stats(consolidate.chains(read, starts), read).select("start", "pages", "rows", "title")
+
+
 @query("""SELECT DISTINCT CASE p_partkey % 7 WHEN 0 THEN 'https://' ELSE 'https://www.' END || 'et-market.com.ua/teplyj-pol/s-' || p_size || '/' AS url FROM part WHERE p_partkey % 7 IN (0, 1)""")
 def section_urls(spark, d):
     base, case = "https://et-market.com.ua/teplyj-pol/", F.col("key") % 7
