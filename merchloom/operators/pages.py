@@ -72,6 +72,13 @@ def max_page(html: Column, parameter: str) -> Column:
     return F.greatest(F.lit(1), F.coalesce(F.array_max(numbers), F.lit(1)))
 
 
+def last_page(html: Column) -> Column:
+    """The largest page number in the links or the items of the second donor's page navigation, 1 at least."""
+    block = F.regexp_extract(html, r"""(?is)<[^>]*\bid\s*=\s*["']pagenavigation["'].*""", 0)
+    items = F.transform(F.regexp_extract_all(block, F.lit(r"(?is)<li[^>]*>\s*<span[^>]*>\s*([0-9]{1,9})\s*</span>"), F.lit(1)), lambda x: x.cast("int"))
+    return F.greatest(max_page(block, "PAGEN_1"), F.coalesce(F.array_max(items), F.lit(1)))
+
+
 def shown_counts(html: Column) -> Column:
     """The struct (from, to, total) of the line that tells which products a page shows."""
     # Fixed value: the shop's own words.

@@ -41,6 +41,14 @@ def ordered(groups: DataFrame) -> DataFrame:
     return groups.orderBy(rank, F.col("count").desc(), "key")
 
 
+def header(products: DataFrame, sources: list[str]) -> DataFrame:
+    """One row: number of products, and of those whose code names its source."""
+    composite = F.lit(False)
+    for source in sources:
+        composite = composite | F.coalesce(F.col("sku").contains(f"__{source}__"), F.lit(False))
+    return products.agg(F.count("*").alias("total_products"), F.count_if(composite).alias("with_composite_sku"))
+
+
 def summary(groups: DataFrame) -> DataFrame:
     """Number of groups of each kind, in one row."""
     return groups.agg(*[F.count_if(F.col("kind") == k).alias(k) for k in KINDS])

@@ -75,6 +75,24 @@ def cards(products: DataFrame, specs: DataFrame, definitions: DataFrame, images:
     return p.join(image_lists, p["id"] == image_lists["product_id"], "left").drop("product_id").join(spec_lists, F.col("id") == spec_lists["product_id"], "left").drop("product_id")
 
 
+def category_options(categories: DataFrame) -> DataFrame:
+    """(id, label), in order: all sections for a product's editor, by parent and name; labels name the parent."""
+    p = categories.select(F.col("id").alias("p_id"), F.col("name_uk").alias("p_name"))
+    labelled = categories.join(p, categories["parent_id"] == F.col("p_id"), "left")
+    return labelled.orderBy(F.col("parent_id").asc_nulls_last(), "name_uk", "id").select("id", F.concat_ws(" → ", "p_name", "name_uk").alias("label"))
+
+
+def brand_options(brands: DataFrame) -> DataFrame:
+    """(id, name), in order of the names."""
+    return brands.select("id", "name").orderBy("name", "id")
+
+
+def sections_under(categories: DataFrame, root_slug: str) -> DataFrame:
+    """(slug, href) of the sections directly below the section ``root_slug``: links are only shown to sections that are there and in their place."""
+    root = categories.where(F.col("slug") == root_slug).select(F.col("id").alias("parent_id"))  # slugs are unique: one row at most
+    return categories.join(F.broadcast(root), "parent_id", "left_semi").select("slug", F.concat(F.lit("/catalog/"), "slug").alias("href"))
+
+
 def matches(query: str | None, columns: list[str]) -> Column:
     """Case-insensitive substring in any of the columns; no query matches everything."""
     if not query or not query.strip():

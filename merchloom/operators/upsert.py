@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
@@ -180,3 +180,19 @@ def next_order(children: DataFrame, parent: str) -> DataFrame:
 def owned(children: DataFrame, patches: DataFrame, parent: str, key: str) -> DataFrame:
     """Patches of children that belong to the parent they name; the others are left out."""
     return patches.join(children.select(parent, key), [parent, key], "left_semi")
+
+
+def edited_specs(specs: DataFrame, patches: DataFrame, definitions: DataFrame) -> DataFrame:
+    """The specs of the products that ``patches`` (product_id, id, value_text, value_number, present_fields) name, with the patches applied, and each
+    row's ``place`` in its product by the sort order of its definition. Patches of another product's specs do nothing; a value that was not sent stays, one sent
+    as null becomes null, and a number that is not finite counts as not sent."""
+    own = owned(specs, patches, "product_id", "id")
+    number = F.col("value_number").cast("double")
+    odd = number.isNotNull() & (F.isnan(number) | (F.abs(number) == float("inf")))
+    sent = F.when(odd, F.array_remove("present_fields", "value_number")).otherwise(F.col("present_fields"))
+    sound = own.select("id", "value_text", F.when(~odd, F.col("value_number")).cast(dict(specs.dtypes)["value_number"]).alias("value_number"), sent.alias("present_fields"))
+    edited = patch(specs.join(patches.select("product_id").distinct(), "product_id", "left_semi"), sound, "id")
+    placed = edited.join(definitions.select(F.col("id").alias("definition_id"), F.col("sort_order").alias("__order")), "definition_id", "left")
+    # A product has few specs: numbered within the product.
+    place = F.row_number().over(Window.partitionBy("product_id").orderBy("__order", "id"))
+    return placed.withColumn("place", place).select(*specs.columns, "place")

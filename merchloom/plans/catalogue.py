@@ -110,6 +110,11 @@ def dup_summary(spark, d):
     return reports.summary(reports.duplicates(view(spark, d, "products"), categories.SOURCES))
 
 
+@query
+def dup_header(spark, d):
+    return reports.header(view(spark, d, "products"), categories.SOURCES)
+
+
 @query
 def dup_items(spark, d):
     products = view(spark, d, "products")
@@ -257,6 +262,22 @@ def self_parent_label(spark, d):
     return serving.optional(s, s.select(F.col("id").alias("p_id"), F.col("name").alias("p_name")), F.col("parent") == F.col("p_id"), {"p_name": "parent_name"}).select("id", "name", "parent_name")
 
 
+@query
+def category_options(spark, d):
+    return serving.category_options(sections(spark, d))
+
+
+@query
+def brand_options(spark, d):
+    brands = view(spark, d, "products").select("brand_id").distinct()
+    return serving.brand_options(brands.select(F.col("brand_id").alias("id"), F.concat(F.lit("Brand "), "brand_id").alias("name")))
+
+
+@query
+def sections_under(spark, d):
+    return serving.sections_under(sections(spark, d), "asia")
+
+
 @query
 def semi_some(spark, d):
     orders = table(spark, d, "orders").where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("c_custkey"))
@@ -558,6 +579,20 @@ def patch_rejected(spark, d):
     return upsert.rejected_patches(forms).select("id", "sku", "price_uah", "reason")
 
 
+@query
+def edited_specs(spark, d):
+    """Specs of every fifth order: odd lines with a text and a number, of which the first is not finite; the second line is another order's."""
+    lines, n = table(spark, d, "lineitem"), F.col("l_linenumber")
+    specs = lines.select((F.col("l_orderkey") * 10 + n).alias("id"), F.col("l_orderkey").alias("product_id"), n.alias("definition_id"), F.col("l_returnflag").alias("value_text"), F.col("l_quantity").alias("value_number"))
+    specs = specs.groupBy("id").agg(F.min(F.struct("product_id", "definition_id", "value_text", "value_number")).alias("s")).select("id", "s.*")
+    sent = F.when(F.col("definition_id") % 2 == 1, F.array(F.lit("value_text"), F.lit("value_number"))).otherwise(F.array(F.lit("value_text")))
+    number = F.when(F.col("definition_id") == 1, float("nan")).when(F.col("definition_id") == 3, 7.0)
+    owner = F.when(F.col("definition_id") == 2, F.col("product_id") + 5).otherwise(F.col("product_id"))
+    patches = specs.where("product_id % 5 = 0").select(owner.alias("product_id"), "id", F.when(F.col("definition_id") != 4, "new").alias("value_text"), number.alias("value_number"), sent.alias("present_fields"))
+    definitions = specs.select(F.col("definition_id").alias("id"), (10 - F.col("definition_id")).alias("sort_order")).distinct()
+    return upsert.edited_specs(specs, patches, definitions).select("id", "product_id", "value_text", "value_number", F.col("place").cast("long").alias("place"))
+
+
 @query
 def owned_patches(spark, d):
     lines = table(spark, d, "lineitem")

@@ -203,6 +203,14 @@ SELECT external_source, external_id, 'imported' AS status, external_source || '-
 UNION ALL SELECT external_source, external_id, 'rejected: unknown source, or a URL of another shop', NULL, NULL, name_uk || again, NULL, NULL, NULL, 0, 0
 FROM p, (SELECT unnest(['', ' neu']) AS again) WHERE bad AND (again = '' OR id % 4 = 0)""",
     "patch_rejected": "SELECT p_partkey AS id, p_name AS sku, '12x' AS price_uah, 'the price is no number' AS reason FROM part WHERE p_partkey % 3 = 0 AND p_partkey % 5 > 0",
+    "dup_header": f"SELECT count(*) AS total_products, count(*) FILTER (contains(sku, '__et_market__') OR contains(sku, '__in_heat__') OR contains(sku, '__vsesezon__')) AS with_composite_sku FROM ({v('products')})",
+    "category_options": f"WITH s AS ({v('sections')}) SELECT s.id, CASE WHEN p.name IS NULL THEN '' ELSE p.name || ' → ' END || s.name AS label FROM s LEFT JOIN s p ON s.parent = p.id",
+    "brand_options": "SELECT DISTINCT p_brand AS id, 'Brand ' || p_brand AS name FROM part",
+    "sections_under": f"WITH s AS ({v('sections')}) SELECT s.slug, '/catalog/' || s.slug AS href FROM s JOIN s p ON s.parent = p.id WHERE p.slug = 'asia'",
+    "edited_specs": """WITH s AS (SELECT l_orderkey * 10 + l_linenumber AS id, l_orderkey AS product_id, l_linenumber AS n, arg_min(l_returnflag, (l_returnflag, l_quantity)) AS value_text, arg_min(l_quantity, (l_returnflag, l_quantity)) AS value_number FROM lineitem GROUP BY ALL),
+touched AS (SELECT CASE WHEN n = 2 THEN product_id + 5 ELSE product_id END AS product_id FROM s WHERE product_id % 5 = 0)
+SELECT id, product_id, CASE WHEN product_id % 5 > 0 OR n = 2 THEN value_text WHEN n = 4 THEN NULL ELSE 'new' END AS value_text, CASE WHEN product_id % 5 > 0 OR n % 2 = 0 OR n = 1 THEN value_number WHEN n = 3 THEN 7 END AS value_number,
+  row_number() OVER (PARTITION BY product_id ORDER BY n DESC, id) AS place FROM s WHERE product_id IN (SELECT product_id FROM touched)""",
     "upsert_policy": f"""SELECT coalesce(o.id, n.id) AS id, CASE WHEN n.id IS NOT NULL THEN n.name ELSE o.name END AS name, coalesce(n.price, o.price) AS price,
   CASE WHEN o.id IS NULL THEN n.note ELSE coalesce(nullif(n.note, ''), o.note) END AS note, CASE WHEN o.id IS NULL THEN n.seo ELSE o.seo END AS seo FROM ({v('stored')}) o FULL JOIN ({v('incoming')}) n ON o.id = n.id""",
     "replace_children": """SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')

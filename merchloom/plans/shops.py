@@ -12,8 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import urls
-from ..operators import consolidate, pages
+from ..functions import sql, urls
+from ..operators import consolidate, pages, trees
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -228,3 +228,42 @@ def json_ld_products(spark, d):
     made = p.select(F.col("key").alias("page_id"), html.alias("html"), filled("https://vsesezon.com.ua/ua/g{size}", **c).alias("category"))
     found = pages.json_ld_products(made, F.col("category"))
     return found.select("page", "externalId", "sourceUrl", "slug", "nameUk", "sku", "priceUah", "priceVisible", "imageUrl", "sourceCategoryUrl", F.size("images").alias("n_images"), F.try_element_at("specs", F.lit(1))["value"].alias("brand"))
+
+
+@query(SQL["shop_listings"])
+def shop_listings_sql(spark, d):
+    """The listing pages again, through the table function of SQL."""
+    sql.register(spark)
+    rows = "SELECT p.page, l.* FROM {made} p, LATERAL shop_listing(p.html, '%s', NULL) l"
+    one, two = (spark.sql(rows % source, made=listing_pages(spark, d, source)) for source in ("et_market", "in_heat"))
+    return one.union(two)
+
+
+@query("""SELECT p_partkey AS page, greatest(1, p_size, p_partkey % 60)::INT AS last FROM part""")
+def last_page(spark, d):
+    html = filled(
+        '<a href="?PAGEN_1=999">before</a><div id="pagenavigation"><a href="/ua/x/?PAGEN_1={size}">last</a><a href="/ua/x/?a=1&amp;PAGEN_1=1">1</a><div class="bx-pagination-container"><ul><li class="bx-active"><span> {n} </span></li><li><a href="#">next</a></li></ul></div></div>',
+        size=F.col("size"), n=F.col("key") % 60,
+    )
+    return parts_of(spark, d).select(F.col("key").alias("page"), pages.last_page(html).alias("last"))
+
+
+@query("""SELECT DISTINCT 'https://in-heat.kiev.ua/ua/' || CASE WHEN p_partkey % 7 = 1 THEN 'termoregulyatory/' ELSE 'otoplenie/s-' || p_size || '/' END AS url FROM part WHERE p_partkey % 7 IN (0, 1, 6)""")
+def menu_urls(spark, d):
+    """The second donor's menu: hubs and sections under given prefixes, in the catalogue's language."""
+    base, case, s = "https://in-heat.kiev.ua/ua/", F.col("key") % 7, {"size": F.col("size")}
+    link = (
+        F.when(case == 0, filled(base + "otoplenie/s-{size}/", **s)).when(case == 1, base + "termoregulyatory").when(case == 2, filled(base + "otoplenie/p-{size}.html", **s))
+        .when(case == 3, filled("https://in-heat.kiev.ua/otoplenie/s-{size}/", **s)).when(case == 4, filled(base + "tovary/s-{size}/", **s)).when(case == 5, filled("https://other.example/ua/otoplenie/s-{size}/", **s))
+        .otherwise(filled("https://www.in-heat.kiev.ua/ua//otoplenie/s-{size}?x=1#top", **s))
+    )
+    links = trees.held(parts_of(spark, d).select(link.alias("link")))
+    found = pages.section_urls(links, "in-heat.kiev.ua", [], 2, language="ua", prefixes=["/ua/otoplenie", "/ua/termoregulyatory/"])
+    return found.select(F.regexp_replace("url", "//www\\.", "//").alias("url")).distinct()
+
+
+@query(f"""WITH {_PARTS} SELECT key AS page, 'et_market' AS source, brand || 'Тип' || kind || ' Розмір ' || size AS text FROM parts UNION ALL SELECT key, 'in_heat', brand FROM parts""")
+def card_descriptions(spark, d):
+    """The texts of the cards' descriptions, which are markup."""
+    found = pages.cards(card_pages(spark, d, "et_market"), "et_market", "key").union(pages.cards(card_pages(spark, d, "in_heat"), "in_heat", "key"))
+    return found.select("page", "source", F.regexp_replace("descriptionHtml", "<[^>]*>", "").alias("text"))

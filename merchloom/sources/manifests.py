@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -114,6 +115,34 @@ def batches(products: DataFrame, size: int = 50) -> DataFrame:
     return products.withColumn("batch", F.floor(F.col("pos") / size).cast("int"))
 
 
+def write_batches(products: DataFrame, folder: str, enrich: Callable[[DataFrame], DataFrame], size: int = 50, waves: int = 16) -> None:
+    """``products`` (file_ord, pos, ...) with their details, as a table below ``folder`` with one partition for each batch of ``size`` places of a file.
+
+    Batches that are there are left alone and not enriched again. The others are written in ``waves`` jobs, each of which puts
+    whole partitions in place when it has ended: a run that dies has lost the wave that it was in, and the next run does what
+    is missing. ``enrich`` gets and gives rows with file_ord and pos. Batches that it leaves empty are tried again by every run."""
+    spark, keys = products.sparkSession, ["file_ord", "batch"]
+    left = batches(products, size)
+    done = written_batches(spark, folder)
+    if done is not None:
+        left = left.join(done, keys, "left_anti")
+    wave = F.pmod(F.xxhash64(*keys), F.lit(waves))
+    for k in range(waves):
+        part = batches(enrich(left.where(wave == k).drop("batch")), size)
+        # A batch is one task's, so one file; dynamic overwriting replaces the partitions of this wave only.
+        part.repartition(*keys).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(folder)
+
+
+def written_batches(spark: SparkSession, folder: str) -> DataFrame | None:
+    """(file_ord, batch) of the batches below ``folder``, from the names of the partitions; None if nothing was written yet."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = files.globStatus(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/file_ord=*/batch=*")) if files.exists(path) else None
+    if not found:
+        return None
+    return spark.read.parquet(folder).select(F.col("file_ord").cast("int"), F.col("batch").cast("int")).distinct()
+
+
 def ordinals(products: DataFrame) -> DataFrame:
     """0-based ordinals over all files: positions within a file plus the sizes of the files before,
     which are as few rows as there are files."""
