@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Columns of the tables.
@@ -38,7 +40,52 @@ def conform(df: DataFrame, name: str) -> DataFrame:
 
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.schema(SCHEMAS[name]).parquet(f"{folder}/{name}")
+    """A table of a snapshot, written whole or in parts."""
+    return read_parts(spark, folder, name) if exists(spark, f"{folder}/_parts") else spark.read.schema(SCHEMAS[name]).parquet(f"{folder}/{name}")
+
+
+#: Parts of the tables that grow with the products, and the columns by which their rows are dealt to them; other tables are one part.
+PARTS = 64
+PART_KEYS = {"products": ("external_source", "external_id"), "product_images": ("product_id",), "product_specs": ("product_id",)}
+_LISTING = "name string, part int, version string"
+
+
+def part_of(name: str, *key: Column) -> Column:
+    """The part of a table's row with the given ``key`` (else by its own columns)."""
+    columns = key or [F.col(c) for c in PART_KEYS.get(name, ())]
+    return F.pmod(F.xxhash64(*columns), F.lit(PARTS)).cast("int") if columns else F.lit(0)
+
+
+def listing(spark: SparkSession, path: str) -> dict[tuple[str, int], str | None]:
+    """Which version holds each part of each table, for a snapshot written in parts; None for a part without rows. As many entries as there are
+    tables and parts, whatever their size."""
+    return {(r["name"], r["part"]): r["version"] for r in spark.read.schema(_LISTING).parquet(f"{path}/_parts").collect()}
+
+
+def read_parts(spark: SparkSession, path: str, name: str, parts: Iterable[int] | None = None) -> DataFrame:
+    """Some parts of a table, or all, of a snapshot written in parts."""
+    wanted, folder = None if parts is None else set(parts), path.rpartition("/")[0]
+    paths = [f"{folder}/{v}/{name}/part={p}" for (n, p), v in sorted(listing(spark, path).items()) if n == name and v and (wanted is None or p in wanted)]
+    return spark.read.schema(SCHEMAS[name]).parquet(*paths) if paths else empty(spark, name)
+
+
+def write_parts(changed: dict[str, tuple[DataFrame, Iterable[int]]], folder: str, version: str, base: str | None) -> str:
+    """A snapshot that holds only what ``changed`` (all rows of the given parts of a table) and names the versions that hold the other
+    parts, those of the snapshot ``base``: no file of an untouched part is read or written. Published as any other."""
+    spark = next(iter(changed.values()))[0].sparkSession
+    check_unpublished(spark, folder, version)
+    held = listing(spark, base) if base else {}
+    for name, (df, parts) in changed.items():
+        path = f"{folder}/{version}/{name}"
+        # One file for each part, dealt by the part's number.
+        conform(df, name).withColumn("part", part_of(name)).repartition("part").write.mode("overwrite").partitionBy("part").parquet(path)
+        filled = {r["part"] for r in spark.read.parquet(path).select(F.col("part").cast("int").alias("part")).distinct().collect()} if exists(spark, path, "part=*") else set()
+        if not filled <= set(parts):
+            raise ValueError(f"rows of parts of {name} that were not to change: {sorted(filled - set(parts))}")
+        held |= {(name, p): version if p in filled else None for p in parts}
+    rows = [(n, p, v) for (n, p), v in sorted(held.items())]
+    spark.createDataFrame(rows, _LISTING).coalesce(1).write.mode("overwrite").parquet(f"{folder}/{version}/_parts")
+    return f"{folder}/{version}"
 
 
 def read_jdbc(spark: SparkSession, url: str, name: str, key: str | None = None, bounds: tuple[int, int, int] | None = None, **options: str) -> DataFrame:
@@ -74,10 +121,15 @@ def publish(spark: SparkSession, folder: str, version: str) -> None:
 _VERSION = "number long, version string"
 
 
+def exists(spark: SparkSession, folder: str, pattern: str | None = None) -> bool:
+    """Whether a folder of any file system that Spark reads is there, and in it something that fits the ``pattern``."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/{pattern}" if pattern else folder)
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return bool(files.globStatus(path)) if pattern else files.exists(path)
+
+
 def _has_versions(spark: SparkSession, folder: str) -> bool:
-    """Whether ``folder``, which any file system that Spark reads may hold, has a folder of versions."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/_versions")
-    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+    return exists(spark, f"{folder}/_versions")
 
 
 def _versions(spark: SparkSession, folder: str) -> DataFrame:
