@@ -12,10 +12,10 @@ SPACE = r"[\s   -     　﻿]"
 
 
 def _folding() -> tuple[str, str]:
-    """Letters with marks and their base letters, from the canonical decompositions of the Latin,
-    Greek and Cyrillic blocks."""
+    """Characters whose canonical decomposition is one character and marks, and those characters: all scripts of the basic plane.
+    Hangul syllables, which decompose into several letters, stay whole, and so do unified ideographs, which do not decompose."""
     source, target = [], []
-    for block in ((0xC0, 0x250), (0x370, 0x530), (0x1E00, 0x2000)):
+    for block in ((0xC0, 0x3400), (0xF900, 0x10000)):
         for c in map(chr, range(*block)):
             base = "".join(x for x in unicodedata.normalize("NFD", c) if not unicodedata.category(x).startswith("M"))
             if base != c and len(base) == 1:

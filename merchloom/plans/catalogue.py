@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import media, text, urls
 from ..operators import categories, consolidate, maintenance, pages, reports, serving, similarity, trees, upsert
+from ..sources import manifests, tables
 from . import imports
 from .proxies import view
 
@@ -517,6 +519,79 @@ def manifest_rows(spark: SparkSession, d: str) -> DataFrame:
     return rows.union(again)
 
 
+@query
+def manifest_round_trip(spark, d):
+    """Two manifests merged, written as documents of bounded size into the shared folder, and read back in order."""
+    rows = manifest_rows(spark, d)
+    whole = rows.groupBy("file_ord").agg(F.array_sort(F.collect_list(F.struct("pos", F.struct(*manifests.own_fields(rows)).alias("p")))).alias("held"))
+    none = {c: F.lit(None).cast(spark.createDataFrame([], manifests.MANIFEST_DDL).schema[c].dataType) for c in ("etMarket", "inHeat", "etMarketCrawl", "vsesezon")}
+    found = whole.select("file_ord", F.col("held.p").alias("products"), F.concat(F.lit("t"), "file_ord").alias("scrapedAt"), F.lit("l").alias("listingUrl"), *[v.alias(c) for c, v in none.items()])
+    folder = tables.scratch_folder(spark)
+    manifests.write_documents(manifests.merged_products(found), manifests.merged_meta(found), folder)
+    again = manifests.read_documents(spark, [folder])
+    products = manifests.products_of(again).select("source", "externalId", "nameUk", "sku", "priceUah", "sourceCategoryUrl", long(F.size("images")).alias("n_images"), long(F.size("specs")).alias("n_specs"))
+    meta = manifests.merged_meta(again).select("scrapedAt")
+    return products.join(meta, F.lit(True))  # one row
+
+
+@query
+def published_catalogue(spark, d):
+    """An import written as a snapshot, published and read again: rows of each table, and of the broken rules of all."""
+    none = spark.createDataFrame([], "url string, title string, position long")
+    after, _ = imports.import_products(imports.seeded(imports.empty_catalogue(spark)), manifest_rows(spark, d), none, stage=lambda df, name: trees.held(df))
+    folder = tables.scratch_folder(spark)
+    tables.write_snapshot(after, folder, "v1")
+    tables.publish(spark, folder, "v1")
+    read = {name: tables.read_table(spark, tables.current(spark, folder), name) for name in after}
+    counts = [df.agg(F.count("*").alias("n")).select(F.lit(name).alias("what"), "n") for name, df in read.items()]
+    return reduce(DataFrame.union, counts).union(tables.violations(read).agg(F.sum("n").alias("n")).select(F.lit("violations").alias("what"), "n"))
+
+
+@query
+def facet_rows(spark, d):
+    """Filters of listing manifests, a manifest for each brand, as rows."""
+    sizes = table(spark, d, "part").groupBy("p_brand", "p_size").agg(F.count("*").cast("int").alias("n"))
+    value = F.struct(F.lit("5").alias("filterKey"), F.col("p_size").cast("string").alias("label"), F.col("n").alias("count"), F.concat(F.lit("?size="), "p_size").alias("filterUrl"))
+    listed = sizes.groupBy("p_brand").agg(F.array_sort(F.collect_list(value)).alias("values"), F.min("p_size").alias("low"), F.max("p_size").alias("high"))
+    kind = "struct<id:string,name:string,values:array<struct<filterKey:string,label:string,count:int,filterUrl:string>>,priceRangeUah:struct<min:int,max:int>>"
+    span = F.struct(F.col("low").cast("int").alias("min"), F.col("high").cast("int").alias("max"))
+    groups = F.array(F.struct(F.lit("5"), F.lit("Розмір"), F.col("values"), F.lit(None).cast("struct<min:int,max:int>")).cast(kind), F.struct(F.lit("price"), F.lit("Ціна"), F.slice("values", 1, 0), span).cast(kind))
+    found = listed.select(F.regexp_extract("p_brand", "([0-9]+)$", 1).cast("int").alias("file_ord"), F.struct(groups.alias("filters")).alias("etMarket"))
+    return manifests.facets_of(found).select("file_ord", "group_pos", "id", "label", "count", F.col("priceRangeUah.max").alias("most"))
+
+
+@query
+def url_lists(spark, d):
+    """A list of addresses, written as text with blanks around, united with those of all pages."""
+    own = table(spark, d, "pages").select("page_id", "url")
+    folder = tables.scratch_folder(spark)
+    own.where("page_id % 3 > 0").select(F.when(F.col("page_id") % 3 == 1, F.concat(F.lit("  "), "url", F.lit(" "))).otherwise("").alias("value")).write.text(folder)
+    return manifests.read_url_list(spark, [folder]).union(own.where("page_id % 2 = 0").select("url")).distinct()
+
+
+@query
+def listing_stubs(spark, d):
+    """Products cut down to their listing columns and made products without details again."""
+    rows = manifest_rows(spark, d).where("file_ord = 0").withColumns({"imageUrl": F.when(F.col("pos") % 2 == 0, F.element_at("images", 1)["url"]), "bitrixOfferId": F.lit(None).cast("string")})
+    stubs = consolidate.as_product(consolidate.as_listing(rows))
+    return stubs.select("source", "externalId", "nameUk", F.element_at(F.concat("images", F.array(F.struct(F.lit("none").alias("url"), F.lit(None).cast("string").alias("alt")))), 1)["url"].alias("image"), long(F.size("images")).alias("n_images"), long(F.size("specs")).alias("n_specs"))
+
+
+@query
+def canonical_choice(spark, d):
+    """Of the products of one name the one whose source comes first, then the smallest id."""
+    p = view(spark, d, "products")
+    rank = text.ranked_value(F.col("external_source"), categories.SOURCES)
+    return p.groupBy("short_name").agg(F.min_by("id", F.struct(rank, "id")).alias("canonical"), F.min(rank).cast("long").alias("rank"))
+
+
+@query
+def label_slugs(spark, d):
+    """Slugs of section labels; labels without a letter or digit get the default."""
+    label = F.when(F.col("pos") == 2, "!!").otherwise(F.concat("label", F.lit(" "), "value"))
+    return view(spark, d, "attributes").select("product_id", "pos", text.slug(label, 180, "category").alias("slug"))
+
+
 @query
 def import_catalogue(spark, d):
     """Manifests to catalogue: seeded, imported with sections, images and specs; rejected rows stand beside the imported ones."""

@@ -202,6 +202,22 @@ SELECT external_source, external_id, 'imported' AS status, external_source || '-
   CASE WHEN id % 4 = 0 THEN 1 ELSE 2 END::BIGINT AS n_images, CASE WHEN id % 4 = 0 THEN 0 WHEN sort_order > 3 THEN 3 ELSE 2 END::BIGINT AS n_specs FROM p WHERE NOT bad
 UNION ALL SELECT external_source, external_id, 'rejected: unknown source, or a URL of another shop', NULL, NULL, name_uk || again, NULL, NULL, NULL, 0, 0
 FROM p, (SELECT unnest(['', ' neu']) AS again) WHERE bad AND (again = '' OR id % 4 = 0)""",
+    "manifest_round_trip": f"""SELECT external_source AS source, external_id AS "externalId", name_uk || CASE WHEN id % 4 = 0 THEN ' neu' ELSE '' END AS "nameUk", CASE WHEN id % 4 > 0 THEN short_name END AS sku, CASE WHEN id % 4 > 0 THEN price_uah::DOUBLE END AS "priceUah",
+  CASE external_source WHEN 'et_market' THEN ['https://et-market.com.ua/teplyj-pol/nagrevatelnye-maty/', 'https://et-market.com.ua/avtomatika/x/', NULL][id % 3 + 1]
+    WHEN 'in_heat' THEN ['https://in-heat.kiev.ua/ua/otoplenie/nagrevatelnyj-kabel/', 'https://in-heat.kiev.ua/ua/tovary/', 'https://other.com/x/'][id % 3 + 1]
+    ELSE CASE WHEN id % 3 = 0 THEN 'https://vsesezon.com.ua/ua/g' || id % 50 || '-maty/' END END AS "sourceCategoryUrl",
+  CASE WHEN id % 4 = 0 THEN 1 ELSE 2 END::BIGINT AS n_images, CASE WHEN id % 4 = 0 THEN 0 ELSE 2 + (sort_order > 3)::INT + (sort_order > 25)::INT END::BIGINT AS n_specs, 't0' AS "scrapedAt"
+FROM ({v('products')}) WHERE external_source IS NOT NULL""",
+    "published_catalogue": f"""WITH p AS (SELECT *, id % 3 AS m FROM ({v('products')}) WHERE external_source IS NOT NULL AND NOT (external_source = 'in_heat' AND id % 3 = 2))
+SELECT 'categories' AS what, 3 + count(DISTINCT CASE WHEN external_source = 'et_market' AND m = 1 THEN 'et' WHEN external_source = 'in_heat' AND m = 1 THEN 'inh' WHEN external_source = 'vsesezon' AND m = 0 THEN 'vs-' || id % 50 END) AS n FROM p
+UNION ALL SELECT 'brands', 1 UNION ALL SELECT 'products', 2 + count(*) FROM p UNION ALL SELECT 'product_images', sum(CASE WHEN id % 4 = 0 THEN 1 ELSE 2 END)::BIGINT FROM p
+UNION ALL SELECT 'spec_definitions', 6 UNION ALL SELECT 'product_specs', 6 + sum(CASE WHEN id % 4 = 0 THEN 0 WHEN sort_order > 3 THEN 3 ELSE 2 END)::BIGINT FROM p UNION ALL SELECT 'violations', 0""",
+    "facet_rows": """WITH g AS (SELECT regexp_extract(p_brand, '([0-9]+)$', 1)::INT AS file_ord, p_size, count(*)::INT AS n FROM part GROUP BY ALL)
+SELECT file_ord, 0 AS group_pos, '5' AS id, p_size::VARCHAR AS label, n AS count, NULL::INT AS most FROM g UNION ALL SELECT file_ord, 1, 'price', NULL, NULL, max(p_size)::INT FROM g GROUP BY file_ord""",
+    "url_lists": "SELECT DISTINCT url FROM pages WHERE page_id % 3 = 1 OR page_id % 2 = 0",
+    "listing_stubs": f"""SELECT external_source AS source, external_id AS "externalId", name_uk AS "nameUk", CASE WHEN id % 2 = 0 THEN '/i/' || slug ELSE 'none' END AS image, (1 - id % 2)::BIGINT AS n_images, 0::BIGINT AS n_specs FROM ({v('products')}) WHERE external_source IS NOT NULL""",
+    "canonical_choice": f"""WITH p AS (SELECT *, CASE external_source WHEN 'et_market' THEN 0 WHEN 'in_heat' THEN 1 WHEN 'vsesezon' THEN 2 ELSE 999 END AS rank FROM ({v('products')})) SELECT short_name, arg_min(id, (rank, id)) AS canonical, min(rank)::BIGINT AS rank FROM p GROUP BY short_name""",
+    "label_slugs": f"""SELECT product_id, pos, CASE WHEN pos = 2 THEN 'category' WHEN pos = 0 THEN 'potuzhnist-vt-' || replace(value, ',', '') ELSE 'typ-' || trim(regexp_replace(regexp_replace(lower(value), '[^a-z0-9 -]', '', 'g'), '[ -]+', '-', 'g'), '-') END AS slug FROM ({v('attributes')})""",
     "patch_rejected": "SELECT p_partkey AS id, p_name AS sku, '12x' AS price_uah, 'the price is no number' AS reason FROM part WHERE p_partkey % 3 = 0 AND p_partkey % 5 > 0",
     "dup_header": f"SELECT count(*) AS total_products, count(*) FILTER (contains(sku, '__et_market__') OR contains(sku, '__in_heat__') OR contains(sku, '__vsesezon__')) AS with_composite_sku FROM ({v('products')})",
     "category_options": f"WITH s AS ({v('sections')}) SELECT s.id, CASE WHEN p.name IS NULL THEN '' ELSE p.name || ' → ' END || s.name AS label FROM s LEFT JOIN s p ON s.parent = p.id",

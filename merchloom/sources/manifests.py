@@ -148,4 +148,4 @@ def ordinals(products: DataFrame) -> DataFrame:
     which are as few rows as there are files."""
     sizes = products.groupBy("file_ord").agg((F.max("pos") + 1).alias("n"))
     before = sizes.select(F.col("file_ord").alias("of_file"), F.coalesce(F.sum("n").over(Window.orderBy("file_ord").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    return products.join(F.broadcast(before), F.col("file_ord") == F.col("of_file")).withColumn("ordinal", F.col("before") + F.col("pos")).drop("of_file", "before")
+    return products.join(before, F.col("file_ord") == F.col("of_file")).withColumn("ordinal", F.col("before") + F.col("pos")).drop("of_file", "before")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -121,6 +123,17 @@ def publish(spark: SparkSession, folder: str, version: str) -> None:
 _VERSION = "number long, version string"
 
 
+def scratch_folder(spark: SparkSession) -> str:
+    """A new folder below the one that all executors share: the session's spark.checkpoint.dir, or else the context's checkpoint
+    folder. A local master without either gets a temporary one, a cluster an error."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        shared = tempfile.mkdtemp(prefix="merchloom-")
+    return f"{shared}/{uuid.uuid4().hex}"
+
+
 def exists(spark: SparkSession, folder: str, pattern: str | None = None) -> bool:
     """Whether a folder of any file system that Spark reads is there, and in it something that fits the ``pattern``."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/{pattern}" if pattern else folder)

@@ -98,3 +98,8 @@ def test_offer_price(spark):
     assert value(spark, pages.offer_price, '{"@type":"AggregateOffer","lowPrice":"1 200,5","highPrice":"2"}') == 1200.5
     assert value(spark, pages.offer_price, '{"price":7}') == 7.0
     assert value(spark, pages.offer_price, '{"price":"none"}') is None
+
+
+def test_marks_of_all_scripts_go(spark):
+    for marked, plain in (("が", "か"), ("ấ", "a"), ("й", "и"), ("ΐ", "ι"), ("क़", "क"), ("אּ", "א"), ("한", "한")):
+        assert value(spark, text.name_key, marked) == plain
