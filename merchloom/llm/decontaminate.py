@@ -53,54 +53,67 @@ def _keys(ids: np.ndarray, n: int) -> np.ndarray:
 
 
 class Grams:
-    """The windows of some benchmark items, as arrays: the words of all items end to end as numbers, and for each
-    length of window the sorted keys with the place of a window in the words and the item it stems from."""
+    """The distinct windows of some benchmark items, as arrays: the words of all items end to end as numbers, and for each
+    length of window the sorted keys, the place of each window in the words and the number of its list of owners.
+
+    Windows that many items share (boilerplate questions) stand once, and windows with the same owners share one list: a text is verified
+    against a window once, whoever owns it, and its items are the union of the few different lists that it met."""
 
     def __init__(self, items: list[tuple[str, bytes]], window: int = WINDOW):
         self.vocabulary: dict[bytes, int] = {}
-        self.names = [name for name, _ in items]
+        #: Item ids in order; owners are numbers of these.
+        self.names = np.array(sorted({name for name, _ in items}), object)
+        rank = {name: i for i, name in enumerate(self.names.tolist())}
         streams, found, at = [np.empty(0, np.int32)], {}, 0
-        for item, (_, text) in enumerate(items):
+        for name, text in items:
             own = words(text)
             ids = np.fromiter((self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in own), np.int32, len(own))
             n = min(window, len(ids))
             if n:
-                keys = _keys(ids, n)
-                found.setdefault(n, []).append((keys, at + np.arange(len(keys), dtype=np.int32), np.full(len(keys), item, np.int32)))
+                keys, other = _keys(ids, n), _keys(ids[::-1], n)[::-1]
+                found.setdefault(n, []).append((keys, other, at + np.arange(len(keys), dtype=np.int32), np.full(len(keys), rank[name], np.int32)))
             streams.append(ids)
             at += len(ids)
         self.stream = np.concatenate(streams)
-        self.tables = []
+        self.tables, lists = [], {}
         for n in sorted(found):
-            keys, starts, owners = (np.concatenate(x) for x in zip(*found[n]))
-            order = np.lexsort((starts, owners, keys))
-            keys, starts, owners = keys[order], starts[order], owners[order]
-            # A window that an item repeats is kept once; equal keys alone don't make windows equal.
-            again = np.flatnonzero((keys[1:] == keys[:-1]) & (owners[1:] == owners[:-1])) + 1
-            same = np.ones(len(again), bool)
+            keys, other, starts, owners = (np.concatenate(x) for x in zip(*found[n]))
+            order = np.lexsort((owners, other, keys))  # two keys tell windows apart; what they leave together is compared
+            keys, other, starts, owners = keys[order], other[order], starts[order], owners[order]
+            same = np.concatenate([[False], (keys[1:] == keys[:-1]) & (other[1:] == other[:-1])])
+            again = np.flatnonzero(same)
             for i in range(n):
-                same &= self.stream[starts[again] + i] == self.stream[starts[again - 1] + i]
-            keep = np.ones(len(keys), bool)
-            keep[again[same]] = False
-            self.tables.append((n, keys[keep], starts[keep], owners[keep]))
-
-    def scan(self, text_words: list[bytes]) -> tuple[np.ndarray, set]:
-        """Which words lie in an occurrence of a window, and the items with occurrences."""
+                same[again] &= self.stream[starts[again] + i] == self.stream[starts[again - 1] + i]
+            first = np.flatnonzero(~same)
+            ends = np.append(first[1:], len(keys)).tolist()
+            own_list = [lists.setdefault(np.unique(owners[a:b]).tobytes(), len(lists)) for a, b in zip(first.tolist(), ends)]
+            self.tables.append((n, keys[first], starts[first], np.array(own_list, np.int32)))
+        self.lists = [np.frombuffer(x, np.int32) for x in lists]
+
+    def scan(self, text_words: list[bytes]) -> tuple[np.ndarray, list[str]]:
+        """Which words lie in an occurrence of a window, and the items with occurrences, in order."""
         get = self.vocabulary.get
         ids = np.fromiter((get(w, 0) for w in text_words), np.int64, len(text_words))
-        hit, found = np.zeros(len(ids), bool), set()
-        for n, keys, starts, owners in self.tables:
+        edges, met = np.zeros(len(ids) + 1, np.int64), []
+        for n, keys, starts, own_list in self.tables:
             own = _keys(ids, n)
             if not len(own):
                 continue
-            first = np.searchsorted(keys, own)
-            for i in np.flatnonzero((first < len(keys)) & (keys[np.minimum(first, len(keys) - 1)] == own)).tolist():
-                upto = int(np.searchsorted(keys, own[i], "right"))
-                for at in range(int(first[i]), upto):
-                    if (self.stream[starts[at] : starts[at] + n] == ids[i : i + n]).all():
-                        hit[i : i + n] = True
-                        found.add(self.names[owners[at]])
-        return hit, found
+            low = np.searchsorted(keys, own)
+            place = np.flatnonzero((low < len(keys)) & (keys[np.minimum(low, len(keys) - 1)] == own))
+            at = low[place]
+            while len(place):  # once, but for windows whose keys agree by chance
+                equal = (self.stream[starts[at][:, None] + np.arange(n)] == ids[place[:, None] + np.arange(n)]).all(axis=1)
+                np.add.at(edges, place[equal], 1)
+                np.add.at(edges, place[equal] + n, -1)
+                met.append(own_list[at[equal]])
+                at = at + 1
+                more = (at < len(keys)) & (keys[np.minimum(at, len(keys) - 1)] == own[place])
+                place, at = place[more], at[more]
+        owners = np.zeros(len(self.names), bool)
+        for k in np.unique(np.concatenate(met)).tolist() if met else ():
+            owners[self.lists[k]] = True
+        return np.cumsum(edges[:-1]) > 0, self.names[owners].tolist()
 
 
 def _slices(benchmark: DataFrame, slice_bytes: int) -> Iterator[list[tuple[object, bytes]]]:
@@ -145,7 +158,7 @@ def _scanner(grams, text_mode: str):
                 counts.append(len(own))
                 n_hits.append(int(hit.sum()))
                 bits.append(np.packbits(hit).tobytes() if any_hit else b"")
-                items.append(sorted(found.union(old_items)))
+                items.append(sorted({*found, *old_items}) if old_items else found)
                 if text_mode == "cut":
                     texts.append(excise(text, hit) if any_hit else text)
             text = {"keep": lambda: batch.column(1), "drop": lambda: pa.nulls(len(counts), pa.string()), "cut": lambda: pa.array(texts, pa.binary()).cast(pa.string())}[text_mode]()

@@ -11,7 +11,7 @@ the weighted sum is classified:
 All weights, attention included, are learned from document labels alone, by gradient
 descent on a bounded sample: at most ``SAMPLE`` labelled rows of each class, the ones with
 the smallest hash of their id, and at most ``TRAIN_PASSAGES`` evenly spaced passages of
-each. Scoring reads every passage of every document. Nothing but the text is an input.
+each (parameters of ``train`` and ``classify``; without the second all passages count). Scoring reads every passage of every document. Nothing but the text is an input.
 
 Defined results: a null or empty text is one passage of zeros; without labelled rows of
 both classes every score is the share of label 1 (0.5 without labels); null labels are
@@ -105,6 +105,23 @@ def forward(p: dict[str, np.ndarray], x: np.ndarray, n: np.ndarray) -> dict[str,
     return {"x": x, "h": h, "t": t, "g": g, "a": a, "z": z, "bag": bag, "starts": starts, "score": _sigmoid(z @ p["c"] + p["d"])}
 
 
+def gradients(p: dict[str, np.ndarray], x: np.ndarray, n: np.ndarray, y: np.ndarray, each: np.ndarray) -> dict[str, np.ndarray]:
+    """The slopes of the cross entropy of bags (x, n) with the labels y, weighed by ``each``, in all learnt weights."""
+    f = forward(p, x, n)
+    out = each * (f["score"] - y)
+    dz = out[:, None] * p["c"]
+    da = (dz[f["bag"]] * f["h"]).sum(axis=1)
+    mean = np.add.reduceat(f["a"] * da, f["starts"])
+    de = f["a"] * (da - mean[f["bag"]])
+    dt = de[:, None] * p["w"] * f["g"] * (1 - f["t"] ** 2)
+    dg = de[:, None] * p["w"] * f["t"] * f["g"] * (1 - f["g"])
+    dh = (f["a"][:, None] * dz[f["bag"]] + dt @ p["V"].T + dg @ p["U"].T) * (1 - f["h"] ** 2)
+    return {
+        "W": f["x"].T @ dh, "b": dh.sum(axis=0), "V": f["h"].T @ dt, "U": f["h"].T @ dg,
+        "w": (f["t"] * f["g"]).T @ de, "c": f["z"].T @ out, "d": np.array([out.sum()]),
+    }
+
+
 def fit(x: np.ndarray, n: np.ndarray, y: np.ndarray, seed: int = 1) -> dict[str, np.ndarray]:
     """The weights for bags (x, n) with the labels y, both classes weighing the same; Adam on all bags."""
     rng = np.random.default_rng(seed)
@@ -116,19 +133,7 @@ def fit(x: np.ndarray, n: np.ndarray, y: np.ndarray, seed: int = 1) -> dict[str,
     each = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum()))
     first, second = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2))
     for step in range(1, ROUNDS + 1):
-        f = forward(p | fixed, x, n)
-        out = each * (f["score"] - y)
-        dz = out[:, None] * p["c"]
-        da = (dz[f["bag"]] * f["h"]).sum(axis=1)
-        mean = np.add.reduceat(f["a"] * da, f["starts"])
-        de = f["a"] * (da - mean[f["bag"]])
-        dt = de[:, None] * p["w"] * f["g"] * (1 - f["t"] ** 2)
-        dg = de[:, None] * p["w"] * f["t"] * f["g"] * (1 - f["g"])
-        dh = (f["a"][:, None] * dz[f["bag"]] + dt @ p["V"].T + dg @ p["U"].T) * (1 - f["h"] ** 2)
-        grads = {
-            "W": f["x"].T @ dh, "b": dh.sum(axis=0), "V": f["h"].T @ dt, "U": f["h"].T @ dg,
-            "w": (f["t"] * f["g"]).T @ de, "c": f["z"].T @ out, "d": np.array([out.sum()]),
-        }
+        grads = gradients(p | fixed, x, n, y, each)
         for k in p:
             grad = grads[k] + DECAY * p[k] / len(p)
             first[k] = 0.9 * first[k] + 0.1 * grad
@@ -144,8 +149,9 @@ def constant(share: float) -> dict[str, np.ndarray]:
     return {k: np.zeros(v) for k, v in zeros.items()} | {"scale": np.ones(N_FEATURES), "d": np.array([np.log(share / (1 - share))])}
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> dict[str, np.ndarray]:
-    """A model fitted to a bounded sample of the labelled rows outside the held-out fold."""
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE, passages: int | None = TRAIN_PASSAGES) -> dict[str, np.ndarray]:
+    """A model fitted to a bounded sample of the labelled rows outside the held-out fold: ``sample`` rows of each class, and of each
+    at most ``passages`` of its passages, evenly spaced (None: all of them, as many as the longest texts have; the driver holds 88 bytes of each)."""
     usable = renamed(labels, doc_id=id_col, y=label_col).where(F.col("y").isin(0, 1) & ~F.coalesce(fold(F.col("doc_id"), FOLDS) == HELD_OUT, F.lit(False)))
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     chosen = usable.where("y = 0").orderBy(*order).limit(sample).union(usable.where("y = 1").orderBy(*order).limit(sample))
@@ -156,7 +162,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         for batch in batches:
             for text, y in zip(as_bytes(batch.column(1)), batch.column(2).to_pylist()):
                 x, n = encode([text])
-                pick = np.unique(np.linspace(0, n[0] - 1, TRAIN_PASSAGES).astype(int)) if n[0] > TRAIN_PASSAGES else np.arange(n[0])
+                pick = np.unique(np.linspace(0, n[0] - 1, passages).astype(int)) if passages and n[0] > passages else np.arange(n[0])
                 yield pa.RecordBatch.from_arrays([pa.array([x[pick].astype(np.float32).tobytes()], pa.binary()), pa.array([int(y)], pa.int64())], ["x", "y"])
 
     rows = texts.select("doc_id", "text", "y").mapInArrow(encoded, "x binary, y long").collect()
@@ -183,8 +189,8 @@ def score(docs: DataFrame, model: dict[str, np.ndarray], id_col: str = "doc_id",
     return rows.mapInArrow(scored, f"doc_id {dict(rows.dtypes)['doc_id']}, score double")
 
 
-def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, held_out, score, predicted) per row of ``docs``."""
-    scores = score(docs, train(docs, labels, id_col, text_col, label_col), id_col, text_col)
+def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = THRESHOLD, sample: int = SAMPLE, passages: int | None = TRAIN_PASSAGES) -> DataFrame:
+    """(doc_id, held_out, score, predicted) per row of ``docs``; ``sample`` and ``passages`` bound what is learnt from."""
+    scores = score(docs, train(docs, labels, id_col, text_col, label_col, sample, passages), id_col, text_col)
     held_out = F.coalesce(fold(F.col("doc_id"), FOLDS) == HELD_OUT, F.lit(False))
     return scores.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
