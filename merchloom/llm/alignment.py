@@ -239,6 +239,9 @@ def _chunk(pair: Pair, number: int, ids: list, texts: list[str]) -> dict:
 def chunks(docs: DataFrame, file_a: str = FILE_A, file_b: str = FILE_B, size: int = CHUNK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each chunk of ``docs``: its texts' counts, digests and pieces, and its distinct groups."""
     rows = renamed(docs, doc_id=id_col, text=text_col)
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    if rows.rdd.getNumPartitions() < cores:  # a small table in few files: encoding costs more than moving its texts
+        rows = rows.repartition(cores)
     longs, array = T.ArrayType(T.LongType()), T.ArrayType
     schema = T.StructType(
         [T.StructField("chunk", T.LongType()), T.StructField("doc_id", array(rows.schema["doc_id"].dataType))]
