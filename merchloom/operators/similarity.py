@@ -200,7 +200,7 @@ def choose(pairs: DataFrame, order: list[str], together: int = TOGETHER) -> Data
     open_ = held(pairs.withColumns({"end_a": F.col("id_a"), "end_b": F.col("id_b")}))
     done, found = [], []
     while True:
-        sizes = held(open_.groupBy(F.col("block").alias("of_block")).agg(F.count("*").alias("n")).where(F.col("n") > together))
+        sizes = open_.groupBy(F.col("block").alias("of_block")).agg(F.count("*").alias("n")).where(F.col("n") > together)
         if sizes.isEmpty():
             done.append(open_)
             break
