@@ -93,7 +93,7 @@ def class_pairs(rows: DataFrame, least: float = WARN) -> DataFrame:
     """(key_a, key_b, similarity, links): the classes of rows whose keys are at least so similar, with
     the number of pairs of rows from different sources that they stand for. A class of several
     sources is paired with itself. No link is lost."""
-    nodes = key_nodes(rows)
+    nodes = held(key_nodes(rows))
     by_key = nodes.groupBy("block", "key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("squares"))
     # Links are all pairs of rows but those within a source.
     own = by_key.where("squares < n * n").select(F.col("key").alias("key_a"), F.col("key").alias("key_b"), F.lit(1.0).alias("similarity"), ((F.col("n") * F.col("n") - F.col("squares")) / 2).cast("long").alias("links"))
@@ -132,10 +132,9 @@ def link_counts(rows: DataFrame) -> DataFrame:
     return joined.select("id", F.coalesce("class_id", "id").alias("class_id"), F.coalesce("n_merge", zero).alias("n_merge"), F.coalesce("n_warn", zero).alias("n_warn"))
 
 
-def merge_candidates(rows: DataFrame, least: float = MERGE) -> DataFrame:
-    """Pairs of nodes (key, source) of different sources and similar keys, with the smallest row of each
+def merge_candidates(nodes: DataFrame, least: float = MERGE) -> DataFrame:
+    """Pairs of ``nodes`` of ``key_nodes`` (key, source) of different sources and similar keys, with the smallest row of each
     as its id. Copies of a name within a source are one node, so they never multiply."""
-    nodes = key_nodes(rows)
     keys = nodes.select("block", "key").distinct()
     near = _verified(candidate_keys(keys, least).distinct(), least).union(keys.select("key", F.col("key").alias("key_b"), F.lit(1.0)))
     a, b = (nodes.select(F.col("key").alias(f"key_{s}"), F.col("source").alias(f"source_{s}"), F.col("least").alias(f"id_{s}")) for s in "ab")
@@ -223,9 +222,9 @@ def resolve(rows: DataFrame, order: list[str], least: float = MERGE, together: i
     The choice is made between nodes, all rows of a source with one name, and candidates never leave
     their block. All rows of a node that loses point to the canonical row.
     """
-    nodes = key_nodes(rows).select("key", "source", F.col("least").alias("node"))
-    pointers = choose(merge_candidates(rows, least), order, together)
-    losing = nodes.join(pointers, "node").select("key", "source", "canonical")
+    nodes = held(key_nodes(rows))
+    pointers = choose(merge_candidates(nodes, least), order, together)
+    losing = nodes.select("key", "source", F.col("least").alias("node")).join(pointers, "node").select("key", "source", "canonical")
     return rows.join(losing, ["key", "source"]).select(F.col("id").alias("loser"), "canonical")
 
 
