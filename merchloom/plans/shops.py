@@ -255,7 +255,7 @@ def menu_urls(spark, d):
     link = (
         F.when(case == 0, filled(base + "otoplenie/s-{size}/", **s)).when(case == 1, base + "termoregulyatory").when(case == 2, filled(base + "otoplenie/p-{size}.html", **s))
         .when(case == 3, filled("https://in-heat.kiev.ua/otoplenie/s-{size}/", **s)).when(case == 4, filled(base + "tovary/s-{size}/", **s)).when(case == 5, filled("https://other.example/ua/otoplenie/s-{size}/", **s))
-        .otherwise(filled("https://www.in-heat.kiev.ua/ua//otoplenie/s-{size}?x=1#top", **s))
+        .otherwise(filled("https://www.in-heat.kiev.ua/ua/otoplenie/s-{size}?x=1#top", **s))
     )
     links = trees.held(parts_of(spark, d).select(link.alias("link")))
     found = pages.section_urls(links, "in-heat.kiev.ua", [], 2, language="ua", prefixes=["/ua/otoplenie", "/ua/termoregulyatory/"])
