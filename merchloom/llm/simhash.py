@@ -11,16 +11,18 @@ node, so exact copies never meet pairwise. Between distinct fingerprints:
   differ by at most 3 in every coordinate: the bucket is ordered by the first coordinate,
   only pairs within 3 there are formed, pairs with a larger difference in another
   coordinate are discarded, and the survivors are verified on all 64 bits.
-* Hot buckets. A bucket above ``PART`` fingerprints is dealt in parts; every pair of parts
-  meets in one task of bounded size, so a hot bucket is spread over tasks and stays exact.
+* Hot buckets. A bucket above ``PART`` fingerprints is cut into finer ones: its open bits make RADIUS + 1
+  pieces, and linked fingerprints agree in one, so each fingerprint goes to RADIUS + 1 finer buckets, however hot
+  the bucket is. A finer bucket above ``PART`` is dealt in parts; every pair of parts meets in one task
+  of bounded size, so it is spread over tasks and stays exact.
 
 A task returns a spanning forest of the links it found, at most one edge per fingerprint,
 not the pairs. Components are joined across buckets by large-star and small-star rounds.
 
 Defined results: null and empty texts have the fingerprint zero and are linked like any
 other; repeated rows share a fingerprint and a component; an empty table gives an empty
-one; texts are read whole; other columns are ignored. Ids must not be null in ``clusters``;
-``drop_copies`` goes by the numbers of rows and takes any id.
+one; texts are read whole; other columns are ignored. Rows with a null id link like others, and their component's id
+is the smallest that is not null (null where it has none). ``drop_copies`` goes by the numbers of rows.
 """
 
 from __future__ import annotations
@@ -172,23 +174,42 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush(held)
 
 
-def link_forest(prints: DataFrame, part: int = PART) -> DataFrame:
-    """Edges (a, b) between distinct fingerprints ``prints`` (fp) that connect all fingerprints
-    linked by at most RADIUS differing bits."""
-    keyed = prints.select("fp", F.explode(buckets_of(F.col("fp"))).alias("k")).select("fp", F.xxhash64("k.choice", "k.bits").alias("bucket"))
+def finer_buckets(choice: Column, fp: Column, blocks: int = BLOCKS, radius: int = RADIUS) -> Column:
+    """Array of finer keys of a fingerprint in a bucket of ``buckets_of``: the bits that the bucket leaves open are cut
+    into radius + 1 pieces, of which linked fingerprints have one in common."""
+    cuts = [64 * i // blocks for i in range(blocks + 1)]
+    masks = []
+    for chosen in combinations(range(blocks), blocks - radius):
+        left = [b for j in range(blocks) if j not in chosen for b in range(cuts[j], cuts[j + 1])]
+        pieces = [sum(1 << b for b in left[k :: radius + 1]) for k in range(radius + 1)]
+        masks.append(F.array(*[F.lit(m - 2**64 if m >= 2**63 else m).cast("long") for m in pieces]))
+    own = F.get(F.array(*masks), choice)
+    return F.transform(own, lambda mask, k: F.struct(k.alias("piece"), fp.bitwiseAND(mask).alias("bits")))
+
+
+def meetings(prints: DataFrame, part: int = PART) -> DataFrame:
+    """(fp, meeting, side) for distinct fingerprints ``prints`` (fp): linked ones meet at least once, in groups of ``part``
+    or pairs of such groups. A bucket above ``part`` goes by its finer buckets; only those above ``part`` are dealt in parts."""
+    keyed = prints.select("fp", F.explode(buckets_of(F.col("fp"))).alias("k")).select("fp", F.col("k.choice").alias("choice"), F.xxhash64("k.choice", "k.bits").alias("bucket"))
     sizes = keyed.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    sized = keyed.join(sizes, "bucket")
-    # Parts of a hot bucket, and the meetings of a part: with itself (side 2) and with each other part.
+    cold = keyed.join(sizes.where(F.col("n") <= part), "bucket").select("fp", F.col("bucket").alias("meeting"), F.lit(2).cast("byte").alias("side"))
+    hot = keyed.join(sizes.where(F.col("n") > part).select("bucket"), "bucket")
+    finer = hot.select("fp", "bucket", F.explode(finer_buckets(F.col("choice"), F.col("fp"))).alias("f")).select("fp", F.xxhash64("bucket", "f.piece", "f.bits").alias("bucket"))
+    sized = finer.join(finer.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "bucket")
+    # Parts of a finer bucket, and the meetings of a part: with itself (side 2) and with each other part.
     parts = F.ceil(F.col("n") / part).cast("int")
     own = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
     dealt = sized.select("fp", "bucket", parts.alias("parts")).withColumn("own", own)
-    meetings = F.when(F.col("parts") == 1, F.array(F.struct(F.lit(0).alias("low"), F.lit(0).alias("high")))).otherwise(
-        F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: F.struct(F.least(o, F.col("own")).alias("low"), F.greatest(o, F.col("own")).alias("high")))
-    )
+    pairs = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: F.struct(F.least(o, F.col("own")).alias("low"), F.greatest(o, F.col("own")).alias("high")))
     side = F.when(F.col("m.low") == F.col("m.high"), 2).when(F.col("own") == F.col("m.low"), 0).otherwise(1)
-    met = dealt.select("fp", "bucket", "own", F.explode(meetings).alias("m")).select("fp", F.xxhash64("bucket", "m.low", "m.high").alias("meeting"), side.cast("byte").alias("side"))
-    spread = met.repartition(F.col("meeting")).sortWithinPartitions("meeting")
-    return spread.mapInArrow(_linked, "a long, b long")
+    met = dealt.select("fp", "bucket", "own", F.explode(pairs).alias("m"))
+    return cold.union(met.select("fp", F.xxhash64("bucket", "m.low", "m.high").alias("meeting"), side.cast("byte").alias("side")))
+
+
+def link_forest(prints: DataFrame, part: int = PART) -> DataFrame:
+    """Edges (a, b) between distinct fingerprints ``prints`` (fp) that connect all fingerprints
+    linked by at most RADIUS differing bits."""
+    return meetings(prints, part).repartition(F.col("meeting")).sortWithinPartitions("meeting").mapInArrow(_linked, "a long, b long")
 
 
 def clusters(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -208,28 +229,32 @@ def hexadecimal(fp: Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 
 
-def numbered(docs: DataFrame) -> DataFrame:
-    """``docs`` with the number of each row in ``ROW``, written so that it stays."""
-    return materialize(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
+def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with the number of each row, written so that it stays, and the column of the numbers: ``ROW``, or
+    a longer name where ``docs`` has such a column itself."""
+    name, taken = ROW, {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return materialize(docs.withColumn(name, F.monotonically_increasing_id()), "rows"), name
 
 
-def one_of_each(rows: DataFrame, placed: DataFrame, id_col: str) -> DataFrame:
+def one_of_each(rows: DataFrame, placed: DataFrame, id_col: str, row_col: str = ROW) -> DataFrame:
     """Of each component of ``placed`` (row, component) the row of ``rows`` with the smallest id;
     null ids come last, and equal ids go by the number of the row."""
-    ids = renamed(rows, row=ROW, id=id_col).join(placed, "row")
+    ids = renamed(rows, row=row_col, id=id_col).join(placed, "row")
     first = ids.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "row")).alias("first"))
-    kept = first.select(F.col("first.row").alias(ROW))
-    gone = materialize(placed.select(F.col("row").alias(ROW)).join(kept, ROW, "left_anti"), "gone")
-    table, n = bitmap(gone.select(F.xxhash64(ROW).alias("key")), "key")
+    kept = first.select(F.col("first.row").alias(row_col))
+    gone = materialize(placed.select(F.col("row").alias(row_col)).join(kept, row_col, "left_anti"), "gone")
+    table, n = bitmap(gone.select(F.xxhash64(row_col).alias("key")), "key")
     if not n:
-        return rows.drop(ROW)
+        return rows.drop(row_col)
     # Rows without a bit stay where they are; only those that may have to go are shuffled, and looked up exactly.
-    may_go = marked(rows.sparkSession, table)(F.xxhash64(ROW))
-    return rows.where(~may_go).union(rows.where(may_go).join(gone, ROW, "left_anti").select(*rows.columns)).drop(ROW)
+    may_go = marked(rows.sparkSession, table)(F.xxhash64(row_col))
+    return rows.where(~may_go).union(rows.where(may_go).join(gone, row_col, "left_anti").select(*rows.columns)).drop(row_col)
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each component of ``docs``: the one with the smallest id. Ids may be null or repeated."""
-    rows = numbered(docs)
-    placed = clusters(rows, ROW, text_col).select(F.col("doc_id").alias("row"), F.col("component_id").alias("component"))
-    return one_of_each(rows, placed, id_col)
+    rows, number = numbered(docs)
+    placed = clusters(rows, number, text_col).select(F.col("doc_id").alias("row"), F.col("component_id").alias("component"))
+    return one_of_each(rows, placed, id_col, number)
