@@ -13,7 +13,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: Maps A-Z to a-z and leaves every other byte alone.
@@ -51,17 +51,20 @@ def shared_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
-def materialize(df: DataFrame, name: str, replaces: DataFrame | None = None) -> DataFrame:
+def materialize(df: DataFrame, name: str, replaces: DataFrame | None = None, counted: bool = True) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: cuts the lineage
-    and survives lost executors. ``replaces``: an earlier such table that nothing reads any more; its files go."""
+    and survives lost executors. Fewer rows than were written are an error: then some files are in a folder that
+    is not shared; ``counted`` is False only where an earlier table has shown it. ``replaces``: an earlier such
+    table that nothing reads any more; its files go."""
     spark = df.sparkSession
     bound_batches(spark)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    rows = Observation()
+    (df.observe(rows, F.count(F.lit(1)).alias("n")) if counted else df).write.parquet(path)
     written = spark.read.schema(df.schema).parquet(path)
-    # Spark writes a file at least, even of an empty table.
-    if not written.inputFiles():
-        raise RuntimeError(f"no files of {name} can be seen in {path}: the folder is not shared")
+    # Spark writes a file at least, even of an empty table. The count reads the ends of the files only.
+    if not written.inputFiles() or (counted and written.count() != rows.get["n"]):
+        raise RuntimeError(f"not all of {name} can be seen in {path}: the folder is not shared")
     if replaces is not None and (files := replaces.inputFiles()):
         old = spark._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
         old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)

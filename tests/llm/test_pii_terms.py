@@ -123,3 +123,12 @@ def test_materialize_removes_what_it_replaces(spark):
     second = common.materialize(first.selectExpr("a + 1 AS a"), "probe", replaces=first)
     assert not os.path.exists(folder) and sorted(r["a"] for r in second.collect()) == [1, 2, 3, 4, 5]
     assert common.materialize(spark.range(0).toDF("a"), "probe").count() == 0
+
+
+def test_a_table_of_which_rows_cannot_be_seen_is_an_error(spark, monkeypatch):
+    class Other(common.Observation):
+        get = property(lambda self: {"n": 6})
+
+    monkeypatch.setattr(common, "Observation", Other)
+    with pytest.raises(RuntimeError, match="not shared"):
+        common.materialize(spark.range(5).toDF("a"), "probe")
