@@ -56,8 +56,10 @@ END = b""
 FLUSH, PAIRS, CACHE = 200_000, 2_000_000, 50_000
 #: Texts at a time; parts that pairs of words are dealt to; items whose classes are one row.
 BLOCK, PARTS, PAGE = 500, 1024, 1 << 13
-#: Classes whose exact gain is computed for a word, after a look at all of them.
+#: Classes whose exact gain is computed for a word, after a look at all of them; None: all classes.
 SHORTLIST = 6
+#: A class is held in a byte, and one more stands for all words that are not classed.
+MOST_CLASSES = 255
 
 
 def tokens(text: bytes) -> list[bytes]:
@@ -329,14 +331,15 @@ def gains(right: np.ndarray, left: np.ndarray, own: np.ndarray, now: np.ndarray,
     return np.where(to == g, 0.0, total.sum(axis=2) + cells - sizes)
 
 
-def best_moves(right: np.ndarray, left: np.ndarray, own: np.ndarray, now: np.ndarray, table: np.ndarray, classes: int) -> tuple[np.ndarray, np.ndarray]:
-    """The class each word gains most by, its own if by none, and that gain. Classes 1 to ``classes`` - 1 are open to words."""
+def best_moves(right: np.ndarray, left: np.ndarray, own: np.ndarray, now: np.ndarray, table: np.ndarray, classes: int, shortlist: int | None = SHORTLIST) -> tuple[np.ndarray, np.ndarray]:
+    """The class each word gains most by, its own if by none, and that gain. Classes 1 to ``classes`` - 1 are open to words;
+    the gains of the ``shortlist`` likeliest are compared, without it those of all."""
     log = np.log(table + 0.5)
     size = np.log(table.sum(axis=0) + table.sum(axis=1) + 1)
     # A first look: the likelihood of a word's contexts in each class.
     look = right @ log.T + left @ log - (right.sum(axis=1) + left.sum(axis=1))[:, None] * size[None, :]
     look = look[:, 1:classes]
-    n = min(SHORTLIST, look.shape[1])
+    n = min(shortlist or look.shape[1], look.shape[1])
     to = 1 + np.argpartition(-look, n - 1, axis=1)[:, :n]
     gain = gains(right, left, own, now, to, table)
     best = np.argmax(gain, axis=1)
@@ -344,9 +347,11 @@ def best_moves(right: np.ndarray, left: np.ndarray, own: np.ndarray, now: np.nda
     return np.where(gain[row, best] > 1e-9, to[row, best], now), gain[row, best]
 
 
-def exchange(table: DataFrame, counts: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS) -> np.ndarray:
+def exchange(table: DataFrame, counts: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS, shortlist: int | None = SHORTLIST) -> np.ndarray:
     """Class of each classed word, of which ``counts`` are the counts; class 0 is the end token's.
     ``table``: what ``neighbours`` gives."""
+    if classes > MOST_CLASSES:
+        raise ValueError(f"{classes} classes: at most {MOST_CLASSES} are possible")
     n, k = len(counts), classes + 1  # the last is the class of all other words
     of = np.zeros(n + 1, np.uint8)
     of[1:n] = 1 + np.arange(n - 1) % (classes - 1)
@@ -375,7 +380,7 @@ def exchange(table: DataFrame, counts: np.ndarray, classes: int = CLASSES, sweep
             for at in range(0, len(words), 512):
                 w = slice(at, at + 512)
                 now = of[words[w]].astype(np.int64)
-                to, gain = best_moves(right[w], left[w], own[w], now, bigrams, classes)
+                to, gain = best_moves(right[w], left[w], own[w], now, bigrams, classes, shortlist)
                 go = to != now
                 yield pa.RecordBatch.from_arrays([pa.array(words[w][go], pa.int32()), pa.array(to[go], pa.int32()), pa.array(gain[go], pa.float64())], ["word", "class", "gain"])
 
@@ -527,7 +532,7 @@ def smoothed(bigrams: np.ndarray, types: np.ndarray, discount: float) -> tuple[n
         return np.log10((bigrams + BACK_OFF * share[None, :]) / (bigrams.sum(axis=1) + BACK_OFF)[:, None]), np.log10(size), np.log10(discount * types)
 
 
-def learn(texts: DataFrame, vocabulary: DataFrame, classed: int = CLASSED, min_count: int = MIN_COUNT, classes: int = CLASSES, sweeps: int = SWEEPS, tail_bits: int = TAIL_BITS) -> Model | None:
+def learn(texts: DataFrame, vocabulary: DataFrame, classed: int = CLASSED, min_count: int = MIN_COUNT, classes: int = CLASSES, sweeps: int = SWEEPS, tail_bits: int = TAIL_BITS, shortlist: int | None = SHORTLIST) -> Model | None:
     """The model of all ``texts`` (text), whose ``word_counts`` are ``vocabulary``; none without tokens."""
     total, distinct, once, twice = vocabulary.agg(F.sum("c"), F.count("*"), F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)).first()
     if not total:
@@ -540,7 +545,7 @@ def learn(texts: DataFrame, vocabulary: DataFrame, classed: int = CLASSED, min_c
     others = max(1, distinct - len(words))
     tail_bits = min(tail_bits, max(8, (8 * others - 1).bit_length()))
     near = neighbours(texts, words)
-    of = exchange(near, of_words, classes, sweeps)
+    of = exchange(near, of_words, classes, sweeps, shortlist)
     head = class_table(near, np.append(of, np.uint8(classes)), classes + 1)[:classes, :classes]
     of = np.concatenate([of, tail_classes(texts, words, of, tail_bits, head)])
     shared = texts.sparkSession.sparkContext.broadcast((words, of))
@@ -603,7 +608,7 @@ def _scorer(shared):
     return scored
 
 
-def score(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", text_col: str = "text", **sizes: int) -> DataFrame:
+def score(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", text_col: str = "text", **sizes: int | None) -> DataFrame:
     """Per row of ``docs``: n_tokens, n_known, train_tokens, base_score (add-one unigrams), score
     (log10 probability under the class bigrams) and perplexity, learnt from the rows ``training``."""
     spark = docs.sparkSession
@@ -637,7 +642,7 @@ def score(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", text_col
     )
 
 
-def score_held_out(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **sizes: int) -> DataFrame:
+def score_held_out(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **sizes: int | None) -> DataFrame:
     """All of ``docs`` scored by a model of the rows outside the held-out fold; held_out tells the fold."""
     held_out = F.coalesce(fold(F.col(id_col), FOLDS) == HELD_OUT, F.lit(False))
     scores = score(docs, docs.where(~held_out), id_col, text_col, **sizes)

@@ -108,3 +108,25 @@ def test_classes_follow_contexts(spark, table):
         items = brown.Items(model.classed, model.tail_bits, model.of)
         by_kind = [Counter(int(model.of[items[f"{p}{i}".encode()]]) for i in range(12)).most_common(1)[0] for p in ("noun", "verb", "adj")]
         assert len({k for k, _ in by_kind}) == 3 and sum(n for _, n in by_kind) >= 28
+
+
+def test_the_best_class_of_all_without_a_shortlist():
+    rng = np.random.default_rng(4)
+    n, k = 40, 12
+    bigrams = rng.poisson(0.7, (n, n)).astype(float)
+    of = rng.integers(1, k, n)
+    member = np.eye(k)[of]
+    now, right, left, own = member.T @ bigrams @ member, bigrams @ member, bigrams.T @ member, np.diag(bigrams)
+    to = np.tile(np.arange(1, k), (n, 1))
+    gain = brown.gains(right, left, own, of, to, now).max(axis=1)
+    for shortlist in (None, k, 3):
+        place, got = brown.best_moves(right, left, own, of, now, k, shortlist)
+        assert (got <= gain + 1e-9).all() and (shortlist == 3 or np.allclose(got, gain))
+        assert ((place == of) | (got > 0)).all()
+
+
+def test_more_classes_than_a_byte_holds_are_an_error(spark):
+    with pytest.raises(ValueError, match="at most 255"):
+        brown.exchange(None, np.ones(400, np.int64), classes=300)
+    docs = spark.createDataFrame([(i, " ".join(f"w{(i * j) % 300}" for j in range(200))) for i in range(40)], "doc_id long, text string")
+    assert brown.score(docs, docs, classes=255, sweeps=1, shortlist=None).count() == 40
