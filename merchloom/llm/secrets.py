@@ -8,13 +8,14 @@ the tokens into name-literal pairs:
     name = literal    name: literal    "name": "literal"    name => literal    obj["name"] = "literal"
     name: Type = "literal"    f(name="literal")    setName("literal")    put("name", "literal")
     <name>literal</name>    <add key="name" value="literal"/>    export NAME=literal    name: | and a block of lines
+    <property name="name"><value>literal</value>    name: and a list of lines "- literal"    [a, b] = ["literal", "literal"]
 
-A literal may be several strings, adjacent or joined by ``+`` or ``.``; comments may stand between, and a call around
+A string may stand on a line after its operator. A literal may be several strings, adjacent or joined by ``+`` or ``.``; comments may stand between, and a call around
 it is looked through. A bare name on the right is a reference, and its constant value is propagated over
 any number of steps: ``K = "..."`` before or after ``password = K`` makes the literal of ``K`` a password.
 Environment references (``$NAME``, ``os.environ``) and names without a digit are never literals. The contents of
 strings are read in the same way, once. A literal is scored by how sensitive its target names are, as words
-(``author`` isn't ``auth``), and by its own shape (length, entropy, mix of characters, not a placeholder);
+(``author`` isn't ``auth``, and ``token_count`` counts tokens), and by its own shape (length, entropy, mix of characters, not a placeholder);
 scores of at least ``MIN_SCORE`` add a span of kind ``literal``. No length is bounded.
 
 Defined results: a null or empty text has no spans; rows are independent, so
@@ -51,6 +52,8 @@ SENSITIVE = {
     "accesskey": 1.0, "privatekey": 1.0, "secretkey": 1.0, "signingkey": 0.9, "encryptionkey": 0.9, "authkey": 0.9,
     "credential": 0.8, "bearer": 0.8, "auth": 0.5, "connectionstring": 0.7, "key": 0.4,
 }
+#: Last parts of names that tell something about a secret without holding it. Fixed values.
+ABOUT = {"count", "length", "size", "limit", "index", "type", "kind", "name", "url", "uri", "path", "file", "field", "label", "policy", "hint", "ttl", "expiry", "timeout", "version", "format", "status"}
 #: Values that stand for a secret without being one. Fixed values.
 PLACEHOLDERS = {"changeme", "password", "secret", "example", "placeholder", "your_password", "yourpassword", "xxxxxxxx", "undefined", "required", "optional", "disabled", "enabled"}
 
@@ -73,6 +76,9 @@ _LEADING = re.compile(r"[A-Za-z_][A-Za-z0-9_.\-]*")
 #: The first and last line of a key in PEM form; their blanks are no sign of prose.
 _ARMOUR = re.compile(r"-----(?:BEGIN|END) [A-Z0-9 ]+-----")
 _XML = re.compile(r"<([A-Za-z_][A-Za-z0-9_.\-]*)>([^<>\s]{6,})</\1>")
+_VALUE = re.compile(r"\s*<value>([^<>]{6,})</value>")
+#: A line of a list: a string, or a bare value up to the end of the line.
+_ITEM = re.compile(r"""[ \t]*\n[ \t]*-[ \t]+(?:"([^"\\\n]*)"|'([^'\\\n]*)'|([^\s"'#:,{}\[\]]+))[ \t]*(?=\n|\Z)""")
 _BARE = re.compile(r"[^\s\"'`,;(){}\[\]<>]+")
 _SHORT = re.compile(r"[^\s\"'`,;(){}\[\]<>:=]+=*")
 _ENVIRONMENT = re.compile(r"os\.environ|process\.env|ENV\b")
@@ -88,6 +94,8 @@ def name_weight(name: str) -> float:
     parts = [x.lower() for x in _PARTS.findall(name)]
     parts = [x[:-1] if len(x) > 4 and x.endswith("s") and not x.endswith("ss") else x for x in parts]
     best = 0.0
+    if len(parts) > 1 and parts[-1] in ABOUT:
+        return best
     for i in range(len(parts)):
         joined = ""
         for part in parts[i : i + 3]:
@@ -127,6 +135,7 @@ class _Lexer:
         self.found: list[tuple[str, str, list[tuple[str, int, int]]]] = []
         self.consumed = start  # tokens before this place belong to a block
         self.run_end = start  # of the last bare value
+        self.behind: dict[int, int] = {}  # of comments, by their first token
         self.closers = {mark: [i for i, (kind, a, b) in enumerate(self.tokens) if (kind == "line" if mark == "//" else text.startswith(mark, a))] for mark in ("//", "*/", "-->")}
 
     def kind(self, i: int) -> str:
@@ -145,13 +154,58 @@ class _Lexer:
         return self.text[a + cut : b - cut], a + cut, b - cut
 
     def past_comment(self, i: int) -> int:
-        """Behind the comments that begin at token i."""
-        while self.kind(i) == "comment" and self.value(i) in _ENDS:
+        """Behind the comments that begin at token i. A chain of comments is followed once."""
+        path = []
+        while i not in self.behind and self.kind(i) == "comment" and self.value(i) in _ENDS:
+            path.append(i)
             own = self.closers[_ENDS[self.value(i)]]
             k = bisect_left(own, i + 1)
             i = own[k] + 1 if k < len(own) else len(self.tokens)
+        i = self.behind.get(i, i)
+        self.behind.update(dict.fromkeys(path, i))
         return i
 
+    def next_line(self, i: int) -> int:
+        """The string that stands alone on a line after token i; else i."""
+        k = i
+        while self.kind(k) == "line":
+            k += 1
+        return k if self.is_string(k) and self.value(k + 1) not in _ASSIGNS else i
+
+    def unpacked(self, i: int) -> bool:
+        """Pairs of several names with as many strings, around the operator at token i: ``[a, b] = ["x", "y"]``, ``a, b = "x", "y"``."""
+        first = i - 1 - (self.value(i - 1) == "]")
+        names = []
+        while self.kind(first) == "word":
+            names.append(self.value(first).lstrip("$@"))
+            if self.value(first - 1) != ",":
+                break
+            first -= 2
+        listed = self.value(i - 1) == "]"
+        if not names or (self.value(first - 1) != "[" if listed else len(names) < 2 or self.kind(first - 1) not in ("line", "")):
+            return False
+        k, values = i + 1 + (self.value(i + 1) == "["), []
+        while self.is_string(k) and len(values) < len(names):
+            values.append(self.inner(k))
+            k += 2 if self.value(k + 1) == "," else 1
+        if len(values) < len(names) or self.is_string(k):
+            return False
+        self.found += [(name, "", [value]) for name, value in zip(reversed(names), values)]
+        return True
+
+    def items(self, name: str, at: int) -> bool:
+        """The lines of a list below ``name:``, each a value of its own."""
+        start = at
+        while item := _ITEM.match(self.text, at, self.end):
+            if item[3]:
+                self.bare(name, item.start(3))
+            else:
+                k = 1 if item[1] is not None else 2
+                self.found.append((name, "", [(item[k], item.start(k), item.end(k))]))
+            at = item.end()
+        self.consumed = max(self.consumed, at if at > start else start)
+        return at > start
+
     def name_before(self, i: int) -> tuple[str, int]:
         """The name that ends at token i, and its first token."""
         if self.value(i) == "]":
@@ -238,7 +292,9 @@ class _Lexer:
 
     def assign(self, name: str, i: int, first: int) -> None:
         """The pair of a name with what follows its operator at token i; ``first``: the name's token."""
-        k = self.past_comment(i + 1)
+        if self.value(i) == ":" and self.kind(i + 1) == "line" and self.items(name, self.tokens[i][2]):
+            return
+        k = self.next_line(self.past_comment(i + 1))
         if self.value(i) == ":" and (self.value(k) in ("|", ">")) and self.kind(k + 1) in ("line", "") or (self.value(k) in ("|", ">") and self.value(k + 1) == "-"):
             if parts := self.block(first):
                 self.found.append((name, "", parts))
@@ -269,6 +325,8 @@ class _Lexer:
                 name, _, value = self.text[a:b].partition("=")
                 if value.strip("=") and _IDENTIFIER.match(name) and self.kind(i - 1) != "op":
                     self.bare(name, a + len(name) + 1)
+            elif v == "=" and self.value(i - 1) != ")" and (self.value(i - 1) == "]" or self.value(i - 2) == ",") and self.unpacked(i):
+                pass
             elif v in _ASSIGNS:
                 name, first = self.name_before(i - 1)
                 if name:
@@ -292,6 +350,8 @@ class _Lexer:
                 if name:
                     self.found.append((name, "", self.literal(i + 1)))
             elif v == ">":
+                if key and (value := _VALUE.match(self.text, b, self.end)):
+                    self.found.append((key, "", [(value[1], value.start(1), value.end(1))]))
                 key = ""
             i += 1
         return self.found

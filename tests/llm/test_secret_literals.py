@@ -53,6 +53,17 @@ CASES = [
     (f"dbpassword := `{VALUE}`", [VALUE]),
     (f'password = Secret("{VALUE}")', [VALUE]),
     ('let k = b"x8Kq02mZpl"; api_key = k', ["x8Kq02mZpl"]),
+    (f"client_secret =\n    '{VALUE}'", [VALUE]),
+    (f'{{"password":\n  "{VALUE}", "a": 1}}', [VALUE]),
+    (f"secret:\n  'a1B2c3name': x\n  '{VALUE}': y", []),
+    (f"secrets:\n  - {VALUE}\n  - '{VALUE}2'\nnext:\n  - a8Fkd02lPqX", [VALUE, f"{VALUE}2"]),
+    ("tokens:\n  - staging\n  - name: a8Fkd02lPqX", []),
+    (f"[secretA, secretB] = ['{VALUE}', '{VALUE}2']", [VALUE, f"{VALUE}2"]),
+    (f"user, password = 'jonathan1X', '{VALUE}'", [VALUE]),
+    (f"f(user, password='{VALUE}', other='jonathan1X')", [VALUE]),
+    (f'<property name="dbPassword">\n <value>{VALUE}</value></property><property name="size"><value>{VALUE}2</value>', [VALUE]),
+    ("token_count = 'abc123DEF456'", []),
+    ("password_file: '/etc/Keys/abc123DEF456'", []),
     (f"{'n' * 300}_password{' ' * 200}= '{VALUE}'", [VALUE]),
 ]
 
@@ -73,7 +84,7 @@ def test_whole_literals(text, want):
     assert [text[a:b] for _, a, b in secrets.lexed(text)] == want
 
 
-@pytest.mark.parametrize("unit", ['"', '\\"', '"""', "a:b:", "key:", "x: |\n  y\n", "/*", "a = /*", 'put("a",', "a=b=c=", 'k="', "k='\\", 'k: a = "\\"', "<a>b", "a\\\"='", "n{0} = n{1}\n"])
+@pytest.mark.parametrize("unit", ['"', '\\"', '"""', "a:b:", "key:", "x: |\n  y\n", "/*", "a = /*", 'put("a",', "a=b=c=", 'k="', "k='\\", 'k: a = "\\"', "<a>b", "a\\\"='", "n{0} = n{1}\n", "= // x\n", "a, = ", "k:\n - x", "k =\n", "name='k'>", "[a]="])
 def test_time_is_linear(unit):
     took = []
     for n in (4000, 32000):
