@@ -12,7 +12,7 @@ text runs at 0.5 or more are the main text. The weights are trained on labelled
 gradient ascent of the likelihood, whose gradient is the labels less the marginals.
 
 Features never look at words: they are tags, hints in class, id and role, lengths,
-link shares and punctuation, so the model holds in any language.
+link shares, punctuation and whether the page has an article or main element elsewhere, so the model holds in any language.
 
 Defined results: a null or empty page gives the empty text; broken markup (open tags,
 cut pages, stray ends) is repaired as browsers do for the common cases; repeated rows
@@ -96,6 +96,21 @@ def _run_features(text: str, linked: int, tag: str) -> list[str]:
     ]
 
 
+def _mark_beside(page: Page, mains: list[int]) -> None:
+    """A feature for what stands beside the article or main elements of a page that has some: neither in nor around one."""
+    inside, around = set(mains), set()
+    for v in mains:
+        v = page.parent[v]
+        while v > 0 and v not in around:
+            around.add(v)
+            v = page.parent[v]
+    for v in range(1, len(page.parent)):
+        if v in inside or page.parent[v] in inside:
+            inside.add(v)
+        elif v not in around:
+            page.features[v].append("run:beside" if v in page.runs else "tag:beside")
+
+
 def parse(source: str) -> Page:
     """The nodes of a page. One pass over the markup; the depth of nesting is not limited."""
     page = Page()
@@ -103,6 +118,7 @@ def parse(source: str) -> Page:
     buffer: list[str] = []
     linked = 0
     in_link = False
+    mains: list[int] = []
 
     def close_run() -> None:
         nonlocal linked
@@ -168,9 +184,13 @@ def parse(source: str) -> Page:
         if attrs:
             features += _hint_features(attrs)
         stack.append((tag, page.node(above, features, int(mark[1]) if mark else page.labels[above])))
+        if tag in ("article", "main") and "hint:against" not in features:
+            mains.append(stack[-1][1])
     if at < len(source):
         text(source[at:])
     close_run()
+    if mains:
+        _mark_beside(page, mains)
     return page
 
 

@@ -41,4 +41,15 @@ PAGES = [
     f'<body><nav><ul>{_MENU}</ul></nav><article data-main="1"><p>See {_LINKED}.</p><p>{_A}</p><p>{_LINKED}</p><ul><li><a href="/s">A source of the text, which is named here</a></li><li>{_C}</li></ul></article><footer>{_LINKS}</footer></body>',
     f'<body><div data-main="1"><p>In this one {_LINKED}, and that.</p><p>{_A}</p></div><div class="related">{_LINKS}</div><div class="menu"><ul>{_MENU}</ul></div></body>',
     f'<body><div data-main="1"><p>{_A}</p><table><tr><th>Name</th><th>Count</th></tr><tr><td>one</td><td>12</td></tr></table><p>{_C}</p></div><ul>{_MENU}</ul></body>',
+    f'<body><ul>{_MENU}</ul><div data-main="1">{_A}</div><div data-main="1">{_C}</div><div data-main="1">{_B}</div><div class="footer">{_C}</div></body>',
+    f'<body><nav><ul>{_MENU}</ul></nav><div data-main="1"><h1>Boxes</h1><div>{_B}</div><div>Some words in a box, not many.</div><div>{_A}</div></div><div class="copyright">{_A}</div></body>',
+    f'<body data-main="1">{_C}<br>{_A}<hr>{_B}<hr>A last line of it.</body>',
+    f'<body data-main="1">Text with nothing around it, in a sentence.<p>{_A}</p>{_C}<div class="footer" data-main="0">{_C}</div></body>',
+    f'<body><nav>{_LINKS}</nav><main data-main="1"><h1>List</h1><dl><dt>Word</dt><dd>{_C}</dd><dt>Longer word</dt><dd>{_A}</dd></dl></main><footer>Since 2001.</footer></body>',
+    f'<body><header><a href="/">Site</a></header><article data-main="1"><dl><dt>Name</dt><dd>What it stands for.</dd><dt>Size</dt><dd>{_B}</dd></dl><p>{_C}</p></article><div class="footer"><p>{_A}</p></div></body>',
+    f'<body><article data-main="1"><h1>Part</h1><p>{_A}</p><aside data-main="0">See also: <a href="/s">A further text</a></aside><p>{_B}</p><aside data-main="0"><p>{_C}</p></aside></article></body>',
+    f'<body><nav>{_LINKS}</nav><article data-main="1"><header><h1>Head of it</h1><p data-main="0">Written by A. Person on 1 March</p></header><p>{_A}</p><p>{_C}</p></article><footer><p>{_C}</p></footer></body>',
+    f'<article data-main="1"><header><h2>Head</h2><p data-main="0">From our writer, {_C}</p></header><p>{_B}</p></article>',
+    f'<body><table><tr><td colspan="2"><a href="/">Site</a></td></tr><tr><td>{_LINKS}</td><td data-main="1"><h2>Part</h2><p>{_A}</p><p>{_C}</p></td></tr><tr><td colspan="2">&copy; someone</td></tr></table></body>',
+    f'<body><table><tr><td><ul>{_MENU}</ul></td><td data-main="1"><p>A cell holds the text of this page, as it once was done.</p><p>{_A}</p><p>One more line.</p></td></tr></table></body>',
 ]
