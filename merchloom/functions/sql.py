@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import pages
 from ..sources.manifests import LISTING_DDL, PRODUCT_DDL
+from .arrow import bound_batches
 
 
 class ShopListing:
@@ -48,5 +49,6 @@ FUNCTIONS = (
 
 def register(spark: SparkSession) -> None:
     """Makes the table functions known to a session; arguments and rows go to Python and back in Arrow batches."""
+    bound_batches(spark)
     for name, kind, columns in FUNCTIONS:
         spark.udtf.register(name, F.udtf(kind, returnType=columns, useArrow=True))

@@ -16,21 +16,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.arrow import bound_batches
+
 #: Maps A-Z to a-z and leaves every other byte alone.
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
-#: Most bytes of an Arrow batch where the session sets no bound of its own.
-BATCH_BYTES = 4 << 20
-
-
-def bound_batches(spark: SparkSession) -> None:
-    """Bound Arrow batches by bytes: Spark's 10,000 rows of long texts are held several times over, by the JVM and by each worker."""
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if spark.conf.get(key, None) is None:
-        spark.conf.set(key, BATCH_BYTES)
-
-
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """The Parquet table ``table`` of the folder ``sf_dir``."""
     bound_batches(spark)

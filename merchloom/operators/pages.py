@@ -12,10 +12,14 @@ from collections.abc import Callable, Iterator
 from urllib.parse import urlsplit
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ..functions import dom, text, urls
+from ..functions.arrow import bound_batches
 from ..sources.manifests import LISTING_DDL, PRODUCT_DDL
 
 # -- Catalyst only ---------------------------------------------------------------------------
@@ -250,7 +254,7 @@ def listing_items(html: str, source: str, category: str | None) -> list[dict]:
         name = link and (_read(block, rules["name"]) or link.text().strip())
         if not url or not name or not re.search(r"\.html?$", urlsplit(url).path, re.I) or url in rows:
             continue
-        markup, slug = block.inner(), _stem(url)
+        slug, markup = _stem(url), block.inner() if rules["id_pattern"] or rules["sku_pattern"] else ""
         found = {k: re.search(p, markup) if (p := rules[f"{k}_pattern"]) else None for k in ("id", "sku")}
         number = _read(block, rules["id"])
         image = _read(block, rules["image"])
@@ -342,18 +346,29 @@ def facet_groups(html: str) -> list[dict]:
 _FACETS_DDL = "id string, name string, values array<struct<filterKey:string,label:string,count:int,filterUrl:string>>, priceRangeUah struct<min:int,max:int>"
 
 
-def _by_page(pages: DataFrame, ddl: str, rows_of: Callable[[dict], list[dict]]) -> DataFrame:
-    """(page, pos, ...): the rows that a function gives for each page, in Arrow batches."""
-    names = [x.split()[0].strip("`") for x in re.split(r",\s*(?![^<]*>)", ddl)]
+#: Rows of a result that a worker holds at once, besides those of one page.
+HELD_ROWS = 1000
 
-    def made(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = [{"page": r["page"], "pos": i} | x for r in frame.to_dict("records") for i, x in enumerate(rows_of(r))]
-            if rows:
-                frame = pd.DataFrame(rows, columns=["page", "pos", *names]).astype(object)
-                yield frame.where(frame.notna(), None)
 
-    return pages.mapInPandas(made, f"page {dict(pages.dtypes)['page']}, pos int, {ddl}")
+def _by_page(pages: DataFrame, ddl: str, rows_of: Callable[[dict], list[dict]]) -> DataFrame:
+    """(page, pos, ...): the rows that a function gives for each page. A worker holds a bounded batch of pages and ``HELD_ROWS`` rows."""
+    bound_batches(pages.sparkSession)
+    ddl = f"page {dict(pages.dtypes)['page']}, pos int, {ddl}"
+    schema = to_arrow_schema(StructType.fromDDL(ddl))
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict] = []
+        for batch in batches:
+            for values in zip(*batch.columns):
+                r = {name: value.as_py() for name, value in zip(batch.schema.names, values)}
+                held.extend({"page": r["page"], "pos": i} | x for i, x in enumerate(rows_of(r)))
+                if len(held) >= HELD_ROWS:
+                    yield pa.RecordBatch.from_pylist(held, schema)
+                    held = []
+        if held:
+            yield pa.RecordBatch.from_pylist(held, schema)
+
+    return pages.mapInArrow(made, ddl)
 
 
 def listings(pages: DataFrame, source: str, id_col: str = "page_id", html_col: str = "html", category: Column | None = None) -> DataFrame:

@@ -49,6 +49,11 @@ _PARTS = f"""parts AS (SELECT p_partkey AS key, p_name AS name, p_type AS kind,
   CASE WHEN p_partkey % 7 <> 0 THEN floor(p_retailprice)::BIGINT END AS price, p_partkey // {PAGE} AS page FROM part)"""
 
 
+def dealt(rows: DataFrame) -> DataFrame:
+    """Rows of which a page each is made. Their table is small for these pages, so that its files give few tasks: the rows are dealt anew."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key")
+
+
 def joined(rows: DataFrame, group: str, order: str, block: Column) -> DataFrame:
     """(group, html): the blocks of each group, one after the other."""
     blocks = F.array_sort(F.collect_list(F.struct(F.col(order).alias("at"), block.alias("html"))))
@@ -81,7 +86,7 @@ def shop_listings(spark, d):
 
 
 def card_pages(spark: SparkSession, d: str, source: str) -> DataFrame:
-    p = parts_of(spark, d)
+    p = dealt(parts_of(spark, d))
     c = {x: F.col(x) for x in p.columns}
     if source == "et_market":
         price = F.when(c["price"].isNotNull(), filled('<div class="price_w"><span class="price_span">{price}</span></div>', **c)).otherwise("")
