@@ -58,3 +58,11 @@ def test_batches_of_pages_are_bounded(spark):
         assert made.count() == 7000
     finally:
         spark.conf.unset(BOUND) if before is None else spark.conf.set(BOUND, before)
+
+
+def test_pages_with_json_are_dealt_over_tasks(spark, monkeypatch):
+    seen = []
+    found = pages.json_ld_products
+    monkeypatch.setattr(pages, "json_ld_products", lambda made, *rest: seen.append(made) or found(made, *rest))
+    shops.json_ld_products(spark, "/root/testdata/sf0.001")
+    assert seen[0].rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions")) > 1
