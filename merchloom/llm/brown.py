@@ -30,17 +30,17 @@ are 0; an empty table gives an empty one; texts are read whole; other columns ar
 from __future__ import annotations
 
 import hashlib
-from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, as_bytes, fold, materialize, numbers, planes, renamed
+from .common import LOWER, fold, materialize, numbers, planes, renamed
 
 FOLDS, HELD_OUT = 7, 2
 CLASSED, MIN_COUNT, TAIL_BITS, CLASSES, SWEEPS = 65536, 5, 24, 64, 8
@@ -66,15 +66,50 @@ def tokens(text: bytes) -> list[bytes]:
     """Lower-cased words, long ones as a digest that no word can equal, and the end token."""
     own = text.translate(LOWER).split()
     if own and max(map(len, own)) > KEY_BYTES:
-        own = [w if len(w) <= KEY_BYTES else b" " + hashlib.blake2b(w, digest_size=16).hexdigest().encode() for w in own]
+        own = [w if len(w) <= KEY_BYTES else _digest(w) for w in own]
     own.append(END)
     return own
 
 
+def _digest(word: bytes) -> bytes:
+    return b" " + hashlib.blake2b(word, digest_size=16).hexdigest().encode()
+
+
+def split(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of some texts, one text after the other, as ``tokens`` gives them but without the end tokens, and where the words of each text
+    begin and the last ones end."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.string()), "")))
+    words, bounds = lists.flatten().cast(pa.binary()), lists.offsets.to_numpy().astype(np.int64)
+    bounds -= bounds[0]
+    size = pc.binary_length(words).to_numpy(zero_copy_only=False)
+    if len(size) and not size.all():  # nothing before the first or after the last white space of a text
+        words, bounds, size = words.filter(pa.array(size > 0)), np.concatenate([[0], np.cumsum(size > 0)])[bounds], size[size > 0]
+    if len(size) and size.max() > KEY_BYTES:
+        long = pa.array(size > KEY_BYTES)
+        words = pc.replace_with_mask(words, long, pa.array([_digest(w) for w in words.filter(long).to_pylist()], pa.binary()))
+    return words, bounds
+
+
+def with_ends(ids: np.ndarray, bounds: np.ndarray, end: int) -> np.ndarray:
+    """The items of the words of some texts with the end token's after each text."""
+    return np.insert(ids, bounds[1:], end)
+
+
 def ending(word: bytes) -> int:
     return (word[-1] * 251 + (word[-2] if len(word) > 1 else 0)) % ENDINGS
 
 
+def endings(words: pa.Array) -> np.ndarray:
+    """``ending`` of each word."""
+    if not len(words):
+        return np.empty(0, np.int64)
+    _, offsets, letters = words.buffers()
+    at = np.frombuffer(offsets, np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+    letters = np.frombuffer(letters, np.uint8)
+    before = np.where(np.diff(at) > 1, letters[at[1:] - 2], 0).astype(np.int64)
+    return (letters[at[1:] - 1].astype(np.int64) * 251 + before) % ENDINGS
+
+
 class Items(dict):
     """word -> item: classed words by their place, the others by their hash, and where ``of`` tells that an item
     has no seen words, by their ending. The cache is bounded."""
@@ -82,6 +117,7 @@ class Items(dict):
     def __init__(self, classed: list[bytes], tail_bits: int, of: np.ndarray | None = None):
         super().__init__({w: i for i, w in enumerate(classed)})
         self.first, self.size, self.of = len(classed), 1 << tail_bits, of
+        self.classed = pa.array(classed, pa.binary())
 
     def __missing__(self, word: bytes) -> int:
         item = self.first + (xxhash.xxh64_intdigest(word) & (self.size - 1))
@@ -91,22 +127,43 @@ class Items(dict):
             self[word] = item
         return item
 
+    def all_of(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.DictionaryArray]:
+        """The items of some words, the places of those that are not classed, and these words; each distinct one is hashed once."""
+        ids = pc.index_in(words, value_set=self.classed).fill_null(-1).to_numpy().astype(np.int64)
+        at = np.flatnonzero(ids < 0)
+        coded = words.take(pa.array(at)).dictionary_encode()
+        if self.size == 1 and self.of is None:
+            ids[at] = self.first
+        else:
+            digests = np.fromiter(map(xxhash.xxh64_intdigest, coded.dictionary.to_pylist()), np.uint64, len(coded.dictionary))
+            items = self.first + (digests & np.uint64(self.size - 1)).astype(np.int64)
+            if self.of is not None:
+                items = np.where(self.of[items] == 0, self.first + self.size + endings(coded.dictionary), items)
+            ids[at] = items[coded.indices.to_numpy()]
+        return ids, at, coded
+
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts: Counter[bytes] = Counter()
+    held = []
 
-    def flush():
-        batch = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()).cast(pa.string()), pa.array(list(counts.values()), pa.int64())], ["word", "c"])
-        counts.clear()
-        return batch
+    def summed() -> pa.Table:
+        return pa.concat_tables(held).group_by("word").aggregate([("c", "sum")]).rename_columns(["word", "c"])
 
-    for batch in batches:
-        for text in as_bytes(batch.column(0)):
-            counts.update(tokens(text))
-            if len(counts) > FLUSH:
-                yield flush()
-    if counts:
-        yield flush()
+    def handed_on(counts: pa.Table) -> Iterator[pa.RecordBatch]:
+        yield from counts.set_column(0, "word", counts["word"].cast(pa.string())).to_batches()
+
+    for whole in batches:
+        for at in range(0, whole.num_rows, BLOCK):
+            words, bounds = split(whole.slice(at, BLOCK).column(0))
+            counts = words.value_counts()
+            held.append(pa.table({"word": counts.field(0), "c": counts.field(1)}))
+            held.append(pa.table({"word": pa.array([END], pa.binary()), "c": pa.array([len(bounds) - 1], pa.int64())}))
+            if sum(map(len, held)) > 2 * FLUSH:
+                held = [summed()]
+                if len(held[0]) > FLUSH:
+                    yield from handed_on(held.pop())
+    if held:
+        yield from handed_on(summed())
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
@@ -118,10 +175,8 @@ def _item_blocks(batches: Iterator[pa.RecordBatch], items: Items) -> Iterator[np
     """The items of the tokens of some texts, each block behind an end token."""
     for whole in batches:
         for at in range(0, whole.num_rows, BLOCK):
-            ids = [items[END]]
-            for text in as_bytes(whole.slice(at, BLOCK).column(0)):
-                ids.extend(map(items.__getitem__, tokens(text)))
-            yield np.array(ids, np.int64)
+            words, bounds = split(whole.slice(at, BLOCK).column(0))
+            yield np.concatenate([[items[END]], with_ends(items.all_of(words)[0], bounds, items[END])])
 
 
 def combined(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -426,14 +481,13 @@ def tail_classes(texts: DataFrame, classed: list[bytes], of: np.ndarray, tail_bi
         sums, held = Sums(), 0
         for whole in batches:
             for at in range(0, whole.num_rows, BLOCK):
-                words = [END]
-                for text in as_bytes(whole.slice(at, BLOCK).column(0)):
-                    words += tokens(text)
-                ids = np.fromiter(map(items.__getitem__, words), np.int64, len(words))
+                words, bounds = split(whole.slice(at, BLOCK).column(0))
+                ids, _, others = items.all_of(words)
+                ids = np.concatenate([[items[END]], with_ends(ids, bounds, items[END])])
                 other = ids >= n
                 cls = of[np.where(other, 0, ids)].astype(np.int64)
                 mine = np.flatnonzero(other)
-                ends = np.fromiter((ending(words[i]) for i in mine.tolist()), np.int64, len(mine))
+                ends = endings(others.dictionary)[others.indices.to_numpy()]
                 after, before = np.flatnonzero(other[1:] & ~other[:-1]) + 1, np.flatnonzero(other[:-1] & ~other[1:])
                 keys = np.concatenate([(ids[after] - n) * codes + cls[after - 1], (ids[before] - n) * codes + k + cls[before + 1], (ids[mine] - n) * codes + 2 * k + ends])
                 sums.add(*np.unique(keys, return_counts=True))
@@ -564,7 +618,7 @@ def learn(texts: DataFrame, vocabulary: DataFrame, classed: int = CLASSED, min_c
         items = Items(words, tail_bits, of)
         found = np.zeros(classes, np.int64)
         for batch in batches:
-            ids = np.fromiter(map(items.__getitem__, as_bytes(batch.column(0))), np.int64, batch.num_rows)
+            ids = items.all_of(batch.column(0).cast(pa.binary()))[0]
             found += np.bincount(of[ids], minlength=classes)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(classes)), pa.array(found)], ["cell", "c"])
 
@@ -586,23 +640,26 @@ def _scorer(shared):
         for whole in batches:
             for at in range(0, whole.num_rows, BLOCK):
                 batch = whole.slice(at, BLOCK)
-                rows, words, times, kinds, offsets = [], [], [], [], [0]
-                for text in as_bytes(batch.column(1)):
-                    own = tokens(text)
-                    ids = np.fromiter(map(items.__getitem__, own), np.int64, len(own))
-                    cls = model.of[ids].astype(np.int64)
-                    known = ids < n
-                    before = np.concatenate([[0], cls[:-1]])
-                    log = model.transitions[before, cls].sum() - model.log_size[cls].sum() + log_less[ids[known]].sum()
-                    rows.append((len(own), int(known.sum()), float(log_add[ids[known]].sum()), float(log)))
-                    for (word, k), m in Counter((own[i], int(cls[i])) for i in np.flatnonzero(~known).tolist()).items():
-                        words.append(word)
-                        times.append(m)
-                        kinds.append(k)
-                    offsets.append(len(words))
-                columns = [pa.array(x, t) for x, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.float64(), pa.float64()))]
-                flat = pa.StructArray.from_arrays([pa.array(words, pa.binary()).cast(pa.string()), pa.array(times, pa.int64()), pa.array(kinds, pa.int32())], fields=list(_TAIL))
-                tails = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat)
+                words, bounds = split(batch.column(1))
+                ids, at_other, others = items.all_of(words)
+                ids = with_ends(ids, bounds, items[END])
+                cls, known = model.of[ids].astype(np.int64), ids < n
+                # The token before a text's first is an end token, of class 0, as is the last of the text before.
+                log = model.transitions[np.concatenate([[0], cls[:-1]]), cls] - model.log_size[cls]
+                log[known] += log_less[ids[known]]
+                base = np.zeros(len(ids))
+                base[known] = log_add[ids[known]]
+                size = np.diff(bounds) + 1
+                first = np.concatenate([[0], np.cumsum(size)[:-1]])
+                columns = [pa.array(size), pa.array(np.add.reduceat(known.astype(np.int64), first)), pa.array(np.add.reduceat(base, first)), pa.array(np.add.reduceat(log, first))]
+                # Other words of each text, with their numbers; the class goes with the word.
+                distinct = len(others.dictionary)
+                keys, times = np.unique((np.searchsorted(bounds, at_other, side="right") - 1) * max(1, distinct) + others.indices.to_numpy(), return_counts=True)
+                text, word = keys // max(1, distinct), keys % max(1, distinct)
+                kinds = np.zeros(distinct, np.int32)
+                kinds[others.indices.to_numpy()] = cls[~known]
+                flat = pa.StructArray.from_arrays([others.dictionary.take(pa.array(word)).cast(pa.string()), pa.array(times.astype(np.int64)), pa.array(kinds[word])], fields=list(_TAIL))
+                tails = pa.ListArray.from_arrays(pa.array(np.searchsorted(text, np.arange(len(size) + 1)).astype(np.int32)), flat)
                 yield pa.RecordBatch.from_arrays([batch.column(0), *columns, tails], ["doc_id", "n_tokens", "n_known", "base", "log", "tail"])
 
     return scored
