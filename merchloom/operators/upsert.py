@@ -159,10 +159,11 @@ def _specs(products: DataFrame, order: list[str], of: Column | None = None) -> D
 def spec_definitions(products: DataFrame, order: list[str]) -> DataFrame:
     """Definitions that the products bring: group, filter flag and position of the first row that has the
     label's slug (100 and its place among that product's specs), the label of the last one."""
-    rows = _specs(products, order)
-    at = F.struct("at", "pos")
-    first = F.struct(F.when(F.nullif("group", F.lit("")).isNotNull(), text.slug(F.col("group"), 60, "")).alias("group_slug"), text.filterable(F.col("label")).alias("filterable"), (F.col("pos") + 100).alias("sort_order"))
-    agg = rows.groupBy(F.col("definition").alias("slug")).agg(F.max_by(text.js_trim(F.col("label")), at).alias("label_uk"), F.min_by(first, at).alias("f"))
+    rows = products.select(F.struct(*order).alias("of"), F.posexplode("specs").alias("pos", "spec")).select(F.struct(F.col("of").alias("at"), "pos").alias("at"), "spec.group", "spec.label")
+    # Labels repeat: each is made a slug once, and not in every row.
+    labels = rows.groupBy("label", "group").agg(F.min("at").alias("first_at"), F.max("at").alias("last_at")).withColumn("definition", text.slug(F.col("label"), 80, "spec"))
+    first = F.struct(F.when(F.nullif("group", F.lit("")).isNotNull(), text.slug(F.col("group"), 60, "")).alias("group_slug"), text.filterable(F.col("label")).alias("filterable"), (F.col("first_at.pos") + 100).alias("sort_order"))
+    agg = labels.groupBy(F.col("definition").alias("slug")).agg(F.max_by(text.js_trim(F.col("label")), "last_at").alias("label_uk"), F.min_by(first, "first_at").alias("f"))
     return agg.select("slug", "label_uk", "f.*")
 
 
