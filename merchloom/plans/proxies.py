@@ -61,9 +61,11 @@ def tables_of(sql: str) -> list[str]:
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A view as a DataFrame over the Parquet tables of a folder. Fractions become whole numbers as in DuckDB, whose casts
-    round, halves to even; Spark's cut them off."""
-    sql = re.sub(r"CAST\((\w+) AS INT\)", r"CAST(rint(\1) AS INT)", VIEWS[name])
-    return spark.sql(sql, **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in tables_of(sql)})
+    round, halves of doubles to even and halves of decimals away from zero; Spark's cut them off."""
+    tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in tables_of(VIEWS[name])}
+    kinds = {c: kind for df in tables.values() for c, kind in df.dtypes}
+    sql = re.sub(r"CAST\((\w+) AS INT\)", lambda m: f"CAST({'round' if kinds[m[1]].startswith('decimal') else 'rint'}({m[1]}) AS INT)", VIEWS[name])
+    return spark.sql(sql, **tables)
 
 
 def text(name: str) -> str:
