@@ -99,6 +99,11 @@ def descendants(edges: DataFrame, root: Column) -> DataFrame:
     return Jumps(edges).downward(start).where(F.col("id") != root)
 
 
+def siblings() -> list[Column]:
+    """The order of siblings: by sort_order, then by name in Ukrainian order, then by id; nulls come last, as in SQL."""
+    return [F.col("sort_order").asc_nulls_last(), F.expr("name COLLATE uk").asc_nulls_last(), F.col("id")]
+
+
 def intervals(nodes: DataFrame) -> DataFrame:
     """(id, first, last, depth) of ``nodes`` (id, parent, sort_order, name): the place of each node in tree order, siblings as in ``sorted_tree``, and the
     place of its last descendant. A node is below another if its place lies within the other's, so that is a range test and needs no
@@ -109,7 +114,7 @@ def intervals(nodes: DataFrame) -> DataFrame:
     sound = rooted.join(jumps.lost, "id", "left_anti")
     size = jumps.summed_below(sound.select("id", F.lit(1).cast("long").alias("value"))).withColumnRenamed("value", "size")
     # A child comes after its parent and the whole trees of the siblings before it.
-    before = Window.partitionBy("parent").orderBy("sort_order", F.expr("name COLLATE uk"), "id").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("parent").orderBy(*siblings()).rowsBetween(Window.unboundedPreceding, -1)
     child = F.when(F.col("parent").isNull(), 0).otherwise(1).cast("long")
     steps = sound.join(size, "id").select("id", "size", (child + F.coalesce(F.sum("size").over(before), F.lit(0))).alias("first"), child.alias("depth"))
     placed = jumps.summed_above(steps.select("id", "first", "depth"), ["first", "depth"])
@@ -133,7 +138,7 @@ def sorted_tree(nodes: DataFrame, rounds: int = 32) -> DataFrame:
     them, are left out. As many rounds as the logarithm of the depth, which is not limited."""
     known = nodes.select(F.col("id").alias("known_id"))
     rooted = nodes.join(known, nodes["parent"] == F.col("known_id"), "left").select("id", "sort_order", "name", F.col("known_id").alias("parent"))
-    place = Window.partitionBy("parent").orderBy("sort_order", F.expr("name COLLATE uk"), "id")
+    place = Window.partitionBy("parent").orderBy(*siblings())
     # Siblings are numbered first; the path of numbers is then the sort key of the whole tree.
     numbered = rooted.withColumn("path", F.lpad(F.row_number().over(place).cast("string"), 9, "0"))
     # A path is known up to the node ``up``; each round puts the path of that node before it, so lengths double.
