@@ -213,10 +213,10 @@ def is_legacy_slug(slug: Column) -> Column:
 
 def prune_legacy(sections: DataFrame, used: DataFrame) -> DataFrame:
     """(id, kept) of ``sections`` (id, slug, parent): legacy leaves without products go until none is left; then the
-    stale roots go that have neither sections nor products any more. ``used`` (id): the sections of products."""
+    stale roots go that have neither sections nor products any more. ``used`` (id): the sections of products. A null slug is neither legacy nor stale."""
     occupied = used.select("id").distinct().withColumn("occupied", F.lit(True))
-    nodes = sections.select("id", "slug", "parent").join(occupied, "id", "left").withColumn("occupied", F.coalesce("occupied", F.lit(False)))
-    judged = nodes.join(trees.prune(nodes, F.col("occupied"), ~is_legacy_slug(F.col("slug"))), "id")
+    nodes = sections.select("id", F.coalesce("slug", F.lit("")).alias("slug"), "parent").join(occupied, "id", "left").withColumn("occupied", F.coalesce("occupied", F.lit(False)))
+    judged = trees.marked(nodes, F.col("occupied"), ~is_legacy_slug(F.col("slug")))
     parents = judged.where("kept AND parent IS NOT NULL").select(F.col("parent").alias("id")).distinct().withColumn("above", F.lit(True))
     stale = F.col("slug").isin(*STALE_ROOTS) & ~F.col("occupied") & F.col("above").isNull()
     return judged.join(parents, "id", "left").select("id", (F.col("kept") & ~stale).alias("kept"))

@@ -159,10 +159,15 @@ def sorted_tree(nodes: DataFrame, rounds: int = 32) -> DataFrame:
 def prune(nodes: DataFrame, occupied: Column, protected: Column) -> DataFrame:
     """(id, kept) of ``nodes`` (id, parent, ...): removing leaves that are neither occupied nor protected
     until none is left keeps exactly the occupied and protected nodes, the nodes of cycles and the
-    ancestors of all these. Flags go up in rounds of doubled distance."""
+    ancestors of all these. Flags go up in rounds of doubled distance. One row per node: rows of one id share their flag, a null id has none."""
+    return marked(nodes, occupied, protected).select("id", "kept")
+
+
+def marked(nodes: DataFrame, occupied: Column, protected: Column) -> DataFrame:
+    """``nodes`` with the flags of ``prune`` as a column ``kept``."""
     jumps = Jumps(nodes.select("id", "parent"))
     kept = jumps.upward(nodes.where(occupied | protected).select("id").union(jumps.looped)).withColumn("kept", F.lit(True))
-    return nodes.join(kept, "id", "left").select("id", F.coalesce("kept", F.lit(False)).alias("kept"))
+    return nodes.join(kept, "id", "left").withColumn("kept", F.when(F.col("id").isNotNull(), F.coalesce("kept", F.lit(False))))
 
 
 def first_round(nodes: DataFrame, occupied: Column, protected: Column) -> DataFrame:
